@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ogg, packing, quality, secrets, sharding
+from . import bpe, chat, langid, ogg, packing, quality, secrets, sharding
 from .common import table
 
 #: Vocabulary files are a parameter: (module that knows their place, file).
@@ -52,6 +52,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.parsed(chat.formatted(chat.branches(chat.linear(turns)))))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_bpe": op3_bpe,
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ogg_media": op6_ogg_media,
     "op7_packing": op7_packing,
     "op9_chat_format": op9_chat_format,
+    "op10_language_id": op10_language_id,
 }
 
 _OP2 = r"""
