@@ -338,3 +338,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sized, labels = links(docs, id_col, text_col)
     own = sized.select("id", "n", F.coalesce("rep", "id").alias("rep"))
     return _labelled(own, labels, "rep", "component_id").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component, the one with the smallest id; of repeated rows of an id, one row."""
+    found = stored(jaccard_components(docs, id_col, text_col), "components")
+    losers = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    kept = docs.join(losers.hint("shuffle_hash"), id_col, "left_anti")
+    repeated = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))

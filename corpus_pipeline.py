@@ -1,8 +1,66 @@
-"""The corpus pipeline: quality rules, near-duplicates, repeated passages, secrets, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, secrets, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of `documents`.
+`run` writes what a stage returns as Parquet in the shared folder and reads it back as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from callweave.llm import jaccard, packing, quality, queries, secrets, suffixes
+from callweave.llm.common import stored, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the policy."""
+    return quality.judged(docs).filter("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links connect: the one with the smallest id. Rows without id stay."""
+    return jaccard.one_of_each(docs).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that a document with a smaller id has; documents of which nothing is left go."""
+    found = suffixes.suffix_dedup(docs, with_text=True).filter("n_removed = 0 OR length(trim(kept_text)) > 0")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", _chars(found, text)).select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with every secret masked."""
+    found = secrets.redact(secrets.scan(docs))
+    return found.withColumn("n_chars", _chars(found, F.col("text"))).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of what is left, packed into sequences."""
+    return packing.pack(docs, queries.vocabulary(queries.WORD_VOCABULARY))
+
+
+def _chars(df: DataFrame, text: Column) -> Column:
+    return F.char_length(text).cast(df.schema["n_chars"].dataType)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("secret_scan", secret_scan),
+    ("packing", packed),
+]
+
+#: SQL cannot tokenize; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
