@@ -7,7 +7,8 @@ Exact, without pairs of copies and without all pairs of a group:
    that order shingles that are frequent in some batch come last (`frequent`), so boilerplate opens no tiles.
 2. One document stands for a class. Its prefix shingles are postings; those of one shingle, sorted by size, are a tile.
    In a tile only sizes within the band n..n/0.8 are compared: all pairs of a small tile, and in a large one each
-   document with its band's first one and its neighbour.
+   document with its band's first one and its neighbour in an order of the tile's own (near copies that drift apart
+   share many tiles, so their neighbours differ from tile to tile).
 3. Pairs pass the bit-count bound on the overlap, then the exact intersection of the sorted sets. First only one pair
    a document is verified, then those that still join two components.
 4. Large tiles that hold several components are compared in cells of about CELL documents by signature; what the bound
@@ -39,7 +40,9 @@ PERCENT = 80
 #: Shingles that the global order puts last, at most; only the size of tiles depends on it.
 FREQUENT = 1 << 16
 #: Tiles up to this size are compared pair by pair.
-SMALL = 16
+SMALL = 64
+#: Pairs that a task holds back to report each once.
+HELD = 1 << 20
 #: Documents of a cell when a large tile is compared by signature.
 CELL = 128
 
@@ -158,7 +161,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From postings sorted by (shingle, n, id): pairs (tile null) and the members of large tiles (b null)."""
     rest = [np.zeros(0, np.int64)] * 3
 
-    def work(key: np.ndarray, n: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    def work(key: np.ndarray, n: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         sizes = np.diff(np.r_[cuts, len(key)])
         first, second = [], []
@@ -180,25 +183,48 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 after = int(np.searchsorted(n[i], n[i[head]] * 100 // PERCENT, "right"))
                 heads[head:after] = start + head
                 head = after
-            first += [heads, i[:-1]]
-            second += [i, i[1:]]
+            own = i[np.argsort(mixed(node[i].view(np.uint64) ^ np.uint64(key[start] & 0x7FFFFFFFFFFFFFFF)))]
+            first += [heads, np.minimum(own[:-1], own[1:])]  # places follow sizes
+            second += [i, np.maximum(own[:-1], own[1:])]
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second))
         fits = (node[a] != node[b]) & (100 * n[a] >= PERCENT * n[b])
         a, b = a[fits], b[fits]
         swap = node[a] > node[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
-        pairs = pd.DataFrame({"tile": None, "a": node[a], "na": n[a], "b": node[b], "nb": n[b]}).drop_duplicates(["a", "b"])
         large = np.concatenate(members) if members else np.zeros(0, np.int64)
-        both = pd.concat([pairs.astype({"tile": "Int64", "b": "Int64", "nb": "Int64"}),
-                          pd.DataFrame({"tile": key[large], "a": node[large], "na": n[large], "b": None, "nb": None}).astype({"tile": "Int64", "b": "Int64", "nb": "Int64"})])
-        return pa.RecordBatch.from_pandas(both, schema=pa.schema([(c, pa.int64()) for c in ("tile", "a", "na", "b", "nb")]), preserve_index=False)
-
-    for b in batches:
-        now = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, b.columns)]
-        edge = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last tile may go on
-        rest = [x[edge:] for x in now]
-        yield work(*(x[:edge] for x in now))
-    yield work(*rest)
+        return np.stack([node[a], n[a], node[b], n[b]]), np.stack([key[large], node[large], n[large]])
+
+    def distinct(found: np.ndarray) -> np.ndarray:
+        found = found[:, np.lexsort((found[2], found[0]))]
+        return found[:, np.r_[True, (np.diff(found[0]) != 0) | (np.diff(found[2]) != 0)]] if found.shape[1] else found
+
+    def sent(found: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
+        none = lambda k: pa.nulls(k, pa.int64())
+        few, many = found.shape[1], large.shape[1]
+        columns = [(none(few), pa.array(large[0])), (pa.array(found[0]), pa.array(large[1])), (pa.array(found[1]), pa.array(large[2])), (pa.array(found[2]), none(many)), (pa.array(found[3]), none(many))]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["tile", "a", "na", "b", "nb"])
+
+    held = np.zeros((4, 0), np.int64)
+    for b in _and_last(batches):
+        if b is None:
+            now, rest = rest, None
+            pairs, large = work(*now)
+        else:
+            now = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, b.columns)]
+            edge = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last tile may go on
+            rest = [x[edge:] for x in now]
+            pairs, large = work(*(x[:edge] for x in now))
+        held = np.concatenate([held, pairs], axis=1)
+        if held.shape[1] > HELD:
+            held = distinct(held)
+        if b is None or held.shape[1] > HELD // 2 or large.shape[1]:
+            out, held = (distinct(held), held[:, :0]) if b is None or held.shape[1] > HELD // 2 else (held[:, :0], held)
+            yield sent(out, large)
+
+
+def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
