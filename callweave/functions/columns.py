@@ -50,7 +50,7 @@ def first_line(x: Column, most: int = 240) -> Column:
 
 
 def luhn(x: Column) -> Column:
-    return F.luhn_check(F.regexp_replace(x, "[ -]", ""))
+    return F.call_function("luhn_check", F.regexp_replace(x, "[ -]", ""))
 
 
 def utc_day(ts: Column) -> Column:

@@ -8,8 +8,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable
+from itertools import chain
 from typing import NamedTuple
 
+import numpy as np
+
 from . import patterns as P
 
 
@@ -49,16 +52,15 @@ class Squeezed:
     """squeezed(text) with the place in the text of each letter."""
 
     def __init__(self, text: str):
-        letters, self.places = [], []
-        for i, c in enumerate(text):
-            for x in c.lower():
-                if x.isascii() and x.isalnum():
-                    letters.append(x)
-                    self.places.append(i)
-        self.text = "".join(letters)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
+        for letter, plain in ((0x130, "i"), (0x212A, "k")):  # the only others whose lower case holds an ASCII letter
+            codes = np.where(codes == letter, ord(plain), codes)
+        self.places = np.flatnonzero(((codes >= 97) & (codes <= 122)) | ((codes >= 48) & (codes <= 57)))
+        self.text = codes[self.places].astype(np.uint8).tobytes().decode("ascii")
 
     def span(self, start: int, end: int, kind: str, detector: str = "regex") -> Span:
-        return Span(self.places[start], self.places[end - 1] + 1, kind, detector)
+        return Span(int(self.places[start]), int(self.places[end - 1]) + 1, kind, detector)
 
     def occurrences(self, needle: str, kind: str, detector: str = "regex") -> list[Span]:
         out, at = [], self.text.find(needle)
@@ -71,20 +73,26 @@ class Squeezed:
 # -- single detectors ---------------------------------------------------------
 
 
+_SIGN, _AT, _DIGIT = re.compile("[@＠﹫]"), re.compile(r"\bat\b", re.I | re.ASCII), re.compile(r"\d", re.ASCII)
+
+
 def email_like(text: str) -> list[Span]:
-    return [s for p in P.EMAIL_LIKE for s in _hits(text, p, "email")]
+    found = _hits(text, P.EMAIL_LIKE[0], "email") if _SIGN.search(text) else []
+    return found + (_hits(text, P.EMAIL_LIKE[1], "email") if _AT.search(text) else [])
 
 
 def phones(text: str) -> list[Span]:
-    return uncontained(s for p in P.PHONES for s in _hits(text, p, "phone"))
+    return uncontained(s for p in P.PHONES for s in _hits(text, p, "phone")) if _DIGIT.search(text) else []
 
 
 def emails(text: str) -> list[Span]:
-    return uncontained([*_hits(text, P.EMAIL, "email"), *_hits(text, P.EMAIL_SPOKEN_OUT, "email"), *email_like(text)])
+    written = _hits(text, P.EMAIL, "email") if "@" in text else []
+    spoken = _hits(text, P.EMAIL_SPOKEN_OUT, "email") if _AT.search(text) and "dot" in text.lower() else []
+    return uncontained([*written, *spoken, *email_like(text)])
 
 
 def street_addresses(text: str) -> list[Span]:
-    return uncontained(_hits(text, P.STREET_ADDRESS, "street_address"))
+    return uncontained(_hits(text, P.STREET_ADDRESS, "street_address")) if _DIGIT.search(text) else []
 
 
 _BLANKS = re.compile(P.SPACE + r"+\Z")
@@ -104,10 +112,13 @@ def luhn(digits: str) -> bool:
 
 
 def cards(text: str) -> list[Span]:
-    return uncontained(s for s in _hits(text, P.CARD, "credit_card") if luhn(re.sub("[ -]", "", text[s.start : s.end])))
+    found = _hits(text, P.CARD, "credit_card") if _DIGIT.search(text) else []
+    return uncontained(s for s in found if luhn(re.sub("[ -]", "", text[s.start : s.end])))
 
 
 def government_ids(text: str) -> list[Span]:
+    if not _DIGIT.search(text):
+        return []
     bare = [s for p in P.GOVERNMENT_IDS for s in _hits(text, p, "government_id")]
     return uncontained([*bare, *_hits(text, P.CONTEXTUAL_ID, "government_id", 1)])
 
@@ -117,14 +128,19 @@ _DIGITS = re.compile(rf"\d{{{P.LONG_RUN},}}", re.ASCII)
 
 def long_numbers(text: str, kind: str = "number") -> list[Span]:
     """Runs of seven or more digits with nothing but marks and blanks between them."""
-    if sum(c.isdigit() for c in text) < P.LONG_RUN:
+    if len(_DIGIT.findall(text)) < P.LONG_RUN:
         return []
     letters = Squeezed(text)
     return [letters.span(m.start(), m.end(), kind) for m in _DIGITS.finditer(letters.text)]
 
 
+_SPOKEN_DIGIT = re.compile("(?<![A-Za-z])(?:" + "|".join(P.DIGIT_WORDS) + ")(?![A-Za-z])", re.I | re.ASCII)
+
+
 def spelled_digits(text: str, kind: str = "phone") -> list[Span]:
     """Runs of seven or more spoken digits; `double` and `triple` multiply the next one."""
+    if len(_SPOKEN_DIGIT.findall(text)) * max(P.MULTIPLIERS.values()) < P.LONG_RUN:
+        return []
     out: list[Span] = []
     count, times, start, end = 0, 1, -1, -1
     for m in [*_LETTERS.finditer(text), None]:
@@ -148,8 +164,9 @@ def greeted_names(text: str) -> list[Span]:
 
 def denied(text: str, terms: Iterable[str]) -> list[Span]:
     """Deny terms as whole words of the text, whatever stands between the words."""
-    words = [(m.start(), m.end(), m[0].lower()) for m in _ALNUM.finditer(text)]
-    out = []
+    flat, out = squeezed(text), []
+    terms = [t for t in terms if squeezed(t) in flat]
+    words = [(m.start(), m.end(), m[0].lower()) for m in _ALNUM.finditer(text)] if terms else []
     for term in terms:
         wanted = [m[0].lower() for m in _ALNUM.finditer(term)]
         out += _word_runs(words, wanted, "deny_list", "deny_list")
@@ -169,6 +186,8 @@ def _word_runs(words: list[tuple[int, int, str]], wanted: list[str], kind: str,
 
 def denied_anywhere(text: str, terms: Iterable[str]) -> list[Span]:
     """Deny terms of three or more letters in the squeezed text."""
+    if not (terms := list(terms)):
+        return []
     letters = Squeezed(text)
     return [s for t in terms if len(squeezed(t)) >= P.VALUE_LEAST for s in letters.occurrences(squeezed(t), "deny_list", "deny_list")]
 
@@ -189,6 +208,8 @@ _NUMBER = re.compile(r"\d+", re.ASCII)
 
 def address_digits(text: str, kind: str = "number") -> list[Span]:
     """Digit runs that touch a window round an address word."""
+    if not _DIGIT.search(text):
+        return []
     windows = [(m.start() - P.ADDRESS_WINDOW, m.end() + P.ADDRESS_WINDOW) for m in P.ADDRESS_WORD.finditer(text)]
     return [Span(*m.span(), kind) for m in _NUMBER.finditer(text) if any(m.start() < e and m.end() > s for s, e in windows)]
 
@@ -210,7 +231,7 @@ def detect(text: str) -> list[Span]:
 def address_like(text: str) -> bool:
     """A number before capitalised words that no street address covers."""
     known = street_addresses(text)
-    return any(not _inside(s, known) for s in _hits(text, P.ADDRESS_LIKE, "street_address"))
+    return _DIGIT.search(text) is not None and any(not _inside(s, known) for s in _hits(text, P.ADDRESS_LIKE, "street_address"))
 
 
 def merge(spans: Iterable[Span]) -> tuple[list[Span], bool]:
@@ -282,8 +303,7 @@ def residual(redacted: str, vaulted: Iterable[str] = (), deny: Iterable[str] = (
     """What personal data a redacted text still seems to hold: count by category, without zeros."""
     text = P.TOKEN.sub(" ", redacted)
     flat, words = squeezed(text), [w for w in _OTHER.split(text.lower()) if w]
-    digit = re.compile(r"\d", re.ASCII)
-    near = lambda m: digit.search(text, max(0, m.start() - P.ADDRESS_WINDOW), min(len(text), m.end() + P.ADDRESS_WINDOW))
+    near = lambda m: _DIGIT.search(text, max(0, m.start() - P.ADDRESS_WINDOW), min(len(text), m.end() + P.ADDRESS_WINDOW))
     counts = {
         "vault_value_reintroduced": sum(_reappears(v, flat, words) for v in vaulted),
         "digit_run": len(_DIGITS.findall(flat)),
@@ -305,13 +325,13 @@ class Masked:
             if s.start < at:
                 continue
             parts += [text[at : s.start], " "]
-            places += [*range(at, s.start), -1]
+            places += [range(at, s.start), range(-1, 0)]
             at = s.end
         self.text = "".join([*parts, text[at:]])
-        self.places = [*places, *range(at, len(text))]
+        self.places = np.fromiter(chain(*places, range(at, len(text))), np.int64)
 
     def back(self, s: Span) -> Span | None:
-        real = [p for p in self.places[s.start : s.end] if p >= 0]
+        real = [p for p in self.places[s.start : s.end].tolist() if p >= 0]
         return s._replace(start=real[0], end=real[-1] + 1) if real else None
 
 

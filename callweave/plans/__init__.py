@@ -1,6 +1,6 @@
 """Registered queries: the operators applied to the given tables, each with its SQL where SQL can say it."""
 
-from . import reads
+from . import flows, reads, scalars, texts, writes
 from .registry import oracle_sql, queries
 
-__all__ = ["oracle_sql", "queries", "reads"]
+__all__ = ["flows", "oracle_sql", "queries", "reads", "scalars", "texts", "writes"]
