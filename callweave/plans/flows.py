@@ -69,7 +69,7 @@ def _budget(t: Tables, cap: float = 4000.0):
 
 
 query("str_14")(_budget)
-query("op_26", "SELECT day, min(id) AS id FROM (SELECT day, id, sum(cost) OVER (PARTITION BY day ORDER BY "at", id) AS spent FROM daily_cost) AS x WHERE spent >= 80000 GROUP BY day")(
+query("op_26", 'SELECT day, min(id) AS id FROM (SELECT day, id, sum(cost) OVER (PARTITION BY day ORDER BY "at", id) AS spent FROM daily_cost) AS x WHERE spent >= 80000 GROUP BY day')(
     lambda t: S.budget_fold(t.daily_cost.select("day", "id", c("cost").alias("amount"), "at"), 100000.0).filter("warned").groupBy("day").agg(F.min("id").alias("id"))
 )
 query("snk_08")(lambda t: S.guarded_adjust(t.daily_cost.select(c("day").alias("key"), "id", "at", (c("cost") - 40).cast("decimal(12,6)").alias("delta"))))
