@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,26 +146,34 @@ def common_grams(docs: DataFrame, text_col: str = "text", limit: int = COMMON) -
     return np.sort(top["gram"].to_numpy(np.int64).copy().view(np.uint64))
 
 
-_RECORD = [("gram", np.uint64), ("context", np.uint64), ("doc", np.int64), ("tag", np.uint32), ("start", np.int32), ("run", np.uint8)]
+_HASHES = (np.uint64, np.uint64)
+_REST = (np.int64, np.uint32, np.int32, np.uint8)
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
-    return b"".join(np.ascontiguousarray(x, kind).tobytes() for x, (_, kind) in zip(columns, _RECORD))
+    """gram, context, doc, tag, start, run as bytes: hashes as they are, the rest compressed (doc as differences)."""
+    gram, context, doc, tag, start, run = columns
+    raw = b"".join(np.ascontiguousarray(x, k).tobytes() for x, k in zip((np.diff(doc, prepend=0), tag, start, run), _REST))
+    return b"".join((len(gram).to_bytes(4, "little"), gram.tobytes(), context.tobytes(), zstandard.compress(raw, 1)))
 
 
 def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
-    size = sum(np.dtype(k).itemsize for _, k in _RECORD)
-    parts: list[list[np.ndarray]] = [[] for _ in _RECORD]
+    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
     for blob in blobs:
-        n, at = len(blob) // size, 0
-        for out, (_, kind) in zip(parts, _RECORD):
+        n, at = int.from_bytes(blob[:4], "little"), 4
+        for out, kind in zip(parts, _HASHES):
             out.append(np.frombuffer(blob, kind, n, at))
+            at += 8 * n
+        raw, at = zstandard.decompress(blob[at:]), 0
+        for out, kind in zip(parts[2:], _REST):
+            out.append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
-    return [np.concatenate(p) for p in parts]
+        parts[2][-1] = np.cumsum(parts[2][-1])
+    return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, (*_HASHES, *_REST))]
 
 
 def _contexts(docs: DataFrame, common: np.ndarray, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, blob, doc, tag, cut): contexts by bucket of their anchor, and intervals settled within a batch (bucket null)."""
+    """(bucket, blob, settled): contexts by bucket of their anchor, and intervals settled within a batch."""
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             known = np.array(b.column(0).is_valid())
@@ -182,7 +191,7 @@ def _contexts(docs: DataFrame, common: np.ndarray, buckets: int, id_col: str, te
                     yield from _sent([np.concatenate(x) for x in zip(*held)], buckets)
                     held, size = [], 0
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(stage, "bucket int, blob binary, doc long, tag long, cut long")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(stage, "bucket int, blob binary, settled binary")
 
 
 def _settled(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -200,24 +209,21 @@ def cut_of(start: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 
 def _sent(columns: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """One row a bucket: contexts left, and intervals settled already (they go the same way, to be read once)."""
     columns, gone = _settled(columns)
-    _, _, doc, tag, start, run = (x[gone] for x in columns)
-    yield _rows(None, None, doc, tag, cut_of(start, run))
+    cuts = np.stack([columns[2][gone], columns[3][gone].astype(np.int64), cut_of(columns[4][gone], columns[5][gone])])
     rest = [x[~gone] for x in columns]
     bucket = (rest[0] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((rest[4], rest[2], bucket))
     bucket, rest = bucket[order], [x[order] for x in rest]
     at = _groups(bucket).tolist()
     blobs = [_packed([x[i:j] for x in rest]) for i, j in zip(at, [*at[1:], len(bucket)])]
-    yield _rows(bucket[at], blobs, *[np.zeros(0, np.int64)] * 3)
-
-
-def _rows(bucket, blobs, doc: np.ndarray, tag: np.ndarray, cut: np.ndarray) -> pa.RecordBatch:
-    n, kinds = len(blobs) if blobs is not None else len(doc), [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    values = [pa.array(bucket, pa.int32()), pa.array(blobs, pa.binary())] + [pa.nulls(n, pa.int64())] * 3 if blobs is not None else [
-        pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(doc), pa.array(tag.astype(np.int64)), pa.array(cut)
-    ]
-    return pa.RecordBatch.from_arrays([v.cast(k) for v, k in zip(values, kinds)], names=["bucket", "blob", "doc", "tag", "cut"])
+    target = bucket[at]
+    if cuts.shape[1] and not len(target):
+        target, blobs = np.zeros(1, np.int64), [_packed([x[:0] for x in rest])]
+    shares = np.array_split(cuts, max(1, len(target)), axis=1)
+    settled = [zstandard.compress(np.ascontiguousarray(x).tobytes(), 1) for x in shares[: len(target)]]
+    yield pa.RecordBatch.from_arrays([pa.array(target, pa.int32()), pa.array(blobs, pa.binary()), pa.array(settled, pa.binary())], names=["bucket", "blob", "settled"])
 
 
 def _by_hash(table: pa.Table) -> pa.Table:
@@ -232,10 +238,11 @@ def _by_hash(table: pa.Table) -> pa.Table:
     differ = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at) if len(at) else np.zeros(0, bool)
     open_ = np.repeat(differ, sizes)
     left = [x[keep][open_] for x in columns]
-    doc, tag = np.concatenate([doc[gone], left[2]]), np.concatenate([tag[gone], left[3]]).astype(np.int64)
-    cut = np.concatenate([cut_of(start[gone], run[gone]), cut_of(left[4], left[5])])
-    gram_of = pa.array(np.concatenate([np.zeros(gone.sum(), np.int64), left[0].view(np.int64)]), mask=np.arange(len(doc)) < gone.sum())
-    return pa.table({"gram": gram_of, "doc": doc, "tag": tag, "cut": cut})
+    before = [np.frombuffer(zstandard.decompress(x), np.int64).reshape(3, -1) for x in table.column("settled").to_pylist()]
+    cuts = np.concatenate([*before, np.stack([doc[gone], tag[gone].astype(np.int64), cut_of(start[gone], run[gone])])], axis=1)
+    both = np.concatenate([cuts, np.stack([left[2], left[3].astype(np.int64), cut_of(left[4], left[5])])], axis=1)
+    gram_of = pa.array(np.concatenate([np.zeros(cuts.shape[1], np.int64), left[0].view(np.int64)]), mask=np.arange(both.shape[1]) < cuts.shape[1])
+    return pa.table({"gram": gram_of, "doc": both[0], "tag": both[1], "cut": both[2]})
 
 
 def words_at(text: np.ndarray) -> np.ndarray:
@@ -340,8 +347,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     buckets = max(total // BUCKET_BYTES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     tagged = docs.select(F.col(id_col).cast("long").alias("doc"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("tag"), F.col(text_col).alias("text"))
 
-    first = stored(_contexts(docs, common_grams(docs, text_col), buckets, id_col, text_col), "contexts")
-    hashed = first.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_by_hash, "gram long, doc long, tag long, cut long")
+    contexts = _contexts(docs, common_grams(docs, text_col), buckets, id_col, text_col)
+    hashed = contexts.groupBy("bucket").applyInArrow(_by_hash, "gram long, doc long, tag long, cut long")
     hashed = stored(hashed, "settled")
     places = hashed.filter("gram IS NOT NULL").groupBy("doc", "tag").agg(F.collect_list(F.struct("gram", "cut")).alias("places"))
 
@@ -355,9 +362,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["gram", "doc", "tag", "start", "context"])
 
     fetched = tagged.join(places.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(fetch, "gram long, doc long, tag long, start long, context binary")
-    fetched = fetched.dropDuplicates(["gram", "doc", "tag", "start"])
     texts = fetched.withColumn("bucket", F.pmod("gram", F.lit(buckets))).groupBy("bucket").applyInArrow(_by_text, "doc long, tag long, cut long")
-    cuts = first.filter("bucket IS NULL").select("doc", "tag", "cut").unionByName(hashed.filter("gram IS NULL").select("doc", "tag", "cut")).unionByName(stored(texts, "by-text"))
+    cuts = hashed.filter("gram IS NULL").select("doc", "tag", "cut").unionByName(stored(texts, "by-text"))
     return stored(cuts.groupBy("doc", "tag").agg(F.collect_list("cut").alias("cuts")), "cuts")
 
 
