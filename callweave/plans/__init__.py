@@ -1,6 +1,6 @@
 """Registered queries: the operators applied to the given tables, each with its SQL where SQL can say it."""
 
-from . import flows, reads, scalars, streams, texts, writes
+from . import flows, guards, reads, scalars, streams, texts, writes
 from .registry import oracle_sql, queries
 
-__all__ = ["flows", "oracle_sql", "queries", "reads", "scalars", "streams", "texts", "writes"]
+__all__ = ["flows", "guards", "oracle_sql", "queries", "reads", "scalars", "streams", "texts", "writes"]
