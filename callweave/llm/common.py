@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import fresh_path
+
 #: Fixed by the result contracts: what separates words, as a Java/RE2/Python character class body.
 WORD_BREAKS = r"\x20\x09-\x0D"
 
@@ -22,24 +22,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("callweave.scratch", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="callweave-")
-        spark.conf.set("callweave.scratch", found)
-    return found.rstrip("/")
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: df as a table written in the shared folder and read back.
 
     A lost executor costs a re-read of shared files, never a recomputation of what led to them.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that the table has made needless
     return spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,8 @@ Exact, without pairs of copies and without all pairs of a group:
 
 1. `sketch` gives each document its set's size, a 128-bit class (equal sets, equal class), a bitmap signature and its
    prefix: the n - ceil(0.8 n) + 1 first shingles in one global order. Two sets that link share a prefix shingle. In
-   that order shingles that are frequent in some batch come last (`frequent`), so boilerplate opens no tiles.
+   that order shingles seen in several sets of some batch come last, by their counts (`frequent`), so passages that
+   many documents share open no tiles.
 2. One document stands for a class. Its prefix shingles are postings; those of one shingle, sorted by size, are a tile.
    In a tile only sizes within the band n..n/0.8 are compared: all pairs of a small tile, and in a large one each
    document with its band's first one and its neighbour in an order of the tile's own (near copies that drift apart
@@ -37,14 +38,16 @@ from .hashing import column_bytes, mixed, prefix_sums, slices, spans_hash
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Shingles that the global order puts last, at most; only the size of tiles depends on it.
-FREQUENT = 1 << 16
+#: Shingles that the global order puts last, at most, and the count from which they are; only tile sizes depend on it.
+FREQUENT, OFTEN = 1 << 18, 8
 #: Tiles up to this size are compared pair by pair.
 SMALL = 64
 #: Pairs that a task holds back to report each once.
 HELD = 1 << 20
-#: Documents of a cell when a large tile is compared by signature.
-CELL = 128
+#: Documents of a cell when a large tile is compared by signature, and tiles that are cut by size band as well.
+CELL, BANDED = 512, 8192
+#: Bits a shingle of the signatures there; four elsewhere.
+WIDE = 16
 
 
 def _shingles(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -74,9 +77,9 @@ def _shingles(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def _signature(found: np.ndarray) -> bytes:
-    """A bitmap of at least four bits a shingle, a power of two long, so that a longer one folds onto a shorter one."""
-    width = max(64, 1 << int(4 * len(found) - 1).bit_length()) if len(found) else 64
+def _signature(found: np.ndarray, share: int = 4) -> bytes:
+    """A bitmap of at least `share` bits a shingle, a power of two long, so that a longer one folds onto a shorter one."""
+    width = max(64, 1 << int(share * len(found) - 1).bit_length()) if len(found) else 64
     bits = np.zeros(width, bool)
     bits[(found & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
@@ -97,9 +100,9 @@ def needed(na: int, nb: int) -> int:
 
 
 def frequent(docs: DataFrame, text_col: str = "text", limit: int = FREQUENT) -> np.ndarray:
-    """Shingles found in many different sets of some batch, most frequent last; at most `limit`.
+    """The `limit` most frequent shingles, most frequent last, by what batches report of those in two or more of their sets.
 
-    Batches report what at least 1 in 100 of their sets (and eight) hold. Whatever this finds, the join is exact.
+    Whatever this finds, the join is exact.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,11 +117,11 @@ def frequent(docs: DataFrame, text_col: str = "text", limit: int = FREQUENT) ->
             every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
             cuts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
             n = np.diff(np.r_[cuts, len(every)])
-            many = n >= max(8, len(sets) // 100)
+            many = n >= 2
             yield pa.RecordBatch.from_arrays([pa.array(every[cuts[many]].view(np.int64)), pa.array(n[many], pa.int64())], names=["shingle", "n"])
 
     rows = docs.select(text_col).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "shingle").limit(limit).toPandas()
+    top = rows.filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(limit).toPandas()
     return top["shingle"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
 
 
@@ -244,12 +247,12 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles binary): the sorted sets of the documents in `ids`."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, wide: int = 0) -> DataFrame:
+    """(id, shingles binary): the sorted sets of the documents in `ids`, or bitmaps of `wide` bits a shingle."""
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, e in slices(b.column(1)):
-                found = [x.tobytes() for x in _shingles(b.column(1).slice(s, e - s))]
+                found = [_signature(x, wide) if wide and len(x) else x.tobytes() for x in _shingles(b.column(1).slice(s, e - s))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array(found, pa.binary())], names=["id", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(ids.hint("shuffle_hash"), "id", "left_semi")
@@ -285,11 +288,12 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, col: str, name: str) ->
     return rows.join(own, col, "left").withColumn(name, F.coalesce("_l", col)).drop("_l")
 
 
-def _cells(large: DataFrame, labels: DataFrame | None, signs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in one large tile that the signatures leave open."""
+def _cells(large: DataFrame, labels: DataFrame | None, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b) of different components in one large tile that signatures of WIDE bits a shingle leave open."""
     rows = _labelled(large.select("tile", F.col("a").alias("id"), F.col("na").alias("n")).distinct(), labels, "id", "label")
-    mixed_tiles = rows.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("tile")
-    rows = stored(rows.join(mixed_tiles, "tile", "left_semi").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)))), "tiles")
+    mixed_tiles = rows.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("tile", "size")
+    band = F.when(F.col("size") > BANDED, F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)))).otherwise(0)
+    rows = stored(rows.join(mixed_tiles, "tile").withColumn("band", band).drop("size"), "tiles")
     if rows.isEmpty():
         return rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
     bands = rows.groupBy("tile", "band").agg(F.ceil(F.count("*") / CELL).alias("cells"))
@@ -302,6 +306,7 @@ def _cells(large: DataFrame, labels: DataFrame | None, signs: DataFrame) -> Data
     up = F.when(F.col("above").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("above") - 1), lambda c: to(F.col("band"), F.col("cell"), F.col("band") + 1, c)))
     down = F.when(F.col("below").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("below") - 1), lambda c: to(F.col("band") - 1, c, F.col("band"), F.col("cell"))))
     none = F.array().cast("array<struct<band:bigint,i:bigint,other:bigint,j:bigint>>")
+    signs = shingle_sets(docs, rows.select("id").distinct(), id_col, text_col, WIDE).select("id", F.col("shingles").alias("bits")).dropDuplicates(["id"])
     dealt = placed.join(signs, "id").select("tile", "id", "n", "label", "bits", F.explode(F.concat(same, F.coalesce(up, none), F.coalesce(down, none))).alias("to")).select("tile", "to.*", "id", "n", "label", "bits")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -328,7 +333,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     """(rows of id, n, rep; labels of class representatives or None if nothing links)."""
     rows = stored(sketch(docs, frequent(docs, text_col), id_col, text_col), "sketch")
     classes = rows.filter("n > 0 AND id IS NOT NULL").groupBy("c1", "c2").agg(F.min("id").alias("rep"))
-    sized = stored(rows.select("id", "n", "c1", "c2").join(classes, ["c1", "c2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "classes")
+    sized = stored(rows.select("id", "n", "c1", "c2").join(classes, ["c1", "c2"], "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep")).alias("rep")), "classes")
     heads = sized.filter(F.col("id") == F.col("rep")).select("id").distinct()
     reps = rows.filter("n > 0").join(heads.hint("shuffle_hash"), "id", "left_semi")
     postings = reps.select(F.explode("prefix").alias("key"), "n", F.col("id").cast("long").alias("id"))
@@ -350,7 +355,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     if not more.isEmpty():
         found = found.unionByName(more)
         labels = components(found)
-    cells = stored(_cells(tiles.filter("tile IS NOT NULL"), labels, signs), "pairs")
+    cells = stored(_cells(tiles.filter("tile IS NOT NULL"), labels, docs, id_col, text_col), "pairs")
     if not cells.isEmpty():
         late = cells.join(near, ["a", "b"], "left_anti")
         more = stored(_linked(late, shingle_sets(docs, ids(late), id_col, text_col)), "linked")

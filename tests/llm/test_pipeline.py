@@ -1,0 +1,43 @@
+"""The pipeline's stages on a small table, and the registry with and without it."""
+
+import subprocess
+import sys
+from pathlib import Path
+
+import corpus_pipeline as P
+from callweave.llm import queries
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = docs.count()
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == COLUMNS, name
+        assert 0 < docs.count() <= before, name
+        before = docs.count()
+    assert docs.filter("text rlike 'AKIA[A-Z0-9]{12,}'").count() == 0 and docs.filter("n_chars <> char_length(text)").count() == 0
+    packed = P.STAGES[-1][1](spark, docs, SF)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+    assert sorted(map(str, P.run(spark, SF).select("doc_id", "length").groupBy("doc_id").sum("length").collect())) == sorted(map(str, packed.select("doc_id", "length").groupBy("doc_id").sum("length").collect()))
+
+
+def test_ten_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert len(P.STAGES) == 5
+
+
+def test_entry_without_this_part(tmp_path):
+    root = Path(P.__file__).parent
+    for p in root.iterdir():
+        if p.name not in ("corpus_pipeline.py", "callweave", ".git"):
+            (tmp_path / p.name).symlink_to(p)
+    (tmp_path / "callweave").mkdir()
+    for p in (root / "callweave").iterdir():
+        if p.name != "llm":
+            (tmp_path / "callweave" / p.name).symlink_to(p)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 300 and not any(n.startswith('op1_') for n in q); e.oracle_sql()"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True)
