@@ -8,7 +8,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -325,10 +324,10 @@ class Masked:
             if s.start < at:
                 continue
             parts += [text[at : s.start], " "]
-            places += [range(at, s.start), range(-1, 0)]
+            places += [np.arange(at, s.start), np.array([-1])]
             at = s.end
         self.text = "".join([*parts, text[at:]])
-        self.places = np.fromiter(chain(*places, range(at, len(text))), np.int64)
+        self.places = np.concatenate([*places, np.arange(at, len(text))])
 
     def back(self, s: Span) -> Span | None:
         real = [p for p in self.places[s.start : s.end].tolist() if p >= 0]
