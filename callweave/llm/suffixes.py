@@ -84,13 +84,15 @@ class Anchors:
         self.row = np.searchsorted(offsets, self.start, "right") - 1
 
 
+#: Bytes whose anchors are found at once, about; some twenty numbers a byte are in memory meanwhile.
+RUN = 1 << 19
 #: Longest run of bytes whose anchors are found at once; a longer text is taken in pieces that overlap by a window.
-PIECE = 1 << 23
+PIECE = 1 << 20
 
 
 def _runs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int, bool]]:
     """(first row, row after the last, bytes, offsets, place of the bytes in the text, whether the rows are done)."""
-    for s, e in slices(texts):
+    for s, e in slices(texts, RUN):
         data, offsets = column_bytes(texts.slice(s, e - s))
         if len(data) <= PIECE or e - s > 1:
             yield s, e, data, offsets, 0, True
@@ -109,13 +111,12 @@ def common_grams(docs: DataFrame, text_col: str = "text", limit: int = COMMON) -
     """Grams of contexts that at least 1 in 100 documents (and eight) of some batch hold, sorted; at most `limit`."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gram, context, rows, sample = [], [], [], {}
+            context, rows, sample = [], [], {}
             for s, _, data, offsets, _, _ in _runs(b.column(0)):
                 a = Anchors(data, offsets, np.zeros(0, np.uint64))
-                gram.append(a.gram)
                 context.append(a.context)
-                rows.append(a.row + s)
-            g, c, r = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gram, context, rows))
+                rows.append((a.row + s).astype(np.int32))
+            c, r = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (context, rows))
             order = np.lexsort((r, c))
             c, r = c[order], r[order]
             own = np.r_[True, (c[1:] != c[:-1]) | (r[1:] != r[:-1])] if len(c) else np.zeros(0, bool)
