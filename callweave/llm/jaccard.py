@@ -332,7 +332,8 @@ def _cells(large: DataFrame, labels: DataFrame | None, docs: DataFrame, id_col:
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
     """(rows of id, n, rep; labels of class representatives or None if nothing links)."""
     rows = stored(sketch(docs, frequent(docs, text_col), id_col, text_col), "sketch")
-    classes = rows.filter("n > 0 AND id IS NOT NULL").groupBy("c1", "c2").agg(F.min("id").alias("rep"))
+    # a table of its own: then both sides of the join are dealt anew, and Spark can split a class of very many copies
+    classes = stored(rows.filter("n > 0 AND id IS NOT NULL").groupBy("c1", "c2").agg(F.min("id").alias("rep")), "classes")
     sized = stored(rows.select("id", "n", "c1", "c2").join(classes, ["c1", "c2"], "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep")).alias("rep")), "classes")
     heads = sized.filter(F.col("id") == F.col("rep")).select("id").distinct()
     reps = rows.filter("n > 0").join(heads.hint("shuffle_hash"), "id", "left_semi")
