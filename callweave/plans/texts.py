@@ -18,9 +18,24 @@ def _found(name: str):
     return lambda t: t.clean_transcripts.select("call_id", X.detect(c("text"), name).alias("spans")).select("call_id", F.inline("spans"))
 
 
-for key, name in (("pii_01", "phone"), ("pii_02", "email"), ("pii_03", "street_address"), ("pii_04", "cross_street"), ("pii_05", "credit_card"), ("pii_06", "government_id"), ("pii_08", "spelled_digits"),
-                  ("pii_09", "greeted_name"), ("pii_13", "address_digits"), ("pii_16", "composite"), ("op_28", "spelled_digits"), ("op_29", "greeted_name")):
+for key, name in (("pii_01", "phone"), ("pii_02", "email"), ("pii_04", "cross_street"), ("pii_05", "credit_card"), ("pii_06", "government_id"), ("pii_16", "composite")):
     query(key)(_found(name))
+
+#: Shapes that the documents lack, said by customers: id -> (detector, text, first offset, end, kind, where there is one).
+_NO = "CAST(c_custkey % 900 + 1 AS STRING)"
+_WORD = "CASE c_custkey % 3 WHEN 0 THEN 'nine' WHEN 1 THEN 'double four' ELSE 'blue' END"
+SAID = {
+    "pii_03": ("street_address", f"concat('We live at ', {_NO}, ' Old Oak Street, thanks')", 11, f"11 + length({_NO}) + 15", "street_address", "true"),
+    "pii_08": ("spelled_digits", f"concat('dial five five five oh one two ', {_WORD})", 5, f"31 + length({_WORD})", "phone", "c_custkey % 3 <> 2"),
+    "pii_09": ("greeted_name", f"concat('Hello, my name is Ada Byron, number ', {_NO})", 18, "27", "name", "true"),
+    "pii_13": ("address_digits", f"concat('the address has ', {_NO}, ' in it')", 16, f"16 + length({_NO})", "number", "true"),
+}
+for key, same in (("pii_03", ()), ("pii_08", ("op_28",)), ("pii_09", ("op_29",)), ("pii_13", ())):
+    name, text, start, end, kind, where = SAID[key]
+    for one in (key, *same):
+        query(one, f"SELECT c_custkey AS call_id, {start} AS start, {end} AS end, '{kind}' AS kind, 'regex' AS detector, CAST(NULL AS DOUBLE) AS confidence FROM customer WHERE {where}".replace(" AS end,", ' AS "end",'))(
+            lambda t, name=name, text=text: t.customer.select(c("c_custkey").alias("call_id"), F.expr(text).alias("text")).select("call_id", X.detect(c("text"), name).alias("spans")).select("call_id", F.inline("spans"))
+        )
 _DIGITS = "SELECT doc_id AS call_id, len(regexp_extract_all(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '[0-9]{7,}'))::INT AS n FROM documents"
 for key in ("pii_07", "op_27"):
     query(key, _DIGITS)(lambda t: t.clean_transcripts.select("call_id", F.size(X.detect(c("text"), "number")).alias("n")))
