@@ -110,17 +110,24 @@ def budget_fold(requests: DataFrame, cap: float, warn_ratio: float = 0.8) -> Dat
 
 
 def guarded_adjust(changes: DataFrame) -> DataFrame:
-    """(key, id, applied, total): changes of a key in order, each refused if the total would fall below zero. Array fold."""
-    steps = F.sort_array(F.collect_list(F.struct("at", "id", "delta")))
-    start = F.struct(F.lit(0).cast("decimal(18,6)").alias("total"), F.array().cast("array<struct<id:bigint,applied:boolean,total:decimal(18,6)>>").alias("out"))
+    """(key, id, applied, total): changes of a key in order, each refused if the total would fall below zero.
 
-    def step(acc: Column, x: Column) -> Column:
-        sum_ = (acc["total"] + x["delta"]).cast("decimal(18,6)")
-        total = F.when(sum_ < 0, acc["total"]).otherwise(sum_)
-        row = F.struct(x["id"].alias("id"), (sum_ >= 0).alias("applied"), total.alias("total"))
-        return F.struct(total.alias("total"), F.array_append(acc["out"], row).alias("out"))
-
-    return changes.groupBy("key").agg(F.aggregate(steps, start, step, lambda a: a["out"]).alias("x")).select("key", F.inline("x"))
+    Folded like budget_fold: sorted rows, batch by batch, constant memory for a key of any length.
+    """
+    def fold(frames):
+        key, total = None, Decimal(0)
+        for pdf in frames:
+            out = []
+            for k, i, delta in zip(pdf["key"], pdf["id"], pdf["delta"]):
+                if k != key:
+                    key, total = k, Decimal(0)
+                ok = total + delta >= 0
+                total += delta if ok else 0
+                out.append((k, i, ok, total))
+            yield pd.DataFrame(out, columns=["key", "id", "applied", "total"])
+
+    ordered = changes.select("key", "id", F.col("delta").cast("decimal(18,6)").alias("delta"), "at").repartition("key").sortWithinPartitions("key", "at", "id").drop("at")
+    return ordered.mapInPandas(fold, f"key {changes.schema['key'].dataType.simpleString()}, id long, applied boolean, total decimal(18,6)")
 
 
 # -- retention ----------------------------------------------------------------
