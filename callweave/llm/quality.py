@@ -28,7 +28,7 @@ RULES: dict[str, str] = {
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 15 * n_words",
     "symbols": "100 * n_symbols > 10 * n_words",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
+    "duplicate_lines": "n_dup_lines >= 5 AND 100 * n_dup_lines > 30 * n_lines",
     "few_letters": "100 * n_letters < 60 * word_chars",
 }
 
