@@ -56,7 +56,7 @@ def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(texts: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """(from, to) of runs of rows that hold about `limit` bytes together."""
     _, offsets = column_bytes(texts)
     start = 0

@@ -43,7 +43,7 @@ FREQUENT, OFTEN = 1 << 18, 8
 #: Tiles up to this size are compared pair by pair.
 SMALL = 64
 #: Pairs that a task holds back to report each once.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Documents of a cell when a large tile is compared by signature, and tiles that are cut by size band as well.
 CELL, BANDED = 512, 8192
 #: Bits a shingle of the signatures there; four elsewhere.

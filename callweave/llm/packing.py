@@ -37,7 +37,7 @@ STEP_TOKENS = 32 * 2048
 POOL_TOKENS = 1 << 20
 END_ID = 1
 #: Words a task remembers; only speed depends on it.
-CACHE = 600_000
+CACHE = 300_000
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
