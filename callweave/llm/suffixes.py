@@ -42,6 +42,8 @@ GRAM = 20
 COMMON = 1 << 16
 #: Bytes of text whose anchors share a bucket, about.
 BUCKET_BYTES = 16 << 20
+#: Bytes of text whose contexts are settled and sent together; it bounds what a worker holds.
+SENT_BYTES = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -188,7 +190,7 @@ def _contexts(docs: DataFrame, common: np.ndarray, buckets: int, id_col: str, te
                 tags = np.array([zlib.crc32(whole[i:j]) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())], np.uint32)
                 held.append([x[keep] for x in (a.gram, a.context, docs_[a.row + s], tags[a.row], a.start - offsets[a.row] + shift, a.run)])
                 size += len(data)
-                if size >= BUCKET_BYTES or (e == b.num_rows and done):
+                if size >= SENT_BYTES or (e == b.num_rows and done):
                     yield from _sent([np.concatenate(x) for x in zip(*held)], buckets)
                     held, size = [], 0
 
