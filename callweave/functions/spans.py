@@ -510,21 +510,29 @@ def lcs(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def snap(phrase: str, text: str) -> tuple[str, float] | None:
-    """The stretch of the text nearest to a phrase: windows of its length and one word less or more, first best wins."""
+def snap(phrase: str, text: str, least: float = 0.0) -> tuple[str, float] | None:
+    """The stretch of the text nearest to a phrase: windows of its length and one word less or more, first best wins.
+
+    Windows that cannot reach the least likeness are passed over.
+    """
     wanted = verbatim(phrase).split()
     words = [(m.start(), m.end(), m[0].lower().translate(_QUOTES)) for m in _SPOKEN.finditer(text)]
     best: tuple[str, float] | None = None
-    have = Counter(wanted)
     for n in (len(wanted) - 1, len(wanted), len(wanted) + 1):
-        for i in range(len(words) - n + 1) if n > 0 and wanted else ():
-            part = [w for *_, w in words[i : i + n]]
-            most = sum((have & Counter(part)).values()) / max(len(wanted), n)  # no order can give more
-            if best is not None and most <= best[1]:
+        left, shared = dict(Counter(wanted)), 0  # how often the window still lacks each word; words that it shares
+        for j in range(len(words)) if n > 0 and wanted else ():
+            if (w := words[j][2]) in left:
+                left[w] -= 1
+                shared += left[w] >= 0
+            if j >= n and (w := words[j - n][2]) in left:
+                left[w] += 1
+                shared -= left[w] > 0
+            most = shared / max(len(wanted), n)  # no order can give more
+            if (i := j - n + 1) < 0 or most < least or (best is not None and most <= best[1]):
                 continue
-            likeness = lcs(wanted, part) / max(len(wanted), n)
+            likeness = lcs(wanted, [w for *_, w in words[i : j + 1]]) / max(len(wanted), n)
             if best is None or likeness > best[1]:
-                best = (text[words[i][0] : words[i + n - 1][1]], likeness)
+                best = (text[words[i][0] : words[j][1]], likeness)
     return best
 
 
@@ -536,7 +544,7 @@ def verbatim_gate(phrases: Iterable[str], text: str) -> tuple[list[str], int, in
         if not wanted or wanted in flat:
             kept.append(phrase)
             counts[0] += 1
-        elif (near := snap(phrase, text)) is not None and near[1] >= P.SNAP_LEAST:
+        elif (near := snap(phrase, text, P.SNAP_LEAST)) is not None and near[1] >= P.SNAP_LEAST:
             kept.append(near[0])
             counts[1] += 1
         else:

@@ -8,9 +8,10 @@ import json
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import spans as S
 
 SPANS = "array<struct<start:int,end:int,kind:string,detector:string,confidence:double>>"
@@ -117,6 +118,37 @@ def verbatim(phrases: Column, text: Column) -> Column:
     return run(phrases, text)
 
 
+def quote_pairs(phrases: DataFrame, texts: DataFrame, shared: int = 4) -> DataFrame:
+    """(item_id, call_id): every pair in which the gate keeps the phrase, and few others. No pair is missed.
+
+    phrases: item_id, phrase. texts: call_id, text. A snapped quote has `least` of the phrase's m words in m + 1 words of
+    the text, an exact one has all but the first and last as whole words. So of any m - least + n inner words of the
+    phrase at least n stand within m + 1 words of the text. The rarest ones are taken, for n up to `shared`. Phrases of
+    one or two words, of which nothing is inside, can only be exact and are looked for in every text.
+    """
+    from ..functions import columns as C
+
+    # two letters outside ASCII have an ASCII lower case, which exact quotes see and snapped ones do not
+    other = lambda x: C.normal_verbatim(F.translate(x, "\u0130\u212a", "  "))
+    split = lambda x: F.split(x, " ")
+    words = lambda x: F.when(x.rlike("[\u0130\u212a]"), F.concat(split(C.normal_verbatim(x)), split(other(x)))).otherwise(split(C.normal_verbatim(x)))
+    flat, text, m = F.col("flat"), F.col("text"), F.col("m")
+    wanted = phrases.select("item_id", C.normal_verbatim(F.col("phrase")).alias("flat")).withColumn("m", F.when(flat == "", 0).otherwise(F.size(split(flat))))
+    least = F.ceil(m * P.SNAP_LEAST - 1e-9).cast("int")
+    inner = wanted.filter(m > 2).select("item_id", "m", least.alias("least"), F.posexplode(split(flat)).alias("pos", "word")).filter((F.col("pos") > 0) & (F.col("pos") < m - 1))
+    often = texts.select(F.explode(words(text)).alias("word")).join(inner.select("word").distinct(), "word").groupBy("word").count()
+    rarest = Window.partitionBy("item_id").orderBy(F.col("count").asc_nulls_first(), "word", "pos")
+    ranked = inner.join(often, "word", "left").withColumn("rank", F.row_number().over(rarest)).withColumn("n", F.least(F.lit(shared), F.col("least") - 2))
+    probes = ranked.filter(F.col("rank") <= m - F.col("least") + F.col("n")).select("item_id", "m", "n", "word").distinct()
+    hits = texts.select("call_id", F.posexplode(words(text)).alias("pos", "word")).join(probes, "word").drop("word")
+    onward = Window.partitionBy("item_id", "call_id").orderBy("pos")
+    nth = F.coalesce(*(F.when(F.col("n") == i, F.lead("pos", i - 1).over(onward)) for i in range(1, shared + 1)))
+    long = hits.withColumn("nth", nth).filter(F.col("nth") - F.col("pos") <= m).select("item_id", "call_id").distinct()
+    full = F.coalesce(text, F.lit(""))
+    short = wanted.filter(m <= 2).join(texts.select("call_id", C.normal_verbatim(full).alias("whole"), other(full).alias("plain")), F.col("whole").contains(flat) | F.col("plain").contains(flat))
+    return long.unionByName(short.select("item_id", "call_id").distinct())
+
+
 def keyed_hash(secret: bytes, *parts: Column) -> Column:
     """HMAC-SHA-256 of the parts with a zero byte between them, in hex."""
     @F.pandas_udf("string")

@@ -70,15 +70,13 @@ query("pii_27")(lambda t: X.decided(t.clean_transcripts, "text", DENY).select("c
 
 
 def _quoted(t):
-    """Each benchmark passage held against the documents that share a whole sentence with it: an equi-join, never all pairs."""
-    sentences = lambda x: F.explode(F.filter(F.array_distinct(F.transform(F.split(x, r"[.!?\n]"), C.normal_verbatim)), lambda s: F.length(s) >= 20)).alias("sentence")
-    heads = t.benchmark.select("item_id", c("text").alias("phrase"), sentences(c("text")))
-    texts = t.clean_transcripts.select("call_id", sentences(c("text")))
-    pairs = heads.join(texts, "sentence").select("item_id", "call_id", "phrase").distinct()
-    return pairs.join(t.clean_transcripts.select("call_id", "text"), "call_id")
+    """Benchmark passages that documents quote, whole or nearly, anywhere in their text; of all other pairs the gate drops the passage."""
+    heads, texts = t.benchmark.select("item_id", c("text").alias("phrase")), t.clean_transcripts.select("call_id", "text")
+    pairs = X.quote_pairs(heads, texts).join(heads, "item_id")
+    return pairs.join(texts.withColumnRenamed("call_id", "_id"), c("call_id").eqNullSafe(c("_id"))).select("item_id", "call_id", X.verbatim(F.array("phrase"), c("text")).alias("v")).select("item_id", "call_id", "v.*").filter("dropped = 0")
 
 
-query("txt_01")(lambda t: _quoted(t).select("item_id", "call_id", X.verbatim(F.array("phrase"), c("text")).alias("v")).select("item_id", "call_id", "v.*"))
+query("txt_01")(_quoted)
 query("txt_02")(lambda t: t.benchmark.select("item_id", X.verbatim(F.array(F.substring("text", 1, 60), F.reverse(F.substring("text", 1, 60))), c("text")).alias("v")).select("item_id", "v.*"))
 query("txt_03", "SELECT item_id, text FROM benchmark WHERE NOT regexp_matches(text, '\\[[A-Z_]+_[0-9]+\\]')")(lambda t: t.benchmark.select("item_id", F.explode(C.without_tokens(F.array("text"))).alias("text")))
 _any = lambda xs: "(?:^|\\W)(?:" + "|".join(xs).replace("'", "''") + ")(?:$|\\W)"
