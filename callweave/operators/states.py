@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,41 @@ def call_fold(log: DataFrame) -> DataFrame:
     return folded.select("call_id", "s.status", F.element_at(F.array(*(F.lit(s) for s in V.STAGES)), F.col("s.rank")).alias("stage"), "s.at")
 
 
+def moved(status: str, rank: int, stage: str | None, action: str | None) -> tuple[str, int]:
+    """Status and stage (from 0) after one result. One of another stage than the call's own, or after the end, does nothing."""
+    if status != "processing" or stage != V.STAGES[rank]:
+        return status, rank
+    if action == "hold":
+        return "held", rank
+    if action == "drop" and stage in V.SKIP_STAGES:
+        return "skipped", rank
+    if action == "continue":
+        return ("completed", rank) if rank == len(V.STAGES) - 1 else (status, rank + 1)
+    return status, rank
+
+
+def call_moves(results: DataFrame) -> DataFrame:
+    """(call_id, status, stage, seq): a row for each stage result that moves its call, in order of seq over all of them.
+
+    results: call_id, seq, stage, action. Sorted rows are folded batch by batch, in constant memory for a call of any length.
+    """
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call, status, rank = (), "processing", 0
+        for batch in batches:
+            out = []
+            for c, seq, stage, action in zip(*(x.to_pylist() for x in batch.columns)):
+                if c != call:
+                    call, status, rank = c, "processing", 0
+                after = moved(status, rank, stage, action)
+                if after != (status, rank):
+                    status, rank = after
+                    out.append((c, status, V.STAGES[rank], seq))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["call_id", "status", "stage", "seq"])
+
+    rows = results.select(F.col("call_id").cast("long"), F.col("seq").cast("long"), "stage", "action")
+    return rows.repartition("call_id").sortWithinPartitions("call_id", "seq", "stage", "action").mapInArrow(fold, "call_id long, status string, stage string, seq long")
+
+
 def wait_state(waits: DataFrame, now: Column, timeout_minutes: int) -> DataFrame:
     """(call_id, wait_started_at, state): first wait stamped once; past the timeout a call is held."""
     first = waits.groupBy("call_id").agg(F.min("at").alias("wait_started_at"), F.max("ready").alias("ready"))

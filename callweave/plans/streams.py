@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..operators import states as S
 from ..streaming import flows as X
 from .registry import query
 
@@ -15,16 +16,16 @@ def _events(t):
     return X.events(t.spark, t.sf_dir)
 
 
-query("stream_dedup", "SELECT event_id FROM events")(lambda t: X.drain(X.deduplicated(_events(t), ["event_id"]).select("event_id"), "dedup"))
-query("stream_rates")(lambda t: X.drain(X.rates(_events(t), "user_id", {"1 minute": 1})["1 minute"], "rates"))
+query("stream_dedup", "SELECT event_id FROM events")(lambda t: X.first_within(X.drain(_events(t).select("event_id", "at"), "dedup"), ["event_id"], 5).select("event_id"))
+query("stream_rates")(lambda t: X.rates(X.drain(_events(t).select("user_id", "at"), "rates"), "user_id", {"1 minute": 1})["1 minute"])
 query("stream_states")(
-    lambda t: X.drain(
-        X.call_states(
+    lambda t: S.call_moves(
+        X.drain(
             _events(t).select(
                 c("user_id").alias("call_id"), c("event_id").alias("seq"), F.element_at(F.array(*(F.lit(s) for s in V.STAGES)), (F.pmod(c("event_id"), F.lit(9)) + 1).cast("int")).alias("stage"),
                 F.when(c("value") > 200, "hold").when(c("value") > 150, "drop").otherwise("continue").alias("action"),
-            )
-        ),
-        "states",
+            ),
+            "states",
+        )
     )
 )

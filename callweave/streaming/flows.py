@@ -2,6 +2,10 @@
 
 Each function maps a streaming DataFrame to one; `drain` runs a stream over everything that is there and returns the
 table it has written. State and checkpoints lie in the shared folder.
+
+A live stream drops what comes later than its watermark and keeps its last windows open. Of a table that is drained to its
+end nothing may be missing, in whatever order its files come: there the rows are drained first, without state, and then
+settled in event-time order (`rates` over the drained rows, `first_within`, `states.call_moves`).
 """
 
 from __future__ import annotations
@@ -9,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -26,12 +31,31 @@ def events(spark: SparkSession, sf_dir: str, files_per_batch: int = 8) -> DataFr
 
 
 def deduplicated(stream: DataFrame, keys: list[str], ttl: str = "5 minutes") -> DataFrame:
-    """The first event of each key within the time to live."""
+    """The first event of each key within the time to live, of a live stream."""
     return stream.withWatermark("at", ttl).dropDuplicatesWithinWatermark(keys)
 
 
+def first_within(rows: DataFrame, keys: list[str], minutes: int, ties: list[str] = ()) -> DataFrame:
+    """The same of drained rows: those with no kept row of their key less than so many minutes before them.
+
+    Rows without a time stay. Sorted rows are folded batch by batch, in constant memory for a key of any length.
+    """
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, since = None, 0
+        for batch in batches:
+            keep = []
+            for key, us in zip(zip(*(batch.column(k).to_pylist() for k in keys)), batch.column("_us").to_pylist()):
+                keep.append(us is None or key != last or us - since >= minutes * 60_000_000)
+                if keep[-1] and us is not None:
+                    last, since = key, us
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    timed = rows.withColumn("_us", F.unix_micros("at"))
+    return timed.repartition(*keys).sortWithinPartitions(*keys, "_us", *ties).mapInArrow(fold, timed.schema).drop("_us")
+
+
 def rates(stream: DataFrame, key: str, limits: dict[str, int], late: str = "10 minutes") -> dict[str, DataFrame]:
-    """Per window length: counts per key and window, and whether they pass the limit."""
+    """Per window length: counts per key and window, and whether they pass the limit. Of drained rows no window is late or open."""
     def one(length: str, limit: int) -> DataFrame:
         counted = stream.withWatermark("at", late).groupBy(F.window("at", length), key).agg(F.count("*").alias("n"))
         return counted.select(key, F.col("window.start").cast("timestamp_ntz").alias("start"), "n", (F.col("n") > limit).alias("limited"))
