@@ -24,22 +24,35 @@ def call_fold(log: DataFrame) -> DataFrame:
     """(call_id, status, stage, at): state of each call after its stage results, in order of (at, id).
 
     log: call_id, id, at, stage, action (continue, drop, hold, defer). A result counts only while the call is
-    processing and sits at that stage; later ones are stale. The fold walks the stages by array aggregation in one
-    group per call, which its number of stage results bounds.
+    processing and sits at that stage; later ones are stale. Sorted rows are folded batch by batch, so a call with any
+    number of stage results needs constant memory.
     """
-    steps = F.sort_array(F.collect_list(F.struct("at", "id", "stage", "action")))
-    start = F.struct(F.lit("processing").alias("status"), F.lit(1).alias("rank"), F.lit(None).cast("timestamp_ntz").alias("at"))
-    last = len(V.STAGES)
-
-    def step(acc: Column, x: Column) -> Column:
-        here = (acc["status"] == "processing") & (stage_rank(x["stage"]) == acc["rank"])
-        go, done = x["action"] == "continue", acc["rank"] == last
-        status = F.when(here & go & done, "completed").when(here & (x["action"] == "drop") & x["stage"].isin(*V.SKIP_STAGES), "skipped").when(here & (x["action"] == "hold"), "held").otherwise(acc["status"])
-        rank = F.when(here & go & ~done, acc["rank"] + 1).otherwise(acc["rank"])
-        return F.struct(status.alias("status"), rank.cast("int").alias("rank"), F.when(here & (x["action"] != "defer"), x["at"]).otherwise(acc["at"]).alias("at"))
-
-    folded = log.groupBy("call_id").agg(F.aggregate(steps, start, step).alias("s"))
-    return folded.select("call_id", "s.status", F.element_at(F.array(*(F.lit(s) for s in V.STAGES)), F.col("s.rank")).alias("stage"), "s.at")
+    kind = log.schema["call_id"].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = object()
+        call, status, rank, since, types = none, "processing", 0, None, None
+        for batch in batches:
+            types = types or (batch.schema.field("call_id").type, pa.string(), pa.string(), batch.schema.field("at").type)
+            out = []
+            for c, at, stage, action in zip(*(batch.column(x).to_pylist() for x in ("call_id", "at", "stage", "action"))):
+                if call is none or c != call:
+                    if call is not none:
+                        out.append((call, status, V.STAGES[rank], since))
+                    call, status, rank, since = c, "processing", 0, None
+                if status == "processing" and stage == V.STAGES[rank] and action not in (None, "defer"):
+                    since = at
+                status, rank = moved(status, rank, stage, action)
+            yield _batch(out, types)
+        if call is not none:
+            yield _batch([(call, status, V.STAGES[rank], since)], types)
+
+    rows = log.select("call_id", F.col("at").cast("timestamp_ntz").alias("at"), "id", "stage", "action").repartition("call_id").sortWithinPartitions("call_id", "at", "id", "stage", "action")
+    return rows.mapInArrow(fold, f"call_id {kind}, status string, stage string, at timestamp_ntz")
+
+
+def _batch(rows: list[tuple], types: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["call_id", "status", "stage", "at"])
 
 
 def moved(status: str, rank: int, stage: str | None, action: str | None) -> tuple[str, int]:
