@@ -74,3 +74,11 @@ def replace_set(table: DataFrame, rows: DataFrame, keys: list[str], now: Column)
     old = update_from(table, touched, keys, alive, soft_deleted_at=now)
     new = rows.join(inherited, keys, "left").withColumn("retention_eligible_at", F.coalesce("_eligible", "retention_eligible_at")).drop("_eligible")
     return old.unionByName(new.select(*table.columns))
+
+
+def json_export(rows: DataFrame, order: list[str], cap: int | None = None) -> DataFrame:
+    """(line, total, truncated): a JSON line a row, in full or the first `cap` in order; the flag says whether rows are left out."""
+    total = rows.agg(F.count("*").alias("total"))
+    kept = rows if cap is None else rows.orderBy(*order).limit(cap)
+    cut = F.lit(False) if cap is None else F.col("total") > cap
+    return kept.select(F.to_json(F.struct(*rows.columns)).alias("line")).crossJoin(total).withColumn("truncated", cut)

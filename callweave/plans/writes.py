@@ -47,6 +47,44 @@ query("snk_04", f"SELECT call_id, CASE WHEN {_OLD} AND hard_deleted_at IS NOT NU
         ["call_id"], keep=c("old.hard_deleted_at").isNotNull(),
     ).select("call_id", "scan_status")
 )
+# The same writes over whole tables: all rows are old ones; the change set, by stage or time, grows with them and brings new keys.
+
+
+def _whole_states(t: Tables):
+    changed, fresh = t.call_state.filter("current_stage IN ('metadata-pre-filter', 'extract', 'redact')"), t.call_state.filter("current_stage = 'classify'")
+    ids = changed.select("call_id").unionByName(fresh.select((-c("call_id") - 1).alias("call_id")))
+    return t.call_state.select("call_id", "status", "updated_at"), ids.select("call_id", F.lit("processing").alias("status"), now().alias("updated_at"))
+
+
+def _whole_ids(table, changed: str):
+    """Keys of the rows that change, and new keys for the others."""
+    return table.select(F.when(F.expr(changed), c("call_id")).otherwise(-c("call_id") - 1).alias("call_id"))
+
+
+_MOVED = f"current_stage IN ('metadata-pre-filter', 'extract', 'redact') AND status NOT IN ({_PROTECTED})"
+query(
+    "snk_01_whole",
+    f"SELECT call_id, CASE WHEN {_MOVED} THEN 'processing' ELSE status END AS status, CASE WHEN {_MOVED} THEN {TS} ELSE updated_at END AS updated_at FROM call_state UNION ALL SELECT -call_id - 1, 'processing', {TS} FROM call_state WHERE current_stage = 'classify'",
+)(lambda t: W.upsert(*_whole_states(t), ["call_id"], keep=c("old.status").isin(*V.PROTECTED_STATUSES)))
+query("snk_02_whole", "SELECT call_id, status FROM call_state UNION ALL SELECT -call_id - 1, 'processing' FROM call_state WHERE current_stage = 'classify'")(lambda t: W.insert_absent(*_whole_states(t), ["call_id"]).select("call_id", "status"))
+_LATE = "retention_eligible_at >= DATE '1996-01-01'"
+query("snk_03_whole", f"SELECT call_id, CASE WHEN hard_deleted_at IS NULL AND {_LATE} THEN -1 ELSE key_version END AS key_version, CASE WHEN hard_deleted_at IS NULL AND {_LATE} THEN coalesce(soft_deleted_at, {TS}) ELSE soft_deleted_at END AS stamped FROM raw_transcripts UNION ALL SELECT -call_id - 1, -1, {TS} FROM raw_transcripts WHERE NOT ({_LATE})")(
+    lambda t: W.upsert(
+        t.raw_transcripts.select("call_id", "key_version", c("soft_deleted_at").alias("stamped"), "hard_deleted_at"),
+        _whole_ids(t.raw_transcripts, _LATE).select("call_id", F.lit(-1).cast("long").alias("key_version"), now().alias("stamped"), F.lit(None).cast("timestamp_ntz").alias("hard_deleted_at")),
+        ["call_id"], keep=c("old.hard_deleted_at").isNotNull(), once=["stamped"],
+    ).select("call_id", "key_version", "stamped")
+)
+query("snk_04_whole", f"SELECT call_id, CASE WHEN hard_deleted_at IS NOT NULL THEN 'kept' WHEN {_LATE} THEN 'pending' ELSE 'passed' END AS scan_status FROM raw_transcripts UNION ALL SELECT -call_id - 1, 'pending' FROM raw_transcripts WHERE NOT ({_LATE})")(
+    lambda t: W.upsert(
+        t.raw_transcripts.select("call_id", F.when(c("hard_deleted_at").isNotNull(), "kept").otherwise("passed").alias("scan_status"), "hard_deleted_at"),
+        _whole_ids(t.raw_transcripts, _LATE).select("call_id", F.lit("pending").alias("scan_status"), F.lit(None).cast("timestamp_ntz").alias("hard_deleted_at")),
+        ["call_id"], keep=c("old.hard_deleted_at").isNotNull(),
+    ).select("call_id", "scan_status")
+)
+query("snk_06_whole", f"SELECT call_id, CASE WHEN scope_signal = 'O' THEN 'v2' ELSE prompt_version END AS prompt_version, created_at FROM technician_notes UNION ALL SELECT -call_id - 1, 'v2', {TS} FROM technician_notes WHERE scope_signal <> 'O'")(
+    lambda t: W.upsert(t.technician_notes.select("call_id", "prompt_version", "created_at"), _whole_ids(t.technician_notes, "scope_signal = 'O'").select("call_id", F.lit("v2").alias("prompt_version"), now().alias("created_at")), ["call_id"], first=["created_at"])
+)
 query("snk_05", "SELECT call_id, arg_max(k, struct_pack(a := created_at, b := id)) AS k FROM processing_log GROUP BY call_id")(
     lambda t: W.latest_wins(t.processing_log.filter("id % 2 = 0"), t.processing_log.filter("id % 2 = 1"), ["call_id"], ["created_at", "id"]).select("call_id", "k")
 )
@@ -94,6 +132,7 @@ query("snk_16", f"SELECT call_id, CAST(call_id AS VARCHAR) || ',' || {_cell('pro
     )
 )
 query("snk_17", "SELECT '{\"call_id\":' || call_id || ',\"urgency\":\"' || urgency || '\"}' AS line FROM structured_knowledge WHERE call_id < 5000")(lambda t: t.structured_knowledge.filter("call_id < 5000").select(F.to_json(F.struct("call_id", "urgency")).alias("line")))
+query("snk_17_whole", "SELECT '{\"call_id\":' || call_id || ',\"urgency\":\"' || urgency || '\"}' AS line, count(*) OVER () AS total, false AS truncated FROM structured_knowledge")(lambda t: W.json_export(t.structured_knowledge.select("call_id", "urgency"), ["call_id"]))
 query("snk_18", "SELECT action_id, action || '-' || action_id || '.json' AS file FROM operator_actions WHERE action IN ('approve', 'reject')")(
     lambda t: t.operator_actions.filter(c("action").isin("approve", "reject")).select("action_id", F.concat("action", F.lit("-"), c("action_id").cast("string"), F.lit(".json")).alias("file"))
 )
