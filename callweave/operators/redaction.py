@@ -118,6 +118,16 @@ def verbatim(phrases: Column, text: Column) -> Column:
     return run(phrases, text)
 
 
+def nearest(phrase: Column, text: Column) -> Column:
+    """struct<span,likeness>: the stretch of a text nearest to a phrase, null below the gate's likeness."""
+    @F.pandas_udf("span string, likeness double")
+    def run(wanted: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        found = [S.snap(p or "", t or "", P.SNAP_LEAST) for p, t in zip(wanted, texts)]
+        return pd.DataFrame([f if f is not None and f[1] >= P.SNAP_LEAST else (None, None) for f in found], columns=["span", "likeness"])
+
+    return run(phrase, text)
+
+
 def quote_pairs(phrases: DataFrame, texts: DataFrame, shared: int = 4) -> DataFrame:
     """(item_id, call_id): every pair in which the gate keeps the phrase, and few others. No pair is missed.
 

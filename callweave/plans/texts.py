@@ -36,6 +36,9 @@ for key, same in (("pii_03", ()), ("pii_08", ("op_28",)), ("pii_09", ("op_29",))
         query(one, f"SELECT c_custkey AS call_id, {start} AS start, {end} AS end, '{kind}' AS kind, 'regex' AS detector, CAST(NULL AS DOUBLE) AS confidence FROM customer WHERE {where}".replace(" AS end,", ' AS "end",'))(
             lambda t, name=name, text=text: t.customer.select(c("c_custkey").alias("call_id"), F.expr(text).alias("text")).select("call_id", X.detect(c("text"), name).alias("spans")).select("call_id", F.inline("spans"))
         )
+# The same detectors over whole texts of documents; SQL cannot say them.
+for key, name in (("pii_03", "street_address"), ("pii_08", "spelled_digits"), ("op_28", "spelled_digits"), ("pii_09", "greeted_name"), ("op_29", "greeted_name"), ("pii_13", "address_digits")):
+    query(f"{key}_texts")(_found(name))
 _DIGITS = "SELECT doc_id AS call_id, len(regexp_extract_all(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '[0-9]{7,}'))::INT AS n FROM documents"
 for key in ("pii_07", "op_27"):
     query(key, _DIGITS)(lambda t: t.clean_transcripts.select("call_id", F.size(X.detect(c("text"), "number")).alias("n")))
@@ -58,8 +61,8 @@ def stub_model(text: str) -> list[tuple[str, float, str]]:
     return [("B-PER" if i and w[:1].isupper() else "O", 0.9, w) for i, w in enumerate(text.split())]
 
 
-query("pii_17")(lambda t: t.benchmark.select("item_id", X.span_udf(lambda text: X.S.ner(text, stub_model)[0])(c("text")).alias("s")).select("item_id", F.inline("s")))
-query("pii_18")(lambda t: t.benchmark.select("item_id", X.span_udf(lambda text: X.S.align(text, stub_model(text))[0])(c("text")).alias("s")).select("item_id", F.inline("s")))
+query("pii_17")(lambda t: t.clean_transcripts.select("call_id", X.span_udf(lambda text: X.S.ner(text, stub_model)[0])(c("text")).alias("s")).select("call_id", F.inline("s")))
+query("pii_18")(lambda t: t.clean_transcripts.select("call_id", X.span_udf(lambda text: X.S.align(text, stub_model(text))[0])(c("text")).alias("s")).select("call_id", F.inline("s")))
 query("pii_19", r"SELECT doc_id AS call_id, length(regexp_extract(text, '([0-9]{1,6}[ \t]+)[A-Za-z]', 1)) > 0 AS numbered FROM documents")(lambda t: t.clean_transcripts.select("call_id", (F.length(F.regexp_extract("text", r"([0-9]{1,6}[ \t]+)[A-Za-z]", 1)) > 0).alias("numbered")))
 query("pii_20")(lambda t: t.clean_transcripts.select("call_id", X.merged(F.concat(X.detect(c("text"), "phone"), X.detect(c("text"), "number"), X.deny_list(c("text"), DENY))).alias("m")).select("call_id", "m.disagreement", F.inline("m.spans")))
 for key, cols in (("pii_21", ["redaction.text", "redaction.vault"]), ("pii_22", ["redaction.spans"]), ("pii_23", ["redaction.residual"]), ("pii_24", ["redaction.disagreement", "redaction.findings"])):
@@ -69,15 +72,20 @@ query("pii_26", "SELECT doc_id AS call_id, length(text) < 80 AS short FROM docum
 query("pii_27")(lambda t: X.decided(t.clean_transcripts, "text", DENY).select("call_id", "decision", "risk"))
 
 
-def _quoted(t):
-    """Benchmark passages that documents quote, whole or nearly, anywhere in their text; of all other pairs the gate drops the passage."""
+def _pairs(t):
+    """Each benchmark passage beside every document that can quote it, whole or nearly, anywhere in its text."""
     heads, texts = t.benchmark.select("item_id", c("text").alias("phrase")), t.clean_transcripts.select("call_id", "text")
     pairs = X.quote_pairs(heads, texts).join(heads, "item_id")
-    return pairs.join(texts.withColumnRenamed("call_id", "_id"), c("call_id").eqNullSafe(c("_id"))).select("item_id", "call_id", X.verbatim(F.array("phrase"), c("text")).alias("v")).select("item_id", "call_id", "v.*").filter("dropped = 0")
+    return pairs.join(texts.withColumnRenamed("call_id", "_id"), c("call_id").eqNullSafe(c("_id")))
+
+
+def _quoted(t):
+    """Passages that documents quote; of all other pairs the gate drops the passage."""
+    return _pairs(t).select("item_id", "call_id", X.verbatim(F.array("phrase"), c("text")).alias("v")).select("item_id", "call_id", "v.*").filter("dropped = 0")
 
 
 query("txt_01")(_quoted)
-query("txt_02")(lambda t: t.benchmark.select("item_id", X.verbatim(F.array(F.substring("text", 1, 60), F.reverse(F.substring("text", 1, 60))), c("text")).alias("v")).select("item_id", "v.*"))
+query("txt_02")(lambda t: _pairs(t).select("item_id", "call_id", X.nearest(c("phrase"), c("text")).alias("v")).select("item_id", "call_id", "v.*").filter("likeness IS NOT NULL"))
 query("txt_03", "SELECT item_id, text FROM benchmark WHERE NOT regexp_matches(text, '\\[[A-Z_]+_[0-9]+\\]')")(lambda t: t.benchmark.select("item_id", F.explode(C.without_tokens(F.array("text"))).alias("text")))
 _any = lambda xs: "(?:^|\\W)(?:" + "|".join(xs).replace("'", "''") + ")(?:$|\\W)"
 _LIGHT = "trim(regexp_replace(translate(lower(text), '‘’', ''''''), '\\s+', ' ', 'g'))"
