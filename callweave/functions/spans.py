@@ -5,9 +5,11 @@ Plain functions over a string; operators/redaction.py runs them on columns. Offs
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -500,6 +502,12 @@ def verbatim(text: str) -> str:
 _SPOKEN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9'‘’]*[A-Za-z0-9])?[‘’']*")
 
 
+@lru_cache(maxsize=2)
+def _said(text: str) -> list[str]:
+    """The words of a text that _SPOKEN finds: the two other letters with an ASCII lower case part words there."""
+    return verbatim(text.replace("\u0130", " ").replace("\u212a", " ")).split()
+
+
 def lcs(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence of words."""
     row = [0] * (len(b) + 1)
@@ -516,6 +524,11 @@ def snap(phrase: str, text: str, least: float = 0.0) -> tuple[str, float] | None
     Windows that cannot reach the least likeness are passed over.
     """
     wanted = verbatim(phrase).split()
+    if least and wanted:
+        known, need = set(wanted), math.ceil(least * len(wanted) - 1e-9)
+        at = [j for j, w in enumerate(_said(text)) if w in known]
+        if not any(b - a <= len(wanted) for a, b in zip(at, at[need - 1 :])):  # no window has enough of the words
+            return None
     words = [(m.start(), m.end(), m[0].lower().translate(_QUOTES)) for m in _SPOKEN.finditer(text)]
     best: tuple[str, float] | None = None
     for n in (len(wanted) - 1, len(wanted), len(wanted) + 1):

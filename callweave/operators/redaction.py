@@ -134,7 +134,8 @@ def quote_pairs(phrases: DataFrame, texts: DataFrame, shared: int = 4) -> DataFr
     phrases: item_id, phrase. texts: call_id, text. A snapped quote has `least` of the phrase's m words in m + 1 words of
     the text, an exact one has all but the first and last as whole words. So of any m - least + n inner words of the
     phrase at least n stand within m + 1 words of the text. The rarest ones are taken, for n up to `shared`. Phrases of
-    one or two words, of which nothing is inside, can only be exact and are looked for in every text.
+    one or two words, of which nothing is inside, can only be exact and are looked for in every text. Words of the phrases
+    are broadcast, so that the words of the texts, many times more, are met where they are read.
     """
     from ..functions import columns as C
 
@@ -150,7 +151,7 @@ def quote_pairs(phrases: DataFrame, texts: DataFrame, shared: int = 4) -> DataFr
     rarest = Window.partitionBy("item_id").orderBy(F.col("count").asc_nulls_first(), "word", "pos")
     ranked = inner.join(often, "word", "left").withColumn("rank", F.row_number().over(rarest)).withColumn("n", F.least(F.lit(shared), F.col("least") - 2))
     probes = ranked.filter(F.col("rank") <= m - F.col("least") + F.col("n")).select("item_id", "m", "n", "word").distinct()
-    hits = texts.select("call_id", F.posexplode(words(text)).alias("pos", "word")).join(probes, "word").drop("word")
+    hits = texts.select("call_id", F.posexplode(words(text)).alias("pos", "word")).join(F.broadcast(probes), "word").drop("word")
     onward = Window.partitionBy("item_id", "call_id").orderBy("pos")
     nth = F.coalesce(*(F.when(F.col("n") == i, F.lead("pos", i - 1).over(onward)) for i in range(1, shared + 1)))
     long = hits.withColumn("nth", nth).filter(F.col("nth") - F.col("pos") <= m).select("item_id", "call_id").distinct()
