@@ -34,7 +34,10 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """S[i]: polynomial hash of data[:i]; (S[e] - S[s]) * inverse power(s) depends on data[s:e] alone."""
+    """S[i]: polynomial hash of data[:i]; (S[e] - S[s]) * inverse power(s) depends on data[s:e] alone.
+
+    Modulo 2^64, so texts made for it can collide: for orders and candidates. What decides uses `Fingerprints`.
+    """
     forth, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_LETTER[data] * forth[:-1], dtype=np.uint64, out=out[1:])
@@ -45,6 +48,78 @@ def spans_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return (sums[ends] - sums[starts]) * powers(len(sums))[1][starts]
 
 
+def grams_hash(sums: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the `size` bytes from each place on."""
+    n = len(sums) - size
+    return (sums[size:] - sums[:n]) * powers(len(sums))[1][:n]
+
+
+#: 2^31 - 1: products of two residues fit 64 bits, and no structure of the bytes survives as it does modulo 2^64.
+_PRIME, _BITS = np.uint64((1 << 31) - 1), np.uint64(31)
+_BASES = tuple(int(x) for x in _SEED.integers(1 << 20, (1 << 31) - 2, 2))
+_RESIDUES = [_SEED.integers(1, (1 << 31) - 1, 256, dtype=np.uint64) for _ in _BASES]
+_residue_powers: list[list[np.ndarray]] = [[np.ones(1, np.uint64)] * 2 for _ in _BASES]
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Congruent modulo 2^31 - 1 and below 2^33."""
+    return (x & _PRIME) + (x >> _BITS)
+
+
+def _residues(n: int, k: int) -> list[np.ndarray]:
+    """Powers of base k and of its inverse modulo the prime, by doubling."""
+    while len(_residue_powers[k][0]) < n:
+        size = len(_residue_powers[k][0])
+        for j, base in enumerate((_BASES[k], pow(_BASES[k], -1, int(_PRIME)))):
+            jump = np.uint64(pow(base, size, int(_PRIME)))
+            known = _residue_powers[k][j]
+            _residue_powers[k][j] = np.concatenate([known, known * jump % _PRIME])
+    return _residue_powers[k]
+
+
+class Fingerprints:
+    """62-bit hashes of stretches of bytes: two polynomials with random bases modulo a prime."""
+
+    def __init__(self, data: np.ndarray):
+        self.sums = []
+        for k, letters in enumerate(_RESIDUES):
+            out = np.zeros(len(data) + 1, np.uint64)
+            terms = letters[data]
+            terms *= _residues(len(data) + 1, k)[0][: len(data)]
+            high = terms >> _BITS
+            terms &= _PRIME
+            terms += high
+            np.cumsum(terms, out=out[1:])
+            self.sums.append(out)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(starts), np.uint64)
+        for k, sums in enumerate(self.sums):
+            part = _folded(_folded(sums[ends] - sums[starts])) % _PRIME
+            found = found << _BITS | part * _residues(len(sums), k)[1][starts] % _PRIME
+        return found
+
+
+_places: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
+_WORD_LETTERS = [_SEED.integers(1, 1 << 63, 256, dtype=np.uint64) for _ in range(2)]
+
+
+def words_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Two independent 64-bit hashes of each word (words are disjoint and in order): a random number a place and letter."""
+    sizes = ends - starts
+    if not len(sizes):
+        return [np.zeros(0, np.uint64)] * 2
+    longest = int(sizes.max())
+    if len(_places[0]) < longest:
+        for k in range(2):
+            _places[k] = mixed(np.arange(2 * longest, dtype=np.uint64), 101 + k)
+    heads = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(heads, sizes)
+    letters = data[place + np.repeat(starts, sizes)]
+    size = sizes.astype(np.uint64)
+    return [mixed(np.add.reduceat(_places[k][place] * _WORD_LETTERS[k][letters], heads) + size, 17 + k) for k in range(2)]
+
+
 def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     texts = texts.cast(pa.large_string())

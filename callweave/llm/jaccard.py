@@ -1,6 +1,6 @@
 """N-gram Jaccard join: which documents have word-shingle sets of Jaccard similarity 0.8 or more.
 
-Exact, without pairs of copies and without all pairs of a group:
+Without pairs of copies and without all pairs of a group:
 
 1. `sketch` gives each document its set's size, a 128-bit class (equal sets, equal class), a bitmap signature and its
    prefix: the n - ceil(0.8 n) + 1 first shingles in one global order. Two sets that link share a prefix shingle. In
@@ -12,19 +12,25 @@ Exact, without pairs of copies and without all pairs of a group:
    share many tiles, so their neighbours differ from tile to tile).
 3. Pairs pass the bit-count bound on the overlap, then the exact intersection of the sorted sets. First only one pair
    a document is verified, then those that still join two components.
-4. Large tiles that hold several components are compared in cells of about CELL documents by signature; what the bound
-   leaves is verified like any other pair. So no link between different texts is lost.
+4. Large tiles that hold several components are split by another shared shingle: sets that link share two shingles of
+   prefixes one longer, three of prefixes two longer. Tiles of that kind are compared as in step 2, but only between
+   components. What still is large and mixed after two splits, or holds no more than `Limits.cell` documents, is compared
+   by signature in cells; what the bound leaves is verified like any other pair. So no link between texts is lost.
 
-Components come from label propagation with pointer jumping. Every step is written to the shared folder.
+Shingles are told apart by 128 bits: two independent 64-bit hashes with a random number for each place and letter of a
+word, so no pair of texts has equal ones by its structure. Components come from label propagation with pointer
+jumping. Every step is written to the shared folder, and joins with tables that grow are shuffled ones.
 
 Defined cases: null or empty text has no shingles and links with nothing; a text of fewer than five words has one
 shingle, the whole sequence; rows that share a doc_id are one document; rows without doc_id link with nothing and have
-a null component; an empty table gives no rows.
+a null component; ids must be whole numbers (others raise); columns beside id and text are not read, so their names
+don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,25 +39,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .hashing import column_bytes, mixed, prefix_sums, slices, spans_hash
+from .hashing import column_bytes, mixed, slices, words_hash
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Shingles that the global order puts last, at most, and the count from which they are; only tile sizes depend on it.
-FREQUENT, OFTEN = 1 << 18, 8
-#: Tiles up to this size are compared pair by pair.
-SMALL = 64
-#: Pairs that a task holds back to report each once.
-HELD = 1 << 18
-#: Documents of a cell when a large tile is compared by signature, and tiles that are cut by size band as well.
-CELL, BANDED = 512, 8192
-#: Bits a shingle of the signatures there; four elsewhere.
+@dataclass(frozen=True)
+class Limits:
+    """Sizes that steer the work and never a result."""
+
+    #: Shingles that the global order puts last, at most, and the count from which they are.
+    frequent: int = 1 << 18
+    often: int = 8
+    #: Tiles up to this size are compared pair by pair.
+    small: int = 64
+    #: Pairs that a task holds back to report each once.
+    held: int = 1 << 18
+    #: Documents of a cell when a tile is compared by signature, and tiles that are cut by size band as well.
+    cell: int = 512
+    banded: int = 8192
+    #: How often a mixed tile of more than `cell` documents is split by another shingle: up to twice.
+    splits: int = 2
+
+
+LIMITS = Limits()
+#: Bits a shingle of the signatures in cells; four elsewhere.
 WIDE = 16
+#: Weights of a shingle's words, by place.
+_WEIGHTS = mixed(np.arange(2 * WORDS, dtype=np.uint64), 55).reshape(2, WORDS) | np.uint64(1)
 
+Shingles = tuple[np.ndarray, np.ndarray]
 
-def _shingles(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+
+def _shingles(texts: pa.Array) -> Iterator[Shingles]:
+    """The distinct shingles of each text as two hashes, sorted by the first."""
     data, offsets = column_bytes(texts)
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     space = (data == 32) | ((data >= 9) & (data <= 13))
@@ -60,21 +81,28 @@ def _shingles(texts: pa.Array) -> Iterator[np.ndarray]:
     inner = ~space
     starts = np.flatnonzero(inner & (np.r_[True, space[:-1]] | first[:-1])) if len(data) else np.zeros(0, np.int64)
     ends = np.flatnonzero(inner & (np.r_[space[1:], True] | first[1:])) + 1 if len(data) else starts
-    words = mixed(spans_hash(prefix_sums(data), starts, ends))
+    words = words_hash(data, starts, ends)
     at = np.searchsorted(starts, offsets)
-    whole = np.zeros(0, np.uint64)
-    if len(words) >= WORDS:
-        whole = sum((words[j : len(words) - WORDS + 1 + j] * np.uint64(2 * j * j + 6 * j + 3) for j in range(1, WORDS)), words[: len(words) - WORDS + 1])
-        whole = mixed(whole, 1)
+    whole = [np.zeros(0, np.uint64)] * 2
+    runs = len(starts) - WORDS + 1
+    if runs > 0:
+        whole = [mixed(sum((w[j : runs + j] * c[j] for j in range(1, WORDS)), w[:runs] * c[0]), 1 + 2 * k) for k, (w, c) in enumerate(zip(words, _WEIGHTS))]
     for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
         if e - s >= WORDS:
-            found = np.sort(whole[s : e - WORDS + 1])
-            yield found[np.r_[True, found[1:] != found[:-1]]]
+            p, q = (x[s : e - WORDS + 1] for x in whole)
+            order = np.argsort(p)
+            p, q = p[order], q[order]
+            fresh = np.r_[True, p[1:] != p[:-1]]
+            if (q[1:][~fresh[1:]] != q[:-1][~fresh[1:]]).any():  # one first hash, two shingles
+                order = np.lexsort((q, p))
+                p, q = p[order], q[order]
+                fresh = np.r_[True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])]
+            yield p[fresh], q[fresh]
         elif e > s:
-            k = np.arange(1, e - s + 1, dtype=np.uint64)
-            yield mixed(np.array([(mixed(words[s:e]) * (k * k + k + np.uint64(1))).sum(dtype=np.uint64)]), e - s + 1)
+            c = _WEIGHTS[:, : e - s]
+            yield tuple(mixed(np.array([(w[s:e] * k).sum(dtype=np.uint64)]), 30 + e - s) for w, k in zip(words, c))
         else:
-            yield np.zeros(0, np.uint64)
+            yield np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
 
 def _signature(found: np.ndarray, share: int = 4) -> bytes:
@@ -99,8 +127,8 @@ def needed(na: int, nb: int) -> int:
     return -(-PERCENT * (na + nb) // (100 + PERCENT))
 
 
-def frequent(docs: DataFrame, text_col: str = "text", limit: int = FREQUENT) -> np.ndarray:
-    """The `limit` most frequent shingles, most frequent last, by what batches report of those in two or more of their sets.
+def frequent(docs: DataFrame, text_col: str = "text", limits: Limits = LIMITS) -> np.ndarray:
+    """The most frequent shingles, most frequent last, by what batches report of those in two or more of their sets.
 
     Whatever this finds, the join is exact.
     """
@@ -109,7 +137,7 @@ def frequent(docs: DataFrame, text_col: str = "text", limit: int = FREQUENT) ->
             seen: set[tuple[int, int]] = set()
             sets = []
             for s, e in slices(b.column(0)):
-                for found in _shingles(b.column(0).slice(s, e - s)):
+                for found, _ in _shingles(b.column(0).slice(s, e - s)):
                     kind = (len(found), int(mixed(found, 3).sum(dtype=np.uint64)))
                     if len(found) and kind not in seen:
                         seen.add(kind)
@@ -121,35 +149,49 @@ def frequent(docs: DataFrame, text_col: str = "text", limit: int = FREQUENT) ->
             yield pa.RecordBatch.from_arrays([pa.array(every[cuts[many]].view(np.int64)), pa.array(n[many], pa.int64())], names=["shingle", "n"])
 
     rows = docs.select(text_col).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = rows.filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(limit).toPandas()
+    top = rows.filter(F.col("n") >= limits.often).orderBy(F.desc("n"), "shingle").limit(limits.frequent).toPandas()
     return top["shingle"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
 
 
+class Order:
+    """The global order of shingles: rare ones by hash, then those of `hot` as they stand there."""
+
+    def __init__(self, hot: np.ndarray):
+        self.ranks = np.argsort(hot)
+        self.keys = hot[self.ranks]
+
+    def first(self, found: np.ndarray, take: int) -> np.ndarray:
+        """The `take` first shingles of a sorted set."""
+        if not len(self.keys) or not take:
+            return found[:take]
+        at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+        common = self.keys[at] == found
+        cold = found[~common][:take]
+        if len(cold) < take:
+            warm = at[common]
+            cold = np.concatenate([cold, self.keys[warm[np.argsort(self.ranks[warm])]][: take - len(cold)]])
+        return cold
+
+
+def prefix_size(n: int, more: int = 0) -> int:
+    """Shingles of which two linked sets share at least 1 + more."""
+    return min(n, n + 1 + more - -(-PERCENT * n // 100)) if n else 0
+
+
 def sketch(docs: DataFrame, hot: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, c1, c2, prefix array<long>, bits binary) of each row."""
-    order = np.argsort(hot)
-    keys, ranks = hot[order], order
+    order = Order(hot)
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, e in slices(b.column(1)):
                 n, c1, c2, prefix, bits = [], [], [], [], []
-                for found in _shingles(b.column(1).slice(s, e - s)):
+                for found, other in _shingles(b.column(1).slice(s, e - s)):
                     size = len(found)
                     n.append(size)
                     c1.append(int(mixed(found, 5).sum(dtype=np.uint64).view(np.int64)))
-                    c2.append(int(mixed(found, 7).sum(dtype=np.uint64).view(np.int64)))
-                    take = size + 1 - -(-PERCENT * size // 100) if size else 0
-                    if len(keys) and take:
-                        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                        common = keys[at] == found
-                        cold = found[~common][:take]
-                        if len(cold) < take:
-                            warm = at[common]
-                            cold = np.concatenate([cold, keys[warm[np.argsort(ranks[warm])]][: take - len(cold)]])
-                        prefix.append(cold.view(np.int64))
-                    else:
-                        prefix.append(found[:take].view(np.int64))
+                    c2.append(int(mixed(other, 7).sum(dtype=np.uint64).view(np.int64)))
+                    prefix.append(order.first(found, prefix_size(size)).view(np.int64))
                     bits.append(_signature(found))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(s, e - s), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
@@ -160,16 +202,21 @@ def sketch(docs: DataFrame, hot: np.ndarray, id_col: str = "doc_id", text_col: s
     return docs.select(id_col, text_col).mapInArrow(stage, f"id {kind}, n long, c1 long, c2 long, prefix array<long>, bits binary")
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by (shingle, n, id): pairs (tile null) and the members of large tiles (b null)."""
-    rest = [np.zeros(0, np.int64)] * 3
+TILES = "tile long, a long, na long, la long, b long, nb long"
+
+
+def tiled(postings: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """From postings (key, n, id, label): pairs (tile null) of different labels and the members of large tiles (b null)."""
+    small_, held_ = limits.small, limits.held
 
-    def work(key: np.ndarray, n: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def work(key: np.ndarray, n: np.ndarray, node: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(key) else np.zeros(0, bool)
+        key, n, node, label = (x[own] for x in (key, n, node, label))
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         sizes = np.diff(np.r_[cuts, len(key)])
         first, second = [], []
-        small = (sizes > 1) & (sizes <= SMALL)
-        for gap in range(1, SMALL):  # the i-th and the (i + gap)-th member of every small tile at once
+        small = (sizes > 1) & (sizes <= small_)
+        for gap in range(1, small_):  # the i-th and the (i + gap)-th member of every small tile at once
             start, size = cuts[small & (sizes > gap)], sizes[small & (sizes > gap)]
             if not len(start):
                 break
@@ -178,7 +225,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first.append(i)
             second.append(i + gap)
         members = []
-        for start, size in zip(cuts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        for start, size in zip(cuts[sizes > small_].tolist(), sizes[sizes > small_].tolist()):
             i = np.arange(start, start + size)
             members.append(i)
             heads, head = np.empty(size, np.int64), 0
@@ -186,16 +233,16 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 after = int(np.searchsorted(n[i], n[i[head]] * 100 // PERCENT, "right"))
                 heads[head:after] = start + head
                 head = after
-            own = i[np.argsort(mixed(node[i].view(np.uint64) ^ np.uint64(key[start] & 0x7FFFFFFFFFFFFFFF)))]
-            first += [heads, np.minimum(own[:-1], own[1:])]  # places follow sizes
-            second += [i, np.maximum(own[:-1], own[1:])]
+            near = i[np.argsort(mixed(node[i].view(np.uint64) ^ np.uint64(key[start] & 0x7FFFFFFFFFFFFFFF)))]
+            first += [heads, np.minimum(near[:-1], near[1:])]  # places follow sizes
+            second += [i, np.maximum(near[:-1], near[1:])]
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second))
-        fits = (node[a] != node[b]) & (100 * n[a] >= PERCENT * n[b])
+        fits = (label[a] != label[b]) & (100 * n[a] >= PERCENT * n[b])
         a, b = a[fits], b[fits]
         swap = node[a] > node[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         large = np.concatenate(members) if members else np.zeros(0, np.int64)
-        return np.stack([node[a], n[a], node[b], n[b]]), np.stack([key[large], node[large], n[large]])
+        return np.stack([node[a], n[a], node[b], n[b]]), np.stack([key[large], node[large], n[large], label[large]])
 
     def distinct(found: np.ndarray) -> np.ndarray:
         found = found[:, np.lexsort((found[2], found[0]))]
@@ -204,25 +251,29 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sent(found: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
         none = lambda k: pa.nulls(k, pa.int64())
         few, many = found.shape[1], large.shape[1]
-        columns = [(none(few), pa.array(large[0])), (pa.array(found[0]), pa.array(large[1])), (pa.array(found[1]), pa.array(large[2])), (pa.array(found[2]), none(many)), (pa.array(found[3]), none(many))]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["tile", "a", "na", "b", "nb"])
-
-    held = np.zeros((4, 0), np.int64)
-    for b in _and_last(batches):
-        if b is None:
-            now, rest = rest, None
-            pairs, large = work(*now)
-        else:
-            now = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, b.columns)]
-            edge = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last tile may go on
-            rest = [x[edge:] for x in now]
-            pairs, large = work(*(x[:edge] for x in now))
-        held = np.concatenate([held, pairs], axis=1)
-        if held.shape[1] > HELD:
-            held = distinct(held)
-        if b is None or held.shape[1] > HELD // 2 or large.shape[1]:
-            out, held = (distinct(held), held[:, :0]) if b is None or held.shape[1] > HELD // 2 else (held[:, :0], held)
-            yield sent(out, large)
+        columns = [(none(few), pa.array(large[0])), (pa.array(found[0]), pa.array(large[1])), (pa.array(found[1]), pa.array(large[2])), (none(few), pa.array(large[3])), (pa.array(found[2]), none(many)), (pa.array(found[3]), none(many))]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["tile", "a", "na", "la", "b", "nb"])
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * 4
+        held = np.zeros((4, 0), np.int64)
+        for b in _and_last(batches):
+            if b is None:
+                now, rest = rest, None
+                pairs, large = work(*now)
+            else:
+                now = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, b.columns)]
+                edge = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last tile may go on
+                rest = [x[edge:] for x in now]
+                pairs, large = work(*(x[:edge] for x in now))
+            held = np.concatenate([held, pairs], axis=1)
+            if held.shape[1] > held_:
+                held = distinct(held)
+            if b is None or held.shape[1] > held_ // 2 or large.shape[1]:
+                out, held = (distinct(held), held[:, :0]) if b is None or held.shape[1] > held_ // 2 else (held[:, :0], held)
+                yield sent(out, large)
+
+    return postings.select("key", "n", "id", "label").repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(stage, TILES)
 
 
 def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -241,29 +292,35 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
         for x, y in zip(b.column(1), b.column(3)):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            (p, v), (q, w) = (np.frombuffer(z.as_buffer(), np.uint64).reshape(2, -1) for z in (x, y))
             at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-            keep.append(int(np.count_nonzero(q[at] == p)) >= needed(len(p), len(q)))
+            both = (q[at] == p) & (w[at] == v)
+            keep.append(int(np.count_nonzero(both)) >= needed(len(p), len(q)))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, wide: int = 0) -> DataFrame:
-    """(id, shingles binary): the sorted sets of the documents in `ids`, or bitmaps of `wide` bits a shingle."""
+def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, made: Callable[[Shingles], object], name: str, kind: str, arrow: pa.DataType) -> DataFrame:
+    """(id, made from its shingles) of the documents in `ids` that have any."""
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, e in slices(b.column(1)):
-                found = [_signature(x, wide) if wide and len(x) else x.tobytes() for x in _shingles(b.column(1).slice(s, e - s))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array(found, pa.binary())], names=["id", "shingles"])
+                found = [made(x) if len(x[0]) else None for x in _shingles(b.column(1).slice(s, e - s))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array(found, arrow)], names=["id", name])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(ids.hint("shuffle_hash"), "id", "left_semi")
-    return rows.mapInArrow(stage, "id long, shingles binary").filter(F.octet_length("shingles") > 0)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids.hint("shuffle_hash"), "id", "left_semi")
+    return rows.mapInArrow(stage, f"id long, {name} {kind}").filter(F.col(name).isNotNull())
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, shingles binary): both hashes of the sets of the documents in `ids`."""
+    return _sets_of(docs, ids, id_col, text_col, lambda x: x[0].tobytes() + x[1].tobytes(), "shingles", "binary", pa.binary())
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "sa", "b", "sb").mapInArrow(_exact, "a long, b long")
+    return pairs.select("a", "b").join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b").select("a", "sa", "b", "sb").mapInArrow(_exact, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -271,32 +328,50 @@ def components(links: DataFrame) -> DataFrame:
     both = stored(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "links")
     labels = stored(both.groupBy(F.col("x").alias("id")).agg(F.least(F.col("id"), F.min("y")).alias("label")), "labels")
     while True:
-        near = both.join(labels, F.col("y") == F.col("id")).groupBy("x").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("id") == F.col("x")).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(labels.hint("shuffle_hash"), F.col("y") == F.col("id")).groupBy("x").agg(F.min("label").alias("near"))
+        step = labels.join(near.hint("shuffle_hash"), F.col("id") == F.col("x")).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         step = stored(step, "labels")
         jump = step.select(F.col("id").alias("k"), F.col("label").alias("far"))
         done = step.filter(F.col("old") != F.col("label")).isEmpty()
         if done:
             return step.select("id", "label")
-        labels = stored(step.join(jump, F.col("label") == F.col("k")).select("id", F.least("label", "far").alias("label")), "labels")
+        labels = stored(step.join(jump.hint("shuffle_hash"), F.col("label") == F.col("k")).select("id", F.least("label", "far").alias("label")), "labels")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None, col: str, name: str) -> DataFrame:
     if labels is None:
         return rows.withColumn(name, F.col(col))
     own = labels.select(F.col("id").alias(col), F.col("label").alias("_l"))
-    return rows.join(own, col, "left").withColumn(name, F.coalesce("_l", col)).drop("_l")
+    return rows.join(own.hint("shuffle_hash"), col, "left").withColumn(name, F.coalesce("_l", col)).drop("_l")
 
 
-def _cells(large: DataFrame, labels: DataFrame | None, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) of different components in one large tile that signatures of WIDE bits a shingle leave open."""
+def _mixed(large: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(tile, size, id, n, label): the members of large tiles that hold several components."""
     rows = _labelled(large.select("tile", F.col("a").alias("id"), F.col("na").alias("n")).distinct(), labels, "id", "label")
-    mixed_tiles = rows.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("tile", "size")
-    band = F.when(F.col("size") > BANDED, F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)))).otherwise(0)
-    rows = stored(rows.join(mixed_tiles, "tile").withColumn("band", band).drop("size"), "tiles")
+    rows = stored(rows, "tiles")
+    tiles = rows.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("tile", "size")
+    return rows.join(tiles.hint("shuffle_hash"), "tile").select("tile", "size", "id", "n", "label")
+
+
+def _split(members: DataFrame, prefixes: DataFrame, more: int) -> DataFrame:
+    """Postings of mixed tiles under their key and another shingle of prefixes `more` longer.
+
+    A key is the XOR of its shingles' hashes: tiles that meet again by another way become one. Of a key of two
+    shingles, each is the one whose hash the key turns into that of the other.
+    """
+    own = members.join(prefixes.hint("shuffle_hash"), "id").withColumn("parts", F.transform("prefix", lambda p: F.xxhash64(p)))
+    key = F.xxhash64("tile") if more == 1 else F.col("tile")
+    used = F.array(key) if more == 1 else F.array_intersect(F.transform("parts", lambda p: p.bitwiseXOR(key)), "parts")
+    return own.select(key.alias("key"), "n", "id", "label", F.explode(F.array_except("parts", used)).alias("part")).withColumn("key", F.col("key").bitwiseXOR(F.col("part")))
+
+
+def _cells(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, limits: Limits) -> DataFrame:
+    """Pairs (a, b) of different components in one mixed tile that signatures of WIDE bits a shingle leave open."""
+    band = F.when(F.col("size") > limits.banded, F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)))).otherwise(0)
+    rows = stored(rows.withColumn("band", band).drop("size"), "tiles")
     if rows.isEmpty():
         return rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    bands = rows.groupBy("tile", "band").agg(F.ceil(F.count("*") / CELL).alias("cells"))
+    bands = rows.groupBy("tile", "band").agg(F.ceil(F.count("*") / limits.cell).alias("cells"))
     upper = bands.select("tile", (F.col("band") - 1).alias("band"), F.col("cells").alias("above"))
     lower = bands.select("tile", (F.col("band") + 1).alias("band"), F.col("cells").alias("below"))
     placed = rows.join(bands, ["tile", "band"]).join(upper, ["tile", "band"], "left").join(lower, ["tile", "band"], "left")
@@ -306,8 +381,8 @@ def _cells(large: DataFrame, labels: DataFrame | None, docs: DataFrame, id_col:
     up = F.when(F.col("above").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("above") - 1), lambda c: to(F.col("band"), F.col("cell"), F.col("band") + 1, c)))
     down = F.when(F.col("below").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("below") - 1), lambda c: to(F.col("band") - 1, c, F.col("band"), F.col("cell"))))
     none = F.array().cast("array<struct<band:bigint,i:bigint,other:bigint,j:bigint>>")
-    signs = shingle_sets(docs, rows.select("id").distinct(), id_col, text_col, WIDE).select("id", F.col("shingles").alias("bits")).dropDuplicates(["id"])
-    dealt = placed.join(signs, "id").select("tile", "id", "n", "label", "bits", F.explode(F.concat(same, F.coalesce(up, none), F.coalesce(down, none))).alias("to")).select("tile", "to.*", "id", "n", "label", "bits")
+    signs = _sets_of(docs, rows.select("id").distinct(), id_col, text_col, lambda x: _signature(x[0], WIDE), "bits", "binary", pa.binary()).dropDuplicates(["id"])
+    dealt = placed.join(signs.hint("shuffle_hash"), "id").select("tile", "id", "n", "label", "bits", F.explode(F.concat(same, F.coalesce(up, none), F.coalesce(down, none))).alias("to")).select("tile", "to.*", "id", "n", "label", "bits")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id")
@@ -326,48 +401,78 @@ def _cells(large: DataFrame, labels: DataFrame | None, docs: DataFrame, id_col:
             out += [(node[i], x) for x in node[hit]]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return dealt.groupBy("tile", "band", "i", "other", "j").applyInPandas(compare, "a long, b long").distinct()
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["tile", "band", "i", "other", "j"]
+    return dealt.repartition(tasks, *keys).groupBy(*keys).applyInPandas(compare, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = LIMITS) -> tuple[DataFrame, DataFrame | None]:
     """(rows of id, n, rep; labels of class representatives or None if nothing links)."""
-    rows = stored(sketch(docs, frequent(docs, text_col), id_col, text_col), "sketch")
+    hot = frequent(docs, text_col, limits)
+    rows = stored(sketch(docs, hot, id_col, text_col), "sketch")
     # a table of its own: then both sides of the join are dealt anew, and Spark can split a class of very many copies
     classes = stored(rows.filter("n > 0 AND id IS NOT NULL").groupBy("c1", "c2").agg(F.min("id").alias("rep")), "classes")
     sized = stored(rows.select("id", "n", "c1", "c2").join(classes, ["c1", "c2"], "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep")).alias("rep")), "classes")
     heads = sized.filter(F.col("id") == F.col("rep")).select("id").distinct()
     reps = rows.filter("n > 0").join(heads.hint("shuffle_hash"), "id", "left_semi")
-    postings = reps.select(F.explode("prefix").alias("key"), "n", F.col("id").cast("long").alias("id"))
-    tiles = stored(postings.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(_tiles, "tile long, a long, na long, b long, nb long"), "tiles")
-    pairs = tiles.filter("tile IS NULL").select("a", "na", "b", "nb").distinct()
+    long_id = F.col("id").cast("long")
+    postings = reps.select(F.explode("prefix").alias("key"), "n", long_id.alias("id"), long_id.alias("label"))
+    tiles = stored(tiled(postings, limits), "tiles")
     signs = rows.filter("n > 0 AND id IS NOT NULL").select(F.col("id").cast("long").alias("id"), "bits")
     left = signs.select(F.col("id").alias("a"), F.col("bits").alias("sa"))
     right = signs.select(F.col("id").alias("b"), F.col("bits").alias("sb"))
-    near = pairs.join(left, "a").join(right, "b").select("a", "na", "sa", "b", "nb", "sb").mapInArrow(_bounded, "a long, b long")
-    near = stored(near.distinct(), "pairs")
-    ids = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
-    sets = stored(shingle_sets(docs, ids(near), id_col, text_col), "sets")
 
-    one = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    def near(found: DataFrame) -> DataFrame:
+        """Pairs of tiles that pass the bound."""
+        pairs = found.filter("tile IS NULL").select("a", "na", "b", "nb").distinct()
+        bound = pairs.join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b").select("a", "na", "sa", "b", "nb", "sb").mapInArrow(_bounded, "a long, b long")
+        return stored(bound.distinct(), "pairs")
+
+    ids = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
+    pairs = near(tiles)
+    sets = stored(shingle_sets(docs, ids(pairs), id_col, text_col), "sets")
+    one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     found = stored(_linked(one, sets), "linked")
     labels = None if found.isEmpty() else components(found)
-    open_ = _labelled(_labelled(near, labels, "a", "la"), labels, "b", "lb").filter("la <> lb").select("a", "b").join(one, ["a", "b"], "left_anti")
-    more = stored(_linked(open_, sets), "linked")
-    if not more.isEmpty():
+    parted = lambda p: _labelled(_labelled(p, labels, "a", "la"), labels, "b", "lb").filter("la <> lb").select("a", "b")
+    more = stored(_linked(parted(pairs).join(one, ["a", "b"], "left_anti"), sets), "linked")
+
+    def joined() -> DataFrame | None:
+        """The labels after `more` has been added to the links found."""
+        nonlocal found
+        if more.isEmpty():
+            return labels
         found = found.unionByName(more)
-        labels = components(found)
-    cells = stored(_cells(tiles.filter("tile IS NOT NULL"), labels, docs, id_col, text_col), "pairs")
-    if not cells.isEmpty():
-        late = cells.join(near, ["a", "b"], "left_anti")
-        more = stored(_linked(late, shingle_sets(docs, ids(late), id_col, text_col)), "linked")
-        if not more.isEmpty():
-            labels = components(found.unionByName(more))
+        return components(found)
+
+    labels = joined()
+    members = _mixed(tiles.filter("tile IS NOT NULL"), labels)
+    for split in range(1, limits.splits + 2):
+        members = stored(members, "tiles")
+        whole = members if split > limits.splits else members.filter(F.col("size") <= limits.cell)
+        late = stored(_cells(whole, docs, id_col, text_col, limits), "pairs")
+        rest = members.filter(F.col("size") > limits.cell)
+        if split <= limits.splits and not rest.isEmpty():
+            order = Order(hot)
+            longer = lambda x, k=split: order.first(x[0], prefix_size(len(x[0]), k)).view(np.int64)
+            prefixes = _sets_of(docs, rest.select("id").distinct(), id_col, text_col, longer, "prefix", "array<long>", pa.list_(pa.int64())).dropDuplicates(["id"])
+            tiles = stored(tiled(_split(rest, prefixes, split), limits), "tiles")
+            late = late.unionByName(near(tiles))
+        else:
+            tiles = None
+        late = stored(parted(late.distinct()), "pairs")
+        if not late.isEmpty():
+            more = stored(_linked(late, shingle_sets(docs, ids(late), id_col, text_col)), "linked")
+            labels = joined()
+        if tiles is None:
+            break
+        members = _mixed(tiles.filter("tile IS NOT NULL"), labels)
     return sized, labels
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = LIMITS) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
-    sized, labels = links(docs, id_col, text_col)
+    sized, labels = links(docs, id_col, text_col, limits)
     own = sized.select("id", "n", F.coalesce("rep", "id").alias("rep"))
     return _labelled(own, labels, "rep", "component_id").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 

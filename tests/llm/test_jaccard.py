@@ -53,21 +53,70 @@ def drifting(seed, groups=6, size=14, length=60):
     return docs
 
 
-@pytest.mark.parametrize("small, cell, banded", [(64, 512, 8192), (3, 4, 1 << 30), (3, 4, 5)])
-def test_components_equal_brute_force(spark, monkeypatch, small, cell, banded):
-    for name, value in (("SMALL", small), ("CELL", cell), ("BANDED", banded)):
-        monkeypatch.setattr(jaccard, name, value)
-    docs = drifting(small + cell)
+SETTINGS = [
+    jaccard.LIMITS,
+    jaccard.Limits(small=3, cell=1 << 20, splits=0),  # one cell a tile
+    jaccard.Limits(small=3, cell=4, banded=1 << 30, splits=0),  # many cells
+    jaccard.Limits(small=3, cell=4, banded=5, splits=0),  # many cells and size bands
+    jaccard.Limits(small=3, cell=4, splits=1),
+    jaccard.Limits(small=3, cell=4, banded=5, splits=2, held=8, frequent=10, often=2),
+]
+
+
+@pytest.mark.parametrize("k", range(len(SETTINGS)))
+def test_components_equal_brute_force(spark, monkeypatch, k):
+    limits, seen = SETTINGS[k], {"cells": 0, "splits": 0}
+    cells, split = jaccard._cells, jaccard._split
+
+    def counted_cells(rows, *args):
+        seen["cells"] += rows.count()
+        return cells(rows, *args)
+
+    def counted_split(members, *args):
+        seen["splits"] += members.count()
+        return split(members, *args)
+
+    monkeypatch.setattr(jaccard, "_cells", counted_cells)
+    monkeypatch.setattr(jaccard, "_split", counted_split)
+    docs = drifting(67 + k)
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, id string").repartition(3)
-    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.jaccard_components(df).collect())
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.jaccard_components(df, limits=limits).collect())
     assert got == brute(docs)
-
-
-def test_common_shingles_change_nothing(spark, monkeypatch):
-    docs = drifting(5, groups=3)
+    assert (seen["cells"] > 0) == (limits.small < 64) and (seen["splits"] > 0) == (limits.small < 64 and limits.splits > 0)
+
+
+def test_links_that_only_a_split_tile_finds(spark):
+    """One common passage that opens a large tile of strangers, and pairs in it that nothing else brings together."""
+    rnd = random.Random(5)
+    words = [f"v{i}" for i in range(3000)]
+    passage = [rnd.choice(words) for _ in range(12)]
+    docs = []
+    for i in range(120):
+        own = [rnd.choice(words) for _ in range(20)]
+        docs.append((2 * i, " ".join(passage + own)))
+        if i % 3 == 0:
+            docs.append((2 * i + 1, " ".join([*passage, *own[:-1], rnd.choice(words)])))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    monkeypatch.setattr(jaccard, "FREQUENT", 10)
-    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.jaccard_components(df).collect()) == brute(docs)
+    for limits in (jaccard.Limits(small=3, cell=4, frequent=0), jaccard.Limits(small=3, cell=4, frequent=0, splits=1), jaccard.Limits(small=8, cell=16, banded=64, splits=0, frequent=0)):
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.jaccard_components(df, limits=limits).collect()) == brute(docs)
+
+
+def test_texts_made_to_collide_do_not_link(spark):
+    """Thue-Morse words have one hash under every polynomial modulo 2^64."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    docs = [(1, "".join("ab"[x] for x in bits)), (2, "".join("ba"[x] for x in bits)), (3, "".join("ab"[x] for x in bits))]
+    got = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_very_long_text_and_clashing_names(spark):
+    rnd = random.Random(8)
+    long = " ".join(f"u{rnd.randrange(10**6)}" for _ in range(150_000))  # over 1 MB
+    docs = [(1, long), (2, long + " more"), (3, long), (4, "x" * 1_000_000), (5, "x" * 1_000_000), (6, "x" * 999_999)]
+    df = spark.createDataFrame([(d, t, 1, "a", 2, "b", 3) for d, t in docs], "doc_id long, text string, n int, label string, key int, bits string, component_id int")
+    got = jaccard.jaccard_components(df).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    assert jaccard.one_of_each(df).columns == df.columns and sorted(r.doc_id for r in jaccard.one_of_each(df).collect()) == [1, 4, 6]
 
 
 def test_empty_table_and_one_of_each(spark):
