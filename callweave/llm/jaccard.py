@@ -12,10 +12,12 @@ Without pairs of copies and without all pairs of a group:
    share many tiles, so their neighbours differ from tile to tile).
 3. Pairs pass the bit-count bound on the overlap, then the exact intersection of the sorted sets. First only one pair
    a document is verified, then those that still join two components.
-4. Large tiles that hold several components are split by another shared shingle: sets that link share two shingles of
-   prefixes one longer, three of prefixes two longer. Tiles of that kind are compared as in step 2, but only between
-   components. What still is large and mixed after two splits, or holds no more than `Limits.cell` documents, is compared
-   by signature in cells; what the bound leaves is verified like any other pair. So no link between texts is lost.
+4. In large tiles that hold several components, only pairs of different components are still open: of each tile, those
+   with a stray, a document outside the tile's largest component. The tile is dealt into cells, every cell gets the
+   strays, and pairs are compared by signature; what the bound leaves is verified like any other pair. As long as
+   strays are few (`Limits.strays`), this grows with the tile. Tiles of more strays, strangers that share a passage,
+   are split by another shared shingle: sets that link share two shingles of prefixes one longer, three of prefixes two
+   longer; the parts are compared as in steps 2 and 4. So no link between texts is lost.
 
 Shingles are told apart by 128 bits: two independent 64-bit hashes with a random number for each place and letter of a
 word, so no pair of texts has equal ones by its structure. Components come from label propagation with pointer
@@ -55,16 +57,17 @@ class Limits:
     small: int = 64
     #: Pairs that a task holds back to report each once.
     held: int = 1 << 18
-    #: Documents of a cell when a tile is compared by signature, and tiles that are cut by size band as well.
+    #: Documents of a cell when a mixed tile is compared by signature.
     cell: int = 512
-    banded: int = 8192
-    #: How often a mixed tile of more than `cell` documents is split by another shingle: up to twice.
+    #: Strays of a mixed tile up to which it is compared in cells; they are copied to every cell.
+    strays: int = 2048
+    #: How often a mixed tile of more strays is split by another shingle: up to twice.
     splits: int = 2
 
 
 LIMITS = Limits()
-#: Bits a shingle of the signatures in cells; four elsewhere.
-WIDE = 16
+#: Bits a shingle of the signatures in cells (four elsewhere), and of a signature there at most.
+WIDE, WIDEST = 16, 1 << 17
 #: Weights of a shingle's words, by place.
 _WEIGHTS = mixed(np.arange(2 * WORDS, dtype=np.uint64), 55).reshape(2, WORDS) | np.uint64(1)
 
@@ -105,20 +108,22 @@ def _shingles(texts: pa.Array) -> Iterator[Shingles]:
             yield np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
 
-def _signature(found: np.ndarray, share: int = 4) -> bytes:
+def _signature(found: np.ndarray, share: int = 4, most: int = 1 << 62) -> bytes:
     """A bitmap of at least `share` bits a shingle, a power of two long, so that a longer one folds onto a shorter one."""
-    width = max(64, 1 << int(share * len(found) - 1).bit_length()) if len(found) else 64
+    width = min(most, max(64, 1 << int(share * len(found) - 1).bit_length())) if len(found) else 64
     bits = np.zeros(width, bool)
     bits[(found & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, size)) if len(bits) > size else bits
+
+
 def overlap_bound(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> int:
     """No intersection is larger: a bit that only one side has stands for an element that the other side lacks."""
-    while len(a) > len(b):
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    size = min(len(a), len(b))
+    a, b = _fold(a, size), _fold(b, size)
     return min(na - int(np.bitwise_count(a & ~b).sum()), nb - int(np.bitwise_count(b & ~a).sum()))
 
 
@@ -346,11 +351,15 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, col: str, name: str) ->
 
 
 def _mixed(large: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(tile, size, id, n, label): the members of large tiles that hold several components."""
-    rows = _labelled(large.select("tile", F.col("a").alias("id"), F.col("na").alias("n")).distinct(), labels, "id", "label")
-    rows = stored(rows, "tiles")
-    tiles = rows.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("tile", "size")
-    return rows.join(tiles.hint("shuffle_hash"), "tile").select("tile", "size", "id", "n", "label")
+    """(tile, id, n, label, stray, size, strays): the members of large tiles that hold several components.
+
+    A stray is outside the largest component of its tile.
+    """
+    rows = stored(_labelled(large.select("tile", F.col("a").alias("id"), F.col("na").alias("n")).distinct(), labels, "id", "label"), "tiles")
+    parts = rows.groupBy("tile", "label").agg(F.count("*").alias("k"))
+    tiles = parts.groupBy("tile").agg(F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("most"))
+    tiles = tiles.select("tile", "size", (F.col("size") - F.col("most.k")).alias("strays"), F.col("most.label").alias("main")).filter("strays > 0")
+    return rows.join(tiles.hint("shuffle_hash"), "tile").select("tile", "id", "n", "label", (F.col("label") != F.col("main")).alias("stray"), "size", "strays")
 
 
 def _split(members: DataFrame, prefixes: DataFrame, more: int) -> DataFrame:
@@ -366,43 +375,36 @@ def _split(members: DataFrame, prefixes: DataFrame, more: int) -> DataFrame:
 
 
 def _cells(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, limits: Limits) -> DataFrame:
-    """Pairs (a, b) of different components in one mixed tile that signatures of WIDE bits a shingle leave open."""
-    band = F.when(F.col("size") > limits.banded, F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)))).otherwise(0)
-    rows = stored(rows.withColumn("band", band).drop("size"), "tiles")
+    """Pairs (a, b) of a stray and another component's document in one tile that signatures leave open."""
     if rows.isEmpty():
         return rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    bands = rows.groupBy("tile", "band").agg(F.ceil(F.count("*") / limits.cell).alias("cells"))
-    upper = bands.select("tile", (F.col("band") - 1).alias("band"), F.col("cells").alias("above"))
-    lower = bands.select("tile", (F.col("band") + 1).alias("band"), F.col("cells").alias("below"))
-    placed = rows.join(bands, ["tile", "band"]).join(upper, ["tile", "band"], "left").join(lower, ["tile", "band"], "left")
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")))
-    to = lambda band, i, other, j: F.struct(band.alias("band"), i.alias("i"), other.alias("other"), j.alias("j"))
-    same = F.transform(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1), lambda c: to(F.col("band"), F.least(c, "cell"), F.col("band"), F.greatest(c, "cell")))
-    up = F.when(F.col("above").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("above") - 1), lambda c: to(F.col("band"), F.col("cell"), F.col("band") + 1, c)))
-    down = F.when(F.col("below").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("below") - 1), lambda c: to(F.col("band") - 1, c, F.col("band"), F.col("cell"))))
-    none = F.array().cast("array<struct<band:bigint,i:bigint,other:bigint,j:bigint>>")
-    signs = _sets_of(docs, rows.select("id").distinct(), id_col, text_col, lambda x: _signature(x[0], WIDE), "bits", "binary", pa.binary()).dropDuplicates(["id"])
-    dealt = placed.join(signs.hint("shuffle_hash"), "id").select("tile", "id", "n", "label", "bits", F.explode(F.concat(same, F.coalesce(up, none), F.coalesce(down, none))).alias("to")).select("tile", "to.*", "id", "n", "label", "bits")
+    cells, blocks = F.ceil(F.col("size") / limits.cell), F.ceil(F.col("strays") / limits.strays)
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    own = F.transform(every(blocks), lambda k: F.struct(F.pmod(F.xxhash64("id"), cells).alias("cell"), k.alias("block"), F.lit(False).alias("sent")))
+    sent = F.transform(every(cells), lambda k: F.struct(k.alias("cell"), F.pmod(F.xxhash64("id", F.lit(1)), blocks).alias("block"), F.lit(True).alias("sent")))
+    signs = _sets_of(docs, rows.select("id").distinct(), id_col, text_col, lambda x: _signature(x[0], WIDE, WIDEST), "bits", "binary", pa.binary()).dropDuplicates(["id"])
+    dealt = rows.withColumn("to", F.when(F.col("stray"), F.concat(own, sent)).otherwise(own)).join(signs.hint("shuffle_hash"), "id")
+    dealt = dealt.select("tile", "id", "n", "label", "stray", "bits", F.explode("to").alias("to")).select("tile", "to.*", "id", "n", "label", "stray", "bits")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id")
+        pdf = pdf.sort_values(["sent", "n", "id"], ignore_index=True)
         width = min(map(len, pdf["bits"]))
-        folded = []
-        for raw in pdf["bits"]:
-            x = np.frombuffer(raw, np.uint8)
-            while len(x) > width:
-                x = x[: len(x) // 2] | x[len(x) // 2 :]
-            folded.append(x)
-        bits, n, node, label = np.stack(folded), pdf["n"].to_numpy(), pdf["id"].to_numpy(), pdf["label"].to_numpy()
-        out = []
-        for i in range(len(node)):
-            most = np.minimum(n[i] - np.bitwise_count(bits[i] & ~bits).sum(axis=1, dtype=np.int64), n - np.bitwise_count(bits & ~bits[i]).sum(axis=1, dtype=np.int64))
-            hit = (node > node[i]) & (label != label[i]) & (most >= -(-PERCENT * (n + n[i]) // (100 + PERCENT)))
-            out += [(node[i], x) for x in node[hit]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        bits = np.stack([_fold(np.frombuffer(raw, np.uint64), width // 8) for raw in pdf["bits"]])
+        n, node, label, stray = (pdf[c].to_numpy() for c in ("n", "id", "label", "stray"))
+        own = int(np.searchsorted(pdf["sent"].to_numpy(), True))
+        ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        low, high = np.searchsorted(n[:own], -(-PERCENT * n[own:] // 100)), np.searchsorted(n[:own], n[own:] * 100 // PERCENT, "right")
+        out = [np.zeros((2, 0), np.int64)]
+        for i, s, e in zip(range(own, len(n)), low.tolist(), high.tolist()):
+            both = np.bitwise_count(bits[i] & bits[s:e]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(n[i] - (ones[i] - both), n[s:e] - (ones[s:e] - both))
+            hit = (label[s:e] != label[i]) & (most >= -(-PERCENT * (n[s:e] + n[i]) // (100 + PERCENT))) & (~stray[s:e] | (node[s:e] > node[i]))
+            other = node[s:e][hit]
+            out.append(np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])]))
+        return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["a", "b"])
 
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["tile", "band", "i", "other", "j"]
+    keys = ["tile", "cell", "block"]
     return dealt.repartition(tasks, *keys).groupBy(*keys).applyInPandas(compare, "a long, b long").distinct()
 
 
@@ -449,9 +451,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     members = _mixed(tiles.filter("tile IS NOT NULL"), labels)
     for split in range(1, limits.splits + 2):
         members = stored(members, "tiles")
-        whole = members if split > limits.splits else members.filter(F.col("size") <= limits.cell)
-        late = stored(_cells(whole, docs, id_col, text_col, limits), "pairs")
-        rest = members.filter(F.col("size") > limits.cell)
+        few = F.lit(split > limits.splits) | (F.col("strays") <= limits.strays)
+        late = stored(_cells(members.filter(few), docs, id_col, text_col, limits), "pairs")
+        rest = members.filter(~few)
         if split <= limits.splits and not rest.isEmpty():
             order = Order(hot)
             longer = lambda x, k=split: order.first(x[0], prefix_size(len(x[0]), k)).view(np.int64)

@@ -55,11 +55,11 @@ def drifting(seed, groups=6, size=14, length=60):
 
 SETTINGS = [
     jaccard.LIMITS,
-    jaccard.Limits(small=3, cell=1 << 20, splits=0),  # one cell a tile
-    jaccard.Limits(small=3, cell=4, banded=1 << 30, splits=0),  # many cells
-    jaccard.Limits(small=3, cell=4, banded=5, splits=0),  # many cells and size bands
-    jaccard.Limits(small=3, cell=4, splits=1),
-    jaccard.Limits(small=3, cell=4, banded=5, splits=2, held=8, frequent=10, often=2),
+    jaccard.Limits(small=3, cell=1 << 20),  # one cell a tile
+    jaccard.Limits(small=3, cell=4, splits=0),  # many cells
+    jaccard.Limits(small=3, cell=4, strays=2, splits=0),  # and blocks of strays
+    jaccard.Limits(small=3, cell=4, strays=2, splits=1),
+    jaccard.Limits(small=3, cell=4, strays=1, splits=2, held=8, frequent=10, often=2),
 ]
 
 
@@ -82,7 +82,7 @@ def test_components_equal_brute_force(spark, monkeypatch, k):
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, id string").repartition(3)
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.jaccard_components(df, limits=limits).collect())
     assert got == brute(docs)
-    assert (seen["cells"] > 0) == (limits.small < 64) and (seen["splits"] > 0) == (limits.small < 64 and limits.splits > 0)
+    assert (seen["cells"] > 0) == (limits.small < 64) and (seen["splits"] > 0) == (limits.strays < 2048 and limits.splits > 0)
 
 
 def test_links_that_only_a_split_tile_finds(spark):
@@ -97,7 +97,7 @@ def test_links_that_only_a_split_tile_finds(spark):
         if i % 3 == 0:
             docs.append((2 * i + 1, " ".join([*passage, *own[:-1], rnd.choice(words)])))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for limits in (jaccard.Limits(small=3, cell=4, frequent=0), jaccard.Limits(small=3, cell=4, frequent=0, splits=1), jaccard.Limits(small=8, cell=16, banded=64, splits=0, frequent=0)):
+    for limits in (jaccard.Limits(small=3, cell=4, strays=4, frequent=0), jaccard.Limits(small=3, cell=4, strays=8, frequent=0, splits=1), jaccard.Limits(small=8, cell=16, frequent=0)):
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.jaccard_components(df, limits=limits).collect()) == brute(docs)
 
 
