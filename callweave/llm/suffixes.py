@@ -1,23 +1,25 @@
 """Suffix-array dedup: remove every byte covered by a 50-byte string that also starts in a document with a smaller id.
 
-Exact, over whole texts, without moving every suffix:
+Over whole texts, without moving every suffix:
 
 1. Each 50-byte window has an anchor, the least of its 20-byte grams in a hashed order in which grams of very common
    passages come last (`common_grams`). Neighbouring windows with one anchor form a context. Equal windows have equal
    anchors, so only contexts of one anchor can share windows.
-2. A context that recurs as a whole is settled by hashes: all but the smallest document lose it. Within a batch that
-   happens before the shuffle, so a passage in a third of all documents is sent once a batch.
-3. The few anchors left with several different contexts in several documents are settled by text: their contexts are
-   sorted by a two-stage suffix array (`suffix_order`), neighbours are compared by common prefix, and windows that
-   agree in 50 bytes form a group whose smallest document keeps them.
+2. Contexts that are equal as a whole are one string to the suffix array: the smallest document stands for them, the
+   others lose it. Within a batch that happens before the shuffle, so a passage in a third of all documents is sent
+   once a batch.
+3. Where one anchor has several different contexts in several documents, their texts are fetched and sorted by a
+   two-stage suffix array (`suffix_order`), neighbours are compared by common prefix, and windows that agree in 50 bytes
+   form a group whose smallest document keeps them.
 4. The removed intervals of a document are merged and cut out.
 
-A context is two 64-bit hashes (anchor and whole context); texts are shuffled only where a join needs them. Buckets
-of anchors grow in number with the input. Everything between the steps lies in the shared folder.
+Equal contexts are told by 126 bits: the anchor's hash, and two polynomials of the whole context modulo a prime with
+random bases, whose values no structure of a text can make equal. Texts are shuffled only where a join needs them.
+Buckets of anchors grow in number with the input. Everything between the steps lies in the shared folder.
 
 Defined cases: null text counts as empty; a row without doc_id neither loses bytes nor makes others lose any; rows of
-one doc_id are judged each by its own text and never against each other; texts under 50 bytes lose nothing; an empty
-table gives no rows.
+one doc_id are judged each by its own text and never against each other; texts under 50 bytes lose nothing; ids must be
+whole numbers (others raise); a column of docs that has an output's name gives way to it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,24 +36,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
-from .hashing import column_bytes, mixed, prefix_sums, slices, spans_hash
+from .common import stored, unused, without
+from .hashing import Fingerprints, column_bytes, grams_hash, mixed, prefix_sums, slices, spans_hash
 
 LENGTH = 50
 GRAM = 20
-#: Grams that the anchor order puts last, at most; only the evenness of buckets depends on it.
-COMMON = 1 << 16
-#: Bytes of text whose anchors share a bucket, about.
-BUCKET_BYTES = 16 << 20
-#: Bytes of text whose contexts are settled and sent together; it bounds what a worker holds.
-SENT_BYTES = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Sizes that steer the work and never a result."""
+
+    #: Grams that the anchor order puts last, at most, and in how many documents of a batch a context must be for it.
+    common: int = 1 << 16
+    often: int = 8
+    #: Bytes of text whose anchors share a bucket, about.
+    bucket: int = 16 << 20
+    #: Bytes of text whose contexts are settled and sent together; it bounds what a worker holds.
+    sent: int = 1 << 22
+    #: Bytes whose anchors are found at once, about; some twenty numbers a byte are in memory meanwhile.
+    run: int = 1 << 19
+    #: Longest run of bytes whose anchors are found at once; a longer text is taken in pieces that overlap by a window.
+    piece: int = 1 << 20
+
+
+LIMITS = Limits()
+
+
 class Anchors:
     """Contexts of a run of texts: first window, number of windows, anchor hash, context hash, row."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, common: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, common: np.ndarray, decides: bool = True):
+        """decides: context hashes tell texts apart; without, they only count."""
         none = np.zeros(0, np.int64)
         self.data, self.start, self.run, self.row = data, none, none, none
         self.gram = self.context = np.zeros(0, np.uint64)
@@ -58,7 +76,7 @@ class Anchors:
             return
         sums = prefix_sums(data)
         at = np.arange(len(data) - GRAM + 1)
-        self.grams = mixed(spans_hash(sums, at, at + GRAM))
+        self.grams = mixed(grams_hash(sums, GRAM))
         # order: 39 bits of the hash, the top one set for common grams; ties go to the leftmost place
         value = (self.grams >> np.uint64(1)) & ~_PLACE | at.astype(np.uint64) & _PLACE
         if len(common):
@@ -82,26 +100,21 @@ class Anchors:
         last = inside[np.r_[breaks[1:], len(inside)] - 1]
         self.run = last - self.start + 1
         self.gram = self.grams[anchor[self.start]]
-        self.context = mixed(spans_hash(sums, self.start, last + LENGTH) ^ mixed(self.run.astype(np.uint64), 9), 11)
+        whole = Fingerprints(data).of(self.start, last + LENGTH) if decides else spans_hash(sums, self.start, last + LENGTH)
+        self.context = mixed(whole ^ mixed(self.run.astype(np.uint64), 9), 11)
         self.row = np.searchsorted(offsets, self.start, "right") - 1
 
 
-#: Bytes whose anchors are found at once, about; some twenty numbers a byte are in memory meanwhile.
-RUN = 1 << 19
-#: Longest run of bytes whose anchors are found at once; a longer text is taken in pieces that overlap by a window.
-PIECE = 1 << 20
-
-
-def _runs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int, bool]]:
+def _runs(texts: pa.Array, limits: Limits = LIMITS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int, bool]]:
     """(first row, row after the last, bytes, offsets, place of the bytes in the text, whether the rows are done)."""
-    for s, e in slices(texts, RUN):
+    for s, e in slices(texts, limits.run):
         data, offsets = column_bytes(texts.slice(s, e - s))
-        if len(data) <= PIECE or e - s > 1:
+        if len(data) <= limits.piece or e - s > 1:
             yield s, e, data, offsets, 0, True
             continue
-        for at in range(0, len(data) - LENGTH + 1, PIECE):
-            part = data[at : at + PIECE + LENGTH - 1]
-            yield s, e, part, np.array([0, len(part)]), at, at + PIECE > len(data) - LENGTH
+        for at in range(0, len(data) - LENGTH + 1, limits.piece):
+            part = data[at : at + limits.piece + LENGTH - 1]
+            yield s, e, part, np.array([0, len(part)]), at, at + limits.piece > len(data) - LENGTH
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -109,13 +122,13 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if len(keys[0]) else np.zeros(0, np.int64)
 
 
-def common_grams(docs: DataFrame, text_col: str = "text", limit: int = COMMON) -> np.ndarray:
-    """Grams of contexts that at least 1 in 100 documents (and eight) of some batch hold, sorted; at most `limit`."""
+def common_grams(docs: DataFrame, text_col: str = "text", limits: Limits = LIMITS) -> np.ndarray:
+    """Grams of contexts that at least 1 in 100 documents (and `often`) of some batch hold, sorted; at most `common`."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             context, rows, sample = [], [], {}
-            for s, _, data, offsets, _, _ in _runs(b.column(0)):
-                a = Anchors(data, offsets, np.zeros(0, np.uint64))
+            for s, _, data, offsets, _, _ in _runs(b.column(0), limits):
+                a = Anchors(data, offsets, np.zeros(0, np.uint64), False)
                 context.append(a.context)
                 rows.append((a.row + s).astype(np.int32))
             c, r = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (context, rows))
@@ -125,13 +138,13 @@ def common_grams(docs: DataFrame, text_col: str = "text", limit: int = COMMON) -
             c = c[own]
             at = _groups(c)
             n = np.diff(np.r_[at, len(c)])
-            many = n >= max(8, b.num_rows // 100)
+            many = n >= max(limits.often, b.num_rows // 100)
             wanted = c[at[many]]  # sorted
             times = n[many]
             found, weights = [], []
             if len(wanted):
-                for _, _, data, offsets, _, _ in _runs(b.column(0)):
-                    a = Anchors(data, offsets, np.zeros(0, np.uint64))
+                for _, _, data, offsets, _, _ in _runs(b.column(0), limits):
+                    a = Anchors(data, offsets, np.zeros(0, np.uint64), False)
                     near = np.minimum(np.searchsorted(wanted, a.context), len(wanted) - 1)
                     for i in np.flatnonzero(wanted[near] == a.context).tolist():
                         if (k := int(near[i])) not in sample:
@@ -145,7 +158,7 @@ def common_grams(docs: DataFrame, text_col: str = "text", limit: int = COMMON) -
             yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.concatenate(weights) if weights else [], pa.int64())], names=["gram", "n"])
 
     rows = docs.select(text_col).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "gram").limit(limit).toPandas()
+    top = rows.orderBy(F.desc("n"), "gram").limit(limits.common).toPandas()
     return np.sort(top["gram"].to_numpy(np.int64).copy().view(np.uint64))
 
 
@@ -175,7 +188,7 @@ def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, (*_HASHES, *_REST))]
 
 
-def _contexts(docs: DataFrame, common: np.ndarray, buckets: int, id_col: str, text_col: str) -> DataFrame:
+def _contexts(docs: DataFrame, common: np.ndarray, buckets: int, id_col: str, text_col: str, limits: Limits) -> DataFrame:
     """(bucket, blob, settled): contexts by bucket of their anchor, and intervals settled within a batch."""
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,14 +196,14 @@ def _contexts(docs: DataFrame, common: np.ndarray, buckets: int, id_col: str, te
             docs_ = b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             held: list[list[np.ndarray]] = []
             size = 0
-            for s, e, data, offsets, shift, done in _runs(b.column(1)):
+            for s, e, data, offsets, shift, done in _runs(b.column(1), limits):
                 a = Anchors(data, offsets, common)
                 keep = known[a.row + s]
                 whole, bounds = (data, offsets) if done and not shift else column_bytes(b.column(1).slice(s, e - s))
                 tags = np.array([zlib.crc32(whole[i:j]) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())], np.uint32)
                 held.append([x[keep] for x in (a.gram, a.context, docs_[a.row + s], tags[a.row], a.start - offsets[a.row] + shift, a.run)])
                 size += len(data)
-                if size >= SENT_BYTES or (e == b.num_rows and done):
+                if size >= limits.sent or (e == b.num_rows and done):
                     yield from _sent([np.concatenate(x) for x in zip(*held)], buckets)
                     held, size = [], 0
 
@@ -338,19 +351,21 @@ def _by_text(table: pa.Table) -> pa.Table:
     docs_ = doc[owner[order]]
     at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     least = np.minimum.reduceat(docs_, at)[group - group[0]] if len(at) else docs_
-    gone = order[docs_ > least]
-    who = owner[gone]
-    return pa.table({"doc": doc[who], "tag": tag[who], "cut": cut_of(start[who] + gone - begin[who], np.ones(len(gone), np.int64))})
+    gone = np.sort(order[docs_ > least])
+    heads = np.flatnonzero(np.r_[True, (np.diff(gone) > 1)]) if len(gone) else gone  # contexts are apart by more than a window
+    first = gone[heads]
+    who = owner[first]
+    return pa.table({"doc": doc[who], "tag": tag[who], "cut": cut_of(start[who] + first - begin[who], np.diff(np.r_[heads, len(gone)]))})
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = LIMITS) -> DataFrame:
     """(doc, tag, cuts array<long>): the removed intervals of each document that loses bytes."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(total // BUCKET_BYTES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(total // limits.bucket, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     tagged = docs.select(F.col(id_col).cast("long").alias("doc"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("tag"), F.col(text_col).alias("text"))
 
-    contexts = _contexts(docs, common_grams(docs, text_col), buckets, id_col, text_col)
+    contexts = _contexts(docs, common_grams(docs, text_col, limits), buckets, id_col, text_col, limits)
     hashed = contexts.groupBy("bucket").applyInArrow(_by_hash, "gram long, doc long, tag long, cut long")
     hashed = stored(hashed, "settled")
     places = hashed.filter("gram IS NOT NULL").groupBy("doc", "tag").agg(F.collect_list(F.struct("gram", "cut")).alias("places"))
@@ -379,17 +394,18 @@ def _merged(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[fresh], reach[np.r_[fresh[1:], len(cuts)] - 1]
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, limits: Limits = LIMITS) -> DataFrame:
     """Each row's columns with n_bytes, n_removed, n_spans, kept_sha256; with_text: and kept_text.
 
     Bytes are cut wherever the windows end; kept_text leaves out the pieces of letters that a cut has split.
     """
-    found = removed(docs, id_col, text_col)
+    found = removed(docs, id_col, text_col, limits)
     tag = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
-    kept = [c for c in docs.columns if c not in made] if with_text else [id_col]
-    own = found.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("cuts").alias("_cuts")).hint("shuffle_hash")
-    rows = docs.join(own, (F.col(id_col).cast("long") == F.col("_doc")) & (tag == F.col("_tag")), "left").select(*kept, F.col(text_col).alias("_text"), "_cuts")
+    kept = without(docs, made) if with_text else [id_col]
+    doc_, tag_, cuts_, text_ = (unused(docs, x) for x in ("own_doc", "own_tag", "own_cuts", "own_text"))
+    own = found.select(F.col("doc").alias(doc_), F.col("tag").alias(tag_), F.col("cuts").alias(cuts_)).hint("shuffle_hash")
+    rows = docs.join(own, (F.col(id_col).cast("long") == F.col(doc_)) & (tag == F.col(tag_)), "left").select(*kept, F.col(text_col).alias(text_), cuts_)
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
