@@ -7,7 +7,9 @@ ablation of an old one, never touches a text again.
 Everything is built-in expressions over one row; the only shuffle is the small aggregate of `ablation`.
 
 Defined cases: null or empty text has no words, so all counts are 0 and rule `few_words` fails. Rows with a
-null doc_id or repeated rows are measured like any other. Columns that clash with an output name are replaced.
+null doc_id or repeated rows are measured like any other; very long texts are measured whole (their length alone fails
+only rule `many_words`, which no policy of `keeps` has). Columns that clash with an output name, in letters of either
+case, are replaced; any other name may occur. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAKS, let
+from .common import WORD_BREAKS, let, unused, without
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters")
 
@@ -37,6 +39,8 @@ POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_words"),
     "v1": tuple(RULES),
     "v1_lenient": ("few_words", "repeated_words", "many_words", "duplicate_lines"),
+    # for corpora that keep all that is not plainly junk: length alone is no reason
+    "keeps": ("few_words", "repeated_words", "short_words", "long_words", "symbols", "duplicate_lines", "few_letters"),
 }
 
 
@@ -76,18 +80,21 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     words = F.filter(F.split(text, f"[{WORD_BREAKS}]+", -1), lambda x: x != "")
     by_word = let(words, lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("r")))
     by_line = let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
-    kept = [c for c in docs.columns if c not in MEASURES]
+    kept, made = without(docs, MEASURES), unused(docs, "measured")
     found = docs.select(
         *kept,
-        by_word.alias("_w"),
-        by_line.alias("_l"),
-        F.char_length(stripped).alias("_c"),
-        (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).alias("_s"),
-        F.char_length(F.regexp_replace(stripped, r"[^\p{L}]+", "")).alias("_a"),
+        F.struct(
+            by_word.alias("w"),
+            by_line.alias("l"),
+            F.char_length(stripped).alias("c"),
+            (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).alias("s"),
+            F.char_length(F.regexp_replace(stripped, r"[^\p{L}]+", "")).alias("a"),
+        ).alias(made),
     )
+    x = F.col(made)
     values = {
-        "n_words": F.col("_w.n"), "word_chars": F.col("_c"), "n_symbols": F.col("_s"), "n_dup_lines": F.col("_l.n") - F.col("_l.d"),
-        "n_repeat_words": F.col("_w.r"), "n_lines": F.col("_l.n"), "n_letters": F.col("_a"),
+        "n_words": x["w"]["n"], "word_chars": x["c"], "n_symbols": x["s"], "n_dup_lines": x["l"]["n"] - x["l"]["d"],
+        "n_repeat_words": x["w"]["r"], "n_lines": x["l"]["n"], "n_letters": x["a"],
     }
     return found.select(*kept, *(values[m].cast("long").alias(m) for m in MEASURES))
 
