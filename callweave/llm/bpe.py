@@ -69,10 +69,15 @@ def load(path: str) -> Vocabulary:
     if path not in _LOADED:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab, letters = spec["model"]["vocab"], byte_letters()
+        cut, model = spec["pre_tokenizer"] or {}, spec["model"]
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec["normalizer"] and model["type"] == "BPE"
+        odd = [k for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges", "dropout") if model.get(k)]
+        if not plain or odd or any(x[k] for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
+        vocab, letters = model["vocab"], byte_letters()
         back = {c: b for b, c in enumerate(letters)}
         merges: dict[tuple[int, int], int] = {}
-        for pair in spec["model"]["merges"]:
+        for pair in model["merges"]:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             merges[vocab[a], vocab[b]] = vocab[a + b]
         if len(set(merges.values())) != len(merges) or len(vocab) >= WALL:
