@@ -6,11 +6,15 @@
 3. `candidates` intersects the postings of each clause: per document a bit mask of the rules worth trying.
 4. `scan` verifies: a rule's regex runs only where its bit is set (or where it has no query).
 
-All of it is built-in expressions; the join with the masks is a hash join on the small side, so texts are shuffled
-once and not sorted. doc_id is near unique, and postings are combined before the shuffle, so no key is hot.
-
-Defined cases: null text counts as empty; rows with the same (or a null) doc_id share candidates, which only means
-that a rule may be tried in vain; spans are code points with the end exclusive.
+All of it is built-in expressions. Candidates are few beside the documents: up to BROADCAST of them (ids and a mask) are
+sent to every task, so texts stay where they are; beyond that the join is a hash join on the small side that shuffles
+texts once and sorts none. doc_id is near unique, and postings are combined before the shuffle, so no key is hot; rows
+without id take part in no join and try every rule.
+
+Defined cases: null text counts as empty; rows with the same doc_id share candidates, and rows with a null one are
+candidates of every rule, which only means that a rule may be tried in vain; spans are code points with the end
+exclusive; columns of docs named `spans` or `rule_bits` give way to the results, any other name may occur; very long
+texts are scanned whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, stored, unused, without
 
 
 @dataclass(frozen=True)
@@ -57,6 +61,9 @@ ADDED = (
 )
 RULES = BASE + ADDED
 
+#: Candidates that are sent to all tasks, at most: some 16 MB.
+BROADCAST = 1 << 20
+
 Clauses = frozenset[frozenset[str]]  # OR of ANDs; one empty clause: always true
 ALWAYS: Clauses = frozenset({frozenset()})
 #: Longest set of exact strings that the derivation carries on.
@@ -154,23 +161,23 @@ def postings(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_
     """(id, trigram): the inverted index over the trigrams that are asked for."""
     folded = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     present = let(folded, lambda t: F.filter(F.array(*(F.when(t.contains(g), F.lit(g)) for g in trigrams)), lambda g: g.isNotNull()))
-    return docs.select(id_col, F.explode(present).alias("trigram"))
+    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(present).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rule_bits): bit i is set where some clause of rule i has all its trigrams posted for the document."""
     clauses = [(i, c) for i, r in enumerate(rules) for c in sorted(map(sorted, trigram_query(r.regex)))]
     if not any(c for _, c in clauses):
-        return docs.select(id_col, F.lit(0).cast("long").alias("rule_bits")).limit(0)
+        return docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("rule_bits")).limit(0)
     trigrams = sorted({g for _, c in clauses for g in c})
     index = postings(docs, trigrams, id_col, text_col)
     # which clauses a trigram belongs to: (clause, its bit there); as many rows as the rules spell out
     members = [(g, k, 1 << c.index(g)) for k, (_, c) in enumerate(clauses) for g in c]
     found = F.create_map(*(x for g in trigrams for x in (F.lit(g), F.array(*(F.struct(F.lit(k).alias("clause"), F.lit(b).cast("long").alias("bit")) for h, k, b in members if h == g)))))
-    hits = index.select(id_col, F.inline(found[F.col("trigram")])).groupBy(id_col, "clause").agg(F.bit_or("bit").alias("seen"))
+    hits = index.select("id", F.inline(found[F.col("trigram")])).groupBy("id", "clause").agg(F.bit_or("bit").alias("seen"))
     whole = F.create_map(*(x for k, (_, c) in enumerate(clauses) for x in (F.lit(k), F.lit((1 << len(c)) - 1).cast("long"))))
     rule_of = F.create_map(*(x for k, (i, _) in enumerate(clauses) for x in (F.lit(k), F.lit(1 << i).cast("long"))))
-    return hits.filter(F.col("seen") == whole[F.col("clause")]).groupBy(id_col).agg(F.bit_or(rule_of[F.col("clause")]).alias("rule_bits"))
+    return hits.filter(F.col("seen") == whole[F.col("clause")]).groupBy("id").agg(F.bit_or(rule_of[F.col("clause")]).alias("rule_bits"))
 
 
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
@@ -198,18 +205,22 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     return let(F.regexp_extract_all(text, F.lit(rule.java), F.lit(0)), place)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", broadcast: int = BROADCAST) -> DataFrame:
     """docs with `spans` added: array<struct<start,rank,end>> of all rules, by start, then rule."""
-    bits = candidates(docs, rules, id_col, text_col).withColumnRenamed(id_col, "_id").hint("shuffle_hash")
-    rows = docs.drop("spans", "rule_bits").join(bits, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+    docs = docs.select(*without(docs, ["spans", "rule_bits"]))
+    found = stored(candidates(docs, rules, id_col, text_col), "secret-candidates")
+    other, mask = unused(docs, "candidate"), unused(docs, "rule_mask")
+    bits = found.select(F.col("id").alias(other), F.col("rule_bits").alias(mask)).hint("broadcast" if found.count() <= broadcast else "shuffle_hash")
+    rows = docs.join(bits, F.col(id_col) == F.col(other), "left").drop(other)
+    tried = F.when(F.col(id_col).isNull(), F.lit(-1).cast("long")).otherwise(F.coalesce(F.col(mask), F.lit(0).cast("long")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    found = []
+    parts = []
     for i, rule in enumerate(rules):
         spans = spans_of(text, rule, i)
         always = trigram_query(rule.regex) == ALWAYS
-        found.append(spans if always else F.when(F.coalesce(F.col("rule_bits"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0, spans).otherwise(none))
-    return rows.withColumn("spans", F.sort_array(F.flatten(F.array(*found)))).drop("rule_bits")
+        parts.append(spans if always else F.when(tried.bitwiseAND(F.lit(1 << i)) != 0, spans).otherwise(none))
+    return rows.withColumn("spans", F.sort_array(F.flatten(F.array(*parts)))).drop(mask)
 
 
 def spelled(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
