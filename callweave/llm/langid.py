@@ -10,7 +10,10 @@ Posteriors are summed in whole millionths, so results do not depend on the order
 before the shuffle; the join back to its pages is an ordinary one that Spark can split.
 
 Defined cases: null or empty html has no text evidence; null url counts as a page of the host ''; a declared language
-that the model does not know is no evidence; with no labelled documents, or no pages, there are no rows.
+that the model does not know is no evidence; equal posteriors go to the language that sorts first; repeated rows are
+judged as often as they occur; very long pages are read whole, in one pass; columns of pages beside id, url and html are
+not read, so their names don't matter; with no labelled documents, or no pages, there are no rows; documents with more
+than LABELS distinct labels raise ValueError.
 """
 
 from __future__ import annotations
@@ -28,21 +31,54 @@ from .common import stored
 SAMPLE_DOCS = 4000
 #: Trigrams are hashed into this many buckets.
 BUCKETS = 1 << 15
-#: Neighbouring trigrams say much the same: a text counts as this many independent ones at most.
+#: Distinct labels at most: the model has BUCKETS numbers for each.
+LABELS = 256
+#: A weight of the model: neighbouring trigrams say much the same, so a text of any length, read whole, weighs as much as
+#: this many independent ones at most.
 EVIDENCE = 60
 #: Chance that markup declares the true language, that a country suffix fits it, and the weight of a parent prior.
 DECLARED, SUFFIX, PARENT = 0.9, 0.8, 5.0
 UNIT = 1_000_000
-#: Languages of country suffixes.
-COUNTRIES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
-
-_HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
-_TAG = re.compile(r"<[^>]*>")
+#: Languages of country suffixes where one language is spoken by most.
+COUNTRIES = {
+    "de": "de", "at": "de", "li": "de", "fr": "fr", "mc": "fr", "es": "es", "mx": "es", "ar": "es", "co": "es", "cl": "es", "pe": "es", "ve": "es", "uy": "es", "ec": "es", "bo": "es", "py": "es",
+    "cr": "es", "pa": "es", "gt": "es", "hn": "es", "ni": "es", "sv": "es", "do": "es", "cu": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en", "gb": "en", "it": "it", "sm": "it",
+    "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "cz": "cs", "sk": "sk", "hu": "hu", "ro": "ro", "bg": "bg", "gr": "el", "tr": "tr", "ru": "ru", "ua": "uk", "se": "sv", "dk": "da", "no": "no",
+    "fi": "fi", "ee": "et", "lv": "lv", "lt": "lt", "si": "sl", "hr": "hr", "rs": "sr", "is": "is", "jp": "ja", "cn": "zh", "tw": "zh", "kr": "ko", "vn": "vi", "th": "th", "id": "id", "ir": "fa", "il": "he",
+}
+#: Second-level names under which countries register hosts; a domain there has three parts.
+REGISTRIES = ("ac", "co", "com", "edu", "gob", "gov", "gouv", "ltd", "me", "mil", "net", "nhs", "nom", "or", "org", "plc", "sch")
+
+_OPENS = re.compile(r"<(?:(script|style)\b|(!--))?", re.I)
+_CLOSES = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "!--": re.compile("-->")}
 _OTHER = re.compile(r"[\W\d_]+")
 
 
 def visible(html: str | None) -> str:
-    return _TAG.sub(" ", _HIDDEN.sub(" ", html or ""))
+    """The text without tags, comments, scripts and styles, a blank for each; one pass, what is never closed is text or a tag."""
+    html, parts, at, endless = html or "", [], 0, set()
+    for m in _OPENS.finditer(html):
+        if m.start() < at:
+            continue
+        kind = (m[1] or m[2] or "").lower()
+        close = _CLOSES[kind].search(html, m.end()) if kind and kind not in endless else None
+        if close is None:
+            endless.add(kind)
+            end = html.find(">", m.end()) + 1
+            if not end:
+                break
+        else:
+            end = close.end()
+        parts.append(html[at : m.start()])
+        at = end
+    return " ".join([*parts, html[at:]])
+
+
+def domain(host: Column) -> Column:
+    """The part of a host that is registered: its last two names, or three under a country's registry (`x.co.uk`)."""
+    second = F.substring_index(F.substring_index(host, ".", -2), ".", 1)
+    country = F.char_length(F.substring_index(host, ".", -1)) == 2
+    return F.when(country & second.isin(*REGISTRIES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -84,8 +120,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text_col: str = "text
                 yield pd.DataFrame({"label": lang, "bucket": at, "n": n[at]})
 
     rows = labelled.join(chosen, id_col, "left_semi").select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))
+    if rows.select("label").distinct().limit(LABELS + 1).count() > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
     found = rows.mapInPandas(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    table = found.toPandas()  # at most BUCKETS rows a language
+    table = found.toPandas()  # at most BUCKETS rows for each of LABELS languages
     if table.empty:
         return None
     langs = sorted(table["label"].unique())
@@ -105,7 +143,7 @@ def evidence(pages: DataFrame, model: Model, id_col: str = "page_id") -> DataFra
     rows = pages.select(id_col, "url", "html", declared.alias("declared")).mapInPandas(stage, f"{id_col} {kind}, url string, declared string, logs array<double>")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
     return rows.withColumn("host", host).select(
-        id_col, "host", F.substring_index("host", ".", -2).alias("domain"), F.coalesce("declared", F.lit("")).alias("declared"), F.substring_index("host", ".", -1).alias("suffix"), "logs"
+        id_col, "host", domain(F.col("host")).alias("domain"), F.coalesce("declared", F.lit("")).alias("declared"), F.substring_index("host", ".", -1).alias("suffix"), "logs"
     )
 
 
