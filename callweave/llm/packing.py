@@ -3,15 +3,21 @@
 Documents become token ids, whole windows of the largest size go out at once, and what is left of a document is
 routed to the smallest context tier that holds it. Each tier's windows are packed from the longest down: a window
 opens with a piece of its own tier, and its gap is filled from shorter tiers, best fit first; only the last gap of a
-window cuts a piece. What remains when a partition ends is cut at powers of two, so no sequence needs padding.
-Every `step_group` of a tier holds the same number of tokens (STEP_TOKENS), so that steps cost alike.
+window cuts a piece. What fills no window when a partition ends is put end to end into windows of the largest size;
+less than one window stays. Those rests of all partitions, POOLED partitions at a time, are packed the same way in a
+second stage, and only what then stays, less than a window for POOLED partitions, is cut at powers of two. So no
+sequence needs padding, and the share of short sequences does not depend on how the input is split.
 
-Packing runs inside the partitions that the scan already has: no shuffle, no ids through the driver, and memory
-bounded by POOL_TOKENS, however many rows share a key. A partition's result depends on its rows in order only, so a
-task that is run again gives the same pieces.
+Sequences of a tier are numbered over all partitions (by counts, not by collecting them), and every `step_group` of a
+tier but its last holds the same number of tokens (STEP_TOKENS), so that steps cost alike.
+
+Packing runs inside the partitions that the scan already has: ids are not shuffled (but for the rests) and don't pass
+the driver; memory is bounded by POOL_TOKENS, however many rows share a key. A partition's result depends on its rows in
+order only, so a task that is run again gives the same pieces.
 
 Defined cases: null text counts as empty, so the document is its end id alone; repeated rows are packed as often as
-they occur; an empty table gives no pieces.
+they occur; rows without id are packed with a null one; very long texts are cut into whole windows as they come; columns
+beside id and text are not read, so their names don't matter; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -27,14 +33,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import byte_letters
+from .common import stored
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 32 * 2048
 POOL_TOKENS = 1 << 20
+#: Partitions whose rests, less than a window each, meet in one task.
+POOLED = 1024
+#: Rows of the table of sequence counts (partitions times tiers) that are sent to all tasks, at most.
+BROADCAST = 1 << 20
 END_ID = 1
 #: Words a task remembers; only speed depends on it.
 CACHE = 300_000
@@ -60,7 +72,11 @@ class WordTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)["model"]
+            whole = json.load(f)
+        spec = whole["model"]
+        kinds = [x["type"] for x in (whole["normalizer"] or {}).get("normalizers", [])]
+        if kinds != ["NFC", "Replace", "Lowercase"] or not spec.get("end_of_word_suffix") or spec.get("unk_token") or any(x[k] for x in whole["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path} is not a word BPE vocabulary that lower-cases and drops white space")
         vocab, letters = spec["vocab"], byte_letters()
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
         self.merges = MergeTable([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
@@ -187,17 +203,18 @@ class Piece:
 
 
 class Packer:
-    """Packs one partition; `out` collects (sequence number, tier, step, pieces)."""
+    """Packs one partition; `out` collects (sequence number, tier, number in its tier, pieces), `rest` what fills no window."""
 
-    def __init__(self, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, pool_tokens: int = POOL_TOKENS):
-        self.tiers, self.step_tokens, self.pool_tokens = tiers, step_tokens, pool_tokens
+    def __init__(self, tiers: tuple[int, ...] = TIERS, pool_tokens: int = POOL_TOKENS):
+        self.tiers, self.pool_tokens = tiers, pool_tokens
         self.pools: dict[int, list[tuple[int, int, Piece]]] = {t: [] for t in tiers}  # sorted by (length, arrival)
         self.pending = self.arrivals = self.sequences = 0
         self.per_tier: dict[int, int] = {}
         self.out: list[tuple[int, int, int, list[Piece]]] = []
+        self.rest: list[Piece] = []
 
-    def add(self, doc, ids: np.ndarray) -> None:
-        piece, most = Piece(doc, 0, ids, len(ids)), self.tiers[-1]
+    def add(self, piece: Piece) -> None:
+        most = self.tiers[-1]
         while len(piece) >= most:
             window, piece = piece.split(most)
             self._emit(most, [window])
@@ -205,12 +222,23 @@ class Packer:
         if self.pending > self.pool_tokens:
             self.pack()
 
-    def finish(self) -> None:
-        """Pack everything; what can't fill a window is cut at powers of two."""
+    def finish(self, cut: bool) -> None:
+        """Pack everything; what is left goes end to end into the largest windows, and the rest of that is cut or kept."""
         self.pack()
+        most, window, room = self.tiers[-1], [], self.tiers[-1]
         for tier in reversed(self.tiers):
             while self.pools[tier]:
-                self._cut_down(self._take(tier, -1))
+                piece = self._take(tier, -1)
+                if len(piece) >= room:
+                    head, piece = piece.split(room)
+                    self._emit(most, [*window, head])
+                    window, room = [], most
+                if len(piece):
+                    window.append(piece)
+                    room -= len(piece)
+        self.rest = window
+        if cut:
+            self._cut_down(most - room)
 
     def pack(self) -> None:
         for tier in reversed(self.tiers):
@@ -241,11 +269,21 @@ class Packer:
                 return head
         return None
 
-    def _cut_down(self, piece: Piece) -> None:
-        while len(piece):
-            size = 1 << (len(piece).bit_length() - 1)
-            head, piece = piece.split(size)
-            self._emit(size, [head])
+    def _cut_down(self, left: int) -> None:
+        """The rest, end to end, as one sequence for each power of two in its length."""
+        pieces, self.rest = self.rest[::-1], []
+        while left:
+            size = room = 1 << (left.bit_length() - 1)
+            sequence = []
+            while room:
+                piece = pieces.pop()
+                if len(piece) > room:
+                    piece, later = piece.split(room)
+                    pieces.append(later)
+                sequence.append(piece)
+                room -= len(piece)
+            self._emit(size, sequence)
+            left -= size
 
     def _route(self, piece: Piece) -> None:
         if len(piece):
@@ -261,47 +299,86 @@ class Packer:
 
     def _emit(self, tier: int, pieces: list[Piece]) -> None:
         k = self.per_tier[tier] = self.per_tier.get(tier, -1) + 1
-        self.out.append((self.sequences, tier, k // max(1, self.step_tokens // tier), pieces))
+        self.out.append((self.sequences, tier, k, pieces))
         self.sequences += 1
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+#: Sequence ids of the second stage start here.
+_LATER = 1 << 22
+
+
+class _Rows:
+    """Pieces as Arrow rows; rests carry their ids and no sequence."""
+
+    NAMES = ("doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "part", "serial", "rest")
+    KINDS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, part long, serial long, rest binary"
+
+    def __init__(self, part: int, with_ids: bool):
+        self.part, self.with_ids = part, with_ids
+
+    def of(self, packer: Packer, doc_type: pa.DataType) -> pa.RecordBatch:
+        part, base, found = self.part, self.part << 40, []
+        for number, tier, k, pieces in packer.out:
+            offset = 0
+            for p in pieces:
+                raw = p.ids.tobytes()
+                found.append((p.doc, p.start, len(raw) // 4, zlib.crc32(raw), p.total, base | number, offset, tier, part, k, None, *[p.ids] * self.with_ids))
+                offset += len(raw) // 4
+        for k, p in enumerate(packer.rest):
+            found.append((p.doc, p.start, len(p), 0, p.total, None, 0, 0, part, k, p.ids.tobytes(), *[None] * self.with_ids))
+        packer.out, packer.rest = [], []
+        names = [*self.NAMES, *["ids"] * self.with_ids]
+        kinds = [doc_type, *[pa.int64()] * 6, pa.int32(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int32())] * self.with_ids]
+        columns = list(zip(*found)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, pooled: int = POOLED) -> DataFrame:
     """One row per piece: doc, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group (and ids).
 
-    step_group is unique within (partition, tier); sequence_id is unique in the result.
+    step_group is unique within its tier; sequence_id is unique in the result.
     """
-    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", *["ids"] * with_ids]
-    id_type = docs.schema[id_col]
+    schema = f"doc {docs.schema[id_col].dataType.simpleString()}, {_Rows.KINDS}" + ", ids array<int>" * with_ids
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 40
-        tokenizer, packer = word_tokenizer(path), Packer()
+        tokenizer, packer, rows = word_tokenizer(path), Packer(), _Rows(TaskContext.get().partitionId(), with_ids)
         doc_type = None
-
-        def rows(sequences: list) -> pa.RecordBatch:
-            found = []
-            for number, tier, step, pieces in sequences:
-                offset = 0
-                for p in pieces:
-                    raw = p.ids.tobytes()
-                    found.append((p.doc, p.start, len(p), zlib.crc32(raw), p.total, base | number, offset, tier, base | tier << 26 | step, *[p.ids.astype(np.int32)] * with_ids))
-                    offset += len(p)
-            cols = list(zip(*found)) or [()] * len(names)
-            kinds = [doc_type, *[pa.int64()] * 6, pa.int32(), pa.int64(), *[pa.list_(pa.int32())] * with_ids]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
-
         for b in batches:
             doc_type = b.column(0).type
             ids, texts = b.column(0).to_pylist(), b.column(1)
             for k in range(0, len(ids), 1000):
                 for doc, tokens in zip(ids[k : k + 1000], tokenizer.encode(texts.slice(k, 1000))):
-                    packer.add(doc, tokens)
+                    packer.add(Piece(doc, 0, tokens, len(tokens)))
                 if packer.out:
-                    yield rows(packer.out)
-                    packer.out = []
-        packer.finish()
-        if packer.out:
-            yield rows(packer.out)
+                    yield rows.of(packer, doc_type)
+        packer.finish(cut=False)
+        if packer.out or packer.rest:
+            yield rows.of(packer, doc_type)
 
-    fields = [id_type, *(T.StructField(n, T.LongType()) for n in names[1:7]), T.StructField("tier", T.IntegerType()), T.StructField("step_group", T.LongType())]
-    return docs.select(id_col, text_col).mapInArrow(stage, T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids))
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, rows, doc_type = Packer(), _Rows(_LATER + TaskContext.get().partitionId(), with_ids), None
+        for b in batches:
+            doc_type = b.column(0).type
+            for doc, start, total, raw in zip(*(b.column(i).to_pylist() for i in range(4))):
+                packer.add(Piece(doc, start, np.frombuffer(raw, "<u4"), total))
+            if packer.out:
+                yield rows.of(packer, doc_type)
+        packer.finish(cut=True)
+        if packer.out:
+            yield rows.of(packer, doc_type)
+
+    first = stored(docs.select(id_col, text_col).mapInArrow(stage, schema), "pieces")
+    rests = first.filter(F.col("rest").isNotNull())
+    parts = rests.agg(F.max("part")).first()[0]
+    pieces = first.filter(F.col("rest").isNull())
+    if parts is not None:
+        block = F.floor(F.col("part") / pooled)
+        dealt = rests.repartition(parts // pooled + 1, block).sortWithinPartitions("part", "serial").select("doc", "start", "doc_tokens", "rest")
+        pieces = pieces.unionByName(stored(dealt.mapInArrow(later, schema), "rest-pieces"))
+    counts = stored(pieces.filter("offset = 0").groupBy("tier", "part").agg(F.count("*").alias("n")), "sequence-counts")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.select("tier", "part", before.alias("before")).hint("broadcast" if counts.count() <= BROADCAST else "shuffle_hash")
+    group = (F.floor((F.col("before") + F.col("serial")) / F.greatest(F.floor(F.lit(STEP_TOKENS) / F.col("tier")), F.lit(1)))).cast("long")
+    placed = pieces.join(places, ["tier", "part"]).withColumn("step_group", F.shiftleft(F.col("tier").cast("long"), 40).bitwiseOR(group))
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
+    return placed.select(F.col("doc").alias(id_col), *names, *["ids"] * with_ids)
