@@ -99,8 +99,16 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')):
   ('0x' || substr(md5(concat_ws('|', doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 15))::BIGINT AS key FROM documents),
 e AS (SELECT r, doc_id, n_bytes, key, k AS depth, key >> (60 - k) AS prefix FROM d, (SELECT unnest(range(0, 61))::INTEGER AS k)),
 f AS (SELECT *, sum(n_bytes) OVER w <= {limit} OR min(key) OVER w = max(key) OVER w AS fits FROM e WINDOW w AS (PARTITION BY depth, prefix)),
-g AS (SELECT r, doc_id, n_bytes, min(depth) AS depth, min(key) AS key FROM f WHERE fits GROUP BY ALL)
-SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(key >> (60 - depth)), depth, '0') END AS shard FROM g
+g AS (SELECT r, doc_id, n_bytes, min(depth) AS depth, min(key) AS key FROM f WHERE fits GROUP BY ALL),
+h AS (SELECT *, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(key >> (60 - depth)), depth, '0') END AS shard FROM g),
+i AS (SELECT *, sum(n_bytes) OVER w > {limit} AND count(*) OVER w > 1 AS crowded FROM h WINDOW w AS (PARTITION BY shard)),
+p AS (SELECT r, doc_id, n_bytes, depth AS above, shard || '+' AS root, ('0x' || substr(md5(concat_ws('|', key::VARCHAR, doc_id::VARCHAR, n_bytes::VARCHAR,
+  (row_number() OVER (PARTITION BY shard, key, doc_id, n_bytes) - 1)::VARCHAR)), 1, 15))::BIGINT AS key FROM i WHERE crowded),
+pe AS (SELECT r, doc_id, n_bytes, above, root, key, k AS depth, key >> (60 - k) AS prefix FROM p, (SELECT unnest(range(0, 61))::INTEGER AS k)),
+pf AS (SELECT *, sum(n_bytes) OVER w <= {limit} OR min(key) OVER w = max(key) OVER w AS fits FROM pe WINDOW w AS (PARTITION BY root, depth, prefix)),
+pg AS (SELECT r, doc_id, n_bytes, above, root, min(depth) AS depth, min(key) AS key FROM pf WHERE fits GROUP BY ALL)
+SELECT doc_id, n_bytes, depth, shard FROM i WHERE NOT crowded
+UNION ALL SELECT doc_id, n_bytes, above + depth, root || CASE WHEN depth = 0 THEN '' ELSE lpad(bin(key >> (60 - depth)), depth, '0') END FROM pg
 """
 
 
