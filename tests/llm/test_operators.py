@@ -1,8 +1,10 @@
 """The training-data operators on small fixtures, against brute force, libraries and round trips."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from callweave.llm import bpe, chat, langid, ogg, packing, quality, queries, secrets, sharding, suffixes
+from callweave.llm import bpe, chat, hashing, langid, ogg, packing, quality, queries, secrets, sharding, suffixes
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "\n\n", "é̂中\U0001f600", "a " * 3000, "token=abcdefgh1 " * 40, "x" * 70000, "same line\nsame line\nsame line"]
@@ -63,23 +65,51 @@ def cut_out(docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed, piece, common", [(1, 1 << 23, 1 << 16), (2, 64, 4)])
-def test_suffix_dedup_equals_brute_force(spark, monkeypatch, seed, piece, common):
-    monkeypatch.setattr(suffixes, "COMMON", common)
+LIMITS = [suffixes.LIMITS, suffixes.Limits(common=40, often=2, bucket=64, sent=256, run=128, piece=200)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_suffix_dedup_equals_brute_force(spark, seed):
     docs = repeated(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.suffix_dedup(df).collect())
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.suffix_dedup(df, limits=LIMITS[seed]).collect())
     assert got == cut_out(docs)
     assert suffixes.suffix_dedup(df.limit(0)).count() == 0
 
 
-def test_anchors_in_pieces_cover_the_same_windows(monkeypatch):
+def test_suffix_dedup_of_very_long_texts_and_clashing_names(spark):
+    rnd = random.Random(6)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(1_200_000))
+    docs = [(1, long), (2, "start " + long[400_000:] + " end"), (3, long), (4, "q" * 1_100_000), (5, "q" * 70)]
+    df = spark.createDataFrame([(d, t, 1, "x", 2, "y", "z") for d, t in docs], "doc_id long, text string, own_doc int, own_tag string, own_cuts int, own_text string, n_removed string")
+    rows = {r.doc_id: r for r in suffixes.suffix_dedup(df, with_text=True).collect()}
+    assert rows[1].n_removed == 0 and rows[3].kept_text == "" and rows[3].n_spans == 1
+    assert (rows[2].kept_text, rows[2].n_removed) == ("start  end", 800_000)
+    assert rows[4].n_removed == 0 and rows[5].kept_text == "" and rows[5].own_doc == 1
+
+
+def test_contexts_made_to_collide_are_told_apart():
+    """Polynomials modulo 2^64 give Thue-Morse strings and their complements one hash; fingerprints do not."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    a, b = (np.array([97 + (x ^ k) for x in bits], np.uint8) for k in (0, 1))
+    data, places = np.concatenate([a, b, a]), np.array([0, 2048, 4096])
+    found = hashing.Fingerprints(data).of(places, places + 2048)
+    assert found[0] == found[2] != found[1]
+    rnd = np.random.default_rng(5)
+    text = rnd.integers(97, 100, 4000).astype(np.uint8)
+    s, e = rnd.integers(0, 3900, 5000), rnd.integers(1, 12, 5000)
+    prints, seen = hashing.Fingerprints(text).of(s, s + e), {}
+    for i, j, h in zip(s.tolist(), (s + e).tolist(), prints.tolist()):
+        assert seen.setdefault(text[i:j].tobytes(), h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_anchors_in_pieces_cover_the_same_windows():
     text = pa.array(["".join(random.Random(4).choice("abc ") for _ in range(5000))])
     windows = []
-    for piece in (1 << 23, 700):
-        monkeypatch.setattr(suffixes, "PIECE", piece)
+    for limits in (suffixes.LIMITS, suffixes.Limits(piece=700)):
         seen = set()
-        for _, _, data, offsets, shift, _ in suffixes._runs(text):
+        for _, _, data, offsets, shift, _ in suffixes._runs(text, limits):
             a = suffixes.Anchors(data, offsets, np.zeros(0, np.uint64))
             seen |= {(int(s) + k + shift, int(g)) for s, r, g in zip(a.start, a.run, a.gram) for k in range(int(r))}
         windows.append(seen)
@@ -103,6 +133,16 @@ def test_ledger_and_ablation(spark, odd):
     assert quality.judged(odd.limit(0)).count() == 0
 
 
+def test_quality_of_a_long_text_beside_clashing_names(spark):
+    long = "word " * 150_000 + "other one"
+    df = spark.createDataFrame([(1, long, 1, 2, 3, 4), (2, None, 1, 2, 3, 4)], "doc_id long, text string, N_Words int, measured int, _w int, n_lines int")
+    got = {r.doc_id: r for r in quality.judged(df, "keeps").collect()}
+    assert got[1].n_words == 150_002 and got[1].fail_bits & 4 and got[1].measured == 2 and got[1]._w == 3 and not got[2].kept
+    prose = " ".join("abcdefghij"[i % 7 : i % 7 + 3] + str(i) for i in range(120_000)).replace("1", "x").replace("2", "y").replace("0", "z")
+    kept = quality.judged(spark.createDataFrame([(1, prose)], "doc_id long, text string"), "keeps").first()
+    assert kept.fail_bits & 4 and not kept.base_failed  # length alone is no reason there
+
+
 # -- BPE ----------------------------------------------------------------------
 
 PATH = queries.vocabulary(queries.BYTE_VOCABULARY)
@@ -122,9 +162,13 @@ def test_bpe_columns(spark, odd):
     texts = {(r.doc_id, r.text or "") for r in odd.collect()}
     encoded = bpe.bpe_encode(odd, PATH)
     assert {(r.doc_id, r.text) for r in bpe.bpe_decode(encoded, PATH).collect()} == texts
-    digest = {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in bpe.bpe_digest(odd, PATH).collect()}
-    assert {(d, h) for d, _, h in digest} == {(d, hashlib.sha256(t.encode()).hexdigest()) for d, t in texts}
+    library = Tokenizer.from_file(PATH)
+    ids = {(d, t): library.encode(t, add_special_tokens=False).ids for d, t in texts}
+    want = {(d, len(i), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest(), hashlib.sha256(library.decode(i, skip_special_tokens=False).encode()).hexdigest()) for (d, _), i in ids.items()}
+    assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.bpe_digest(odd, PATH).collect()} == want
     assert bpe.bpe_digest(odd.limit(0), PATH).count() == 0
+    with pytest.raises(ValueError):
+        bpe.load(queries.vocabulary(queries.WORD_VOCABULARY))
 
 
 # -- secrets ------------------------------------------------------------------
@@ -148,6 +192,16 @@ def test_secret_scan_equals_plain_regexes(spark, odd):
     for r in secrets.redact(found).collect():
         assert all(r.text is None or secrets.RULES[s.rank].kind == "hex" or plain_scan(r.text) == "" for s in r.spans)
     assert secrets.digest(secrets.scan(df.limit(0))).count() == 0
+    shuffled = secrets.scan(df, broadcast=0)
+    assert sorted((str(r.doc_id), r.spans) for r in secrets.digest(shuffled).collect()) == got
+
+
+def test_secret_scan_beside_clashing_names(spark):
+    long = "x " * 600_000 + "token=abcdefgh1"
+    df = spark.createDataFrame([(1, long, 5, 6, 7, 8), (None, "token=abcdefgh1", 5, 6, 7, 8)], "doc_id long, text string, id int, candidate int, rule_mask int, Spans int")
+    found = secrets.scan(df)
+    assert set(found.columns) == {"doc_id", "text", "id", "candidate", "rule_mask", "spans"}
+    assert {r.doc_id: (r.spans[0].start, r.id) for r in found.collect()} == {1: (1_200_000, 5), None: (0, 5)}
 
 
 def test_trigram_queries_hold_for_every_match():
@@ -181,6 +235,26 @@ def test_shards_fit_and_split_only_where_needed(spark, odd):
                 parents[p] += r.n_bytes
     assert all(total > 2000 for total in parents.values())
     assert sharding.shards(df.limit(0), 2000).count() == 0 and sharding.shards(odd).count() == odd.count()
+    again = sharding.shards(df.repartition(7), 2000).collect()  # pages don't depend on partitions
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_bytes, r.shard, r.depth)
+    assert sorted(map(key, again)) == sorted(map(key, rows))
+    assert sum("+" in r.shard for r in rows) >= 300
+    clash = df.selectExpr("doc_id", "text", "1 AS root", "2 AS key", "3 AS shard", "4 AS id", "5 AS n_bytes")
+    assert sorted(map(key, sharding.shards(clash, 2000).collect())) == sorted(map(key, rows))
+
+
+def test_sharding_sql_splits_and_pages(spark, tmp_path):
+    """The SQL and the operator on a table whose shards split and whose copies make pages."""
+    import duckdb
+
+    docs = [(i, "t" * (i % 997) * 40) for i in range(300)] + [(7, "same" * 5000)] * 60 + [(None, "z")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = sorted(map(str, con.sql("SELECT doc_id, n_bytes, shard, depth FROM (" + queries.ORACLE_SQL["op5_sharding"] + ")").fetchall()))
+    got = sorted(str((r.doc_id, r.n_bytes, r.shard, r.depth)) for r in sharding.shards(df).collect())
+    assert got == want and any("+" in x for x in got) and any("'1" in x for x in got)
 
 
 # -- media --------------------------------------------------------------------
@@ -209,6 +283,18 @@ def test_ogg_checksum_and_columns(spark, odd):
     assert sorted((str(r.doc_id), zlib.crc32(r.payload)) for r in back.collect()) == want
     assert ogg.media_digest(odd).select("media_sha256").distinct().count() == len(set(ODD) | {None}) - 1  # null is stored like ''
     assert ogg.media_digest(odd.limit(0)).count() == 0
+    stored = {(r.doc_id, r.text or ""): ogg.encode(*ogg.padded(r.text)) for r in odd.collect()}
+    want = []
+    for (d, text), media in stored.items():
+        raw = text.encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        want.append((str(d), len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest()))
+    got = {(str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in ogg.media_digest(odd).collect()}
+    assert got == set(want)
+    features: dict[str, set] = {}
+    for r in ogg.media_digest(odd).collect():
+        features.setdefault(r.payload_sha256, set()).add(r.feature)
+    assert all(len(x) == 1 for x in features.values()) and len({next(iter(x)) for x in features.values()}) > 3
 
 
 # -- packing ------------------------------------------------------------------
@@ -243,6 +329,26 @@ def test_packing(spark, odd):
         assert [r.offset for r in parts] == list(np.cumsum([0, *(r.length for r in parts)])[:-1])
         assert total <= 2048 and total & (total - 1) == 0
     assert packing.pack(docs.limit(0), WORDS).count() == 0 and packing.pack(odd, WORDS).count() > 0
+    clash = docs.selectExpr("doc_id", "text", "1 AS part", "2 AS tier", "3 AS doc", "4 AS rest")
+    assert packing.pack(clash, WORDS).groupBy().sum("length").first()[0] == sum(r.length for r in rows)
+
+
+@pytest.mark.parametrize("parts, pooled", [(1, 1024), (16, 1024), (16, 4)])
+def test_few_short_sequences_and_full_steps(spark, parts, pooled):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(parts)
+    rows = packing.pack(docs, WORDS, pooled=pooled).collect()
+    sizes: dict[int, int] = {}
+    for r in rows:
+        sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + r.length
+    short = [n for n in sizes.values() if n < 256]
+    assert len(short) <= 8 * -(-parts // pooled)  # at most one of each power of two for a pool
+    assert all(n == 2048 or n & (n - 1) == 0 for n in sizes.values())
+    steps: dict[tuple, set] = {}
+    for r in rows:
+        steps.setdefault((r.tier, r.step_group), set()).add(r.sequence_id)
+    for tier in {t for t, _ in steps}:
+        full = sorted((len(s) * tier for (t, _), s in steps.items() if t == tier), reverse=True)
+        assert all(n == packing.STEP_TOKENS for n in full[:-1]) and full[-1] <= packing.STEP_TOKENS
 
 
 # -- chat ---------------------------------------------------------------------
@@ -267,6 +373,13 @@ def test_long_reply_chain(spark):
     assert [t.text for t in row.turns] == [str(i) for i in range(1, 301)] and row.score == 300
 
 
+def test_linear_orders_equal_turns_and_ignores_other_columns(spark):
+    rows = [(1, 2, "user", "b", 1), (1, 2, "assistant", "z", 1), (1, 2, "assistant", "a", 1), (1, 1, None, None, 1), (None, 1, "user", "n", 1), (None, 1, "user", "n", 1), (2, 1, "assistant", "long " * 250_000, 1)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, leaf int").withColumn("conv", F.lit("x")).withColumn("node", F.lit(3)).withColumn("score", F.lit("y"))
+    got = {r.conv: [(t.role, t.text) for t in r.read_turns] for r in chat.parsed(chat.formatted(chat.branches(chat.linear(turns)))).collect()}
+    assert got[1] == [("", ""), ("assistant", "a"), ("assistant", "z"), ("user", "b")] and got[None] == [("user", "n")] * 2 and len(got[2][0][1]) == 1_250_000
+
+
 # -- language -----------------------------------------------------------------
 
 
@@ -281,3 +394,75 @@ def test_language_fusion(spark):
     got = {r.page_id: r.lang for r in langid.identify(odd, docs).collect()}
     assert got[2] == "de" and len(got) == 3
     assert langid.identify(odd, docs.limit(0)).count() == 0 and langid.identify(odd.limit(0), docs).count() == 0
+
+
+def plain_language(pages, docs):
+    """identify() in plain Python: (page, language, millionths) from the same model and constants."""
+    langs = sorted({lang for _, _, lang in docs})
+    counts = np.zeros((len(langs), langid.BUCKETS))
+    for _, text, lang in docs:
+        counts[langs.index(lang)] += np.bincount(langid.trigrams(text), minlength=langid.BUCKETS)
+    model, n = langid.Model(langs, counts), len(langs)
+
+    def share(logs):
+        top = max(logs)
+        return [math.exp(x - top) / sum(math.exp(y - top) for y in logs) for x in logs]
+
+    def domain(host):
+        names = host.split(".")
+        deep = len(names[-1]) == 2 and len(names) > 1 and names[-2] in langid.REGISTRIES
+        return ".".join(names[-3 if deep else -2 :])
+
+    said = []
+    for page, url, html in pages:
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", url or "")
+        host = m[1].lower() if m else ""
+        declared = re.search(r"""<html\b[^>]*?\blang\s*=\s*["']?([a-z]+)""", html or "", re.I | re.S)
+        seen = [(declared[1].lower() if declared else "", langid.DECLARED), (langid.COUNTRIES.get(host.split(".")[-1]), langid.SUFFIX)]
+        bare = re.sub(r"<[^>]*>", " ", re.sub(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", html or "", flags=re.S | re.I))
+        logs = list(model.score(bare))
+        for value, right in seen:
+            if value in langs:
+                logs = [x + math.log(right if lang == value else (1 - right) / (n - 1)) for x, lang in zip(logs, langs)]
+        said.append((page, host, domain(host), logs, [round(p * langid.UNIT) for p in share(logs)]))
+    by_host, by_domain = {}, {}
+    for _, host, dom, _, p in said:
+        by_host[host] = [a + b for a, b in zip(by_host.get(host, [0] * n), p)]
+        by_domain[dom] = [a + b for a, b in zip(by_domain.get(dom, [0] * n), p)]
+    whole = [sum(v[i] for v in by_domain.values()) + langid.UNIT for i in range(n)]
+    weight, out = langid.PARENT * langid.UNIT, []
+    for page, host, dom, logs, p in said:
+        in_domain = [(by_domain[dom][i] + weight * whole[i] / sum(whole)) / (sum(by_domain[dom]) + weight) for i in range(n)]
+        rest = [a - b for a, b in zip(by_host[host], p)]
+        prior = [(rest[i] + weight * in_domain[i]) / (sum(rest) + weight) for i in range(n)]
+        final = [round(x * langid.UNIT) for x in share([a + math.log(b) for a, b in zip(logs, prior)])]
+        best = max(range(n), key=lambda i: (final[i], -i))
+        out.append((page, langs[best], final[best]))
+    return out
+
+
+def test_language_equals_a_plain_version(spark):
+    pages, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("pages", "documents"))
+    odd = [(-1, None, None), (-2, "http://a.co.uk/x", "<html lang=de><script>open"), (-2, "http://a.co.uk/x", "<html lang=de><script>open"), (-3, "http://b.co.uk/", "the <b>and</b> <!-- x --> of"), (-4, "http://h.at", "y" * 400_000)]
+    rows = [(r.page_id, r.url, r.html) for r in pages.select("page_id", "url", "html").collect()] + odd
+    table = spark.createDataFrame([(*r, "c", "d") for r in rows], "page_id long, url string, html string, lang string, host string")
+    train = [(r.doc_id, r.text, r.lang) for r in docs.filter("text IS NOT NULL AND lang IS NOT NULL").collect()]
+    want = {}
+    for page, lang, millionths in plain_language(rows, train):
+        want.setdefault(page, []).append((lang, millionths))
+    got = {}
+    for r in langid.identify(table, docs).collect():
+        got.setdefault(r.page_id, []).append((r.lang, r.millionths))
+    assert got.keys() == want.keys()
+    for page, found in got.items():
+        for (a, x), (b, y) in zip(sorted(found), sorted(want[page])):
+            assert a == b and abs(x - y) <= 2, page
+
+
+def test_pages_are_read_in_linear_time():
+    began = time.perf_counter()
+    for html in ("<" * 1_000_000, "<script " * 125_000, "<!--" * 250_000, "<style>" * 150_000 + "</script>", "x" * 1_000_000):
+        langid.visible(html)
+    assert time.perf_counter() - began < 10
+    assert langid.visible("a<b>c</b><SCRIPT>x<p></script >d<!-- e > -->f<g") == "a c  d f<g"
+    assert langid.visible("<script>never closed <b>here") == " never closed  here"
