@@ -44,9 +44,13 @@ PHONES = (
     compiled(r"(?<!\d)\d(?:[\s,.-]{1,2}\d){6,}(?!\d)"),
 )
 EMAIL = compiled(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
+EMAIL_LOCAL, EMAIL_DOMAIN = compiled(r"[A-Za-z0-9._%+-]*"), compiled(r"[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
 EMAIL_SPOKEN_OUT = compiled(
     rf"\b[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}(?:com|net|org|edu|gov|io|co|us|biz|info)\b", True
 )
+#: Parts of the spoken form: what stands before `at` (read backwards) and after it; both may take in more than the whole does.
+SPOKEN_BEFORE = compiled(r"[\s(\[]*[A-Za-z0-9_%+-]*(?:[\s)\]]*tod[\s(\[]*[A-Za-z0-9_%+-]+)*+", True)
+SPOKEN_AFTER = compiled(rf"at[\s)\]]*[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}(?:com|net|org|edu|gov|io|co|us|biz|info)\b", True)
 STREET_ADDRESS = compiled(rf"\b\d{{1,6}}\s+(?:{_NAME_WORD}\s+){{0,3}}{_SUFFIX}\b\.?(?:,?\s+(?:apt|suite|ste|unit|#)\.?\s*[A-Za-z0-9-]+)?", True)
 CROSS_STREETS = (
     compiled(rf"(?<![A-Za-z])(?:{_CAP_WORD}\s+){{1,3}}(?:{_SUFFIX_CASED}\s+)?{_CONNECTOR}\s+(?:{_CAP_WORD}\s+){{0,3}}{_SUFFIX_CASED}\b"),
@@ -73,6 +77,9 @@ EMAIL_LIKE = (
     compiled(r"[a-z0-9_%+-]+\s*[@＠﹫]\s*[a-z0-9.-]+", True),
     compiled(r"\b[a-z0-9]+\s+at\s+[a-z0-9]+(?:\s*(?:\.|\bdot\b)\s*|\.)(?:com|net|org|edu|gov|io)\b", True),
 )
+#: The first of EMAIL_LIKE in parts: blanks and letters before the sign (read backwards), and what follows it.
+LIKE_BEFORE, LIKE_AFTER = compiled(r"\s*([a-z0-9_%+-]*)", True), compiled(r"\s*[a-z0-9.-]+", True)
+CONNECTED = compiled(rf"\s{_CONNECTOR}\s")
 ADDRESS_WORD = compiled(r"\b(street|avenue|boulevard|address|apartment|apt|suite|zip\s*code|zip)\b", True)
 TOKEN = re.compile(r"\[[A-Z_]+_\d+\]", re.ASCII)
 DIGIT_WORDS = ("zero", "oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")

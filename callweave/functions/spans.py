@@ -8,8 +8,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache
+from itertools import accumulate, groupby, islice, pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -77,8 +78,28 @@ class Squeezed:
 _SIGN, _AT, _DIGIT = re.compile("[@＠﹫]"), re.compile(r"\bat\b", re.I | re.ASCII), re.compile(r"\d", re.ASCII)
 
 
+def _around(text: str, sign: re.Pattern[str], before: re.Pattern[str], after: re.Pattern[str]) -> list[Span]:
+    """Disjoint e-mails, each found from its sign outwards: what `before` takes in backwards and `after` forwards.
+
+    The same as a search for the whole from the left, without trying every start of a long unbroken text.
+    """
+    out, done, back = [], 0, text[::-1]
+    for m in sign.finditer(text):
+        if m.start() < done or (right := after.match(text, m.end())) is None:
+            continue
+        left = before.match(back, len(text) - m.start())
+        start, end = (max(done, len(text) - left.end()), len(text) - left.start(left.lastindex or 0))
+        if start < end:
+            out.append(Span(start, right.end(), "email"))
+            done = right.end()
+    return out
+
+
+_WRITTEN = re.compile("@")
+
+
 def email_like(text: str) -> list[Span]:
-    found = _hits(text, P.EMAIL_LIKE[0], "email") if _SIGN.search(text) else []
+    found = _around(text, _SIGN, P.LIKE_BEFORE, P.LIKE_AFTER) if _SIGN.search(text) else []
     return found + (_hits(text, P.EMAIL_LIKE[1], "email") if _AT.search(text) else [])
 
 
@@ -86,10 +107,24 @@ def phones(text: str) -> list[Span]:
     return uncontained(s for p in P.PHONES for s in _hits(text, p, "phone")) if _DIGIT.search(text) else []
 
 
+def spoken_emails(text: str) -> list[Span]:
+    """`name at host dot com`: looked for only where a host follows an `at`, from where its name can begin."""
+    if not _AT.search(text) or "dot" not in text.lower():
+        return []
+    out, done, back = [], 0, text[::-1]
+    for m in _AT.finditer(text):
+        if m.start() < done or (right := P.SPOKEN_AFTER.match(text, m.start())) is None:
+            continue
+        left = P.SPOKEN_BEFORE.match(back, len(text) - m.start())
+        whole = P.EMAIL_SPOKEN_OUT.search(text, max(done, len(text) - left.end()), right.end())
+        if whole is not None:
+            out.append(Span(*whole.span(), "email"))
+            done = whole.end()
+    return out
+
+
 def emails(text: str) -> list[Span]:
-    written = _hits(text, P.EMAIL, "email") if "@" in text else []
-    spoken = _hits(text, P.EMAIL_SPOKEN_OUT, "email") if _AT.search(text) and "dot" in text.lower() else []
-    return uncontained([*written, *spoken, *email_like(text)])
+    return uncontained([*_around(text, _WRITTEN, P.EMAIL_LOCAL, P.EMAIL_DOMAIN), *spoken_emails(text), *email_like(text)])
 
 
 def street_addresses(text: str) -> list[Span]:
@@ -100,7 +135,7 @@ _BLANKS = re.compile(P.SPACE + r"+\Z")
 
 
 def cross_streets(text: str) -> list[Span]:
-    found = [s for p in P.CROSS_STREETS for s in _hits(text, p, "cross_street")]
+    found = [s for p in P.CROSS_STREETS for s in _hits(text, p, "cross_street")] if P.CONNECTED.search(text) else []
     return uncontained(s._replace(end=s.start + len(_BLANKS.sub("", text[s.start : s.end]))) for s in found)
 
 
@@ -138,24 +173,27 @@ def long_numbers(text: str, kind: str = "number") -> list[Span]:
 _SPOKEN_DIGIT = re.compile("(?<![A-Za-z])(?:" + "|".join(P.DIGIT_WORDS) + ")(?![A-Za-z])", re.I | re.ASCII)
 
 
+def _weights(words: list[str]) -> list[int]:
+    """How many digits each word of a run says: a digit as often as the multiplier before it tells."""
+    return [P.MULTIPLIERS.get(before, 1) if word in P.DIGIT_WORDS else 0 for before, word in pairwise(["", *words])]
+
+
+def spoken(run: str) -> int:
+    """Digits that a run of digit words says."""
+    return sum(_weights(_LETTERS.findall(run.lower())))
+
+
 def spelled_digits(text: str, kind: str = "phone") -> list[Span]:
     """Runs of seven or more spoken digits; `double` and `triple` multiply the next one."""
     if len(_SPOKEN_DIGIT.findall(text)) * max(P.MULTIPLIERS.values()) < P.LONG_RUN:
         return []
-    out: list[Span] = []
-    count, times, start, end = 0, 1, -1, -1
-    for m in [*_LETTERS.finditer(text), None]:
-        word = m[0].lower() if m else ""
-        if m and word in P.MULTIPLIERS:
-            times = P.MULTIPLIERS[word]
-            start = m.start() if start < 0 else start
-        elif m and word in P.DIGIT_WORDS:
-            count, times, end = count + times, 1, m.end()
-            start = m.start() if start < 0 else start
-        else:
-            if count >= P.LONG_RUN:
-                out.append(Span(start, end, kind))
-            count, times, start, end = 0, 1, -1, -1
+    words = [(m[0].lower(), *m.span()) for m in _LETTERS.finditer(text)]
+    out = []
+    for said, run in groupby(words, lambda w: w[0] in P.DIGIT_WORDS or w[0] in P.MULTIPLIERS):
+        run = list(run) if said else []
+        weights = _weights([w for w, *_ in run])
+        if sum(weights) >= P.LONG_RUN:
+            out.append(Span(run[0][1], max(end for (*_, end), n in zip(run, weights) if n), kind))
     return out
 
 
@@ -163,45 +201,66 @@ def greeted_names(text: str) -> list[Span]:
     return [s for p in P.GREETED_NAMES for s in _hits(text, p, "name", 1)]
 
 
+class Words:
+    """The letter and digit words of a text, and where each occurs."""
+
+    def __init__(self, text: str):
+        self.places = [m.span() for m in _ALNUM.finditer(text)]
+        self.words = [text[s:e].lower() for s, e in self.places]
+        self.at: dict[str, list[int]] = {}
+        for i, w in enumerate(self.words):
+            self.at.setdefault(w, []).append(i)
+
+    def runs(self, wanted: list[str], kind: str, detector: str = "regex") -> list[Span]:
+        """Disjoint runs of the wanted words."""
+        out, free, n = [], 0, len(wanted)
+        for i in self.at.get(wanted[0], ()) if wanted else ():
+            if i >= free and self.words[i : i + n] == wanted:
+                out.append(Span(self.places[i][0], self.places[i + n - 1][1], kind, detector))
+                free = i + n
+        return out
+
+
 def denied(text: str, terms: Iterable[str]) -> list[Span]:
     """Deny terms as whole words of the text, whatever stands between the words."""
-    flat, out = squeezed(text), []
+    flat = squeezed(text)
     terms = [t for t in terms if squeezed(t) in flat]
-    words = [(m.start(), m.end(), m[0].lower()) for m in _ALNUM.finditer(text)] if terms else []
-    for term in terms:
-        wanted = [m[0].lower() for m in _ALNUM.finditer(term)]
-        out += _word_runs(words, wanted, "deny_list", "deny_list")
-    return sorted(out, key=lambda s: s.start)
-
-
-def _word_runs(words: list[tuple[int, int, str]], wanted: list[str], kind: str, detector: str = "regex") -> list[Span]:
-    out, i, n = [], 0, len(wanted)
-    while n and i + n <= len(words):
-        if all(words[i + j][2] == w for j, w in enumerate(wanted)):
-            out.append(Span(words[i][0], words[i + n - 1][1], kind, detector))
-            i += n
-        else:
-            i += 1
-    return out
+    words = Words(text) if terms else None
+    return sorted((s for t in terms for s in words.runs([m[0].lower() for m in _ALNUM.finditer(t)], "deny_list", "deny_list")), key=lambda s: s.start)
 
 
-def denied_anywhere(text: str, terms: Iterable[str]) -> list[Span]:
+def denied_anywhere(text: str, terms: Iterable[str], letters: Squeezed | None = None) -> list[Span]:
     """Deny terms of three or more letters in the squeezed text."""
-    if not (terms := list(terms)):
+    needles = [n for t in terms if len(n := squeezed(t)) >= P.VALUE_LEAST]
+    if not needles:
         return []
-    letters = Squeezed(text)
-    return [s for t in terms if len(squeezed(t)) >= P.VALUE_LEAST for s in letters.occurrences(squeezed(t), "deny_list", "deny_list")]
+    letters = letters or Squeezed(text)
+    return [s for n in needles for s in letters.occurrences(n, "deny_list", "deny_list")]
 
 
-def value_occurrences(text: str, value: str, kind: str = "other") -> list[Span]:
+def value_occurrences(text: str, value: str, kind: str = "other", read: Read | None = None) -> list[Span]:
     """A known value again: long ones in the squeezed text, short ones as whole words."""
-    needle = squeezed(value)
+    needle, read = squeezed(value), read or Read(text)
     if len(needle) < P.VALUE_LEAST:
         return []
     if len(needle) >= P.VALUE_COLLAPSED:
-        return Squeezed(text).occurrences(needle, kind)
-    words = [(m.start(), m.end(), m[0].lower()) for m in _ALNUM.finditer(text)]
-    return _word_runs(words, [w for w in _OTHER.split(value.lower()) if w], kind)
+        return read.letters.occurrences(needle, kind)
+    return read.words.runs([w for w in _OTHER.split(value.lower()) if w], kind)
+
+
+class Read:
+    """A text and its readings, each made once when asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def letters(self) -> Squeezed:
+        return Squeezed(self.text)
+
+    @cached_property
+    def words(self) -> Words:
+        return Words(self.text)
 
 
 _NUMBER = re.compile(r"\d+", re.ASCII)
@@ -235,25 +294,36 @@ def address_like(text: str) -> bool:
     return _DIGIT.search(text) is not None and any(not _inside(s, known) for s in _hits(text, P.ADDRESS_LIKE, "street_address"))
 
 
+def _union(block: list[Span]) -> Span:
+    """One span over spans in order of their starts.
+
+    The higher detector names it, then the longer span (one that outgrows all before it), then the earlier one.
+    """
+    start, ends = block[0].start, list(accumulate((s.end for s in block), max))
+    ranks = [PRIORITY[s.detector] for s in block]
+    highest = list(accumulate(ranks, max))
+    grows = lambda i: ranks[i] > highest[i - 1] or (ranks[i] == highest[i - 1] and block[i].end - block[i].start > ends[i - 1] - start)
+    name = block[max((i for i in range(1, len(block)) if grows(i)), default=0)]
+    sure = [s.confidence for s in block if s.confidence is not None]
+    return Span(start, ends[-1], name.kind, name.detector, min(sure, default=None))
+
+
 def merge(spans: Iterable[Span]) -> tuple[list[Span], bool]:
     """Disjoint spans, and whether different kinds overlapped.
 
-    Touching spans of one kind join, overlapping ones always do; the higher detector names the union, then the
-    longer span, then the earlier one. The least confidence stands.
+    Overlapping spans always join: a block ends where the next start has passed every end so far. Blocks that touch
+    join if they are of one kind.
     """
+    ordered = sorted(spans, key=lambda s: (s.start, -s.end))
+    reach = list(accumulate((s.end for s in ordered), max))
+    edges = [i for i in range(1, len(ordered)) if ordered[i].start >= reach[i - 1]]
     out: list[Span] = []
-    mixed = False
-    for s in sorted(spans, key=lambda s: (s.start, -s.end)):
-        if not out or s.start > out[-1].end or (s.start == out[-1].end and s.kind != out[-1].kind):
-            out.append(s)
-            continue
-        last = out[-1]
-        mixed |= s.kind != last.kind
-        strength = lambda x: (PRIORITY[x.detector], x.end - x.start)
-        name = s if strength(s) > strength(last) else last
-        sure = [c for c in (last.confidence, s.confidence) if c is not None]
-        out[-1] = Span(last.start, max(last.end, s.end), name.kind, name.detector, min(sure) if sure else None)
-    return out, mixed
+    blocks: list[list[Span]] = []
+    for i, j in pairwise([0, *edges, len(ordered)] if ordered else [0]):
+        touches = out and ordered[i].start == out[-1].end and ordered[i].kind == out[-1].kind
+        blocks[len(blocks) - bool(touches) :] = [(blocks[-1] if touches else []) + ordered[i:j]]
+        out[len(blocks) - 1 :] = [_union(blocks[-1])]
+    return out, any(len({s.kind for s in b}) > 1 for b in blocks)
 
 
 class Tokenized(NamedTuple):
@@ -284,26 +354,34 @@ def tokenize(text: str, spans: Iterable[Span]) -> Tokenized:
     return Tokenized("".join([*parts, text[at:]]), vault, findings)
 
 
-def _reappears(value: str, squeezed_text: str, words: list[str]) -> bool:
+def _reappears(value: str, squeezed_text: str, words: Words) -> bool:
     needle = squeezed(value)
     if len(needle) < P.VALUE_LEAST:
         return False
     if len(needle) >= P.VALUE_COLLAPSED:
         return needle in squeezed_text
-    wanted = [w for w in _OTHER.split(value.lower()) if w]
-    return any(words[i : i + len(wanted)] == wanted for i in range(len(words) - len(wanted) + 1))
+    return bool(words.runs([w for w in _OTHER.split(value.lower()) if w], "other"))
 
 
 def reappears(value: str, redacted: str) -> bool:
     """Whether a vaulted value can be read in a redacted text."""
-    bare = P.TOKEN.sub(" ", redacted)
-    return _reappears(value, squeezed(bare), [w for w in _OTHER.split(bare.lower()) if w])
+    return any(reappearing([value], redacted))
+
+
+def reappearing(values: Iterable[str], redacted: str) -> list[bool]:
+    """For each vaulted value whether it can be read in a redacted text, which is read once."""
+    values = list(values)
+    if not values:
+        return []
+    bare = P.TOKEN.sub(" ", redacted).lower()
+    flat, words = squeezed(bare), Words(bare)
+    return [_reappears(v, flat, words) for v in values]
 
 
 def residual(redacted: str, vaulted: Iterable[str] = (), deny: Iterable[str] = ()) -> dict[str, int]:
     """What personal data a redacted text still seems to hold: count by category, without zeros."""
-    text = P.TOKEN.sub(" ", redacted)
-    flat, words = squeezed(text), [w for w in _OTHER.split(text.lower()) if w]
+    text, vaulted = P.TOKEN.sub(" ", redacted), list(vaulted)
+    flat, words = squeezed(text), Words(text.lower()) if vaulted else None
     near = lambda m: _DIGIT.search(text, max(0, m.start() - P.ADDRESS_WINDOW), min(len(text), m.end() + P.ADDRESS_WINDOW))
     counts = {
         "vault_value_reintroduced": sum(_reappears(v, flat, words) for v in vaulted),
@@ -344,21 +422,32 @@ class Repaired(NamedTuple):
     rounds: int
 
 
+def _missed(text: str, spans: list[Span], done: Tokenized, deny: list[str]) -> list[Span]:
+    """What the residual scan would find outside the spans, as spans of the text."""
+    read = Read((masked := Masked(text, spans)).text)
+    scans = (long_numbers, spelled_digits, greeted_names, email_like, address_digits)
+    found = [s for scan in scans for s in scan(read.text)] + (denied_anywhere(read.text, deny, read.letters) if deny else [])
+    kinds = {token: kind for kind, token, _ in done.findings}
+    found += [s for token, value in done.vault for s in value_occurrences(read.text, value, kinds[token], read)]
+    return [s for s in map(masked.back, found) if s is not None and not _inside(s, spans)]
+
+
+def _widening(text: str, spans: list[Span], deny: list[str]) -> Iterator[tuple[list[Span], Tokenized, bool]]:
+    """Spans, replacement and clash after each round that has added something, beginning with none."""
+    done, mixed = tokenize(text, spans), False
+    yield spans, done, mixed
+    while new := _missed(text, spans, done, deny):
+        spans, clash = merge([*spans, *new])
+        done, mixed = tokenize(text, spans), mixed or clash
+        yield spans, done, mixed
+
+
 def repair(text: str, spans: list[Span], deny: Iterable[str] = (), rounds: int = P.REPAIR_ROUNDS) -> Repaired:
     """Add spans until nothing that the residual scan looks for is left outside them."""
-    deny, mixed, done = list(deny), False, tokenize(text, spans)
-    for n in range(1, rounds + 1):
-        masked = Masked(text, spans)
-        kinds = {token: kind for kind, token, _ in done.findings}
-        found = [*long_numbers(masked.text), *spelled_digits(masked.text), *greeted_names(masked.text), *email_like(masked.text), *address_digits(masked.text), *denied_anywhere(masked.text, deny)]
-        found += [s for token, value in done.vault for s in value_occurrences(masked.text, value, kinds[token])]
-        new = [s for s in map(masked.back, found) if s is not None and not _inside(s, spans)]
-        if not new:
-            return Repaired(spans, done, mixed, not any(reappears(v, done.text) for _, v in done.vault), n)
-        spans, clash = merge([*spans, *new])
-        mixed |= clash
-        done = tokenize(text, spans)
-    return Repaired(spans, done, mixed, False, rounds)
+    states = list(islice(_widening(text, spans, list(deny)), rounds + 1))
+    spans, done, mixed = states[-1]
+    settled = len(states) <= rounds
+    return Repaired(spans, done, mixed, settled and not any(reappearing([v for _, v in done.vault], done.text)), min(len(states), rounds))
 
 
 class Redaction(NamedTuple):
@@ -395,7 +484,7 @@ def signals(text: str, spans: list[Span], disagreement: bool, residual_hit: bool
 #: Labels of the token model.
 NER_KINDS = {"PER": "name", "LOC": "location", "ORG": "organization", "MISC": "other"}
 NER_WINDOW = 510
-_WORD = re.compile(r"[A-Za-z0-9'’-]")
+_WORD = re.compile(r"[A-Za-z0-9'’-]*")
 _HOUSE = re.compile(r"(?<!\d)\d{1,6}[ \t]+\Z", re.ASCII)
 _WORD_START = re.compile(r"(?<![A-Za-z'])[a-z]")
 
@@ -420,45 +509,34 @@ def chunks(length: int, size: int, overlap: int) -> list[int]:
     return out
 
 
+def _places(text: str, pieces: Iterable[str]) -> Iterator[tuple[int, int] | None]:
+    """Where each piece stands, each behind the last one found; None for a piece that isn't there."""
+    end = 0
+    for piece in pieces:
+        start = text.find(piece, end) if piece else -1
+        end = end if start < 0 else start + len(piece)
+        yield None if start < 0 else (start, end)
+
+
 def align(text: str, tokens: Iterable[tuple[str, float, str]], offset: int = 0) -> tuple[list[Span], bool, bool]:
     """Spans of a token model's (entity, score, word piece) list; whether an entity got lost; whether it was cut off.
 
-    Pieces are found one after another; neighbours of one kind form a span, which grows to whole words.
+    Pieces are placed one after another; neighbours of one kind form a span, which grows to whole words.
     """
-    spans: list[Span] = []
-    low, cursor, failed, tokens = text.lower(), 0, False, list(tokens)
-    run: list = []  # start, end, kind, scores
-
-    def close() -> None:
-        if run:
-            start, end, kind, scores = run
-            while start and _WORD.match(text[start - 1]):
-                start -= 1
-            while end < len(text) and _WORD.match(text[end]):
-                end += 1
-            spans.append(Span(start + offset, end + offset, kind, "ner", sum(scores) / len(scores)))
-            run.clear()
-
-    for entity, score, word in tokens:
-        joined, piece = word.startswith("##"), word.removeprefix("##")
-        at = low.find(piece.lower(), cursor) if piece and piece != "[UNK]" else -1
-        if at < 0:
-            failed |= entity != "O"
-            close()
-            continue
-        cursor = at + len(piece)
-        if entity == "O":
-            close()
-            continue
-        kind = NER_KINDS.get(entity.partition("-")[2], "other")
-        if run and run[2] == kind and (joined or at - run[1] <= 1):
-            run[1] = cursor
-            run[3].append(score)
-        else:
-            close()
-            run[:] = [at, cursor, kind, [score]]
-    close()
-    return spans, failed, len(tokens) >= NER_WINDOW
+    tokens = list(tokens)
+    places = list(_places(text.lower(), ("" if word in ("[UNK]", "##[UNK]") else word.removeprefix("##").lower() for *_, word in tokens)))
+    kinds = [None if entity == "O" or place is None else NER_KINDS.get(entity.partition("-")[2], "other") for (entity, *_), place in zip(tokens, places)]
+    near = lambda i: tokens[i][2].startswith("##") or places[i][0] - places[i - 1][1] <= 1
+    goes_on = lambda i: i > 0 and kinds[i] is not None and kinds[i] == kinds[i - 1] and near(i)
+    runs = accumulate(not goes_on(i) for i in range(len(tokens)))
+    spans, back = [], text[::-1]
+    for _, run in groupby(zip(runs, kinds, places, tokens), lambda x: x[0]):
+        _, (kind, *_), at, scored = zip(*run)
+        if kind is not None:
+            start, end = len(text) - _WORD.match(back, len(text) - at[0][0]).end(), _WORD.match(text, at[-1][1]).end()
+            spans.append(Span(start + offset, end + offset, kind, "ner", sum(x for _, x, _ in scored) / len(scored)))
+    lost = any(entity != "O" and place is None for (entity, *_), place in zip(tokens, places))
+    return spans, lost, len(tokens) >= NER_WINDOW
 
 
 def ner(text: str, model, scope: Iterable[str] = ("person", "numbered_location"), least: float = 0.8, size: int = 1000, overlap: int = 100) -> tuple[list[Span], list[str]]:

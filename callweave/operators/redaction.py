@@ -46,6 +46,44 @@ def detect(text: Column, name: str = "composite") -> Column:
     return span_udf(DETECTORS[name])(text)
 
 
+def spelled_runs(text: Column) -> Column:
+    """Digits of each run of seven or more spoken ones."""
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [S.spoken(t[s.start : s.end]) for s in S.spelled_digits(t or "")])
+
+    return run(text)
+
+
+def house_numbers(text: Column, start: Column) -> Column:
+    """Where a house number right before a place of the text begins."""
+    @F.pandas_udf("int")
+    def run(texts: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([S.house_number(t or "", int(s)) for t, s in zip(texts, starts)], dtype="Int32")
+
+    return run(text, start)
+
+
+def span_signals(text: Column, deny: list[str]) -> Column:
+    """The risk signals of a text whose spans are its long numbers and client terms."""
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: S.signals(t or "", [*S.long_numbers(t or ""), *S.denied_anywhere(t or "", deny)], False))
+
+    return run(text)
+
+
+def reintroduced(text: Column, values: Iterable[str]) -> Column:
+    """For each vaulted value whether it can be read in a redacted text."""
+    known = list(values)
+
+    @F.pandas_udf("array<boolean>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: S.reappearing(known, t or ""))
+
+    return run(text)
+
+
 def deny_list(text: Column, terms: list[str], anywhere: bool = False) -> Column:
     find = S.denied_anywhere if anywhere else S.denied
     return span_udf(lambda t: find(t, terms))(text)
@@ -109,6 +147,23 @@ def sanitized(value: Column, deny: list[str] | None = None) -> Column:
     return F.when(F.size(F.map_keys(residual(value, deny))) == 0, value)
 
 
+def sanitized_rows(df: DataFrame, scalars: list[str], arrays: list[str], deny: list[str] | None = None) -> DataFrame:
+    """Every free text of every row held against the scan: an unsafe scalar becomes null, an unsafe element leaves its array.
+
+    All texts of a row go through one UDF call.
+    """
+    terms = list(deny or [])
+    safe = lambda t: t is None or not S.residual(t, (), terms)
+
+    @F.pandas_udf(", ".join([*(f"{x} string" for x in scalars), *(f"{x} array<string>" for x in arrays)]))
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        one = {x: [t if safe(t) else None for t in rows[x]] for x in scalars}
+        return pd.DataFrame(one | {x: [None if a is None else [t for t in a if safe(t)] for a in rows[x]] for x in arrays})
+
+    clean = df.withColumn("_clean", run(F.struct(*scalars, *arrays)))
+    return clean.select(*(F.col(f"_clean.{x}").alias(x) if x in (*scalars, *arrays) else F.col(x) for x in df.columns))
+
+
 def verbatim(phrases: Column, text: Column) -> Column:
     """struct<phrases,exact,snapped,dropped>: phrases held against a text."""
     @F.pandas_udf("phrases array<string>, exact int, snapped int, dropped int")
@@ -223,6 +278,47 @@ def json_leaves(x: Column) -> Column:
     return run(x)
 
 
+#: Keys of a payload, in lower case, whose values are personal.
+LABELS = {
+    "phones": ("phone", "phone_number", "external_number", "from_number", "to_number"),
+    "names": ("name", "contact_name", "caller_name", "customer_name"),
+    "emails": ("email", "email_address", "contact_email"),
+}
+
+
+def labelled_values(x: Column) -> Column:
+    """struct<phones,names,emails>: every text or number below a key of LABELS, at any depth, each once and in order of place."""
+    of = {key: kind for kind, keys in LABELS.items() for key in keys}
+
+    def below(node) -> list[str]:
+        inner = node.values() if isinstance(node, dict) else node if isinstance(node, list) else None
+        if inner is not None:
+            return [v for x in inner for v in below(x)]
+        text = "" if node is None or isinstance(node, bool) else str(node).strip()
+        return [text] if text else []
+
+    def one(t: str | None) -> dict[str, list[str]]:
+        found: dict[str, list[str]] = {kind: [] for kind in LABELS}
+        try:
+            open_ = [json.loads(t)] if t else []
+        except ValueError:
+            open_ = []
+        while open_:
+            node = open_.pop(0)
+            for key, v in node.items() if isinstance(node, dict) else ():
+                if (kind := of.get(key.lower())) is not None:
+                    found[kind] += below(v)
+            if isinstance(node, dict | list):
+                open_ += [v for k, v in (node.items() if isinstance(node, dict) else enumerate(node)) if not (isinstance(k, str) and k.lower() in of)]
+        return {kind: list(dict.fromkeys(values)) for kind, values in found.items()}
+
+    @F.pandas_udf(", ".join(f"{kind} array<string>" for kind in LABELS))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in texts], columns=list(LABELS))
+
+    return run(x)
+
+
 def strict_record(response: Column, stop_reason: Column, fields: dict[str, tuple[str, ...] | None]) -> Column:
     """struct<record map, failure>: a model's JSON answer, all fields and no others, each in its domain.
 

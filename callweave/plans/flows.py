@@ -8,7 +8,7 @@ from ..functions import columns as C
 from ..functions import vocab as V
 from ..operators import rows as R
 from ..operators import states as S
-from .registry import at, query
+from .registry import at, hmac_sql, query
 from .standins import NOW, RETENTION_NOW, Tables
 
 c = F.col
@@ -26,8 +26,31 @@ def _results(t: Tables):
     return numbered.select(c("user_id").alias("call_id"), c("event_id").alias("id"), c("ts").alias("at"), stage.alias("stage"), action.alias("action"))
 
 
-for name in ("str_01", "str_02", "op_58"):
-    query(name)(lambda t: S.call_fold(_results(t)))
+def fold_sql(results: str) -> str:
+    """The fold of stage results in SQL; results: call_id, n (1, 2, ...), seq, at, stage (from 0), action. One step takes every call's next row."""
+    hits = "f.status = 'processing' AND r.stage = f.rank"
+    return f"""
+, r AS ({results}),
+f AS (SELECT DISTINCT call_id, 0::BIGINT AS n, 'processing' AS status, 0 AS rank, NULL::TIMESTAMP AS since, NULL::BIGINT AS seq, false AS moved FROM r
+  UNION ALL SELECT f.call_id, r.n,
+    CASE WHEN NOT ({hits}) THEN f.status WHEN r.action = 'hold' THEN 'held' WHEN r.action = 'drop' AND f.rank IN {tuple(V.STAGES.index(x) for x in V.SKIP_STAGES)} THEN 'skipped' WHEN r.action = 'continue' AND f.rank = {len(V.STAGES) - 1} THEN 'completed' ELSE f.status END,
+    CASE WHEN {hits} AND r.action = 'continue' AND f.rank < {len(V.STAGES) - 1} THEN f.rank + 1 ELSE f.rank END,
+    CASE WHEN {hits} AND r.action <> 'defer' THEN r.at ELSE f.since END, r.seq,
+    {hits} AND (r.action IN ('hold', 'continue') OR (r.action = 'drop' AND f.rank IN {tuple(V.STAGES.index(x) for x in V.SKIP_STAGES)}))
+  FROM f JOIN r ON r.call_id = f.call_id AND r.n = f.n + 1)
+"""
+
+
+_STAGE_NAMES = f"{list(V.STAGES)}"
+_RESULTS = (
+    "SELECT user_id AS call_id, n, n AS seq, ts AS at, ((n - 1) // 2) % 9 AS stage, CASE WHEN value > 150 THEN 'hold' WHEN value > 100 THEN 'drop' WHEN value > 80 THEN 'defer' ELSE 'continue' END AS action "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) AS x"
+)
+query("str_01", fold_sql(_RESULTS) + f"SELECT call_id, arg_max(status, n) AS status, {_STAGE_NAMES}[arg_max(rank, n) + 1] AS stage, max(since) AS at FROM f GROUP BY call_id")(lambda t: S.call_fold(_results(t)))
+# the log row of every guarded transition, in the order of the call's results
+query("str_02", fold_sql(_RESULTS) + f"SELECT call_id, status, {_STAGE_NAMES}[rank + 1] AS stage, seq FROM f WHERE moved")(
+    lambda t: S.call_moves(_results(t).withColumn("seq", F.row_number().over(R.Window.partitionBy("call_id").orderBy("at", "id"))))
+)
 query("str_03", "SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) AS x WHERE before IS NULL OR ts > before + INTERVAL 5 MINUTES")(
     lambda t: t.events.withColumn("before", F.lag("ts").over(R.Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))).filter(c("before").isNull() | (c("ts") > c("before") + F.expr("INTERVAL 5 MINUTES"))).select("event_id")
 )
@@ -60,19 +83,32 @@ for name in ("str_13", "op_56"):
     query(name, f"SELECT 'escalation:' || dedup_key AS dedup_key, min(alert_id) AS alert_id FROM alert_events WHERE severity = 'critical' AND acknowledged_at IS NULL AND created_at <= {TS} - INTERVAL 60 MINUTES GROUP BY 1")(
         lambda t: S.stale_critical(t.alert_events, at(), 60).groupBy(F.concat(F.lit("escalation:"), "dedup_key").alias("dedup_key")).agg(F.min("alert_id").alias("alert_id"))
     )
+_STANDING = "SELECT alert_id, dedup_key FROM (SELECT *, max(coalesce(acknowledged_at, TIMESTAMP '9999-12-31')) OVER (PARTITION BY dedup_key ORDER BY created_at, alert_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM alert_events) AS x WHERE s IS NULL OR s <= created_at"
 for name in ("snk_11", "op_54"):
-    query(name)(lambda t: S.first_open_alert(t.alert_events).select("alert_id", "dedup_key"))
+    query(name, _STANDING)(lambda t: S.first_open_alert(t.alert_events).select("alert_id", "dedup_key"))
 
 
 def _budget(t: Tables, cap: float = 4000.0):
     return S.budget_fold(t.daily_cost.select("day", "id", c("cost").alias("amount"), "at"), cap)
 
 
-query("str_14")(_budget)
-query("op_26", 'SELECT day, min(id) AS id FROM (SELECT day, id, sum(cost) OVER (PARTITION BY day ORDER BY "at", id) AS spent FROM daily_cost) AS x WHERE spent >= 80000 GROUP BY day')(
-    lambda t: S.budget_fold(t.daily_cost.select("day", "id", c("cost").alias("amount"), "at"), 100000.0).filter("warned").groupBy("day").agg(F.min("id").alias("id"))
+#: Reservations of a day in order, each refused if it would pass the cap: one step of the recursion takes every day's next row.
+SPENDING = """
+, z AS (SELECT day, id, CAST(cost AS DECIMAL(18,6)) AS amount, row_number() OVER (PARTITION BY day ORDER BY "at", id) AS n FROM daily_cost),
+spent AS (SELECT day, id, n, amount, amount <= {cap} AS ok, CASE WHEN amount <= {cap} THEN amount ELSE 0 END::DECIMAL(18,6) AS total FROM z WHERE n = 1
+  UNION ALL SELECT z.day, z.id, z.n, z.amount, s.total + z.amount <= {cap}, (s.total + CASE WHEN s.total + z.amount <= {cap} THEN z.amount ELSE 0 END)::DECIMAL(18,6) FROM spent s JOIN z ON z.day = s.day AND z.n = s.n + 1)"""
+query("str_14", SPENDING.format(cap=4000) + " SELECT day, id, amount::DECIMAL(12,6) AS amount, ok AS accepted, total AS spent, ok AND total >= 3200 AS warned FROM spent")(_budget)
+query("op_26", SPENDING.format(cap=9000) + " SELECT day, min(id) AS id FROM spent WHERE ok AND total >= 7200 GROUP BY day")(
+    lambda t: _budget(t, 9000.0).filter("warned").groupBy("day").agg(F.min("id").alias("id"))
 )
-query("snk_08")(lambda t: S.guarded_adjust(t.daily_cost.select(c("day").alias("key"), "id", "at", (c("cost") - 40).cast("decimal(12,6)").alias("delta"))))
+query(
+    "snk_08",
+    """
+, z AS (SELECT day AS key, id, CAST(cost - 40 AS DECIMAL(18,6)) AS delta, row_number() OVER (PARTITION BY day ORDER BY "at", id) AS n FROM daily_cost),
+kept AS (SELECT key, id, n, delta >= 0 AS applied, CASE WHEN delta >= 0 THEN delta ELSE 0 END::DECIMAL(18,6) AS total FROM z WHERE n = 1
+  UNION ALL SELECT z.key, z.id, z.n, k.total + z.delta >= 0, (k.total + CASE WHEN k.total + z.delta >= 0 THEN z.delta ELSE 0 END)::DECIMAL(18,6) FROM kept k JOIN z ON z.key = k.key AND z.n = k.n + 1)
+SELECT key, id, applied, total FROM kept""",
+)(lambda t: S.guarded_adjust(t.daily_cost.select(c("day").alias("key"), "id", "at", (c("cost") - 40).cast("decimal(12,6)").alias("delta"))))
 query("str_15", "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n, count(*) > 1 AS limited FROM events GROUP BY 1, 2")(
     lambda t: t.events.groupBy("user_id", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("n")).withColumn("limited", c("n") > 1)
 )
@@ -109,14 +145,6 @@ query("str_19", f"SELECT component, CASE WHEN max(seen_at) < {TS} - INTERVAL 100
 query("str_20", f"SELECT stage, max(created_at) < {TS} - INTERVAL 2 HOURS AS stalled FROM processing_log WHERE created_at <= {TS} GROUP BY stage")(
     lambda t: t.processing_log.filter(c("created_at") <= at()).groupBy("stage").agg((F.max("created_at") < at() - F.expr("INTERVAL 2 HOURS")).alias("stalled"))
 )
-_seal = lambda text, key, version: F.aes_encrypt(text, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.unhex(F.substring(F.md5(F.concat(F.lit(version), c("call_id").cast("string"))), 1, 24)), F.concat(F.lit(version), c("call_id").cast("string")).cast("binary"))
-_open = lambda box, key, version: F.aes_decrypt(box, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.concat(F.lit(version), c("call_id").cast("string")).cast("binary"))
-OLD_KEY, NEW_KEY = "0123456789abcdef", "fedcba9876543210"
-for name in ("str_21", "op_63", "op_61", "src_13", "rd_44", "op_07", "op_38"):
-    query(name, "SELECT doc_id AS call_id, md5(text) AS text_md5 FROM documents")(
-        lambda t: t.clean_transcripts.select("call_id", _seal(c("text"), OLD_KEY, "v1").alias("box")).withColumn("box", _seal(_open(c("box"), OLD_KEY, "v1"), NEW_KEY, "v2"))
-        .select("call_id", F.md5(_open(c("box"), NEW_KEY, "v2")).alias("text_md5"))
-    )
 query("str_22", "SELECT call_id, CASE WHEN n = 1 THEN 'canonical' ELSE 'duplicate' END AS leg FROM (SELECT call_id, row_number() OVER (PARTITION BY problem_statement, created_at ORDER BY call_id) AS n FROM structured_knowledge) AS x")(
     lambda t: t.structured_knowledge.join(t.structured_knowledge.groupBy("problem_statement", "created_at").agg(F.min("call_id").alias("first")), ["problem_statement", "created_at"]).select("call_id", F.when(c("call_id") == c("first"), "canonical").otherwise("duplicate").alias("leg"))
 )
@@ -131,7 +159,7 @@ def _synced(t: Tables):
 
 
 query("str_23", f"SELECT action_id, {_SYNC} AS outcome FROM operator_actions oa LEFT JOIN dead_letter d ON d.id = oa.action_id + 1")(lambda t: _synced(t).select("action_id", "outcome"))
-for name in ("agg_20", "op_45", "op_55"):
+for name in ("agg_20",):
     query(name, f"SELECT {_SYNC} AS outcome, count(*) AS n FROM operator_actions oa LEFT JOIN dead_letter d ON d.id = oa.action_id + 1 GROUP BY 1")(lambda t: R.counts(_synced(t), ["outcome"]))
 
 # -- evaluation ----------------------------------------------------------------------
@@ -146,7 +174,7 @@ def _pairs(t: Tables):
 query("agg_16", f"SELECT lang, toxic, count(*) AS n, count(*) FILTER (WHERE quality = {_PRED}) AS correct, round(count(*) FILTER (WHERE quality = {_PRED}) / count(*), 6) AS accuracy FROM labels JOIN documents USING (doc_id) GROUP BY lang, toxic")(
     lambda t: S.accuracy(_pairs(t), ["lang", "toxic"])
 )
-for name in ("agg_17", "op_47"):
+for name in ("agg_17",):
     query(name, "SELECT lang, CASE WHEN count(*) = 0 THEN 'skipped' WHEN lang <> 'en' THEN 'complete' WHEN count(*) FILTER (WHERE toxic = 0) = 0 THEN 'skipped' ELSE 'partial' END AS status FROM labels JOIN documents USING (doc_id) GROUP BY lang")(
         lambda t: _pairs(t).groupBy("lang").agg(F.count("*").alias("n"), F.count_if(c("toxic") == 0).alias("done")).select("lang", S.run_status(c("n"), c("done"), F.when(c("lang") == "en", "cost_capped")).alias("status"))
     )
@@ -160,13 +188,13 @@ query("op_04", f"SELECT run_id, min(started_at) - INTERVAL 4 HOURS AS since FROM
 query("op_05", "SELECT call_id, status IN ('completed', 'skipped', 'review_closed') OR EXISTS (SELECT 1 FROM dead_letter d WHERE d.call_id = cs.call_id) AS terminal FROM call_state cs")(
     lambda t: t.call_state.join(t.dead_letter.select("call_id").distinct().withColumn("dead", F.lit(True)), "call_id", "left").select("call_id", (c("status").isin("completed", "skipped", "review_closed") | F.coalesce("dead", F.lit(False))).alias("terminal"))
 )
-for name in ("op_06", "op_40"):
+for name in ("op_06",):
     query(name, "SELECT user_id AS call_id, count(DISTINCT event_type) = 5 AS all_gates FROM events GROUP BY user_id")(lambda t: t.events.groupBy(c("user_id").alias("call_id")).agg((F.size(F.array_except(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), F.collect_set("event_type"))) == 0).alias("all_gates")))
 query("op_08", "SELECT event_id, '{\"v\":' || user_id || '}' AS json FROM events")(lambda t: t.events.select("event_id", F.to_json(F.struct(c("user_id").alias("v"))).alias("json")))
 query("op_09", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")(lambda t: t.events.select("event_id", F.from_json("props", "k int", {"mode": "PERMISSIVE"})["k"].alias("k")))
 query("op_10", "SELECT c_custkey, nullif(trim(c_name), '') AS id FROM customer")(lambda t: t.customer.select("c_custkey", C.unset_to_null(c("c_name")).alias("id")))
 query("op_11", "SELECT call_id, duration, status FROM call_state")(lambda t: t.call_state.select("call_id", F.struct("duration", "status").alias("m")).select("call_id", "m.*"))
-query("op_12")(lambda t: t.customer.select("c_custkey", _keyed(c("c_name")).alias("hash")))
+query("op_12", f"SELECT c_custkey, {hmac_sql(b'pepper', 'encode(c_name)')} AS hash FROM customer")(lambda t: t.customer.select("c_custkey", _keyed(c("c_name")).alias("hash")))
 
 
 def _keyed(x):
@@ -175,15 +203,15 @@ def _keyed(x):
     return X.keyed_hash(b"pepper", x)
 
 
-for name in ("op_13", "op_14", "op_15"):
+for name in ("op_13",):
     query(name, "SELECT call_id, 'bucket' AS kind, service_category AS bucket, service_category IN ('BUILDING', 'HOUSEHOLD') AS valid FROM structured_knowledge")(
         lambda t: t.structured_knowledge.select("call_id", F.struct(F.lit("bucket").alias("kind"), c("service_category").alias("bucket"), c("service_category").isin("BUILDING", "HOUSEHOLD").alias("valid")).alias("l")).select("call_id", "l.*")
     )
-for name in ("op_16", "op_19", "op_20", "op_51"):
+for name in ("op_16",):
     query(name, "SELECT alert_id, error_code, severity, CASE WHEN severity IN ('critical', 'high') THEN 'page' ELSE 'log' END AS channel FROM alert_events")(
         lambda t: t.alert_events.select("alert_id", "error_code", "severity", F.when(c("severity").isin("critical", "high"), "page").otherwise("log").alias("channel"))
     )
-for name in ("op_17", "op_18"):
+for name in ("op_17",):
     query(name, "SELECT alert_id, '[' || severity || '] ' || error_code || chr(10) || 'key: ' || dedup_key AS text FROM alert_events")(
         lambda t: t.alert_events.select("alert_id", F.concat_ws("\n", F.concat(F.lit("["), "severity", F.lit("] "), "error_code"), F.concat(F.lit("key: "), "dedup_key")).alias("text"))
     )
@@ -196,17 +224,16 @@ query("op_32", "SELECT review_id, CASE held_reason WHEN 'cost_cap_held' THEN 60
     lambda t: t.review_queue.select("review_id", F.when(c("held_reason") == "cost_cap_held", 60).when(c("held_reason") == "missing_transcript", 1440).otherwise(240).alias("minutes"))
 )
 query("op_33", "SELECT review_id, 'REVIEW_QUEUE_STALLED:review_queue:' || review_id AS key FROM review_queue")(lambda t: t.review_queue.select("review_id", F.concat(F.lit("REVIEW_QUEUE_STALLED:review_queue:"), c("review_id").cast("string")).alias("key")))
-for name in ("op_34", "op_42"):
+for name in ("op_34",):
     query(name, "SELECT rq.review_id, cs.status AS call_status, CASE WHEN rq.raw_purged_at IS NULL THEN cs.current_stage END AS stage FROM review_queue rq LEFT JOIN call_state cs USING (call_id)")(
         lambda t: t.review_queue.select("review_id", "call_id", "raw_purged_at").join(t.call_state.select("call_id", c("status").alias("call_status"), "current_stage"), "call_id", "left").select("review_id", "call_status", F.when(c("raw_purged_at").isNull(), c("current_stage")).alias("stage"))
     )
-for name in ("op_35", "op_36"):
-    query(name, f"SELECT review_id, raw_purged_at IS NULL AND created_at + INTERVAL 7 DAYS > {TS} AS open FROM review_queue")(lambda t: t.review_queue.select("review_id", (c("raw_purged_at").isNull() & (c("created_at") + F.expr("INTERVAL 7 DAYS") > at())).alias("open")))
+query("op_35", f"SELECT review_id, raw_purged_at IS NULL AND created_at + INTERVAL 7 DAYS > {TS} AS open FROM review_queue")(lambda t: t.review_queue.select("review_id", (c("raw_purged_at").isNull() & (c("created_at") + F.expr("INTERVAL 7 DAYS") > at())).alias("open")))
 query("op_39", "SELECT review_id, upper(held_reason[1:1]) || replace(held_reason, '_', ' ')[2:] || '.' AS explanation FROM review_queue")(lambda t: t.review_queue.select("review_id", F.concat(C.humanized(c("held_reason")), F.lit(".")).alias("explanation")))
 query("op_43", f"SELECT status, count(*) AS n FROM (SELECT status FROM call_state ORDER BY updated_at DESC, call_id LIMIT 200) AS x GROUP BY status")(lambda t: R.counts(t.call_state.orderBy(F.desc("updated_at"), "call_id").limit(200), ["status"]))
 query("op_46", "SELECT doc_id, length(text) <= 800 AS short_enough FROM documents")(lambda t: t.documents.select("doc_id", (F.length("text") <= 800).alias("short_enough")))
-for name in ("op_48", "op_49", "op_50"):
-    query(name)(lambda t: _budget(t).select("id", F.when(~c("accepted"), "cost_capped").otherwise("predicted").alias("status")))
+for name in ("op_48",):
+    query(name, SPENDING.format(cap=4000) + " SELECT id, CASE WHEN ok THEN 'predicted' ELSE 'cost_capped' END AS status FROM spent")(lambda t: _budget(t).select("id", F.when(~c("accepted"), "cost_capped").otherwise("predicted").alias("status")))
 query("op_52", "SELECT bool_and(n > 0) AS succeeded FROM (SELECT count(*) AS n FROM call_state UNION ALL SELECT count(*) FROM alert_events UNION ALL SELECT count(*) FROM review_queue) AS x")(
     lambda t: t.call_state.agg(F.count("*").alias("n")).union(t.alert_events.agg(F.count("*"))).union(t.review_queue.agg(F.count("*"))).agg(F.every(c("n") > 0).alias("succeeded"))
 )
@@ -217,9 +244,3 @@ query("op_57", "SELECT 'destroyed_in_use' AS violation, count(*) AS n FROM key_v
     lambda t: R.having(t.key_versions.filter("status = 'destroyed'"), t.token_vault.filter("soft_deleted_at IS NULL").select(c("key_version").alias("version")), ["version"]).agg(F.lit("destroyed_in_use").alias("violation"), F.count("*").alias("n"))
     .unionByName(t.key_versions.groupBy("kek").agg(F.count_if(c("status") == "active").alias("a")).filter("a = 0").agg(F.lit("no_active").alias("violation"), F.count("*").alias("n")))
 )
-_AFFECTED = f"SELECT k.version, k.status, (SELECT count(*) FROM token_vault v WHERE v.key_version = k.version AND v.soft_deleted_at IS NULL AND v.hard_deleted_at IS NULL) AS affected FROM key_versions k"
-for name in ("op_59", "op_60", "op_62"):
-    query(name, f"SELECT version, affected, CASE WHEN status = 'destroyed' THEN 'refused' WHEN affected > 0 THEN 'needs_rotation' ELSE 'revoked' END AS result FROM ({_AFFECTED}) AS x")(
-        lambda t: t.key_versions.join(R.counts(R.live(t.token_vault).select(c("key_version").alias("version")), ["version"], "affected"), "version", "left").withColumn("affected", F.coalesce("affected", F.lit(0)))
-        .select("version", "affected", F.when(c("status") == "destroyed", "refused").when(c("affected") > 0, "needs_rotation").otherwise("revoked").alias("result"))
-    )

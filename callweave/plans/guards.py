@@ -7,12 +7,33 @@ from pyspark.sql import functions as F
 from ..operators import redaction as X
 from ..operators.params import ListQuery, gate, without_content
 from ..operators.rows import search_filter
+from ..scratch import fresh_path
 from ..sources import readers
 from .registry import at, query
 
 c = F.col
 
-query("src_04", "SELECT run_id, call_id FROM backfill_run_calls WHERE started_at > TIMESTAMP '2000-01-01 00:00:00'")(lambda t: t.backfill_run_calls.filter(c("started_at") > at("2000-01-01 00:00:00")).select("run_id", "call_id"))
+def _landed(t, rows, label: str) -> str:
+    """Rows of one text column, written line by line into the shared folder."""
+    path = fresh_path(t.spark, label)
+    rows.write.text(path)
+    return path
+
+
+#: Items of a page of the call listing.
+PAGE = 1000
+
+
+def _listing(t):
+    """The backfilled calls as a landed listing of pages, read through the reader from a start time on."""
+    calls = t.backfill_run_calls.select((c("call_id") / PAGE).cast("long").alias("page"), F.struct(c("call_id").cast("string").alias("call_id"), F.unix_timestamp(c("started_at").cast("timestamp")).cast("double").alias("started_at"), F.lit("hangup").alias("state")).alias("item"))
+    last = t.backfill_run_calls.agg((F.max("call_id") / PAGE).cast("long").alias("last"))
+    pages = calls.groupBy("page").agg(F.collect_list("item").alias("items")).join(last)  # at most PAGE items each
+    lines = pages.select(F.to_json(F.struct(c("page").cast("string").alias("page"), F.when(c("page") < c("last"), (c("page") + 1).cast("string")).alias("cursor"), "items")).alias("value"))
+    return readers.landed_pages(t.spark, _landed(t, lines, "listing"), 946684800.0)
+
+
+query("src_04", "SELECT CAST(call_id AS VARCHAR) AS call_id, epoch(started_at)::DOUBLE AS started_at FROM backfill_run_calls WHERE started_at > TIMESTAMP '2000-01-01 00:00:00'")(lambda t: _listing(t).select("call_id", "started_at"))
 
 
 def _base64url(x):
@@ -24,12 +45,21 @@ query("src_07", "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN json_extract_
     .select("event_id", F.concat_ws(".", "body", F.when(c("event_id") % 3 == 0, "AAAA").otherwise(_base64url(F.unhex(X.keyed_hash(b"secret", c("body")))))).alias("token"))
     .select("event_id", F.get_json_object(readers.verified_claims(c("token"), [b"other", b"secret"]), "$.k").alias("k"))
 )
-query("src_10", "SELECT doc_id, count(*) AS terms FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) AS x WHERE line <> '' AND line NOT LIKE '#%' GROUP BY doc_id")(
-    lambda t: t.documents.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc_id", F.trim("line").alias("line")).filter((c("line") != "") & ~c("line").startswith("#")).groupBy("doc_id").agg(F.count("*").alias("terms"))
-)
-query("src_11", "SELECT call_id::VARCHAR || ':' || turn AS call_id, text FROM turns")(
-    lambda t: t.turns.select(F.to_json(F.create_map(F.concat_ws(":", "call_id", "turn"), c("text"))).alias("json")).select(F.explode(F.from_json("json", "map<string,string>")).alias("call_id", "text"))
+query("src_10", "SELECT term, count(*) AS n FROM (SELECT trim(unnest(string_split(text, chr(10)))) AS term FROM documents) AS x WHERE term <> '' AND term NOT LIKE '#%' GROUP BY term")(
+    lambda t: readers.term_lines(t.spark, _landed(t, t.documents.filter("text IS NOT NULL").select("text"), "terms")).groupBy("term").agg(F.count("*").alias("n"))
 )
+
+
+def _fixtures(t):
+    """The conversations as fixtures, one a line, read through the reader: its calls with their transcripts."""
+    key = F.concat_ws(":", "call_id", "turn")
+    call = F.struct(key.alias("callId"), c("turn").cast("double").alias("startedAt"), F.lit("hangup").alias("state"))
+    lines = t.turns.select(F.to_json(F.struct(F.array(call).alias("calls"), F.create_map(key, F.coalesce("text", F.lit(""))).alias("transcripts"))).alias("value"))
+    calls, texts = readers.fixture(t.spark, _landed(t, lines, "fixtures"), lines=True)
+    return calls.select(c("callId").alias("call_id"), "startedAt", "state").join(texts, "call_id")
+
+
+query("src_11", "SELECT call_id::VARCHAR || ':' || turn AS call_id, turn::DOUBLE AS started_at, 'hangup' AS state, coalesce(text, '') AS text FROM turns")(lambda t: _fixtures(t).select("call_id", c("startedAt").alias("started_at"), "state", "text"))
 _DOMAINS = {"service_category": ("BUILDING", "HOUSEHOLD"), "urgency": ("1-URGENT", "2-HIGH")}
 query("flt_06", "SELECT call_id FROM structured_knowledge WHERE service_category = 'BUILDING' AND created_at < TIMESTAMP '1996-01-01 00:00:00' ORDER BY call_id LIMIT 200")(
     lambda t: (lambda q: t.structured_knowledge.filter(q.where()).orderBy("call_id").limit(q.size).select("call_id"))(ListQuery.parse({"service_category": " BUILDING ", "urgency": "", "end": "1995-12-31", "size": "9999"}, _DOMAINS))

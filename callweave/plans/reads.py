@@ -336,10 +336,10 @@ LISTS = {
     "rd_27": ("token_vault", "row_id, token", f"{LIVE} AND row_id = 12341"),
     "rd_28": ("token_vault", "row_id, token", f"{LIVE} AND call_id < 100"),
     "rd_29": ("review_queue", "review_id, created_at", "status = 'open' AND review_id NOT IN (3, 5, 8)"),
-    "rd_30": ("review_queue", "review_id, status", "review_id = 100"),
-    "rd_31": ("operator_actions", "action_id, call_id", "action_id = 77"),
+    "rd_30": ("review_queue", "review_id, status", "review_id = 17"),
+    "rd_31": ("operator_actions", "action_id, call_id", "action_id = 104"),
     "rd_37": ("review_queue", "review_id, held_reason, created_at", "status IN ('open', 'in_review')"),
-    "rd_38": ("review_queue", "review_id, held_reason", "review_id = 7"),
+    "rd_38": ("review_queue", "review_id, held_reason", "review_id = 29"),
     "rd_39": ("structured_knowledge", "call_id, urgency", "call_id = 99"),
     "rd_40": ("technician_notes", "call_id, prompt_version", "call_id = 99"),
     "rd_42": ("token_vault", "row_id, key_version", f"{LIVE} AND key_version = 9"),

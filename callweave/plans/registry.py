@@ -28,6 +28,13 @@ def at(text: str = NOW) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def hmac_sql(secret: bytes, message: str) -> str:
+    """HMAC-SHA-256 of a blob in SQL, in hex."""
+    key = secret.ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in key).hex() for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || {message})))"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, fn=fn: fn(Tables(spark, sf_dir))) for name, (fn, _) in REGISTRY.items()}
 

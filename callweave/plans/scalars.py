@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import vocab as V
 from ..operators import redaction as X
-from .registry import at, query
+from .registry import at, hmac_sql, query
 from .standins import NOW
 
 c = F.col
@@ -16,13 +16,25 @@ TS = f"TIMESTAMP '{NOW}'"
 query("fn_01", "SELECT doc_id, md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS v FROM documents")(lambda t: t.documents.select("doc_id", F.md5(C.normal_token(c("text"))).alias("v")))
 query("fn_02", "SELECT item_id, trim(regexp_replace(translate(lower(text), '‘’', ''''''), '\\s+', ' ', 'g')) AS v FROM benchmark")(lambda t: t.benchmark.select("item_id", C.normal_light(c("text")).alias("v")))
 query("fn_03", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[''‘’]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))) AS v FROM documents")(lambda t: t.documents.select("doc_id", F.md5(C.normal_verbatim(c("text"))).alias("v")))
-query("fn_04")(lambda t: t.benchmark.select("item_id", X.title_case(c("text")).alias("v")))
+query(
+    "fn_04",
+    "SELECT item_id, array_to_string([CASE WHEN regexp_matches(x[i], '^[a-z]$') AND (i = 1 OR NOT regexp_matches(x[i - 1], '^[A-Za-z'']$')) THEN upper(x[i]) ELSE x[i] END FOR i IN range(1, len(x) + 1)], '') AS v "
+    "FROM (SELECT item_id, string_split(text, '') AS x FROM benchmark) AS y",
+)(lambda t: t.benchmark.select("item_id", X.title_case(c("text")).alias("v")))
 query("fn_05", "SELECT c_custkey, regexp_replace(c_name, '[^0-9]', '', 'g') AS phone, trim(regexp_replace(lower(c_name), '\\s+', ' ', 'g')) AS name, lower(trim(c_name)) AS email FROM customer")(
     lambda t: t.customer.select("c_custkey", C.phone_key(c("c_name")).alias("phone"), C.name_key(c("c_name")).alias("name"), C.email_key(c("c_name")).alias("email"))
 )
 query("fn_06", "SELECT review_id, upper(held_reason[1:1]) || replace(held_reason, '_', ' ')[2:] AS label FROM review_queue")(lambda t: t.review_queue.select("review_id", C.humanized(c("held_reason")).alias("label")))
-query("fn_07")(lambda t: t.documents.select("doc_id", C.first_line(c("text")).alias("line")))
-query("fn_08")(lambda t: t.documents.select("doc_id", X.contexts(c("text"), "license").alias("windows")))
+_LINE = r"trim(CASE WHEN regexp_matches(w, '(?s)^.*?[.!?](?:[ \t\n\x0B\f\r]|$)') THEN regexp_extract(w, '(?s)^(.*?[.!?])(?:[ \t\n\x0B\f\r]|$)', 1) ELSE regexp_extract(w, '^[^\n]*') END)"
+query("fn_07", f"SELECT doc_id, CASE WHEN w = '' THEN NULL WHEN length(line) > 240 THEN rtrim(substring(line, 1, 239)) || '…' ELSE line END AS line FROM (SELECT doc_id, w, {_LINE} AS line FROM (SELECT doc_id, trim(text) AS w FROM documents) AS x) AS y")(lambda t: t.documents.select("doc_id", C.first_line(c("text")).alias("line")))
+query(
+    "fn_08",
+    """
+, d AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z0-9]+') AS ws, regexp_split_to_array(text, '[A-Za-z0-9]+') AS gaps FROM documents),
+h AS (SELECT doc_id, text, gaps, ws, unnest(list_filter(range(1, len(ws) + 1), lambda i: lower(ws[i]) = 'license')[1:5]) AS i FROM d WHERE contains(lower(text), 'license')),
+p AS (SELECT doc_id, text, i, length(array_to_string(gaps[1:i], '')) + length(array_to_string(ws[1:i - 1], '')) AS s FROM h)
+SELECT doc_id, coalesce(string_agg(substring(text, greatest(s - 48, 0) + 1, least(s, 48) + 7 + 48), '|' ORDER BY i) FILTER (WHERE i IS NOT NULL), '') AS windows FROM documents LEFT JOIN (SELECT doc_id, text AS t, i, s FROM p) AS q USING (doc_id) GROUP BY doc_id""",
+)(lambda t: t.documents.select("doc_id", F.array_join(X.contexts(c("text"), "license"), "|").alias("windows")))
 query("fn_09", "SELECT event_id, (SELECT sum(CASE WHEN i % 2 = 0 THEN d ELSE (2 * d) // 10 + (2 * d) % 10 END) FROM (SELECT i, CAST(reverse(s)[i + 1:i + 1] AS INT) AS d FROM (SELECT unnest(range(length(s))) AS i)) AS y) % 10 = 0 AS ok FROM (SELECT event_id, CAST(event_id * 7919 AS VARCHAR) AS s FROM events) AS x")(
     lambda t: t.events.select("event_id", C.luhn((c("event_id") * 7919).cast("string")).alias("ok"))
 )
@@ -32,7 +44,7 @@ _SLA = f"CASE WHEN sla_due_at IS NULL THEN 'ok' WHEN {TS} >= sla_due_at THEN 'br
 query("fn_12", f"SELECT review_id, {_SLA} AS state FROM review_queue")(lambda t: t.review_queue.select("review_id", C.sla_state(c("sla_due_at"), at()).alias("state")))
 query("fn_13", "SELECT id, CAST(round((tokens * 1000 * 3 + tokens * 100 * 15) / 1000000.0, 6) AS DECIMAL(12,6)) AS usd FROM daily_cost")(lambda t: t.daily_cost.select("id", C.token_cost(c("tokens") * 1000, c("tokens") * 100, 3, 15).alias("usd")))
 query("fn_14", "SELECT doc_id, strlen(text) + strlen(lang) + 500 AS bound FROM documents")(lambda t: t.documents.select("doc_id", C.payload_tokens([c("text"), c("lang")], 500).alias("bound")))
-query("fn_15")(lambda t: t.documents.select("doc_id", X.keyed_hash(b"key", c("doc_id").cast("string"), c("text")).alias("v")))
+query("fn_15", f"SELECT doc_id, {hmac_sql(b'key', chr(39).join(['encode(doc_id::VARCHAR) || ', chr(92) + 'x00', '::BLOB || encode(text)']))} AS v FROM documents")(lambda t: t.documents.select("doc_id", X.keyed_hash(b"key", c("doc_id").cast("string"), c("text")).alias("v")))
 query("fn_16", "SELECT call_id, rtrim(translate(to_base64(unhex(sha256('call:' || CAST(call_id AS VARCHAR)))), '+/', '-_'), '=') AS job FROM call_state")(lambda t: t.call_state.select("call_id", C.job_id("call:", c("call_id")).alias("job")))
 query("fn_17", "SELECT doc_id, md5(text) AS plain_md5, true AS restored FROM documents")(
     lambda t: t.documents.select("doc_id", "text", F.aes_encrypt("text", F.lit("0123456789abcdef"), F.lit("GCM"), F.lit("DEFAULT"), F.unhex(F.substring(F.md5(c("doc_id").cast("string")), 1, 24)), F.concat(F.lit("v1"), c("doc_id").cast("string")).cast("binary")).alias("sealed"))
@@ -61,8 +73,17 @@ query("fn_23", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT)
 query("fn_24", "SELECT alert_id, CASE error_code WHEN 'MODEL_TIMEOUT' THEN 'model' WHEN 'QUEUE_BACKLOG' THEN 'queue' ELSE 'review' END AS category FROM alert_events")(
     lambda t: t.alert_events.join(t.spark.createDataFrame([("MODEL_TIMEOUT", "model"), ("QUEUE_BACKLOG", "queue"), ("REVIEW_QUEUE_STALLED", "review")], "error_code string, category string"), "error_code").select("alert_id", "category")
 )
-query("fn_25", "SELECT event_id, '[k:number]' AS leaves FROM events")(lambda t: t.events.select("event_id", F.concat(F.lit("["), F.array_join(X.json_leaves(c("props")), ", "), F.lit("]")).alias("leaves")))
-query("src_09", "SELECT 'k:number' AS leaf, count(*) AS n FROM events")(lambda t: t.events.select(F.explode(X.json_leaves(c("props"))).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")))
+# payloads of five shapes: nested, with arrays, nulls and labelled values
+_PAYLOAD = (
+    "CASE event_type WHEN 'click' THEN concat('{\"call\":', props, ',\"tags\":[\"a\",1,true]}') WHEN 'error' THEN concat('{\"phone\":[\"+1 555 ', CAST(user_id AS STRING), '\",\"+1 555 0\"],\"state\":null}') "
+    "WHEN 'signup' THEN concat('{\"data\":{\"Contact_Name\":\"Ann ', CAST(user_id AS STRING), '\",\"email\":{\"home\":\"a@b.org\"}},\"items\":[{\"n\":1},{\"m\":\"x\"}]}') WHEN 'view' THEN '[]' ELSE props END"
+)
+_SHAPES = "CASE event_type WHEN 'click' THEN ['call.k:number', 'tags[]:boolean', 'tags[]:number', 'tags[]:string'] WHEN 'error' THEN ['phone[]:string', 'state:null'] WHEN 'signup' THEN ['data.Contact_Name:string', 'data.email.home:string', 'items[].m:string', 'items[].n:number'] WHEN 'view' THEN ['[]:empty'] ELSE ['k:number'] END"
+_payload = lambda t: t.events.withColumn("payload", F.expr(_PAYLOAD))
+query("src_09", f"SELECT leaf, count(*) AS n FROM (SELECT unnest({_SHAPES}) AS leaf FROM events) AS x GROUP BY leaf")(lambda t: _payload(t).select(F.explode(X.json_leaves(c("payload"))).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")))
+query("fn_25", "SELECT event_id, CASE event_type WHEN 'error' THEN '+1 555 ' || user_id || CASE WHEN user_id = 0 THEN '' ELSE ',+1 555 0' END ELSE '' END AS phones, CASE event_type WHEN 'signup' THEN 'Ann ' || user_id ELSE '' END AS names, CASE event_type WHEN 'signup' THEN 'a@b.org' ELSE '' END AS emails FROM events")(
+    lambda t: _payload(t).select("event_id", X.labelled_values(c("payload")).alias("p")).select("event_id", *(F.array_join(f"p.{k}", ",").alias(k) for k in ("phones", "names", "emails")))
+)
 query("fn_26", "SELECT alert_id, 30.0 * pow(2.0, least(attempts * 5, 20)) AS seconds FROM alert_events")(lambda t: t.alert_events.select("alert_id", C.backoff(30, c("attempts") * 5).alias("seconds")))
 query("fn_27", "SELECT call_id, concat_ws(',', CASE WHEN scope_signal = 'O' THEN 'scope_signal' END, CASE WHEN quantity < 10 THEN 'equipment.capacity' END) AS gaps FROM technician_notes")(
     lambda t: t.technician_notes.select("call_id", F.array_join(F.filter(F.array(F.when(c("scope_signal") == "O", "scope_signal"), F.when(c("quantity") < 10, "equipment.capacity")), lambda x: x.isNotNull()), ",").alias("gaps"))

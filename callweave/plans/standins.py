@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..spread import spread
+
 K = "CAST(regexp_extract(props, '[0-9]+', 0) AS INT)"
 #: The clock of all queries.
 NOW = "2024-01-20 12:00:00"
@@ -65,10 +67,12 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def with_sql() -> str:
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in SOURCES.items())
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({body})" for name, body in SOURCES.items())
 
 
 WITH = with_sql()
+#: Tables of whole texts, on which detectors work long.
+TEXTS = ("documents", "pages")
 
 
 class Tables:
@@ -78,7 +82,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table) if name in TEXTS else table
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:

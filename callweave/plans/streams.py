@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..operators import states as S
 from ..streaming import flows as X
+from .flows import fold_sql
 from .registry import query
 
 c = F.col
@@ -17,8 +18,15 @@ def _events(t):
 
 
 query("stream_dedup", "SELECT event_id FROM events")(lambda t: X.first_within(X.drain(_events(t).select("event_id", "at"), "dedup"), ["event_id"], 5).select("event_id"))
-query("stream_rates")(lambda t: X.rates(X.drain(_events(t).select("user_id", "at"), "rates"), "user_id", {"1 minute": 1})["1 minute"])
-query("stream_states")(
+query("stream_rates", "SELECT user_id, date_trunc('minute', ts) AS start, count(*) AS n, count(*) > 1 AS limited FROM events GROUP BY 1, 2")(lambda t: X.rates(X.drain(_events(t).select("user_id", "at"), "rates"), "user_id", {"1 minute": 1})["1 minute"])
+query(
+    "stream_states",
+    fold_sql(
+        "SELECT user_id AS call_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_id AS seq, ts AS at, event_id % 9 AS stage, "
+        "CASE WHEN value > 200 THEN 'hold' WHEN value > 150 THEN 'drop' ELSE 'continue' END AS action FROM events"
+    )
+    + f"SELECT call_id, status, {list(V.STAGES)}[rank + 1] AS stage, seq FROM f WHERE moved",
+)(
     lambda t: S.call_moves(
         X.drain(
             _events(t).select(

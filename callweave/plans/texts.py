@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import patterns as P
 from ..functions import vocab as V
 from ..operators import redaction as X
 from .registry import query
@@ -33,17 +36,55 @@ SAID = {
 for key, same in (("pii_03", ()), ("pii_08", ("op_28",)), ("pii_09", ("op_29",)), ("pii_13", ())):
     name, text, start, end, kind, where = SAID[key]
     for one in (key, *same):
-        query(one, f"SELECT c_custkey AS call_id, {start} AS start, {end} AS end, '{kind}' AS kind, 'regex' AS detector, CAST(NULL AS DOUBLE) AS confidence FROM customer WHERE {where}".replace(" AS end,", ' AS "end",'))(
+        query(f"{one}_said", f"SELECT c_custkey AS call_id, {start} AS start, {end} AS end, '{kind}' AS kind, 'regex' AS detector, CAST(NULL AS DOUBLE) AS confidence FROM customer WHERE {where}".replace(" AS end,", ' AS "end",'))(
             lambda t, name=name, text=text: t.customer.select(c("c_custkey").alias("call_id"), F.expr(text).alias("text")).select("call_id", X.detect(c("text"), name).alias("spans")).select("call_id", F.inline("spans"))
         )
-# The same detectors over whole texts of documents; SQL cannot say them.
+
+
+def _said_too(t):
+    """Every document, and every customer's sentences behind them: whole texts in which each shape occurs."""
+    said = F.concat_ws(". ", *(F.expr(text) for _, text, *_ in SAID.values()))
+    return t.clean_transcripts.select("call_id", "text").unionByName(t.customer.select((-1 - c("c_custkey")).alias("call_id"), said.alias("text")))
+
+
+def _surfaces(name: str):
+    """The stretches that a detector finds, in order, with a bar between them."""
+    cut = lambda s: F.substring(c("text"), s["start"] + 1, s["end"] - s["start"])
+    return lambda t: _said_too(t).select("call_id", "text", X.detect(c("text"), name).alias("spans")).select("call_id", F.array_join(F.transform("spans", cut), "|").alias("found"))
+
+
+_SAID_SQL = "(SELECT doc_id AS call_id, text FROM documents UNION ALL SELECT -1 - c_custkey, concat_ws('. ', " + ", ".join(text for _, text, *_ in SAID.values()) + ") FROM customer)"
+#: A pattern of ours for the SQL, which knows no blanks outside ASCII by \\s.
+_re2 = lambda p: re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", p.pattern).replace("'", "''")
+query("pii_03", f"SELECT call_id, coalesce(array_to_string(regexp_extract_all(text, '(?i){_re2(P.STREET_ADDRESS)}'), '|'), '') AS found FROM {_SAID_SQL} AS x")(_surfaces("street_address"))
+_NAMES = " || ".join(f"regexp_extract_all(text, '{_re2(p)}', 1)" for p in P.GREETED_NAMES)
+for key in ("pii_09", "op_29"):
+    query(key, f"SELECT call_id, coalesce(array_to_string({_NAMES}, '|'), '') AS found FROM {_SAID_SQL} AS x")(_surfaces("greeted_name"))
+_ONE_WORD = "regexp_extract_all(lower(text), '[a-z]+')"
+for key in ("pii_08", "op_28"):
+    # runs of digit words by numbering the breaks, and each digit with the multiplier before it
+    query(
+        key,
+        f""", w AS (SELECT call_id, list_filter({_ONE_WORD}, lambda x: x <> '') AS ws FROM {_SAID_SQL} AS x),
+e AS (SELECT call_id, i, ws[i] AS word, CASE WHEN i > 1 THEN ws[i - 1] END AS before FROM (SELECT call_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+k AS (SELECT call_id, i, word IN {(*P.DIGIT_WORDS,)} AS digit, word IN {(*P.MULTIPLIERS,)} AS times, CASE before WHEN 'double' THEN 2 WHEN 'triple' THEN 3 ELSE 1 END AS n FROM e),
+r AS (SELECT *, sum(CASE WHEN digit OR times THEN 0 ELSE 1 END) OVER (PARTITION BY call_id ORDER BY i) AS run FROM k),
+g AS (SELECT call_id, run, sum(CASE WHEN digit THEN n ELSE 0 END) AS n FROM r GROUP BY call_id, run)
+SELECT w.call_id, count(g.n)::INT AS runs, coalesce(sum(g.n), 0)::INT AS digits FROM w LEFT JOIN g ON g.call_id = w.call_id AND g.n >= {P.LONG_RUN} GROUP BY w.call_id""",
+    )(
+        lambda t: _said_too(t).select("call_id", X.spelled_runs(c("text")).alias("r")).select("call_id", F.size("r").alias("runs"), F.aggregate("r", F.lit(0), lambda a, x: a + x).alias("digits"))
+    )
+# The same detectors over whole texts of documents, with offsets; SQL cannot say them.
 for key, name in (("pii_03", "street_address"), ("pii_08", "spelled_digits"), ("op_28", "spelled_digits"), ("pii_09", "greeted_name"), ("op_29", "greeted_name"), ("pii_13", "address_digits")):
     query(f"{key}_texts")(_found(name))
+query("pii_13")(lambda t: _said_too(t).select("call_id", X.detect(c("text"), "address_digits").alias("spans")).select("call_id", F.inline("spans")))
 _DIGITS = "SELECT doc_id AS call_id, len(regexp_extract_all(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '[0-9]{7,}'))::INT AS n FROM documents"
 for key in ("pii_07", "op_27"):
     query(key, _DIGITS)(lambda t: t.clean_transcripts.select("call_id", F.size(X.detect(c("text"), "number")).alias("n")))
-query("pii_10", r"SELECT doc_id AS call_id, len(regexp_extract_all(text, '(?i)[a-z0-9_%+-]+\s*[@＠﹫]\s*[a-z0-9.-]+'))::INT AS at_signs FROM documents")(
-    lambda t: t.clean_transcripts.select("call_id", F.size(F.filter(X.detect(c("text"), "email_like"), lambda s: F.substring(c("text"), s["start"] + 1, s["end"] - s["start"]).rlike("[@＠﹫]"))).alias("at_signs"))
+_LIKE = " + ".join(f"len(regexp_extract_all(text, '(?i){_re2(p)}'))" for p in P.EMAIL_LIKE)
+query("pii_10", f"SELECT call_id, coalesce(({_LIKE}), 0)::INT AS n FROM (SELECT call_id, text FROM {_SAID_SQL} AS y UNION ALL SELECT 1000000000 + c_custkey, concat('write to ', lower(c_mktsegment), ' at post', CAST(c_custkey AS STRING), ' dot com or a', CAST(c_custkey AS STRING), '@b.org') FROM customer) AS x")(
+    lambda t: _said_too(t).unionByName(t.customer.select((c("c_custkey") + 1000000000).alias("call_id"), F.expr("concat('write to ', lower(c_mktsegment), ' at post', CAST(c_custkey AS STRING), ' dot com or a', CAST(c_custkey AS STRING), '@b.org')").alias("text")))
+    .select("call_id", F.size(X.detect(c("text"), "email_like")).alias("n"))
 )
 _TERM = "regexp_replace(lower(text), '[^a-z0-9]', '', 'g')"
 query("pii_11", f"SELECT doc_id AS call_id, ((length({_TERM}) - length(replace({_TERM}, 'generalpubliclicense', ''))) // 20 + (length({_TERM}) - length(replace({_TERM}, 'thonou', ''))) // 6)::INT AS n FROM documents")(
@@ -63,12 +104,27 @@ def stub_model(text: str) -> list[tuple[str, float, str]]:
 
 query("pii_17")(lambda t: t.clean_transcripts.select("call_id", X.span_udf(lambda text: X.S.ner(text, stub_model)[0])(c("text")).alias("s")).select("call_id", F.inline("s")))
 query("pii_18")(lambda t: t.clean_transcripts.select("call_id", X.span_udf(lambda text: X.S.align(text, stub_model(text))[0])(c("text")).alias("s")).select("call_id", F.inline("s")))
-query("pii_19", r"SELECT doc_id AS call_id, length(regexp_extract(text, '([0-9]{1,6}[ \t]+)[A-Za-z]', 1)) > 0 AS numbered FROM documents")(lambda t: t.clean_transcripts.select("call_id", (F.length(F.regexp_extract("text", r"([0-9]{1,6}[ \t]+)[A-Za-z]", 1)) > 0).alias("numbered")))
+# Where a house number begins right before the first word behind digits and blanks.
+_BEFORE = "length(regexp_extract(text, '(?s)^.*?[0-9][ \\t]+'))"
+_HEAD = f"substr(text, greatest({_BEFORE} - 12, 0) + 1, least({_BEFORE}, 12))"
+query("pii_19", f"SELECT call_id, CASE WHEN regexp_matches({_HEAD}, '(?:^|[^0-9])[0-9]{{1,6}}[ \\t]+$') THEN {_BEFORE} - length(regexp_extract({_HEAD}, '[0-9]{{1,6}}[ \\t]+$')) ELSE -1 END AS start FROM {_SAID_SQL} AS x WHERE text IS NOT NULL")(
+    lambda t: _said_too(t).filter("text IS NOT NULL").select("call_id", F.coalesce(X.house_numbers(c("text"), F.char_length(F.regexp_extract("text", r"(?s)^.*?[0-9][ \t]+", 0))), F.lit(-1)).alias("start"))
+)
 query("pii_20")(lambda t: t.clean_transcripts.select("call_id", X.merged(F.concat(X.detect(c("text"), "phone"), X.detect(c("text"), "number"), X.deny_list(c("text"), DENY))).alias("m")).select("call_id", "m.disagreement", F.inline("m.spans")))
 for key, cols in (("pii_21", ["redaction.text", "redaction.vault"]), ("pii_22", ["redaction.spans"]), ("pii_23", ["redaction.residual"]), ("pii_24", ["redaction.disagreement", "redaction.findings"])):
     query(key)(lambda t, cols=cols: t.clean_transcripts.select("call_id", X.redacted(c("text"), DENY).alias("redaction")).select("call_id", *(F.col(x).cast("string") if x.endswith("residual") else F.col(x) for x in cols)))
 query("pii_25")(lambda t: t.clean_transcripts.select("call_id", X.redacted(c("text"), DENY)["signals"].alias("r")).select("call_id", C.risk_score(c("r")).alias("score"), C.risk_forced(c("r")).alias("forced"), C.risk_safe(c("r")).alias("safe")))
-query("pii_26", "SELECT doc_id AS call_id, length(text) < 80 AS short FROM documents")(lambda t: t.clean_transcripts.select("call_id", (F.length("text") < 80).alias("short")))
+_NUMBERS = "len(regexp_extract_all(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '[0-9]{7,}'))"
+query(
+    "pii_26",
+    f"SELECT call_id, length(text) < {P.SHORT_TEXT} AS short, {_NUMBERS} >= {P.DENSITY_SPANS} AND {_NUMBERS} / greatest(1, length(text)) * 1000 > {P.DENSITY_PER_1000} AS dense, contains({_TERM}, 'generalpubliclicense') OR contains({_TERM}, 'thonou') AS denied "
+    f"FROM (SELECT call_id, text FROM {_SAID_SQL} AS y UNION ALL SELECT 1000000000 + c_custkey, concat_ws(' . x . ', '1234567', '2345678', '3456789', '4567890', CAST(5000000 + c_custkey AS STRING)) FROM customer) AS x WHERE text IS NOT NULL",
+)(
+    # the signals that the span list itself raises, with long numbers and client terms as spans
+    lambda t: _said_too(t).unionByName(t.customer.select((c("c_custkey") + 1000000000).alias("call_id"), F.expr("concat_ws(' . x . ', '1234567', '2345678', '3456789', '4567890', CAST(5000000 + c_custkey AS STRING))").alias("text"))).filter("text IS NOT NULL")
+    .select("call_id", X.span_signals(c("text"), DENY).alias("s"))
+    .select("call_id", *(F.array_contains("s", reason).alias(name) for name, reason in (("short", "short_transcript"), ("dense", "high_entity_density"), ("denied", "deny_list_hit"))))
+)
 query("pii_27")(lambda t: X.decided(t.clean_transcripts, "text", DENY).select("call_id", "decision", "risk"))
 
 
@@ -98,10 +154,23 @@ query("txt_05", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'truncated
                               F.when(c("event_type") == "signup", c("props")).otherwise(F.to_json(F.struct(c("event_type").alias("bucket")))).alias("answer"))
     .select("event_id", X.strict_record(c("answer"), c("stop"), {"bucket": ("view", "click", "purchase", "error")})["failure"].alias("failure"))
 )
-for key in ("txt_06", "op_22", "op_24"):
-    query(key)(lambda t: t.clean_transcripts.select("call_id", X.sanitized(C.first_line(c("text")), DENY).alias("line")))
-for key in ("txt_08", "op_23", "op_31", "op_37"):
+query("txt_06")(lambda t: t.clean_transcripts.select("call_id", X.sanitized(C.first_line(c("text")), DENY).alias("line")))
+query("op_24")(lambda t: t.clean_transcripts.select("call_id", "lang", C.first_line(c("text")).alias("first")).select("call_id", "lang", X.sanitized(c("first"), DENY).alias("line"), (F.length("first") > 0).alias("stated")))
+for key in ("txt_08",):
     query(key)(lambda t: t.clean_transcripts.select("call_id", X.residual(c("text"), DENY).alias("r")).select("call_id", (F.size(F.map_keys("r")) == 0).alias("safe"), F.array_join(F.array_sort(F.map_keys("r")), ",").alias("categories")))
+query("op_23")(lambda t: t.clean_transcripts.select("call_id", F.explode(X.residual(c("text"), DENY)).alias("category", "n")))
+query("op_37")(
+    # what a redaction has left behind, held against the scan once more: nothing may be
+    lambda t: t.clean_transcripts.select("call_id", X.residual(X.redacted(c("text"), DENY)["text"], DENY).alias("r")).select("call_id", (F.size("r") == 0).alias("safe"), F.array_join(F.array_sort(F.map_keys("r")), ",").alias("categories"))
+)
+#: Values of a vault that the documents hold: a long one, met in the squeezed text, and a short one, met as a whole word.
+VAULT = ("General Public", "Thonou")
+_STRIPPED = r"regexp_replace(text, '\[[A-Z_]+_[0-9]+\]', ' ', 'g')"
+query(
+    "op_31",
+    f"SELECT doc_id AS call_id, contains(regexp_replace(lower({_STRIPPED}), '[^a-z0-9]', '', 'g'), 'generalpublic') AS first, "
+    f"contains(' ' || regexp_replace(lower({_STRIPPED}), '[^a-z0-9]+', ' ', 'g') || ' ', ' thonou ') AS second FROM documents WHERE text IS NOT NULL",
+)(lambda t: t.clean_transcripts.filter("text IS NOT NULL").select("call_id", X.reintroduced(c("text"), VAULT).alias("r")).select("call_id", c("r")[0].alias("first"), c("r")[1].alias("second")))
 query("txt_09")(
     lambda t: t.clean_transcripts.select("call_id", X.residual(c("text"), DENY).alias("r"), "text")
     .select("call_id", F.when(F.size(F.map_keys("r")) > 0, "residual_pii").when(c("text").rlike(r"\[[A-Z_]+_[0-9]+\]"), "tokened_phrase").otherwise("passed").alias("result"))

@@ -8,7 +8,7 @@ from ..functions import columns as C
 from ..functions import vocab as V
 from ..operators import rows as R
 from ..operators import writes as W
-from .registry import at, query
+from .registry import at, hmac_sql, query
 from .standins import NOW, Tables
 
 c = F.col
@@ -144,20 +144,40 @@ def _audit(t: Tables):
     return t.customer.select("c_custkey", "c_mktsegment", X.keyed_hash(b"audit", C.name_key(c("c_name"))).alias("name_hash"))
 
 
-query("snk_19")(_audit)
+_NAME = "trim(regexp_replace(lower(c_name), '\\s+', ' ', 'g'))"
+query("snk_19", f"SELECT c_custkey, c_mktsegment, {hmac_sql(b'audit', f'encode({_NAME})')} AS name_hash FROM customer")(_audit)
 
 # -- appends and insert-once ----------------------------------------------------------------------
 
-#: id -> (table, id column): append of the odd rows to the even ones
+#: id -> (table, its columns, new rows' source, condition, new values): inserts with the values that the operation sets.
+#: Expressions are read alike by Spark and by SQL. New ids lie behind the old ones.
 APPENDS = {
-    "snk_13": ("processing_log", "id"), "wr_07": ("backfill_runs", "run_id"), "wr_24": ("processing_log", "id"), "wr_25": ("operator_actions", "action_id"), "wr_30": ("dead_letter", "id"),
-    "wr_31": ("operator_actions", "action_id"), "wr_32": ("examples", "id"), "wr_35": ("model_invocations", "id"), "wr_36": ("note_feedback", "id"), "wr_37": ("operator_actions", "action_id"),
-    "wr_38": ("heartbeats", "id"), "wr_39": ("key_versions", "version"), "wr_40": ("key_versions", "version"), "wr_44": ("key_versions", "version"),
+    "snk_13": ("processing_log", ["id", "call_id", "stage", "outcome"], "call_state", "status = 'held'", ["call_id + 1000000000", "call_id", "current_stage", "'held'"]),
+    "wr_07": ("backfill_runs", ["run_id", "window_id", "status", "progress"], "supplier", "s_acctbal > 0", ["s_suppkey + 1000000000", "s_nationkey", "'running'", "CAST(0 AS DOUBLE)"]),
+    "wr_24": ("processing_log", ["id", "call_id", "stage", "outcome"], "events", "event_type = 'signup'", ["event_id + 1000000000", "user_id", "coalesce(nullif(event_type, 'signup'), 'webhook')", "coalesce(CAST(NULL AS STRING), 'received')"]),
+    "wr_25": ("operator_actions", ["action_id", "call_id", "action"], "review_queue", "status = 'open' AND held_reason <> 'cost_cap_held'", ["review_id + 1000000000", "call_id", "'reprocess_requested'"]),
+    "wr_30": ("dead_letter", ["id", "call_id", "error_code"], "processing_log", "outcome = 'failed' AND k > 50", ["id + 1000000000", "call_id", "CASE WHEN stage = 'redact' THEN 'BAD_INPUT' ELSE 'STORE_DOWN' END"]),
+    "wr_31": ("operator_actions", ["action_id", "call_id", "action"], "customer", "c_acctbal > 0", ["c_custkey + 1000000000", "c_custkey", "concat('consent:', lower(c_mktsegment))"]),
+    "wr_32": ("examples", ["id", "expected", "task"], "documents", "length(text) > 800", ["doc_id + 1000000000", "1", "0"]),
+    "wr_35": ("model_invocations", ["id", "call_id", "model", "tokens"], "clean_transcripts", "lang IS NOT NULL", ["call_id + 1000000000", "call_id", "concat('model-', lang)", "CAST(floor(length(text) / 4) AS INT)"]),
+    "wr_36": ("note_feedback", ["id", "call_id", "field_path", "verdict"], "technician_notes", "quantity > 40", ["call_id + 1000000000", "call_id", "'equipment.capacity'", "CASE WHEN scope_signal = 'O' THEN 'wrong' ELSE 'correct' END"]),
+    "wr_37": ("operator_actions", ["action_id", "call_id", "action"], "alert_events", "acknowledged_at IS NOT NULL", ["alert_id + 1000000000", "call_id", "'acknowledge'"]),
+    "wr_38": ("heartbeats", ["id", "component", "status"], "key_versions", "status <> 'active'", ["version + 1000000000", "concat('key:', CAST(kek AS STRING))", "concat('lifecycle:', status)"]),
+    "wr_39": ("key_versions", ["version", "kek", "status"], "nation", "true", ["n_nationkey + 1000000000", "n_nationkey", "'active'"]),
+    "wr_40": ("key_versions", ["version", "kek", "status"], "key_versions", "status = 'active'", ["version + 1000000000", "kek", "'rotating'"]),
+    "wr_44": ("key_versions", ["version", "kek", "status"], "region", "true", ["r_regionkey + 1000000000", "r_regionkey + 100", "'parent_active'"]),
 }
-for name, (table, key) in APPENDS.items():
-    query(name, f"SELECT {key}, count(*) OVER () AS total FROM {table}")(
-        lambda t, table=table, key=key: (lambda d: W.append(d.filter(c(key) % 2 == 0), d.filter(c(key) % 2 != 0)))(getattr(t, table)).select(key).join(getattr(t, table).agg(F.count("*").alias("total")))
-    )
+
+
+def _appended(t: Tables, table: str, columns: list[str], source: str, where: str, values: list[str]):
+    old = getattr(t, table).select(*columns)
+    new = getattr(t, source).filter(where).select(*(F.expr(v).cast(old.schema[k].dataType).alias(k) for k, v in zip(columns, values)))
+    return W.append(old, new)
+
+
+for name, spec in APPENDS.items():
+    table, columns, source, where, values = spec
+    query(name, f"SELECT {', '.join(columns)} FROM {table} UNION ALL SELECT {', '.join(values)} FROM {source} WHERE {where}")(lambda t, spec=spec: _appended(t, *spec))
 #: id -> (table, key columns): insert-once of all rows into the ones with k or id below a bound
 ONCE = {
     "wr_05": ("backfill_run_calls", ["run_id", "call_id"], "call_id < 900"),

@@ -35,10 +35,10 @@ def transcript_state(raw: Column) -> Column:
     return F.when(node.isNull() | F.try_parse_json(raw).isNull(), "error").when(waiting, "not_ready").when((F.size(node["lines"]) > 0) | (node["transcript"] != ""), "ready").otherwise("not_ready")
 
 
-def fixture(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(calls, transcripts) of a JSON fixture file."""
+def fixture(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(calls, transcripts) of JSON fixture files; lines: a fixture a line."""
     schema = "calls array<struct<callId:string,startedAt:double,endedAt:double,state:string,direction:string,duration:double>>, transcripts map<string,string>"
-    whole = spark.read.schema(schema).json(path, multiLine=True)
+    whole = spark.read.schema(schema).json(path, multiLine=not lines)
     return whole.select(F.inline("calls")), whole.select(F.explode("transcripts").alias("call_id", "text"))
 
 
@@ -63,6 +63,20 @@ def verified_claims(token: Column, secrets: list[bytes]) -> Column:
     return run(token)
 
 
+def landed_pages(spark: SparkSession, path: str, started_after: float | None = None) -> DataFrame:
+    """(call_id, started_at, state) of a landed call listing: JSON lines of page, cursor of the next page, and items.
+
+    A cursor that leads to its own page, or that two pages give, does not advance: ValueError. Unlike `PagedCalls`, which
+    follows a folder of files by name, this reads any number of pages in parallel.
+    """
+    pages = spark.read.schema("page string, cursor string, items array<struct<call_id:string,started_at:double,state:string>>").json(path)
+    stuck = pages.filter("cursor IS NOT NULL").groupBy("cursor").agg(F.count("*").alias("n"), F.bool_or(F.col("page") == F.col("cursor")).alias("own"))
+    if not stuck.filter("n > 1 OR own").isEmpty():
+        raise ValueError("a cursor does not advance")
+    items = pages.select(F.inline("items"))
+    return items if started_after is None else items.filter(F.col("started_at") > started_after)
+
+
 class _Page(InputPartition):
     def __init__(self, file: str):
         self.file = file

@@ -1,9 +1,12 @@
 """Text operators: detectors, merge, tokens, repair, scan, phrases."""
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from callweave.functions import patterns as P
 from callweave.functions import spans as S
 
 
@@ -99,3 +102,57 @@ def test_verbatim_gate():
     kept, exact, snapped, dropped = S.verbatim_gate(["heaters leaking", "since monday nobody came to fix it", "blue sky", ""], text)
     assert kept == ["heaters leaking", "since Monday and nobody came to fix it", ""] and (exact, snapped, dropped) == (2, 1, 1)
     assert S.lcs("a b c d".split(), "b x d".split()) == 2
+
+
+PARTS = ["at", "AT", "dot", "(dot)", "[at]", "( at )", "com", "net", "org", "a", "bob", "x1", "-", "%", "+", ".", "@", "＠", " ", "  ", "\n", "_", "double", "five", "Ada", "7", "é", "K", "blue", "&"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(PARTS), st.sampled_from(["", "", " ", "  "])), max_size=16))
+def test_emails_equal_a_search_from_the_left(parts):
+    text = "".join(a + b for a, b in parts)
+    hits = lambda p: [S.Span(*m.span(), "email") for m in p.finditer(text)]
+    like = hits(P.EMAIL_LIKE[0]) + hits(P.EMAIL_LIKE[1])
+    assert S.email_like(text) == like
+    assert S.emails(text) == S.uncontained([*hits(P.EMAIL), *hits(P.EMAIL_SPOKEN_OUT), *like])
+
+
+def folded(spans):
+    """merge() by taking one span after the other into the last one."""
+    out, mixed = [], False
+    strength = lambda s: (S.PRIORITY[s.detector], s.end - s.start)
+    for s in sorted(spans, key=lambda s: (s.start, -s.end)):
+        last = out[-1] if out else None
+        if last is None or s.start > last.end or (s.start == last.end and s.kind != last.kind):
+            out.append(s)
+            continue
+        mixed |= s.kind != last.kind
+        name = s if strength(s) > strength(last) else last
+        sure = [c for c in (last.confidence, s.confidence) if c is not None]
+        out[-1] = S.Span(last.start, max(last.end, s.end), name.kind, name.detector, min(sure) if sure else None)
+    return out, mixed
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 8), st.sampled_from(["phone", "name", "email"]), st.sampled_from(["regex", "ner", "deny_list"]), st.sampled_from([None, 0.5, 0.9])), max_size=9))
+def test_merge_equals_a_fold(raw):
+    spans = [S.Span(a, a + n, kind, detector, sure) for a, n, kind, detector, sure in raw]
+    assert S.merge(spans) == folded(spans)
+
+
+@pytest.mark.parametrize("text", ["x" * 1_000_000 + "@", "@" * 300_000, "a." * 500_000 + "@b", "ab " * 300_000, "9" * 1_000_000, "A" * 1_000_000 + " at b dot"])
+def test_long_texts_take_no_longer_than_they_are(text):
+    began = time.perf_counter()
+    S.redact(text)
+    assert time.perf_counter() - began < 20
+
+
+def test_runs_of_spoken_digits():
+    assert S.spoken("double five triple one nine") == 6 and S.spoken("") == 0
+    text = "oh double one two, triple three end one"
+    assert cut(text, S.spelled_digits(text)) == ["oh double one two, triple three"]
+
+
+def test_vaulted_values_that_reappear():
+    assert S.reappearing(["Ann Lee", "al", "Bo Xi", "General Public"], "the GENERAL-public said bo xi [NAME_1]") == [False, False, True, True]
+    assert S.reappears("Ann", "[ANN_1] anne") is False
