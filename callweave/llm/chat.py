@@ -5,8 +5,10 @@ paths: in round k every known ancestor is joined with the messages 2^k levels ab
 log2(n) rounds, and the rows made are exactly the path's messages. Branches are ranked by score, and each chosen
 path is formatted as one conversation with a loss mask over the assistant's texts.
 
-Joins are on (conversation, message), so a conversation with very many messages is dealt over all tasks; only a
-path's own messages meet in one row. Rounds are written to the shared folder, so nothing is computed twice.
+Joins are on (conversation, message), so a tree with very many messages is dealt over all tasks; only a path's own
+messages meet in one row, the formatted conversation, which is the result's own unit (and holds at most 2 GB). `linear`
+numbers the turns of a conversation in a window, so its rows, with their texts, are sorted by one task, which spills what
+it can't hold. Rounds are written to the shared folder, so nothing is computed twice.
 
 Template: `<|im_start|>role\\ntext<|im_end|>\\n` per turn. Inside texts and roles `&` becomes `&amp;` and `<|` becomes
 `&lt;|` (and a line break in a role `&nl;`), which `parsed` undoes.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import fresh_path
+from ..spread import spread
 
 #: Fixed by the result contracts: what separates words, as a Java/RE2/Python character class body.
 WORD_BREAKS = r"\x20\x09-\x0D"
@@ -18,7 +19,8 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; one of a few partitions is dealt over all cores, as every row costs work."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def unused(df: DataFrame, stem: str) -> str:
