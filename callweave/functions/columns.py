@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -196,9 +197,15 @@ def risk_safe(reasons: Column) -> Column:
 
 
 def urgency_rule(urgency: Column, intent: Column, text: Column) -> Column:
-    """Urgency after the keyword rule: emergencies win, ambiguous phrases lift by one level."""
-    plain = normal_light(text)
-    any_of = lambda phrases: plain.rlike("(?:^|\\W)(?:" + "|".join(phrases) + ")(?:$|\\W)")
+    """Urgency after the keyword rule: emergencies win, ambiguous phrases lift by one level.
+
+    A text that lacks the longest word of every phrase holds none of them: only the others are normalised and searched.
+    """
+    low, plain = F.lower(text), normal_light(text)
+    longest = lambda phrases: sorted({max(p.replace("'", " ").split(), key=len) for p in phrases})
+    stems = lambda phrases: [w for w in longest(phrases) if not any(x != w and x in w for x in longest(phrases))]
+    any_stem = lambda phrases: reduce(lambda a, b: a | b, (low.contains(w) for w in stems(phrases)))
+    any_of = lambda phrases: any_stem(phrases) & plain.rlike("(?:^|\\W)(?:" + "|".join(phrases) + ")(?:$|\\W)")
     up = F.when(urgency == "routine", "urgent").when(urgency == "urgent", "emergency").otherwise(urgency)
     fired = (urgency == "emergency") | (intent == "emergency") | any_of(V.EMERGENCY_PHRASES)
     return F.when(fired, "emergency").when(any_of(V.AMBIGUOUS_PHRASES), up).otherwise(urgency)

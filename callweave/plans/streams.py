@@ -18,6 +18,16 @@ def _events(t):
 
 
 query("stream_dedup", "SELECT event_id FROM events")(lambda t: X.first_within(X.drain(_events(t).select("event_id", "at"), "dedup"), ["event_id"], 5).select("event_id"))
+# a key that recurs: each user's events of a type, once a day at most
+query(
+    "stream_dedup_users",
+    """
+, z AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+kept AS (SELECT event_id, user_id, event_type, n, true AS keep, ts AS since FROM z WHERE n = 1
+  UNION ALL SELECT z.event_id, z.user_id, z.event_type, z.n, z.ts >= k.since + INTERVAL 1 DAYS, CASE WHEN z.ts >= k.since + INTERVAL 1 DAYS THEN z.ts ELSE k.since END
+  FROM kept k JOIN z ON z.user_id = k.user_id AND z.event_type = k.event_type AND z.n = k.n + 1)
+SELECT event_id FROM kept WHERE keep""",
+)(lambda t: X.first_within(X.drain(_events(t).select("event_id", "user_id", "event_type", "at"), "dedup"), ["user_id", "event_type"], 24 * 60, ["event_id"]).select("event_id"))
 query("stream_rates", "SELECT user_id, date_trunc('minute', ts) AS start, count(*) AS n, count(*) > 1 AS limited FROM events GROUP BY 1, 2")(lambda t: X.rates(X.drain(_events(t).select("user_id", "at"), "rates"), "user_id", {"1 minute": 1})["1 minute"])
 query(
     "stream_states",

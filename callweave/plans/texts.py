@@ -90,7 +90,9 @@ _TERM = "regexp_replace(lower(text), '[^a-z0-9]', '', 'g')"
 query("pii_11", f"SELECT doc_id AS call_id, ((length({_TERM}) - length(replace({_TERM}, 'generalpubliclicense', ''))) // 20 + (length({_TERM}) - length(replace({_TERM}, 'thonou', ''))) // 6)::INT AS n FROM documents")(
     lambda t: t.clean_transcripts.select("call_id", F.size(X.deny_list(c("text"), DENY, anywhere=True)).alias("n"))
 )
-query("pii_12")(lambda t: t.clean_transcripts.select("call_id", F.size(X.span_udf(lambda text: X.S.value_occurrences(text, "General Public"))(c("text"))).alias("n")))
+query("pii_12", f"SELECT doc_id AS call_id, ((length({_TERM}) - length(replace({_TERM}, 'generalpublic', ''))) // 13)::INT AS n FROM documents WHERE text IS NOT NULL")(
+    lambda t: t.clean_transcripts.filter("text IS NOT NULL").select("call_id", F.size(X.span_udf(lambda text: X.S.value_occurrences(text, "General Public"))(c("text"))).alias("n"))
+)
 query("pii_14", r"SELECT doc_id AS call_id, (len(regexp_extract_all(' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' general public license ')))::INT AS n FROM documents")(
     lambda t: t.clean_transcripts.select("call_id", F.size(X.deny_list(c("text"), DENY[:1])).alias("n"))
 )
@@ -103,7 +105,19 @@ def stub_model(text: str) -> list[tuple[str, float, str]]:
 
 
 query("pii_17")(lambda t: t.clean_transcripts.select("call_id", X.span_udf(lambda text: X.S.ner(text, stub_model)[0])(c("text")).alias("s")).select("call_id", F.inline("s")))
-query("pii_18")(lambda t: t.clean_transcripts.select("call_id", X.span_udf(lambda text: X.S.align(text, stub_model(text))[0])(c("text")).alias("s")).select("call_id", F.inline("s")))
+_WS = r"[^ \t\n\x0B\f\r]+"
+query(
+    "pii_18",
+    f"""
+, w AS (SELECT doc_id AS call_id, regexp_extract_all(text, '{_WS}') AS ws, regexp_split_to_array(text, '{_WS}') AS gaps FROM documents WHERE text IS NOT NULL),
+t AS (SELECT call_id, i, ws[i] AS word, length(gaps[i]) AS gap, i > 1 AND regexp_matches(ws[i], '^\\p{{Lu}}') AS cap FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w) AS x),
+p AS (SELECT *, sum(gap + length(word)) OVER o AS stop, cap AND coalesce(lag(cap) OVER o, false) AND gap <= 1 AS goes_on FROM t WINDOW o AS (PARTITION BY call_id ORDER BY i)),
+g AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY call_id ORDER BY i) AS run FROM p)
+SELECT call_id, min(stop - length(word))::INT AS start, max(stop)::INT AS "end", 'name' AS kind, 0.9::DOUBLE AS confidence FROM g WHERE cap GROUP BY call_id, run""",
+)(
+    lambda t: t.clean_transcripts.select("call_id", X.span_udf(lambda text: X.S.align(text, stub_model(text))[0])(c("text")).alias("s")).select("call_id", F.inline("s"))
+    .select("call_id", "start", "end", "kind", F.round("confidence", 6).alias("confidence"))
+)
 # Where a house number begins right before the first word behind digits and blanks.
 _BEFORE = "length(regexp_extract(text, '(?s)^.*?[0-9][ \\t]+'))"
 _HEAD = f"substr(text, greatest({_BEFORE} - 12, 0) + 1, least({_BEFORE}, 12))"
