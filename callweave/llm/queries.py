@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, jaccard, langid, ogg, packing, quality, secrets, sharding, suffixes
-from .common import table
+from .common import stored, table
 
 #: Vocabulary files are a parameter: (module that knows their place, file).
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -29,6 +29,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of a policy costs, from the stored ledger: bits alone, no text is read again."""
+    book = stored(quality.ledger(table(spark, sf_dir, "documents")).select("doc_id", *quality.MEASURES, "fail_bits"), "quality-ledger")
+    return quality.ablation(book, "keeps")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY))
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
+    "quality_ablation": quality_ablation,
 }
 
 _OP2 = r"""
@@ -90,9 +97,15 @@ m AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x
   coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(l.n, 0)::BIGINT AS n_lines, length(regexp_replace(t, '[^\pL]+', '', 'g'))::BIGINT AS n_letters
   FROM d JOIN w USING (r) LEFT JOIN cov USING (r) LEFT JOIN l USING (r)),
 f AS (SELECT *, ({bits})::BIGINT AS fail_bits FROM m)
+"""
+_JUDGED = """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {base} <> 0 AS base_failed,
   fail_bits & {all} = 0 AS kept, fail_bits FROM f
 """
+_ABLATED = """
+SELECT rule, count(*) FILTER (WHERE fail_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (WHERE fail_bits & {mask} = bit)::BIGINT AS n_only, count(*)::BIGINT AS n_rows
+FROM f, (VALUES {rules}) AS r(rule, bit) GROUP BY rule
+"""
 
 _OP5 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
@@ -152,11 +165,12 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM c GROUP BY conv_id
 """
 
+_LEDGER = _OP2.replace("{bits}", " + ".join(f"CASE WHEN {p} THEN {1 << i} ELSE 0 END" for i, p in enumerate(quality.RULES.values())))
+
 ORACLE_SQL: dict[str, str] = {
-    "op2_quality_rules": _OP2.replace("{bits}", " + ".join(f"CASE WHEN {p} THEN {1 << i} ELSE 0 END" for i, p in enumerate(quality.RULES.values())))
-    .replace("{base}", str(quality.mask_of("base")))
-    .replace("{all}", str(quality.mask_of("base") | quality.mask_of("v1"))),
+    "op2_quality_rules": _LEDGER + _JUDGED.format(base=quality.mask_of("base"), all=quality.mask_of("base") | quality.mask_of("v1")),
     "op4_secret_scan": _op4_sql(),
     "op5_sharding": _OP5.replace("{limit}", str(sharding.LIMIT_BYTES)),
     "op9_chat_format": _OP9,
+    "quality_ablation": _LEDGER + _ABLATED.format(mask=quality.mask_of("keeps"), rules=", ".join(f"('{r}', {quality.mask_of((r,))})" for r in quality.POLICIES["keeps"])),
 }

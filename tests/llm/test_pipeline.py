@@ -154,7 +154,7 @@ def test_stages_equal_a_plain_version(spark, monkeypatch):
 
 
 def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
     assert len(P.STAGES) == 5
 
 
