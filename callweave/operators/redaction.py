@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -84,6 +85,41 @@ def reintroduced(text: Column, values: Iterable[str]) -> Column:
     return run(text)
 
 
+_NAME_WORD = re.compile(r"(?:[^\W_]|')+")
+#: Contexts of names that a name model keeps, at most: those seen most often.
+NAME_CONTEXTS = 10_000
+
+
+def train_names(texts: DataFrame, text_col: str = "text", least: float = 0.5, most: int = NAME_CONTEXTS) -> dict[tuple[str, str, bool], float]:
+    """A token model of person names: how likely a word is one after the two words before it, capitalised or not.
+
+    Trained on weak labels: a capitalised word behind `my name is`, or behind such a word. Words are counted where they
+    stand and combined before the shuffle; only contexts that are names at least half the time come to the driver.
+    """
+    words = F.split(F.trim(F.regexp_replace(text_col, r"[^\p{L}\p{N}']+", " ")), " ")
+    said = lambda w, i, k: F.lower(F.coalesce(F.get(w, i - k), F.lit("")))
+    cap = lambda w, i, k=0: F.coalesce(F.get(w, i - k), F.lit("")).rlike(r"^\p{Lu}")
+    cue = lambda w, i: (said(w, i, 3) == "my") & (said(w, i, 2) == "name") & (said(w, i, 1) == "is")
+    name = lambda w, i: cap(w, i) & (cue(w, i) | (cap(w, i, 1) & cue(w, i - 1)))
+    rows = texts.select(words.alias("w")).select(
+        F.explode(F.transform("w", lambda _, i: F.struct(said(F.col("w"), i, 2).alias("a"), said(F.col("w"), i, 1).alias("b"), cap(F.col("w"), i).alias("cap"), name(F.col("w"), i).alias("name")))).alias("t")
+    )
+    seen = rows.groupBy("t.a", "t.b", "t.cap").agg(F.count("*").alias("n"), F.count_if("t.name").alias("k")).filter("k > 0")
+    rate = seen.withColumn("rate", F.col("k") / (F.col("n") + 1)).filter(F.col("rate") >= least).orderBy(F.desc("n"), "a", "b").limit(most)
+    return {(r.a, r.b, r.cap): r.rate for r in rate.collect()}
+
+
+def name_model(rates: dict[tuple[str, str, bool], float]) -> Callable[[str], list[tuple[str, float, str]]]:
+    """The trained model as a token model: text -> (entity, score, word) of each word."""
+    def model(text: str) -> list[tuple[str, float, str]]:
+        words = _NAME_WORD.findall(text)
+        low = ["", "", *(w.lower() for w in words)]
+        found = (rates.get((low[i], low[i + 1], w[:1].isupper())) for i, w in enumerate(words))
+        return [("O", 1.0, w) if rate is None else ("B-PER", rate, w) for w, rate in zip(words, found)]
+
+    return model
+
+
 def deny_list(text: Column, terms: list[str], anywhere: bool = False) -> Column:
     find = S.denied_anywhere if anywhere else S.denied
     return span_udf(lambda t: find(t, terms))(text)
