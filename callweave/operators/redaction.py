@@ -314,11 +314,11 @@ def json_leaves(x: Column) -> Column:
     return run(x)
 
 
-#: Keys of a payload, in lower case, whose values are personal.
+#: Keys of a payload, in lower case, whose values are personal.
 LABELS = {
-    "phones": ("phone", "phone_number", "external_number", "from_number", "to_number"),
-    "names": ("name", "contact_name", "caller_name", "customer_name"),
-    "emails": ("email", "email_address", "contact_email"),
+    "phones": ("phone", "phone_number", "external_number", "internal_number", "from_number", "to_number", "caller_number", "callee_number", "contact_phone", "number"),
+    "names": ("name", "contact_name", "display_name", "first_name", "last_name", "customer_name"),
+    "emails": ("email", "email_address", "contact_email", "customer_email"),
 }
 
 

@@ -24,8 +24,8 @@ _CATEGORY = "CASE service_category WHEN 'BUILDING' THEN 'leak_detection_or_repai
 _URGENCY = "CASE urgency WHEN '1-URGENT' THEN 'emergency' WHEN '2-HIGH' THEN 'urgent' WHEN '5-LOW' THEN 'some day' ELSE 'routine' END"
 _SENTIMENT = "CASE call_id % 4 WHEN 0 THEN 'positive' WHEN 1 THEN 'neutral' WHEN 2 THEN 'negative' ELSE 'frustrated' END"
 ENUMS = {"call_intent": (_INTENT, V.CALL_INTENTS), "service_category": (_CATEGORY, V.SERVICE_CATEGORIES), "urgency": (_URGENCY, V.URGENCIES), "sentiment": (_SENTIMENT, V.SENTIMENTS)}
-#: What stands for a text that only a person may write.
-PLACEHOLDER = "for a person to state"
+#: Fixed value: what stands for a text that only a person may write.
+PLACEHOLDER = "Human-reviewed extraction correction"
 
 
 def extract_record(enums: dict[str, F.Column]) -> F.Column:
@@ -107,7 +107,7 @@ query(
     .select("alert_id", F.format_string("[%s] %s: %s (%s)", F.when(c("stored"), c("read.severity")).otherwise(c("kept_severity")), c("error_code"), F.when(c("stored"), c("read.impact")).otherwise(c("impact")), c("owner")).alias("text"), "stored")
 )
 #: Keys of a failure's context that may be kept: none holds content.
-SAFE_CONTEXT = ("call_id", "stage", "component")
+SAFE_CONTEXT = V.DEDUP_SCOPES
 query(
     "op_51",
     "SELECT id, CASE WHEN outcome = 'failed' THEN 'STAGE_FAILED' ELSE 'UNKNOWN' END AS error_code, CAST(call_id AS VARCHAR) AS call_id, stage, CASE WHEN detail IS NULL THEN 2 ELSE 3 END - 2 AS dropped FROM processing_log WHERE outcome <> 'success'",
@@ -154,7 +154,7 @@ query("op_42")(_report)
 
 # -- jobs ----------------------------------------------------------------------
 
-#: Consents that any run needs, and the one that only some need.
+#: Consents that any run needs, and the one that only some need.
 GATES = ("dialpad_recording_consent", "signed_services_agreement", "signed_data_processing_addendum", "anthropic_no_training_confirmation", "anthropic_data_retention_confirmation")
 MATCHING_GATE = "servicetitan_matching_consent"
 query("op_40", f"SELECT run_id, '{','.join(GATES)}' || CASE WHEN window_id % 2 = 0 THEN ',{MATCHING_GATE}' ELSE '' END AS required FROM backfill_runs")(

@@ -11,7 +11,7 @@ SAID = ["We live at 77 Old Mill Road, apt 4B, thanks. ", "dial five five five oh
 TEXTS = {1: FILL + "".join(SAID), 2: FILL + SAID[0] + FILL + SAID[2], 3: SAID[1] + FILL + SAID[3], 4: FILL, 5: ""}
 FOUND = {
     "pii_03_texts": S.street_addresses, "pii_08_texts": S.spelled_digits, "op_28_texts": S.spelled_digits, "pii_09_texts": S.greeted_names, "op_29_texts": S.greeted_names, "pii_13_texts": S.address_digits,
-    "pii_17": lambda x: S.ner(x, stub_model)[0], "pii_18": lambda x: S.align(x, stub_model(x))[0],
+    "pii_17_stub": lambda x: S.ner(x, stub_model)[0], "pii_18": lambda x: S.align(x, stub_model(x))[0],
 }
 
 
