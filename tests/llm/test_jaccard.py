@@ -97,7 +97,7 @@ def test_links_that_only_a_split_tile_finds(spark):
         if i % 3 == 0:
             docs.append((2 * i + 1, " ".join([*passage, *own[:-1], rnd.choice(words)])))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for limits in (jaccard.Limits(small=3, cell=4, strays=4, frequent=0), jaccard.Limits(small=3, cell=4, strays=8, frequent=0, splits=1), jaccard.Limits(small=8, cell=16, frequent=0)):
+    for limits in (jaccard.Limits(small=3, cell=4, strays=4, frequent=0), jaccard.Limits(small=8, cell=16, frequent=0)):
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.jaccard_components(df, limits=limits).collect()) == brute(docs)
 
 
