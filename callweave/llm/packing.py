@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -62,7 +61,7 @@ class WordTokenizer:
     """
 
     #: Letters that lower-casing and composing leave one letter each (no dotted capital I), then plain marks.
-    PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017E]+)([.,!?;:]*)")
+    PLAIN = "^(?P<body>[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017E]+)(?P<marks>[.,!?;:]*)$"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -91,34 +90,37 @@ class WordTokenizer:
         ids[ends - 1] = self.final[data[ends - 1]]
         return self.merges.apply(ids, sizes)
 
-    def _known(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache, new = {}, words
-        plain, marks, other = [], [], []
-        for w in new:
-            m = self.PLAIN.fullmatch(w)
-            if m is None:
-                other.append(w)
-            else:
-                plain.append(w)
-                marks.append((m[1].lower().encode(), m[2].encode()))
-        if plain:
-            parts = self._merge([x for pair in marks for x in pair if x])
-            at = 0
-            for w, (_, tail) in zip(plain, marks):
-                n = 2 if tail else 1
-                self.cache[w] = b"".join(parts[at : at + n])
-                at += n
-        for e, w in zip(self.library.encode_batch_fast(other, add_special_tokens=False), other):
+    def _known(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words, as bytes. Words that differ in case or marks alone share the work on their letters."""
+        parts = pc.extract_regex(words, self.PLAIN)
+        plain = parts.is_valid()
+        found = parts.filter(plain)
+        body, marks = pc.utf8_lower(found.field("body")).dictionary_encode(), found.field("marks").dictionary_encode()
+        other = words.filter(pc.invert(plain)).to_pylist()
+        letters, ends = body.dictionary.to_pylist(), marks.dictionary.to_pylist()
+        new = [w for w in letters if w not in self.cache] + [w for w in ends if w and w not in self.cache]
+        strange = [w for w in other if w not in self.cache]
+        if len(self.cache) + len(new) + len(strange) > CACHE:
+            self.cache, new, strange = {}, [*letters, *(w for w in ends if w)], other
+        if new:
+            self.cache.update(zip(new, self._merge([w.encode() for w in new])))
+        for e, w in zip(self.library.encode_batch_fast(strange, add_special_tokens=False), strange):
             self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        return [self.cache[w] for w in words]
+        known = self.cache
+        heads = pa.array([known[w] for w in letters], pa.binary()).take(body.indices)
+        tails = pa.array([known[w] if w else b"" for w in ends], pa.binary()).take(marks.indices)
+        whole = pc.binary_join_element_wise(heads, tails, pa.scalar(b"", pa.binary()))
+        both = pa.concat_arrays([whole, pa.array([known[w] for w in other], pa.binary())])
+        mask = plain.to_numpy(zero_copy_only=False)
+        at = np.empty(len(words), np.int64)
+        at[mask], at[~mask] = np.arange(len(whole)), np.arange(len(whole), len(words))
+        return both.take(pa.array(at))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, END_ID last."""
         split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        found = pa.array(self._known(coded.dictionary.to_pylist()), pa.binary()).take(coded.indices)
+        found = self._known(coded.dictionary).take(coded.indices)
         bounds = np.asarray(split.offsets).astype(np.int64)
         bounds = bounds - bounds[0]
         _, at, data = found.buffers()
