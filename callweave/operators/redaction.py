@@ -27,12 +27,16 @@ def _rows(spans: Iterable[S.Span]) -> list[dict]:
 
 
 def span_udf(find: Callable[[str], list[S.Span]]) -> Callable[[Column], Column]:
-    """A span function as a column function; null text gives no spans."""
+    """A span function as a column function; null text gives no spans.
+
+    Marked as not deterministic so that it runs once: Spark would else infer from `inline` that there must be a span, and
+    test that by the same function where the table is read.
+    """
     @F.pandas_udf(SPANS)
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _rows(find(t)) if t else [])
 
-    return run
+    return run.asNondeterministic()
 
 
 #: Detectors by name: anything that maps a text to spans can be added.
