@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+#: Partitions up to which a table is small: some 2 GB at Spark's usual size of a partition.
+FEW = 16
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where its files make fewer partitions than there are cores.
+    """df over all cores, where its files make but a few partitions and fewer than there are cores.
 
     For tables whose rows cost much work. A table with more partitions stays as it lies, so nothing large is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(min(cores, 4 * FEW)) if parts < cores and parts <= FEW else df
