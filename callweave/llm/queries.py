@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, langid, ogg, packing, quality, secrets, sharding, suffixes
+from . import automata, bpe, chat, jaccard, langid, negatives, ogg, packing, periodic, quality, secrets, sharding, suffixes
 from .common import stored, table
 
 #: Vocabulary files are a parameter: (module that knows their place, file).
@@ -70,6 +70,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(negatives.prepared(table(spark, sf_dir, "embeddings"), moved), F.col("id") % 100 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -81,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_substring_dedup": op13_substring_dedup,
     "quality_ablation": quality_ablation,
 }
 
@@ -165,6 +181,29 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM c GROUP BY conv_id
 """
 
+_OP11 = r"""
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.id AS anchor_id, b.id AS other, a.label = b.label AS same, list_sum([z[1] * z[2] FOR z IN list_zip(a.q, b.q)])::BIGINT AS score
+  FROM v AS a JOIN v AS b ON a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other)::INTEGER AS positive_rank FROM s WHERE same
+  QUALIFY positive_rank <= {positives}),
+n AS (SELECT anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score, positive_rank,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND {lowest} * positive_score <= 100 * score AND 100 * score <= {highest} * positive_score QUALIFY rank <= {negatives})
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score, positive_rank FROM n
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, doc_id, i, array_to_string(ws[i : i + {window} - 1], ' ') AS x FROM (SELECT *, unnest(range(1, len(ws) - {window} + 2)) AS i FROM d WHERE doc_id IS NOT NULL)),
+g AS (SELECT r, i FROM (SELECT r, i, doc_id > min(doc_id) OVER (PARTITION BY x) AS later FROM w) WHERE later),
+c AS (SELECT DISTINCT r, i + k AS i FROM g, (SELECT unnest(range(0, {window})) AS k)),
+k AS (SELECT e.r, count(c.i)::BIGINT AS n_removed, coalesce(string_agg(e.word, ' ' ORDER BY e.i) FILTER (WHERE c.i IS NULL), '') AS kept
+  FROM (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d) AS e LEFT JOIN c ON c.r = e.r AND c.i = e.i GROUP BY e.r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
 _LEDGER = _OP2.replace("{bits}", " + ".join(f"CASE WHEN {p} THEN {1 << i} ELSE 0 END" for i, p in enumerate(quality.RULES.values())))
 
 ORACLE_SQL: dict[str, str] = {
@@ -172,5 +211,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_secret_scan": _op4_sql(),
     "op5_sharding": _OP5.replace("{limit}", str(sharding.LIMIT_BYTES)),
     "op9_chat_format": _OP9,
+    "op11_hard_negatives": _OP11.format(positives=negatives.POSITIVES, negatives=negatives.NEGATIVES, lowest=negatives.LOWEST, highest=negatives.HIGHEST),
+    "op13_substring_dedup": _OP13.format(window=automata.WINDOW),
     "quality_ablation": _LEDGER + _ABLATED.format(mask=quality.mask_of("keeps"), rules=", ".join(f"('{r}', {quality.mask_of((r,))})" for r in quality.POLICIES["keeps"])),
 }
