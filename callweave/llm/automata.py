@@ -30,10 +30,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tag_of
 from .hashing import column_bytes, mixed, slices, words_hash
 
 WINDOW, GRAM = 13, 5
@@ -58,11 +58,6 @@ LIMITS = Limits()
 _DEALT = "one long, two long, doc long, tag long, at long, ref long, ref_tag long, ref_at long"
 
 
-def tag_of(text: Column) -> Column:
-    """60 bits of the text's MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-
-
 def _word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of texts one after another, and the number of words before each text."""
     space = (data == 32) | ((data >= 9) & (data <= 13))

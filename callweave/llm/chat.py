@@ -23,11 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, stored
+from .common import in_blocks, let, running, stored, stretch
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
-#: Longest way from a leaf to its root; a longer one is taken for a cycle.
-DEEPEST = 1 << 20
 
 
 def linear(turns: DataFrame, conv_col: str = "conv_id") -> DataFrame:
@@ -57,7 +55,7 @@ def paths(nodes: DataFrame) -> DataFrame:
         )
         if more.isEmpty():
             return found
-        if step > DEEPEST:
+        if step > ids.count():  # no way up has more messages than there are
             raise ValueError("messages answer each other in a cycle")
         found = found.unionByName(more)
         far = above.select("c", F.col("n").alias("m"), F.col("a").alias("b"))
@@ -94,17 +92,15 @@ def branches(nodes: DataFrame, best: int | None = None) -> DataFrame:
 def formatted(chosen: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """Adds `formatted` and `loss_mask` (array<struct<start,end>>, code points of the formatted text, end exclusive)."""
     turns = F.transform("turns", lambda t: F.struct(F.replace(escaped(t["role"]), F.lit("\n"), F.lit("&nl;")).alias("role"), escaped(t["text"]).alias("text")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
     trained = F.replace(escaped(F.lit(trained_role)), F.lit("\n"), F.lit("&nl;"))
 
-    def step(acc: Column, t: Column) -> Column:
-        begin = acc["at"] + len(OPEN) + 1 + F.char_length(t["role"])
-        end = begin + F.char_length(t["text"])
-        mask = F.when(t["role"] == trained, F.array_append(acc["mask"], F.struct(begin.alias("start"), end.alias("end")))).otherwise(acc["mask"])
-        return F.struct((end + len(CLOSE)).alias("at"), mask.alias("mask"))
+    def mask(ts: Column) -> Column:
+        ends = running(F.transform(ts, lambda t: F.char_length(t["role"]) + F.char_length(t["text"]) + len(OPEN) + 1 + len(CLOSE)))
+        places = F.zip_with(ts, ends, lambda t, end: F.struct((end - len(CLOSE) - F.char_length(t["text"])).alias("start"), (end - len(CLOSE)).alias("end"), (t["role"] == trained).alias("own")))
+        return F.transform(F.filter(places, lambda p: p["own"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
 
     text = lambda ts: F.array_join(F.transform(ts, lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["text"], F.lit(CLOSE))), "")
-    both = let(turns, lambda ts: F.struct(text(ts).alias("formatted"), F.aggregate(ts, start, step, lambda acc: acc["mask"]).alias("loss_mask")))
+    both = let(turns, lambda ts: F.struct(text(ts).alias("formatted"), mask(ts).alias("loss_mask")))
     return chosen.withColumn("_both", both).select("*", "_both.*").drop("_both")
 
 
@@ -116,7 +112,7 @@ def parsed(texts: DataFrame) -> DataFrame:
         unescaped(F.substring_index(x, "\n", 1)).alias("role"), unescaped(F.substring(x, F.char_length(F.substring_index(x, "\n", 1)) + 2, F.char_length(x))).alias("text")
     )
     turns = F.transform(F.filter(blocks, lambda b: b != ""), lambda b: let(heads(b), turn))
-    under = F.transform("loss_mask", lambda m: unescaped(F.substring(F.col("formatted"), m["start"] + 1, m["end"] - m["start"])))
+    under = let(in_blocks(F.col("formatted")), lambda blocks: F.transform("loss_mask", lambda m: unescaped(stretch(blocks, m["start"], m["end"]))))
     return texts.withColumn("read_turns", turns).withColumn("loss_texts", under)
 
 

@@ -42,6 +42,54 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def tag_of(text: Column) -> Column:
+    """60 bits of the text's MD5."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+#: Places that `running` folds at once.
+_FOLDED = 1024
+
+
+def running(values: Column, greatest: bool = False) -> Column:
+    """Running sums of an array of numbers that are not negative, or running maxima.
+
+    A fold that appends to an array copies it at every step, so blocks are folded, then the totals of blocks.
+    """
+    join = F.greatest if greatest else (lambda a, b: a + b)
+
+    def folded(part: Column) -> Column:
+        return F.aggregate(part, F.array().cast("array<int>"), lambda done, x: F.array_append(done, join(x, F.coalesce(F.get(done, F.size(done) - 1), F.lit(0)))))
+
+    def whole(blocks: Column) -> Column:
+        totals = folded(F.transform(blocks, lambda x: F.coalesce(F.get(x, F.size(x) - 1), F.lit(0))))
+        return let(totals, lambda t: F.flatten(F.transform(blocks, lambda x, i: F.transform(x, lambda y: join(y, F.coalesce(F.get(t, i - 1), F.lit(0)))))))
+
+    parts = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / _FOLDED).cast("int")), lambda i: folded(F.slice(v, i * _FOLDED + 1, _FOLDED)))
+    return let(let(values, parts), whole)
+
+
+#: Code points of a block of `in_blocks`.
+_BLOCK = 4096
+
+
+def in_blocks(text: Column) -> Column:
+    """The text as an array of blocks, from which `stretch` cuts without walking from the text's start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+
+def stretch(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end (exclusive) of a text that is given as `in_blocks`."""
+    first, last = (F.floor(x / _BLOCK).cast("int") for x in (start, end - 1))
+    inside = F.substring(F.get(blocks, first), start - first * _BLOCK + 1, end - start)
+    across = F.concat(
+        F.substring(F.get(blocks, first), start - first * _BLOCK + 1, F.lit(_BLOCK)),
+        F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+        F.substring(F.get(blocks, last), F.lit(1), end - last * _BLOCK),
+    )
+    return F.when(end <= start, F.lit("")).when(first == last, inside).otherwise(across)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: df as a table written in the shared folder and read back.
 

@@ -54,9 +54,15 @@ _CLOSES = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</
 _OTHER = re.compile(r"[\W\d_]+")
 
 
-def visible(html: str | None) -> str:
-    """The text without tags, comments, scripts and styles, a blank for each; one pass, what is never closed is text or a tag."""
-    html, parts, at, endless = html or "", [], 0, set()
+_HTML, _LANG = re.compile(r"<html\b", re.I), re.compile(r"""\blang\s*=\s*["']?([a-z]+)""", re.I)
+
+
+def read(html: str | None) -> tuple[str, str]:
+    """The text without tags, comments, scripts and styles, a blank for each, and the language that the first html tag with one declares.
+
+    One pass; what is never closed is text or a tag. A tag inside a comment, script or style declares nothing.
+    """
+    html, parts, at, endless, declared = html or "", [], 0, set(), ""
     for m in _OPENS.finditer(html):
         if m.start() < at:
             continue
@@ -65,13 +71,19 @@ def visible(html: str | None) -> str:
         if close is None:
             endless.add(kind)
             end = html.find(">", m.end()) + 1
+            if not declared and _HTML.match(html, m.start()) and (said := _LANG.search(html, m.start(), end or len(html))):
+                declared = said[1].lower()
             if not end:
                 break
         else:
             end = close.end()
         parts.append(html[at : m.start()])
         at = end
-    return " ".join([*parts, html[at:]])
+    return " ".join([*parts, html[at:]]), declared
+
+
+def visible(html: str | None) -> str:
+    return read(html)[0]
 
 
 def domain(host: Column) -> Column:
@@ -136,11 +148,11 @@ def evidence(pages: DataFrame, model: Model, id_col: str = "page_id") -> DataFra
     """(id, host, domain, declared, suffix, logs array<double>): everything that one page says."""
     def stage(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({id_col: pdf[id_col], "url": pdf["url"], "declared": pdf["declared"], "logs": [model.score(visible(h)) for h in pdf["html"]]})
+            texts = [read(h) for h in pdf["html"]]
+            yield pd.DataFrame({id_col: pdf[id_col], "url": pdf["url"], "declared": [d for _, d in texts], "logs": [model.score(t) for t, _ in texts]})
 
-    declared = F.lower(F.regexp_extract(F.col("html"), r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]+)""", 1))
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(id_col, "url", "html", declared.alias("declared")).mapInPandas(stage, f"{id_col} {kind}, url string, declared string, logs array<double>")
+    rows = pages.select(id_col, "url", "html").mapInPandas(stage, f"{id_col} {kind}, url string, declared string, logs array<double>")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
     return rows.withColumn("host", host).select(
         id_col, "host", domain(F.col("host")).alias("domain"), F.coalesce("declared", F.lit("")).alias("declared"), F.substring_index("host", ".", -1).alias("suffix"), "logs"

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored, unused, without
+from .common import in_blocks, let, running, stored, stretch, unused, without
 
 
 @dataclass(frozen=True)
@@ -50,14 +50,14 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),  # as a run of 32 or more: shorter runs are dropped anyway
 )
-#: Further kinds; their spans are added to the base ones.
+#: Further kinds; their spans are added to the base ones. No group is repeated: Java's matcher recurses once a turn.
 ADDED = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,200}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),  # a bounded head: a run without a dot is not read again from each of its places
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE + ADDED
 
@@ -188,19 +188,12 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
 
     def place(matches: Column) -> Column:
-        pieces = F.split(text, rule.java, -1)
+        gaps = F.slice(F.split(text, rule.java, -1), 1, F.size(matches))
         sized = matches if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.java), F.lit(rule.group))
-        steps = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"), matches.alias("hit"), sized.alias("sized"))
-        start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-
-        def step(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + F.char_length(x["gap"])
-            end = begin + F.char_length(x["hit"])
-            span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
-            spans = F.when(F.char_length(x["sized"]) >= rule.least, F.array_append(acc["spans"], span)).otherwise(acc["spans"])
-            return F.struct(end.alias("at"), spans.alias("spans"))
-
-        return F.when(F.size(matches) == 0, none).otherwise(F.aggregate(steps, start, step, lambda acc: acc["spans"]))
+        ends = running(F.zip_with(gaps, matches, lambda gap, hit: F.char_length(gap) + F.char_length(hit)))
+        steps = F.arrays_zip(ends.alias("end"), F.transform(matches, F.char_length).alias("n"), F.transform(sized, F.char_length).alias("sized"))
+        spans = F.transform(F.filter(steps, lambda x: x["sized"] >= rule.least), lambda x: F.struct((x["end"] - x["n"]).alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end")))
+        return F.when(F.size(matches) == 0, none).otherwise(spans)
 
     return let(F.regexp_extract_all(text, F.lit(rule.java), F.lit(0)), place)
 
@@ -238,16 +231,14 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def redact(found: DataFrame, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
     """The texts of scan() with every span replaced; overlapping and touching spans become one mask."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    def masked(blocks: Column, reach: Column, last: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(reach, i - 1), F.lit(0))  # how far the spans before this one go
+            return F.when(s["start"] > before, F.concat(stretch(blocks, before, s["start"]), F.lit(mask))).when((s["start"] == 0) & (before == 0), F.lit(mask)).otherwise("")
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] > acc["at"]
-        first = (s["start"] == 0) & (acc["at"] == 0)
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        parts = F.when(fresh, F.concat(acc["parts"], F.array(gap, F.lit(mask)))).when(first, F.array(F.lit(mask))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
+        return F.concat(F.array_join(F.transform("spans", piece), ""), stretch(blocks, F.element_at(reach, -1), last))
 
-    whole = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.lit(2147483647)))
-    clean = F.aggregate("spans", start, step, whole)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    reach = running(F.transform("spans", lambda s: s["end"]), greatest=True)
+    clean = let(in_blocks(text), lambda blocks: let(reach, lambda r: masked(blocks, r, F.char_length(text))))
     return found.withColumn(text_col, F.when(F.size("spans") == 0, F.col(text_col)).otherwise(clean))

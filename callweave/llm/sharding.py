@@ -83,9 +83,3 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES, id_col: str = "doc_id", te
     paged = _split(pages, limit)
     paged = paged.select(F.col("id").alias(id_col), "n_bytes", _named(paged).alias("shard"), (F.col("above") + F.col("depth")).alias("depth"))
     return whole.join(crowded, "shard", "left_anti").select(*paged.columns).unionByName(paged)
-
-
-def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the documents as one folder per shard. Rows of a shard meet in one task, which the limit bounds; doc ids must be unique."""
-    plan = shards(docs, limit, id_col, text_col).select(id_col, "shard")
-    docs.join(plan, id_col).repartition("shard").write.partitionBy("shard").parquet(path)

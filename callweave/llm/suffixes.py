@@ -18,14 +18,13 @@ random bases, whose values no structure of a text can make equal. Texts are shuf
 Buckets of anchors grow in number with the input. Everything between the steps lies in the shared folder.
 
 Defined cases: null text counts as empty; a row without doc_id neither loses bytes nor makes others lose any; rows of
-one doc_id are judged each by its own text and never against each other; texts under 50 bytes lose nothing; ids must be
+one doc_id are judged each by its own text (told by 60 bits of its MD5) and never against each other; texts under 50 bytes lose nothing; ids must be
 whole numbers (others raise); a column of docs that has an output's name gives way to it; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, unused, without
+from .common import stored, tag_of, unused, without
 from .hashing import Fingerprints, column_bytes, grams_hash, mixed, prefix_sums, slices, spans_hash
 
 LENGTH = 50
@@ -163,13 +162,13 @@ def common_grams(docs: DataFrame, text_col: str = "text", limits: Limits = LIMIT
 
 
 _HASHES = (np.uint64, np.uint64)
-_REST = (np.int64, np.uint32, np.int32, np.uint8)
+_REST = (np.int64, np.int64, np.int32, np.uint8)
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
-    """gram, context, doc, tag, start, run as bytes: hashes as they are, the rest compressed (doc as differences)."""
+    """gram, context, doc, tag, start, run as bytes: hashes as they are, the rest compressed (doc and tag as differences)."""
     gram, context, doc, tag, start, run = columns
-    raw = b"".join(np.ascontiguousarray(x, k).tobytes() for x, k in zip((np.diff(doc, prepend=0), tag, start, run), _REST))
+    raw = b"".join(np.ascontiguousarray(x, k).tobytes() for x, k in zip((np.diff(doc, prepend=0), np.diff(tag, prepend=0), start, run), _REST))
     return b"".join((len(gram).to_bytes(4, "little"), gram.tobytes(), context.tobytes(), zstandard.compress(raw, 1)))
 
 
@@ -184,7 +183,8 @@ def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
         for out, kind in zip(parts[2:], _REST):
             out.append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
-        parts[2][-1] = np.cumsum(parts[2][-1])
+        for k in (2, 3):
+            parts[k][-1] = np.cumsum(parts[k][-1])
     return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, (*_HASHES, *_REST))]
 
 
@@ -194,20 +194,19 @@ def _contexts(docs: DataFrame, common: np.ndarray, buckets: int, id_col: str, te
         for b in batches:
             known = np.array(b.column(0).is_valid())
             docs_ = b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            tags = b.column(2).to_numpy()
             held: list[list[np.ndarray]] = []
             size = 0
             for s, e, data, offsets, shift, done in _runs(b.column(1), limits):
                 a = Anchors(data, offsets, common)
                 keep = known[a.row + s]
-                whole, bounds = (data, offsets) if done and not shift else column_bytes(b.column(1).slice(s, e - s))
-                tags = np.array([zlib.crc32(whole[i:j]) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())], np.uint32)
-                held.append([x[keep] for x in (a.gram, a.context, docs_[a.row + s], tags[a.row], a.start - offsets[a.row] + shift, a.run)])
+                held.append([x[keep] for x in (a.gram, a.context, docs_[a.row + s], tags[a.row + s], a.start - offsets[a.row] + shift, a.run)])
                 size += len(data)
                 if size >= limits.sent or (e == b.num_rows and done):
                     yield from _sent([np.concatenate(x) for x in zip(*held)], buckets)
                     held, size = [], 0
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(stage, "bucket int, blob binary, settled binary")
+    return docs.select(F.col(id_col).cast("long"), text_col, tag_of(F.col(text_col))).mapInArrow(stage, "bucket int, blob binary, settled binary")
 
 
 def _settled(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -363,7 +362,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lim
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(total // limits.bucket, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tagged = docs.select(F.col(id_col).cast("long").alias("doc"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("tag"), F.col(text_col).alias("text"))
+    tagged = docs.select(F.col(id_col).cast("long").alias("doc"), tag_of(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
 
     contexts = _contexts(docs, common_grams(docs, text_col, limits), buckets, id_col, text_col, limits)
     hashed = contexts.groupBy("bucket").applyInArrow(_by_hash, "gram long, doc long, tag long, cut long")
@@ -400,7 +399,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Bytes are cut wherever the windows end; kept_text leaves out the pieces of letters that a cut has split.
     """
     found = removed(docs, id_col, text_col, limits)
-    tag = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    tag = tag_of(F.col(text_col))
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
     kept = without(docs, made) if with_text else [id_col]
     doc_, tag_, cuts_, text_ = (unused(docs, x) for x in ("own_doc", "own_tag", "own_cuts", "own_text"))

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from callweave.llm import bpe, chat, hashing, langid, ogg, packing, quality, queries, secrets, sharding, suffixes
+from callweave.llm import bpe, chat, common, hashing, langid, ogg, packing, quality, queries, secrets, sharding, suffixes
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "\n\n", "é̂中\U0001f600", "a " * 3000, "token=abcdefgh1 " * 40, "x" * 70000, "same line\nsame line\nsame line"]
@@ -77,6 +77,17 @@ def test_suffix_dedup_equals_brute_force(spark, seed):
     assert suffixes.suffix_dedup(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_and_one_checksum_are_told_apart(spark):
+    """Two texts of one id with one CRC-32: only the one that holds another document's passage loses bytes."""
+    passage = "".join(random.Random(5).choice("abcdefgh") for _ in range(80))
+    tail = lambda k: hashlib.md5(b"%d" % k).hexdigest()[:10].replace("a", "~").replace("3", "Z")
+    plain = {zlib.crc32((t := f"{'q' * 66}{tail(k)}").encode()): t for k in range(300_000)}
+    twin = next(t for k in range(700_000) if zlib.crc32((t := f"{passage}{tail(k)}").encode()) in plain)
+    rows = [(1, passage), (2, plain[zlib.crc32(twin.encode())]), (2, twin)]
+    got = suffixes.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in got) == [(1, 80, 0), (2, 76, 0), (2, 90, 80)]
+
+
 def test_suffix_dedup_of_very_long_texts_and_clashing_names(spark):
     rnd = random.Random(6)
     long = "".join(rnd.choice("abcdefgh ") for _ in range(1_200_000))
@@ -204,6 +215,30 @@ def test_secret_scan_beside_clashing_names(spark):
     assert {r.doc_id: (r.spans[0].start, r.id) for r in found.collect()} == {1: (1_200_000, 5), None: (0, 5)}
 
 
+OWN_REPEATS = [
+    ("-----BEGIN " + "A " * 3000 + "PRIVATE KEY-----", 1), ("-----BEGIN " + "AB " * 350_000 + "PRIVATE KEY-----", 1), ("-----BEGIN " * 100_000, 0), ("eyJ" * 350_000, 0), (("eyJ" * 60 + "." + "eyJ" * 10) * 4500, None), ("token=abcdefgh1 " * 60_000, 60_000),
+    (("0a" * 20 + " ") * 25_000, 25_000), (("token" + " " * 50) * 20_000, 0), ("AKIA" * 250_000, 1), ("xoxb-" * 200_000, 1), ("ghp_" * 250_000, 0), ("sk_live_" * 120_000, 0), ("AIza" * 250_000, None),
+]
+
+
+def test_every_rule_on_a_long_text_of_its_own_repeats(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(OWN_REPEATS)], "doc_id long, text string")
+    began = time.perf_counter()
+    rows = {r.doc_id: r for r in secrets.redact(secrets.scan(df)).select("doc_id", F.size("spans").alias("n"), "text").collect()}
+    assert time.perf_counter() - began < 90
+    assert all(n is None or rows[i].n == n for i, (_, n) in enumerate(OWN_REPEATS)) and rows[5].text == "[secret] " * 60_000
+
+
+def test_stretches_and_running_totals(spark):
+    text = "".join(random.Random(1).choice("aé\U0001f600\n中") for _ in range(20_000))
+    values = [(i * 7919) % 101 for i in range(5000)]
+    cuts = [(0, 0), (0, 20_000), (4095, 4097), (4096, 4096), (1, 12_289), (8191, 20_000), (19_999, 20_000)]
+    df = spark.createDataFrame([(text, cuts, values), ("", [(0, 0)], []), ("x", [(0, 1)], [5])], "t string, c array<struct<s:int,e:int>>, v array<int>")
+    rows = df.select("*", common.let(common.in_blocks(F.col("t")), lambda b: F.transform("c", lambda c: common.stretch(b, c["s"], c["e"]))).alias("parts"), common.running(F.col("v")).alias("sums"), common.running(F.col("v"), True).alias("tops")).collect()
+    for r in rows:
+        assert r.parts == [r.t[s:e] for s, e in r.c] and r.sums == np.cumsum(r.v).tolist() and r.tops == np.maximum.accumulate(r.v or [0]).tolist()[: len(r.v)]
+
+
 def test_trigram_queries_hold_for_every_match():
     for rule, match in ((secrets.RULES[0], "Api_Key: zzzzzzzz"), (secrets.RULES[0], "APIKEY=zzzzzzzz"), (secrets.RULES[3], "gho_" + "a" * 36), (secrets.RULES[-1], "-----BEGIN EC PRIVATE KEY-----")):
         assert any(all(g in match.lower() for g in clause) for clause in secrets.trigram_query(rule.regex))
@@ -373,6 +408,12 @@ def test_long_reply_chain(spark):
     assert [t.text for t in row.turns] == [str(i) for i in range(1, 301)] and row.score == 300
 
 
+def test_a_ring_below_a_leaf_raises(spark):
+    nodes = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 3, 1)], "conv long, node long, parent long").selectExpr("*", "'user' AS role", "'t' AS text", "1D AS score")
+    with pytest.raises(ValueError):
+        chat.branches(nodes)
+
+
 def test_linear_orders_equal_turns_and_ignores_other_columns(spark):
     rows = [(1, 2, "user", "b", 1), (1, 2, "assistant", "z", 1), (1, 2, "assistant", "a", 1), (1, 1, None, None, 1), (None, 1, "user", "n", 1), (None, 1, "user", "n", 1), (2, 1, "assistant", "long " * 250_000, 1)]
     turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, leaf int").withColumn("conv", F.lit("x")).withColumn("node", F.lit(3)).withColumn("score", F.lit("y"))
@@ -463,6 +504,10 @@ def test_pages_are_read_in_linear_time():
     began = time.perf_counter()
     for html in ("<" * 1_000_000, "<script " * 125_000, "<!--" * 250_000, "<style>" * 150_000 + "</script>", "x" * 1_000_000):
         langid.visible(html)
+    for html in ("<html " * 170_000, "<html lang" * 100_000, "<html>" * 170_000, "<html " + "lang   " * 150_000):
+        assert langid.read(html)[1] == ""
     assert time.perf_counter() - began < 10
+    said = {"<html lang=de": "de", "<HTML class=x\nLang = 'EN-us'>": "en", "<html><html lang=fr>": "fr", "<!-- <html lang=es> --><html lang=it>": "it", "<htmlx lang=de>": "", "<html hreflang=de>": "", "": ""}
+    assert {k: langid.read(k)[1] for k in said} == said
     assert langid.visible("a<b>c</b><SCRIPT>x<p></script >d<!-- e > -->f<g") == "a c  d f<g"
     assert langid.visible("<script>never closed <b>here") == " never closed  here"
