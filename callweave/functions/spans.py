@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property, lru_cache
 from itertools import accumulate, groupby, islice, pairwise
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 
 from . import patterns as P
@@ -46,6 +48,32 @@ def uncontained(spans: Iterable[Span]) -> list[Span]:
     return kept
 
 
+class Cover:
+    """What intervals cover together: sorted by start, with the furthest end so far, so that each question is one search."""
+
+    def __init__(self, intervals: Iterable[tuple[int, int]]):
+        ordered = sorted(intervals)
+        self.starts = [s for s, _ in ordered]
+        self.reach = list(accumulate((e for _, e in ordered), max))
+
+    def _furthest(self, n: int) -> int:
+        return self.reach[n - 1] if n else -1
+
+    def contains(self, start: int, end: int) -> bool:
+        """Whether one interval holds the whole of start to end."""
+        return self._furthest(bisect_right(self.starts, start)) >= end
+
+    def touches(self, start: int, end: int) -> bool:
+        """Whether one interval begins before `end` and ends behind `start`."""
+        return self._furthest(bisect_left(self.starts, end)) > start
+
+
+def _outside(spans: Iterable[Span], others: Iterable[Span]) -> list[Span]:
+    """The spans that none of the others contains."""
+    cover = Cover((o.start, o.end) for o in others)
+    return [s for s in spans if not cover.contains(s.start, s.end)]
+
+
 def _hits(text: str, pattern: re.Pattern[str], kind: str, group: int = 0) -> list[Span]:
     return [Span(*m.span(group), kind) for m in pattern.finditer(text)]
 
@@ -64,14 +92,6 @@ class Squeezed:
     def span(self, start: int, end: int, kind: str, detector: str = "regex") -> Span:
         return Span(int(self.places[start]), int(self.places[end - 1]) + 1, kind, detector)
 
-    def occurrences(self, needle: str, kind: str, detector: str = "regex") -> list[Span]:
-        out, at = [], self.text.find(needle)
-        while at >= 0:
-            out.append(self.span(at, at + len(needle), kind, detector))
-            at = self.text.find(needle, at + len(needle))
-        return out
-
-
 # -- single detectors ---------------------------------------------------------
 
 
@@ -202,50 +222,17 @@ def greeted_names(text: str) -> list[Span]:
 
 
 class Words:
-    """The letter and digit words of a text, and where each occurs."""
+    """The letter and digit words of a text in lower case, one blank round each, and where each stands."""
 
     def __init__(self, text: str):
         self.places = [m.span() for m in _ALNUM.finditer(text)]
-        self.words = [text[s:e].lower() for s, e in self.places]
-        self.at: dict[str, list[int]] = {}
-        for i, w in enumerate(self.words):
-            self.at.setdefault(w, []).append(i)
-
-    def runs(self, wanted: list[str], kind: str, detector: str = "regex") -> list[Span]:
-        """Disjoint runs of the wanted words."""
-        out, free, n = [], 0, len(wanted)
-        for i in self.at.get(wanted[0], ()) if wanted else ():
-            if i >= free and self.words[i : i + n] == wanted:
-                out.append(Span(self.places[i][0], self.places[i + n - 1][1], kind, detector))
-                free = i + n
-        return out
-
-
-def denied(text: str, terms: Iterable[str]) -> list[Span]:
-    """Deny terms as whole words of the text, whatever stands between the words."""
-    flat = squeezed(text)
-    terms = [t for t in terms if squeezed(t) in flat]
-    words = Words(text) if terms else None
-    return sorted((s for t in terms for s in words.runs([m[0].lower() for m in _ALNUM.finditer(t)], "deny_list", "deny_list")), key=lambda s: s.start)
-
-
-def denied_anywhere(text: str, terms: Iterable[str], letters: Squeezed | None = None) -> list[Span]:
-    """Deny terms of three or more letters in the squeezed text."""
-    needles = [n for t in terms if len(n := squeezed(t)) >= P.VALUE_LEAST]
-    if not needles:
-        return []
-    letters = letters or Squeezed(text)
-    return [s for n in needles for s in letters.occurrences(n, "deny_list", "deny_list")]
-
+        words = [text[s:e].lower() for s, e in self.places]
+        self.text = f" {' '.join(words)} "
+        self.starts = [1, *accumulate((len(w) + 1 for w in words), initial=1)][1:]
 
-def value_occurrences(text: str, value: str, kind: str = "other", read: Read | None = None) -> list[Span]:
-    """A known value again: long ones in the squeezed text, short ones as whole words."""
-    needle, read = squeezed(value), read or Read(text)
-    if len(needle) < P.VALUE_LEAST:
-        return []
-    if len(needle) >= P.VALUE_COLLAPSED:
-        return read.letters.occurrences(needle, kind)
-    return read.words.runs([w for w in _OTHER.split(value.lower()) if w], kind)
+    def span(self, start: int, end: int, kind: str, detector: str = "regex") -> Span:
+        """The span of a stretch of `text` that begins and ends with a blank."""
+        return Span(self.places[bisect_left(self.starts, start + 1)][0], self.places[bisect_left(self.starts, end) - 1][1], kind, detector)
 
 
 class Read:
@@ -263,6 +250,121 @@ class Read:
         return Words(self.text)
 
 
+def _spaced(words: Iterable[str]) -> str:
+    return f" {' '.join(words)} "
+
+
+#: Letters of a needle in the automaton, which is freed by recursion and so must not be deep; and places of a longer
+#: needle's head up to which they are tried one by one.
+_HEAD, _TRIED = 1000, 64
+
+
+class Needles:
+    """Many strings looked for at once: an automaton that reads a text one time, however many there are."""
+
+    def __init__(self, needles: Iterable[str]):
+        self.found = dict.fromkeys(needles)
+        self.longer: dict[str, list[str]] = {}
+        self.automaton = ahocorasick.Automaton()
+        for n in self.found:
+            if len(n) > _HEAD:
+                self.longer.setdefault(n[:_HEAD], []).append(n)
+            self.automaton.add_word(n[:_HEAD], n[:_HEAD])
+        if self.found:
+            self.automaton.make_automaton()
+
+    def disjoint(self, text: str, shared: int = 0) -> dict[str, list[tuple[int, int]]]:
+        """The occurrences of each needle from the left, none over another of its own but for `shared` letters."""
+        free: dict[str, int] = {}
+        out: dict[str, list[tuple[int, int]]] = {}
+
+        def keep(n: str, start: int) -> None:
+            if start >= free.get(n, 0):
+                out.setdefault(n, []).append((start, start + len(n)))
+                free[n] = start + len(n) - shared
+
+        for head, starts in self._heads(text, keep).items():
+            for n in self.longer[head]:
+                if len(starts) <= _TRIED:
+                    for start in starts:
+                        if text.startswith(n, start):
+                            keep(n, start)
+                else:
+                    at = text.find(n)
+                    while at >= 0:
+                        keep(n, at)
+                        at = text.find(n, free[n])
+        return out
+
+    def _heads(self, text: str, keep: Callable[[str, int], None]) -> dict[str, list[int]]:
+        """Tells `keep` every place of a whole needle; the places of longer needles' heads."""
+        heads: dict[str, list[int]] = {}
+        for end, head in self.automaton.iter(text) if self.found else ():
+            if head in self.found:
+                keep(head, end + 1 - len(head))
+            if head in self.longer:
+                heads.setdefault(head, []).append(end + 1 - len(head))
+        return heads
+
+    def present(self, text: str) -> set[str]:
+        """The needles that the text holds."""
+        seen: set[str] = set()
+        for head, starts in self._heads(text, lambda n, _: seen.add(n)).items():
+            seen |= {n for n in self.longer[head] if (any(text.startswith(n, s) for s in starts) if len(starts) <= _TRIED else n in text)}
+        return seen
+
+
+class Values:
+    """Known values looked for again: long ones in the squeezed text, short ones as whole words; all in one pass of either."""
+
+    def __init__(self, values: Iterable[str]):
+        self.values = list(values)
+        flat = [squeezed(v) for v in self.values]
+        self.long = [n if len(n) >= P.VALUE_COLLAPSED else "" for n in flat]
+        self.short = [_spaced(w for w in _OTHER.split(v.lower()) if w) if P.VALUE_LEAST <= len(n) < P.VALUE_COLLAPSED else "" for v, n in zip(self.values, flat)]
+        self.letters, self.words = Needles(n for n in self.long if n), Needles(n for n in self.short if n)
+
+    def occurrences(self, read: Read, kinds: Iterable[str]) -> list[list[Span]]:
+        """Spans of each value, of its kind."""
+        long = self.letters.disjoint(read.letters.text) if self.letters.found else {}
+        short = self.words.disjoint(read.words.text, 1) if self.words.found else {}
+        return [
+            [read.letters.span(*x, kind) for x in long.get(n, ())] if n else [read.words.span(*x, kind) for x in short.get(w, ())]
+            for n, w, kind in zip(self.long, self.short, kinds)
+        ]
+
+    def present(self, read: Read) -> list[bool]:
+        """Whether each value occurs."""
+        seen = self.letters.present(read.letters.text) if self.letters.found else set()
+        said = self.words.present(read.words.text) if self.words.found else set()
+        return [n in seen if n else w in said for n, w in zip(self.long, self.short)]
+
+
+def denied(text: str, terms: Iterable[str]) -> list[Span]:
+    """Deny terms as whole words of the text, whatever stands between the words."""
+    needles = [_spaced(words) for t in terms if (words := [m[0].lower() for m in _ALNUM.finditer(t)])]
+    if not needles:
+        return []
+    words = Words(text)
+    found = Needles(needles).disjoint(words.text, 1)
+    return sorted((words.span(*x, "deny_list", "deny_list") for n in needles for x in found.get(n, ())), key=lambda s: s.start)
+
+
+def denied_anywhere(text: str, terms: Iterable[str], letters: Squeezed | None = None) -> list[Span]:
+    """Deny terms of three or more letters in the squeezed text."""
+    needles = [n for t in terms if len(n := squeezed(t)) >= P.VALUE_LEAST]
+    if not needles:
+        return []
+    letters = letters or Squeezed(text)
+    found = Needles(needles).disjoint(letters.text)
+    return [letters.span(*x, "deny_list", "deny_list") for n in needles for x in found.get(n, ())]
+
+
+def value_occurrences(text: str, value: str, kind: str = "other") -> list[Span]:
+    """A known value again: long ones in the squeezed text, short ones as whole words."""
+    return Values([value]).occurrences(Read(text), [kind])[0]
+
+
 _NUMBER = re.compile(r"\d+", re.ASCII)
 
 
@@ -270,60 +372,59 @@ def address_digits(text: str, kind: str = "number") -> list[Span]:
     """Digit runs that touch a window round an address word."""
     if not _DIGIT.search(text):
         return []
-    windows = [(m.start() - P.ADDRESS_WINDOW, m.end() + P.ADDRESS_WINDOW) for m in P.ADDRESS_WORD.finditer(text)]
-    return [Span(*m.span(), kind) for m in _NUMBER.finditer(text) if any(m.start() < e and m.end() > s for s, e in windows)]
+    near = Cover((m.start() - P.ADDRESS_WINDOW, m.end() + P.ADDRESS_WINDOW) for m in P.ADDRESS_WORD.finditer(text))
+    return [Span(*m.span(), kind) for m in _NUMBER.finditer(text) if near.touches(*m.span())]
 
 
 # -- composites ---------------------------------------------------------------
 
 
-def _inside(s: Span, others: Iterable[Span]) -> bool:
-    return any(o.start <= s.start and s.end <= o.end for o in others)
-
-
 def detect(text: str) -> list[Span]:
     """All pattern detectors together; bare numbers give way to phones, cards and ids that cover them."""
     calls, ids = phones(text), [*cards(text), *government_ids(text)]
-    numbers = [s for s in long_numbers(text) if not _inside(s, [*calls, *ids])]
+    numbers = _outside(long_numbers(text), [*calls, *ids])
     return uncontained([*calls, *spelled_digits(text), *greeted_names(text), *emails(text), *street_addresses(text), *cross_streets(text), *ids, *numbers])
 
 
 def address_like(text: str) -> bool:
     """A number before capitalised words that no street address covers."""
-    known = street_addresses(text)
-    return _DIGIT.search(text) is not None and any(not _inside(s, known) for s in _hits(text, P.ADDRESS_LIKE, "street_address"))
+    return _DIGIT.search(text) is not None and bool(_outside(_hits(text, P.ADDRESS_LIKE, "street_address"), street_addresses(text)))
 
 
-def _union(block: list[Span]) -> Span:
-    """One span over spans in order of their starts.
+class _Joined:
+    """A growing union of spans: its reach, the span that names it, its kinds and least confidence.
 
-    The higher detector names it, then the longer span (one that outgrows all before it), then the earlier one.
+    The higher detector names it, then the longer span (one that outgrows the union so far), then the earlier one.
     """
-    start, ends = block[0].start, list(accumulate((s.end for s in block), max))
-    ranks = [PRIORITY[s.detector] for s in block]
-    highest = list(accumulate(ranks, max))
-    grows = lambda i: ranks[i] > highest[i - 1] or (ranks[i] == highest[i - 1] and block[i].end - block[i].start > ends[i - 1] - start)
-    name = block[max((i for i in range(1, len(block)) if grows(i)), default=0)]
-    sure = [s.confidence for s in block if s.confidence is not None]
-    return Span(start, ends[-1], name.kind, name.detector, min(sure, default=None))
+
+    def __init__(self, first: Span):
+        self.start, self.end, self.name, self.kinds, self.sure = first.start, first.end, first, {first.kind}, first.confidence
+
+    def add(self, s: Span) -> None:
+        rank, best = PRIORITY[s.detector], PRIORITY[self.name.detector]
+        if rank > best or (rank == best and s.end - s.start > self.end - self.start):
+            self.name = s
+        self.end = max(self.end, s.end)
+        self.kinds.add(s.kind)
+        self.sure = min((x for x in (self.sure, s.confidence) if x is not None), default=None)
+
+    def span(self) -> Span:
+        return Span(self.start, self.end, self.name.kind, self.name.detector, self.sure)
 
 
 def merge(spans: Iterable[Span]) -> tuple[list[Span], bool]:
-    """Disjoint spans, and whether different kinds overlapped.
+    """Disjoint spans, and whether different kinds overlapped, in one sweep.
 
-    Overlapping spans always join: a block ends where the next start has passed every end so far. Blocks that touch
-    join if they are of one kind.
+    Overlapping spans always join: a union ends where the next start has passed every end so far. A span that begins just
+    there joins too if it is of the union's kind.
     """
-    ordered = sorted(spans, key=lambda s: (s.start, -s.end))
-    reach = list(accumulate((s.end for s in ordered), max))
-    edges = [i for i in range(1, len(ordered)) if ordered[i].start >= reach[i - 1]]
-    out: list[Span] = []
-    blocks: list[list[Span]] = []
-    for i, j in pairwise([0, *edges, len(ordered)] if ordered else [0]):
-        touches = out and ordered[i].start == out[-1].end and ordered[i].kind == out[-1].kind
-        blocks[len(blocks) - bool(touches) :] = [(blocks[-1] if touches else []) + ordered[i:j]]
-        out[len(blocks) - 1 :] = [_union(blocks[-1])]
-    return out, any(len({s.kind for s in b}) > 1 for b in blocks)
+    out: list[_Joined] = []
+    for s in sorted(spans, key=lambda s: (s.start, -s.end)):
+        if out and (s.start < out[-1].end or (s.start == out[-1].end and s.kind == out[-1].name.kind)):
+            out[-1].add(s)
+        else:
+            out.append(_Joined(s))
+    return [j.span() for j in out], any(len(j.kinds) > 1 for j in out)
 
 
 class Tokenized(NamedTuple):
@@ -337,30 +438,16 @@ def label(kind: str, n: int) -> str:
 
 
 def tokenize(text: str, spans: Iterable[Span]) -> Tokenized:
-    """Spans replaced by tokens numbered per kind; surfaces equal once squeezed share a token."""
-    counts: Counter[str] = Counter()
-    tokens: dict[tuple[str, str], str] = {}
-    vault, findings, parts, at = [], [], [], 0
-    for s in sorted(spans, key=lambda s: s.start):
-        surface = text[s.start : s.end]
-        key = (s.kind, squeezed(surface))
-        if key not in tokens:
-            counts[s.kind] += 1
-            tokens[key] = label(s.kind, counts[s.kind])
-            vault.append((tokens[key], surface))
-            findings.append((s.kind, tokens[key], key[1]))
-        parts += [text[at : s.start], tokens[key]]
-        at = s.end
-    return Tokenized("".join([*parts, text[at:]]), vault, findings)
-
-
-def _reappears(value: str, squeezed_text: str, words: Words) -> bool:
-    needle = squeezed(value)
-    if len(needle) < P.VALUE_LEAST:
-        return False
-    if len(needle) >= P.VALUE_COLLAPSED:
-        return needle in squeezed_text
-    return bool(words.runs([w for w in _OTHER.split(value.lower()) if w], "other"))
+    """Disjoint spans replaced by tokens numbered per kind; surfaces equal once squeezed share a token."""
+    spans = sorted(spans, key=lambda s: s.start)
+    keys = [(s.kind, squeezed(text[s.start : s.end])) for s in spans]
+    place = {key: i for i, key in reversed([*enumerate(keys)])}  # where each key comes first
+    by_place = sorted(place, key=place.__getitem__)
+    rank = {kind: {key: n for n, key in enumerate((k for k in by_place if k[0] == kind), 1)} for kind in {k for k, _ in by_place}}
+    token = {key: label(key[0], rank[key[0]][key]) for key in by_place}
+    gaps = [text[a:b] for a, b in zip([0, *(s.end for s in spans)], [*(s.start for s in spans), len(text)])]
+    whole = "".join(x for pair in zip(gaps, [*(token[k] for k in keys), ""]) for x in pair)
+    return Tokenized(whole, [(token[k], text[slice(*spans[place[k]][:2])]) for k in by_place], [(k[0], token[k], k[1]) for k in by_place])
 
 
 def reappears(value: str, redacted: str) -> bool:
@@ -369,49 +456,50 @@ def reappears(value: str, redacted: str) -> bool:
 
 
 def reappearing(values: Iterable[str], redacted: str) -> list[bool]:
-    """For each vaulted value whether it can be read in a redacted text, which is read once."""
-    values = list(values)
-    if not values:
-        return []
-    bare = P.TOKEN.sub(" ", redacted).lower()
-    flat, words = squeezed(bare), Words(bare)
-    return [_reappears(v, flat, words) for v in values]
+    """For each vaulted value whether it can be read in a redacted text."""
+    return Values(values).present(Read(P.TOKEN.sub(" ", redacted).lower()))
 
 
 def residual(redacted: str, vaulted: Iterable[str] = (), deny: Iterable[str] = ()) -> dict[str, int]:
     """What personal data a redacted text still seems to hold: count by category, without zeros."""
-    text, vaulted = P.TOKEN.sub(" ", redacted), list(vaulted)
-    flat, words = squeezed(text), Words(text.lower()) if vaulted else None
+    text = P.TOKEN.sub(" ", redacted)
+    read = Read(text.lower())
+    flat, terms = read.letters.text, [n for t in deny if len(n := squeezed(t)) >= P.VALUE_LEAST]
+    met = Needles(terms).present(flat)
     near = lambda m: _DIGIT.search(text, max(0, m.start() - P.ADDRESS_WINDOW), min(len(text), m.end() + P.ADDRESS_WINDOW))
     counts = {
-        "vault_value_reintroduced": sum(_reappears(v, flat, words) for v in vaulted),
+        "vault_value_reintroduced": sum(Values(vaulted).present(read)),
         "digit_run": len(_DIGITS.findall(flat)),
         "spelled_out_digits": len(spelled_digits(text.lower())),
         "email_like": len(email_like(text)),
         "address_like": sum(near(m) is not None for m in P.ADDRESS_WORD.finditer(text)),
         "name_like_after_greeting": sum(len(p.findall(text)) for p in P.GREETED_NAMES_SCAN),
-        "deny_list_term": sum(len(squeezed(t)) >= P.VALUE_LEAST and squeezed(t) in flat for t in deny),
+        "deny_list_term": sum(n in met for n in terms),
     }
     return {k: n for k, n in counts.items() if n}
 
 
 class Masked:
-    """A text with each span as one blank, and the places its letters came from."""
+    """A text with a blank for each of its disjoint spans.
+
+    A letter behind k blanks stands as much further right in the text as these k spans are longer than their blanks.
+    """
 
     def __init__(self, text: str, spans: Iterable[Span]):
-        parts, places, at = [], [], 0
-        for s in sorted(spans, key=lambda s: s.start):
-            if s.start < at:
-                continue
-            parts += [text[at : s.start], " "]
-            places += [np.arange(at, s.start), np.array([-1])]
-            at = s.end
-        self.text = "".join([*parts, text[at:]])
-        self.places = np.concatenate([*places, np.arange(at, len(text))])
+        spans = sorted(spans, key=lambda s: s.start)
+        self.shifts = [0, *accumulate(s.end - s.start - 1 for s in spans)]
+        self.blanks = [s.start - shift for s, shift in zip(spans, self.shifts)]
+        self.text = " ".join(text[a:b] for a, b in zip([0, *(s.end for s in spans)], [*(s.start for s in spans), len(text)]))
 
     def back(self, s: Span) -> Span | None:
-        real = [p for p in self.places[s.start : s.end].tolist() if p >= 0]
-        return s._replace(start=real[0], end=real[-1] + 1) if real else None
+        """A stretch of the masked text as one of the text, without blanks at its ends; None for blanks alone."""
+        first, last = s.start, s.end - 1
+        low, high = bisect_left(self.blanks, first), bisect_right(self.blanks, last)
+        while low < high and self.blanks[low] == first:
+            first, low = first + 1, low + 1
+        while low < high and self.blanks[high - 1] == last:
+            last, high = last - 1, high - 1
+        return s._replace(start=first + self.shifts[low], end=last + self.shifts[high] + 1) if first <= last else None
 
 
 class Repaired(NamedTuple):
@@ -428,8 +516,9 @@ def _missed(text: str, spans: list[Span], done: Tokenized, deny: list[str]) -> l
     scans = (long_numbers, spelled_digits, greeted_names, email_like, address_digits)
     found = [s for scan in scans for s in scan(read.text)] + (denied_anywhere(read.text, deny, read.letters) if deny else [])
     kinds = {token: kind for kind, token, _ in done.findings}
-    found += [s for token, value in done.vault for s in value_occurrences(read.text, value, kinds[token], read)]
-    return [s for s in map(masked.back, found) if s is not None and not _inside(s, spans)]
+    again = Values(value for _, value in done.vault).occurrences(read, [kinds[token] for token, _ in done.vault])
+    back = map(masked.back, [*found, *(s for each in again for s in each)])
+    return _outside((s for s in back if s is not None), spans)
 
 
 def _widening(text: str, spans: list[Span], deny: list[str]) -> Iterator[tuple[list[Span], Tokenized, bool]]:
@@ -587,44 +676,103 @@ def _said(text: str) -> list[str]:
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence of words."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence of words, a bit of one number for each word of a."""
+    masks: dict[str, int] = {}
+    for i, w in enumerate(a):
+        masks[w] = masks.get(w, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole
+    for w in b:
+        met = row & masks.get(w, 0)
+        row = (row + met | row - met) & whole
+    return len(a) - row.bit_count()
+
+
+#: Windows whose common subsequences are found together.
+_TOGETHER = 1 << 15
+
+
+def lcs_windows(a: np.ndarray, b: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """lcs(a, b[start : start + size]) for each start, all windows in step: the bits of a fill columns of 64-bit words.
+
+    a: word numbers; b: word numbers, of which those that a lacks are negative.
+    """
+    n_words = -(-len(a) // 64)
+    masks = np.zeros((int(max(a.max(initial=-1), b.max(initial=-1))) + 2, n_words), np.uint64)  # the last row, of -1, stays empty
+    for i, w in enumerate(a.tolist()):
+        masks[w, i // 64] |= np.uint64(1 << i % 64)
+    out = np.empty(len(starts), np.int64)
+    for at in range(0, len(starts), _TOGETHER):
+        part = starts[at : at + _TOGETHER]
+        rows = [np.full(len(part), np.uint64((1 << min(64, len(a) - 64 * k)) - 1)) for k in range(n_words)]
+        full = [r[0] if len(r) else np.uint64(0) for r in rows]
+        for step in range(size):
+            words, carry = b[part + step], None
+            for k, row in enumerate(rows):
+                mask = masks[words, k]
+                met = row & mask
+                total = row + met
+                over = total < row
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                carry = over.astype(np.uint64)
+                rows[k] = (total | (row & ~mask)) & full[k]
+        out[at : at + len(part)] = len(a) - sum(np.bitwise_count(r).astype(np.int64) for r in rows)
+    return out
 
 
 def snap(phrase: str, text: str, least: float = 0.0) -> tuple[str, float] | None:
     """The stretch of the text nearest to a phrase: windows of its length and one word less or more, first best wins.
 
-    Windows that cannot reach the least likeness are passed over.
+    Windows that cannot reach the least likeness, by the words they share in any order, are passed over.
     """
     wanted = verbatim(phrase).split()
-    if least and wanted:
-        known, need = set(wanted), math.ceil(least * len(wanted) - 1e-9)
-        at = [j for j, w in enumerate(_said(text)) if w in known]
+    if not wanted:
+        return None
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(wanted))}
+    if least:
+        need = math.ceil(least * len(wanted) - 1e-9)
+        at = [j for j, w in enumerate(_said(text)) if w in numbers]
         if not any(b - a <= len(wanted) for a, b in zip(at, at[need - 1 :])):  # no window has enough of the words
             return None
     words = [(m.start(), m.end(), m[0].lower().translate(_QUOTES)) for m in _SPOKEN.finditer(text)]
-    best: tuple[str, float] | None = None
+    a = np.array([numbers[w] for w in wanted])
+    b = np.fromiter((numbers.get(w, -1) for *_, w in words), np.int64, len(words))
+    best: tuple[float, int, int] | None = None
     for n in (len(wanted) - 1, len(wanted), len(wanted) + 1):
-        left, shared = dict(Counter(wanted)), 0  # how often the window still lacks each word; words that it shares
-        for j in range(len(words)) if n > 0 and wanted else ():
-            if (w := words[j][2]) in left:
-                left[w] -= 1
-                shared += left[w] >= 0
-            if j >= n and (w := words[j - n][2]) in left:
-                left[w] += 1
-                shared -= left[w] > 0
-            most = shared / max(len(wanted), n)  # no order can give more
-            if (i := j - n + 1) < 0 or most < least or (best is not None and most <= best[1]):
-                continue
-            likeness = lcs(wanted, [w for *_, w in words[i : j + 1]]) / max(len(wanted), n)
-            if best is None or likeness > best[1]:
-                best = (text[words[i][0] : words[j][1]], likeness)
-    return best
+        if n < 1 or len(b) < n:
+            continue
+        shared = _shared(a, b, n) / max(len(wanted), n)
+        starts = np.flatnonzero(shared >= max(least, 0.0 if best is None else best[0]))
+        if best is not None:
+            starts = starts[shared[starts] > best[0]]
+        if not len(starts):
+            continue
+        likeness = lcs_windows(a, b, starts, n) / max(len(wanted), n)
+        top = int(likeness.argmax())
+        if best is None or likeness[top] > best[0]:
+            best = (float(likeness[top]), int(starts[top]), n)
+    return None if best is None else (text[words[best[1]][0] : words[best[1] + best[2] - 1][1]], best[0])
+
+
+def _shared(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each window of n words of b how many of them a can match in any order, each word of a once."""
+    out = np.zeros(len(b) - n + 1, np.int64)
+    order = np.argsort(b, kind="stable")
+    at = np.searchsorted(b[order], np.arange(int(a.max()) + 2))
+    for w, most in enumerate(np.bincount(a).tolist()):
+        places = order[at[w] : at[w + 1]]
+        if not len(places):
+            continue
+        # a word counts as long as fewer than `most` of its kind stand before it in the window
+        earlier = np.full(len(places), -1)
+        earlier[most:] = places[:-most] if len(places) > most else places[:0]
+        first, last = np.maximum(earlier + 1, places - n + 1), np.minimum(places, len(b) - n)
+        good = first <= last
+        change = np.bincount(np.maximum(first[good], 0), minlength=len(out) + 1) - np.bincount(last[good] + 1, minlength=len(out) + 1)
+        out += np.cumsum(change)[: len(out)]
+    return out
 
 
 def verbatim_gate(phrases: Iterable[str], text: str) -> tuple[list[str], int, int, int]:

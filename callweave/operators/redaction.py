@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import json
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import spans as S
+from ..scratch import kept
 
 SPANS = "array<struct<start:int,end:int,kind:string,detector:string,confidence:double>>"
 REDACTION = (
@@ -223,14 +225,49 @@ def nearest(phrase: Column, text: Column) -> Column:
     return run(phrase, text)
 
 
-def quote_pairs(phrases: DataFrame, texts: DataFrame, shared: int = 4) -> DataFrame:
+#: Letters of phrases that one automaton holds, and rows of probes that are sent to all tasks, at most.
+AUTOMATON, PROBES = 1 << 24, 1 << 20
+
+
+def exact_pairs(phrases: DataFrame, texts: DataFrame, most: int = AUTOMATON) -> DataFrame:
+    """(item_id, call_id): every pair in which the text has the phrase as it is, but for case and marks.
+
+    One automaton over all phrases reads each text once, where it lies. Phrases of more than `most` letters together are
+    dealt into several automata, which read the texts one after another. An empty phrase is in every text.
+    """
+    size = phrases.agg(F.sum(F.char_length("phrase"))).first()[0] or 0
+    passes = max(1, -(-size // most))
+    schema = f"item_id {phrases.schema['item_id'].dataType.simpleString()}, call_id {texts.schema['call_id'].dataType.simpleString()}"
+
+    def one(k: int) -> DataFrame:
+        items: dict[str, list] = {}
+        for r in phrases.filter(F.pmod(F.xxhash64("item_id", "phrase"), F.lit(passes)) == k).select("item_id", "phrase").collect():
+            items.setdefault(S.verbatim(r.phrase or ""), []).append(r.item_id)
+        everywhere = items.pop("", [])
+
+        def met(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+            needles = S.Needles(items)
+            for f in frames:
+                rows = []
+                for call, text in zip(f["call_id"], f["text"]):
+                    found = needles.present(S.verbatim(text or ""))
+                    rows += [(i, call) for i in [*everywhere, *(i for n in found for i in items[n])]]
+                yield pd.DataFrame(rows, columns=["item_id", "call_id"])
+
+        return texts.select("call_id", "text").mapInPandas(met, schema)
+
+    parts = [one(k) if passes == 1 else kept(one(k), "exact-quotes") for k in range(passes)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def quote_pairs(phrases: DataFrame, texts: DataFrame, shared: int = 4, automaton: int = AUTOMATON, broadcast: int = PROBES) -> DataFrame:
     """(item_id, call_id): every pair in which the gate keeps the phrase, and few others. No pair is missed.
 
-    phrases: item_id, phrase. texts: call_id, text. A snapped quote has `least` of the phrase's m words in m + 1 words of
-    the text, an exact one has all but the first and last as whole words. So of any m - least + n inner words of the
-    phrase at least n stand within m + 1 words of the text. The rarest ones are taken, for n up to `shared`. Phrases of
-    one or two words, of which nothing is inside, can only be exact and are looked for in every text. Words of the phrases
-    are broadcast, so that the words of the texts, many times more, are met where they are read.
+    phrases: item_id, phrase. texts: call_id, text. Exact quotes come from `exact_pairs`. A snapped quote has `least` of the
+    phrase's m words in m + 1 words of the text, so of any m - least + n inner words of the phrase at least n stand within
+    m + 1 words of the text. The rarest ones are taken, for n up to `shared`. Phrases of one or two words, of which nothing
+    is inside, can only be exact. Up to `broadcast` words of the phrases are sent to all tasks, so that the words of the
+    texts, many times more, are met where they are read; beyond that both are shuffled.
     """
     from ..functions import columns as C
 
@@ -245,14 +282,12 @@ def quote_pairs(phrases: DataFrame, texts: DataFrame, shared: int = 4) -> DataFr
     often = texts.select(F.explode(words(text)).alias("word")).join(inner.select("word").distinct(), "word").groupBy("word").count()
     rarest = Window.partitionBy("item_id").orderBy(F.col("count").asc_nulls_first(), "word", "pos")
     ranked = inner.join(often, "word", "left").withColumn("rank", F.row_number().over(rarest)).withColumn("n", F.least(F.lit(shared), F.col("least") - 2))
-    probes = ranked.filter(F.col("rank") <= m - F.col("least") + F.col("n")).select("item_id", "m", "n", "word").distinct()
-    hits = texts.select("call_id", F.posexplode(words(text)).alias("pos", "word")).join(F.broadcast(probes), "word").drop("word")
+    probes = kept(ranked.filter(F.col("rank") <= m - F.col("least") + F.col("n")).select("item_id", "m", "n", "word").distinct(), "quote-probes")
+    hits = texts.select("call_id", F.posexplode(words(text)).alias("pos", "word")).join(probes.hint("broadcast" if probes.count() <= broadcast else "shuffle_hash"), "word").drop("word")
     onward = Window.partitionBy("item_id", "call_id").orderBy("pos")
     nth = F.coalesce(*(F.when(F.col("n") == i, F.lead("pos", i - 1).over(onward)) for i in range(1, shared + 1)))
-    long = hits.withColumn("nth", nth).filter(F.col("nth") - F.col("pos") <= m).select("item_id", "call_id").distinct()
-    full = F.coalesce(text, F.lit(""))
-    short = wanted.filter(m <= 2).join(texts.select("call_id", C.normal_verbatim(full).alias("whole"), other(full).alias("plain")), F.col("whole").contains(flat) | F.col("plain").contains(flat))
-    return long.unionByName(short.select("item_id", "call_id").distinct())
+    long = hits.withColumn("nth", nth).filter(F.col("nth") - F.col("pos") <= m).select("item_id", "call_id")
+    return long.unionByName(exact_pairs(phrases, texts, automaton)).distinct()
 
 
 def keyed_hash(secret: bytes, *parts: Column) -> Column:

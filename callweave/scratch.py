@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[str] = []
 
@@ -27,6 +27,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder: what led to it is not computed again, whichever executor is lost."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear(spark: SparkSession) -> int:
     """Delete every table that this process has written there; DataFrames that read one can't be used any more."""
     done = 0

@@ -1,10 +1,13 @@
 """The quote gate over tables against brute force over all pairs."""
 
 import random
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from callweave.functions import spans as S
+from callweave.operators import redaction as X
 from callweave.plans import texts as plan
 
 
@@ -45,6 +48,45 @@ def test_quotes_equal_brute_force(spark):
     assert sum(x[1] for x in want.values()) > 50 and sum(x[2] for x in want.values()) > 50
 
 
+def test_several_automata_and_shuffled_probes_give_the_same_pairs(spark):
+    dice = random.Random(9)
+    said = lambda n: " ".join(dice.choice(("ab", "cd", "ef", "gh", "ij")) for _ in range(n))
+    phrases = spark.createDataFrame([(i, said(dice.choice((1, 2, 5, 9)))) for i in range(30)] + [(30, ""), (31, None), (32, "ab cd"), (33, "AB, cd!")], "item_id long, phrase string")
+    texts = spark.createDataFrame([(i, said(dice.randrange(60))) for i in range(60)] + [(None, "ab cd"), (61, None)], "call_id long, text string")
+    pairs = lambda **limits: sorted(map(str, X.quote_pairs(phrases, texts, **limits).collect()))
+    plain = {(i.item_id, t.call_id) for i in phrases.collect() for t in texts.collect() if S.verbatim(i.phrase or "") in S.verbatim(t.text or "")}
+    assert {(r.item_id, r.call_id) for r in X.exact_pairs(phrases, texts, 20).collect()} == plain
+    assert pairs() == pairs(automaton=20, broadcast=0)
+
+
+def test_a_long_text_is_gated_in_time():
+    dice = random.Random(1)
+    head = [f"w{k}" for k in range(60)]
+    shuffled = " ".join(w for _ in range(4000) for w in dice.sample(head, 60))
+    began = time.perf_counter()
+    assert S.verbatim_gate([" ".join(head)], shuffled)[3] == 1 and S.verbatim_gate([" ".join(head)], f"{shuffled} {' '.join(head[:-2])} x y")[2] == 1
+    assert len(shuffled) > 900_000 and time.perf_counter() - began < 20
+
+
+def test_windows_in_step_equal_one_by_one():
+    dice = random.Random(2)
+    for size in (1, 5, 63, 64, 65, 130):
+        a, b = ([dice.randrange(9) for _ in range(n)] for n in (size, 300))
+        b = [x if x < 8 else -1 for x in b]
+        starts = np.arange(len(b) - size + 1)
+        got = S.lcs_windows(np.array(a), np.array(b), starts, size).tolist()
+        assert got == [S.lcs(list(map(str, a)), list(map(str, b[s : s + size]))) for s in starts.tolist()] == [plain_lcs(a, b[s : s + size]) for s in starts.tolist()]
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
 def test_passage_inside_a_sentence_is_found(spark):
     phrase = "The boiler has leaked since monday. Nobody came to fix it."
     texts = [(1, "They said the boiler has leaked since monday nobody came to fix it and left."), (2, "The boiler has dripped since monday. Nobody rushed to fix it."), (3, "All is well.")]

@@ -1,5 +1,6 @@
 """Text operators: detectors, merge, tokens, repair, scan, phrases."""
 
+import random
 import time
 
 import pytest
@@ -169,3 +170,86 @@ def test_a_trained_name_model_finds_names_it_was_not_shown(spark):
     found = {a: [text[s.start : s.end] for s in S.ner(text, model)[0]] for a in firsts if (text := f"so my name is {a} Stone, bye")}
     assert all(v and v[0].startswith(a) for a, v in found.items())  # two of the first names are new
     assert S.ner("this is Monday and it is the end", model)[0] == []
+
+
+# -- long texts ---------------------------------------------------------------
+
+
+def growth(work, sizes=(10_000, 20_000, 40_000)):
+    """How many times longer each doubling takes, by the best of three."""
+    times = []
+    for n in sizes:
+        each = []
+        for _ in range(3):
+            began = time.perf_counter()
+            work(n)
+            each.append(time.perf_counter() - began)
+        times.append(min(each))
+    return [b / a for a, b in zip(times, times[1:])]
+
+
+PHONES = " ".join(f"212 555 {1000 + i % 9000}" for i in range(8000))
+
+
+@pytest.mark.parametrize(
+    "work",
+    [lambda n: S.address_digits("zip 1 " * n), lambda n: S.detect(PHONES[: 13 * n // 10]), lambda n: S.redact(PHONES[: 13 * n // 10]), lambda n: S.merge([S.Span(i, i + 1, "a") for i in range(n)]),
+     lambda n: S.tokenize("ab " * n, [S.Span(3 * i, 3 * i + 2, "name") for i in range(n)]), lambda n: S.Masked("ab " * n, [S.Span(3 * i, 3 * i + 2, "name") for i in range(n)])],
+)
+def test_work_grows_with_the_text(work):
+    assert sum(growth(work)) / 2 < 2.8
+
+
+def test_ten_thousand_values_in_a_long_text():
+    dice = random.Random(1)
+    values = ["".join(dice.choice("abcdefghij") for _ in range(dice.randrange(3, 14))) for _ in range(10_000)]
+    words = [dice.choice(values) if dice.random() < 0.2 else "".join(dice.choice("abcdefghij") for _ in range(6)) for _ in range(140_000)]
+    text, began = " ".join(words), time.perf_counter()
+    found = S.Values(values).occurrences(S.Read(text), ["other"] * len(values))
+    assert time.perf_counter() - began < 5
+    flat = text.replace(" ", "")
+    for value, spans in zip(values[:300], found):
+        assert len(spans) == (flat.count(value) if len(value) >= P.VALUE_COLLAPSED else words.count(value)), value
+
+
+def test_very_long_needles():
+    text = "b" + "a" * 300_000 + "b" + "a" * 900 + "xy" * 700 + "c"
+    needles = ["a" * 200_000, "a" * 1500, "a" * 1000, "xy" * 600, "xy" * 701, text, "b" + "a" * 300_000 + "b", "a" * 300_001]
+    found = S.Needles(needles)
+    plain = {n: [] for n in needles if n in text}
+    for n in plain:
+        at = text.find(n)
+        while at >= 0:
+            plain[n].append((at, at + len(n)))
+            at = text.find(n, at + len(n))
+    assert found.disjoint(text) == plain and found.present(text) == set(plain)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9)), max_size=12), st.integers(0, 30), st.integers(1, 9))
+def test_cover_equals_any(pairs, start, size):
+    intervals = [(s, s + n) for s, n in pairs]
+    cover, end = S.Cover(intervals), start + size
+    assert cover.contains(start, end) == any(s <= start and end <= e for s, e in intervals)
+    assert cover.touches(start, end) == any(start < e and end > s for s, e in intervals)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab ", max_size=30), st.lists(st.tuples(st.integers(0, 3), st.integers(1, 4)), max_size=6))
+def test_masked_places_come_back(text, steps):
+    spans, at = [], 0
+    for gap, size in steps:
+        if at + gap + size <= len(text):
+            spans.append(S.Span(at + gap, at + gap + size, "name"))
+            at += gap + size
+    masked = S.Masked(text, spans)
+    places, at = [], 0
+    for s in spans:
+        places += [*range(at, s.start), None]
+        at = s.end
+    places += range(at, len(text))
+    assert masked.text == "".join(" " if p is None else text[p] for p in places)
+    for i in range(len(places)):
+        for j in range(i + 1, len(places) + 1):
+            real = [p for p in places[i:j] if p is not None]
+            assert masked.back(S.Span(i, j, "x")) == (S.Span(real[0], real[-1] + 1, "x") if real else None)
