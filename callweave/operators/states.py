@@ -2,16 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vocab as V
 
+def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], dict], step: Callable[[dict, dict], tuple], schema: str) -> DataFrame:
+    """step(state, row) of each row of a key, in order; start() makes a key's state.
+
+    What a row gives depends on all before it, so a key is one ordered fold; keys run in parallel. Rows arrive sorted and
+    are folded batch by batch, so a key of any length needs no more memory than its state.
+    """
+    target = pa.schema([(f.name, _arrow(f.dataType)) for f in T._parse_datatype_string(schema).fields])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if state is None or tuple(row[k] for k in keys) != key:
+                    key, state = tuple(row[k] for k in keys), start()
+                out.append(step(state, row))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(target)], schema=target)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(fold, schema)
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
 # -- pipeline state -----------------------------------------------------------
 
 
@@ -97,6 +125,50 @@ def wait_state(waits: DataFrame, now: Column, timeout_minutes: int) -> DataFrame
     return first.select("call_id", "wait_started_at", F.when(F.col("ready"), "ready").when(late, "held").otherwise("waiting").alias("state"))
 
 
+def transcript_polls(polls: DataFrame, most_minutes: int, poll_minutes: int) -> DataFrame:
+    """(call_id, id, wait_started_at, action, slot): what each poll for a transcript leads to, until one ends the wait.
+
+    polls: call_id, id, at, ready. The wait starts with the first poll that finds nothing and never moves. A poll that finds
+    the transcript continues the call; one at or past the longest wait holds it; any other is tried again, in the slot of the
+    wait that it lies in. Polls after the end count no more.
+    """
+    on = Window.partitionBy("call_id").orderBy("at", "id")
+    so_far, before = on.rowsBetween(Window.unboundedPreceding, 0), on.rowsBetween(Window.unboundedPreceding, -1)
+    waited = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("wait_started_at").cast("timestamp"))
+    rows = polls.withColumn("wait_started_at", F.min(F.when(~F.col("ready"), F.col("at"))).over(so_far))
+    rows = rows.withColumn("waited", waited).withColumn("ends", F.col("ready") | (F.col("waited") >= most_minutes * 60_000_000))
+    rows = rows.withColumn("over", F.coalesce(F.max("ends").over(before), F.lit(False))).filter("NOT over")
+    action = F.when(F.col("ready"), "continue").when(F.col("ends"), "hold").otherwise("defer")
+    return rows.select("call_id", "id", "wait_started_at", action.alias("action"), F.when(action == "defer", F.floor(F.col("waited") / (poll_minutes * 60_000_000)).cast("long")).alias("slot"))
+
+
+def replay_guard(requests: DataFrame, keys: list[str], minutes: int) -> DataFrame:
+    """(keys, id, kind, acquired): reservations of a key in order; requests: keys, id, kind (reserve, commit, release), at.
+
+    A reservation is acquired if no other holds the key; it holds it for so many minutes. Its commit holds the key for as long
+    again from then on, its release frees it at once unless it is committed. A commit or release of one that does not hold
+    the key does nothing.
+    """
+    kinds = {k: requests.schema[k].dataType.simpleString() for k in keys}
+    ttl = minutes * 60_000_000
+
+    def step(held: dict, row: dict) -> tuple:
+        acquired = row["kind"] == "reserve" and (held["by"] is None or held["until"] <= row["us"])
+        own = held["by"] is not None and held["by"] == row["id"]
+        if acquired:
+            held |= {"by": row["id"], "until": row["us"] + ttl, "committed": False}
+        elif row["kind"] == "commit" and own:
+            held |= {"until": row["us"] + ttl, "committed": True}
+        elif row["kind"] == "release" and own and not held["committed"]:
+            held["by"] = None
+        return *(row[k] for k in keys), row["id"], row["kind"], acquired
+
+    step_order = F.array_position(F.array(F.lit("reserve"), F.lit("commit"), F.lit("release")), F.col("kind"))
+    rows = requests.select(*keys, F.col("id").cast("long").alias("id"), "kind", F.unix_micros(F.col("at").cast("timestamp")).alias("us"), step_order.alias("step"))
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in kinds.items()), "id long, kind string, acquired boolean"])
+    return ordered_fold(rows, keys, ["us", "id", "step"], lambda: {"by": None, "until": 0, "committed": False}, step, schema)
+
+
 # -- reviews and alerts -------------------------------------------------------
 
 
@@ -159,6 +231,63 @@ def budget_fold(requests: DataFrame, cap: float, warn_ratio: float = 0.8) -> Dat
     return ordered.mapInPandas(fold, f"day {requests.schema['day'].dataType.simpleString()}, id long, amount decimal(12,6), accepted boolean, spent decimal(18,6), warned boolean")
 
 
+def budget_ledger(moves: DataFrame, cap: float, warn_ratio: float = 0.8) -> DataFrame:
+    """(day, id, kind, result, spent, warned): reservations of a day and what becomes of them, in order.
+
+    moves: day, id (of the reservation), kind (reserve, settle, release), amount, at. A reservation that would pass the cap
+    is refused. Settling puts the actual amount in place of the reserved one, releasing takes it back; either does nothing
+    (`ignored`) for one that was refused or is no longer outstanding. State: what is spent, and the outstanding reservations.
+    """
+    limit, six = Decimal(str(cap)), Decimal("0.000001")
+    warn = limit * Decimal(str(warn_ratio))
+
+    def step(day: dict, row: dict) -> tuple:
+        amount, warned = row["amount"].quantize(six, ROUND_HALF_UP), False
+        if row["kind"] == "reserve":
+            result = "reserved" if day["spent"] + amount <= limit and row["id"] not in day["open"] else "refused"
+            if result == "reserved":
+                day["open"][row["id"]] = amount
+                day["spent"] += amount
+                warned = day["spent"] >= warn
+        elif (held := day["open"].pop(row["id"], None)) is None:
+            result = "ignored"
+        else:
+            result = {"settle": "settled", "release": "released"}[row["kind"]]
+            day["spent"] += (amount if row["kind"] == "settle" else 0) - held
+        return row["day"], row["id"], row["kind"], result, day["spent"].quantize(six), warned
+
+    step_order = F.array_position(F.array(F.lit("reserve"), F.lit("settle"), F.lit("release")), F.col("kind"))
+    rows = moves.select("day", F.col("id").cast("long").alias("id"), "kind", F.col("amount").cast("decimal(18,6)").alias("amount"), "at", step_order.alias("step"))
+    schema = f"day {moves.schema['day'].dataType.simpleString()}, id long, kind string, result string, spent decimal(18,6), warned boolean"
+    return ordered_fold(rows, ["day"], ["at", "id", "step"], lambda: {"spent": Decimal(0), "open": {}}, step, schema)
+
+
+def dual_window(requests: DataFrame, key: str, short_s: int, per_short: int, long_s: int, per_long: int) -> DataFrame:
+    """(key, id, admitted, wait_ms): requests of a key under two fixed windows at once; requests: key, id, at.
+
+    One is admitted if both windows have room, and counts in both; a refused one counts in neither and is told how long it
+    is until both that are full roll over. The long window holds whole short ones, so each is a fold of its own and a key that
+    sends for long is dealt over all tasks.
+    """
+    if long_s % short_s:
+        raise ValueError("the long window must hold whole short ones")
+    short, long = short_s * 1_000_000, long_s * 1_000_000
+
+    def step(held: dict, row: dict) -> tuple:
+        window = row["us"] // short
+        if window != held["window"]:
+            held |= {"window": window, "short": 0}
+        waits = [(window + 1) * short - row["us"]] * (held["short"] >= per_short) + [(row["long"] + 1) * long - row["us"]] * (held["long"] >= per_long)
+        if not waits:
+            held["short"] += 1
+            held["long"] += 1
+        return row[key], row["id"], not waits, -(-max(waits, default=0) // 1000)
+
+    us = F.unix_micros(F.col("at").cast("timestamp"))
+    rows = requests.select(key, F.col("id").cast("long").alias("id"), us.alias("us"), F.floor(us / long).cast("long").alias("long"))
+    return ordered_fold(rows, [key, "long"], ["us", "id"], lambda: {"window": None, "short": 0, "long": 0}, step, f"`{key}` {requests.schema[key].dataType.simpleString()}, id long, admitted boolean, wait_ms long")
+
+
 def guarded_adjust(changes: DataFrame) -> DataFrame:
     """(key, id, applied, total): changes of a key in order, each refused if the total would fall below zero.
 

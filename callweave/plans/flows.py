@@ -9,7 +9,7 @@ from ..functions import vocab as V
 from ..operators import rows as R
 from ..operators import states as S
 from .registry import at, hmac_sql, query
-from .standins import NOW, RETENTION_NOW, Tables
+from .standins import K, NOW, RETENTION_NOW, Tables
 
 c = F.col
 TS, RTS = f"TIMESTAMP '{NOW}'", f"TIMESTAMP '{RETENTION_NOW}'"
@@ -51,12 +51,40 @@ query("str_01", fold_sql(_RESULTS) + f"SELECT call_id, arg_max(status, n) AS sta
 query("str_02", fold_sql(_RESULTS) + f"SELECT call_id, status, {_STAGE_NAMES}[rank + 1] AS stage, seq FROM f WHERE moved")(
     lambda t: S.call_moves(_results(t).withColumn("seq", F.row_number().over(R.Window.partitionBy("call_id").orderBy("at", "id"))))
 )
-query("str_03", "SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) AS x WHERE before IS NULL OR ts > before + INTERVAL 5 MINUTES")(
+# each event reserves its user and type for a day; most are committed or released a minute later
+_REQUESTS = (
+    "SELECT user_id, event_type, event_id AS id, 'reserve' AS kind, 0 AS step, ts AS at FROM events UNION ALL "
+    f"SELECT user_id, event_type, event_id, CASE WHEN value < 60 THEN 'commit' ELSE 'release' END, CASE WHEN value < 60 THEN 1 ELSE 2 END, ts + INTERVAL 1 MINUTE FROM events WHERE {K} % 5 <> 0"
+)
+query(
+    "str_03",
+    f"""
+, z AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY "at", id, step) AS n FROM ({_REQUESTS.replace(" AS at ", ' AS "at" ')}) AS x),
+f AS (SELECT DISTINCT user_id, event_type, 0::BIGINT AS n, NULL::BIGINT AS id, 0 AS step, false AS acquired, NULL::BIGINT AS holder, false AS committed, NULL::TIMESTAMP AS expires FROM z
+  UNION ALL SELECT z.user_id, z.event_type, z.n, z.id, z.step, z.step = 0 AND (f.holder IS NULL OR f.expires <= z."at"),
+    CASE WHEN z.step = 0 AND (f.holder IS NULL OR f.expires <= z."at") THEN z.id WHEN z.step = 2 AND f.holder = z.id AND NOT f.committed THEN NULL ELSE f.holder END,
+    CASE WHEN z.step = 0 AND (f.holder IS NULL OR f.expires <= z."at") THEN false WHEN z.step = 1 AND f.holder = z.id THEN true ELSE f.committed END,
+    CASE WHEN (z.step = 0 AND (f.holder IS NULL OR f.expires <= z."at")) OR (z.step = 1 AND f.holder = z.id) THEN z."at" + INTERVAL 1 DAY ELSE f.expires END
+  FROM f JOIN z ON z.user_id = f.user_id AND z.event_type = f.event_type AND z.n = f.n + 1)
+SELECT id AS event_id, acquired FROM f WHERE n > 0 AND step = 0""",
+)(lambda t: S.replay_guard(t.spark.sql(_REQUESTS.replace("FROM events", "FROM {e}"), e=t.events), ["user_id", "event_type"], 24 * 60).filter("kind = 'reserve'").select(c("id").alias("event_id"), "acquired"))
+query("str_03_gaps", "SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) AS x WHERE before IS NULL OR ts > before + INTERVAL 5 MINUTES")(
     lambda t: t.events.withColumn("before", F.lag("ts").over(R.Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))).filter(c("before").isNull() | (c("ts") > c("before") + F.expr("INTERVAL 5 MINUTES"))).select("event_id")
 )
-query("str_04", f"SELECT call_id, min(created_at) AS wait_started_at, CASE WHEN bool_or(outcome = 'success') THEN 'ready' WHEN min(created_at) <= {TS} - INTERVAL 4320 MINUTES THEN 'held' ELSE 'waiting' END AS state FROM processing_log GROUP BY call_id")(
+query("str_04_due", f"SELECT call_id, min(created_at) AS wait_started_at, CASE WHEN bool_or(outcome = 'success') THEN 'ready' WHEN min(created_at) <= {TS} - INTERVAL 4320 MINUTES THEN 'held' ELSE 'waiting' END AS state FROM processing_log GROUP BY call_id")(
     lambda t: S.wait_state(t.processing_log.select("call_id", c("created_at").alias("at"), (c("outcome") == "success").alias("ready")), at(), 4320)
 )
+# polls of a user's transcript: an error finds it; three days are the longest wait, a slot is six hours
+query(
+    "str_04",
+    """
+, p AS (SELECT user_id AS call_id, event_id AS id, ts AS "at", event_type = 'error' AND value > 100 AS ready FROM events),
+w AS (SELECT *, min(CASE WHEN NOT ready THEN "at" END) OVER (PARTITION BY call_id ORDER BY "at", id ROWS UNBOUNDED PRECEDING) AS wait_started_at FROM p),
+e AS (SELECT *, ready OR "at" >= wait_started_at + INTERVAL 3 DAYS AS ends FROM w),
+o AS (SELECT *, coalesce(max(ends::INT) OVER (PARTITION BY call_id ORDER BY "at", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS over_ FROM e)
+SELECT call_id, id, wait_started_at, CASE WHEN ready THEN 'continue' WHEN ends THEN 'hold' ELSE 'defer' END AS action,
+  CASE WHEN NOT ends THEN (epoch_us("at") - epoch_us(wait_started_at)) // 21600000000 END AS slot FROM o WHERE NOT over_""",
+)(lambda t: S.transcript_polls(t.events.select(c("user_id").alias("call_id"), c("event_id").alias("id"), c("ts").alias("at"), ((c("event_type") == "error") & (c("value") > 100)).alias("ready")), 3 * 24 * 60, 6 * 60))
 query("str_05", "SELECT call_id, min(created_at) AS wait_started_at FROM processing_log WHERE stage = 'fetch-transcript' GROUP BY call_id")(lambda t: t.processing_log.filter("stage = 'fetch-transcript'").groupBy("call_id").agg(F.min("created_at").alias("wait_started_at")))
 query("str_06", "SELECT run_id, min(started_at) AS watermark, count(*) FILTER (WHERE started_at > TIMESTAMP '1999-01-01 00:00:00') AS skipped FROM backfill_run_calls GROUP BY run_id")(
     lambda t: t.backfill_run_calls.groupBy("run_id").agg(F.min("started_at").alias("watermark"), F.count_if(c("started_at") > at("1999-01-01 00:00:00")).alias("skipped"))
@@ -97,7 +125,31 @@ SPENDING = """
 , z AS (SELECT day, id, CAST(cost AS DECIMAL(18,6)) AS amount, row_number() OVER (PARTITION BY day ORDER BY "at", id) AS n FROM daily_cost),
 spent AS (SELECT day, id, n, amount, amount <= {cap} AS ok, CASE WHEN amount <= {cap} THEN amount ELSE 0 END::DECIMAL(18,6) AS total FROM z WHERE n = 1
   UNION ALL SELECT z.day, z.id, z.n, z.amount, s.total + z.amount <= {cap}, (s.total + CASE WHEN s.total + z.amount <= {cap} THEN z.amount ELSE 0 END)::DECIMAL(18,6) FROM spent s JOIN z ON z.day = s.day AND z.n = s.n + 1)"""
-query("str_14", SPENDING.format(cap=4000) + " SELECT day, id, amount::DECIMAL(12,6) AS amount, ok AS accepted, total AS spent, ok AND total >= 3200 AS warned FROM spent")(_budget)
+def _budget_moves(t: Tables):
+    """Every call reserves its cost; half an hour later a third of them settle at half of it, a third are given back, and a third stay."""
+    asked = t.daily_cost.select("day", "id", F.lit("reserve").alias("kind"), c("cost").cast("decimal(18,6)").alias("amount"), "at")
+    half = (F.floor((c("cost") * 1000000).cast("long") / 2).cast("decimal(18,0)") / 1000000).cast("decimal(18,6)")
+    later = t.daily_cost.filter("tokens % 3 < 2").select("day", "id", F.when(c("tokens") % 3 == 0, "settle").otherwise("release").alias("kind"), half.alias("amount"), (c("at") + F.expr("INTERVAL 30 MINUTES")).alias("at"))
+    return asked.unionByName(later)
+
+
+query(
+    "str_14",
+    """
+, z AS (SELECT day, id, kind, step, CAST(amount AS DECIMAL(18,6)) AS amount, row_number() OVER (PARTITION BY day ORDER BY "at", id, step) AS n FROM (
+  SELECT day, id, 'reserve' AS kind, 0 AS step, CAST(cost AS DECIMAL(18,6)) AS amount, "at" FROM daily_cost UNION ALL
+  SELECT day, id, CASE tokens % 3 WHEN 0 THEN 'settle' ELSE 'release' END, tokens % 3 + 1, (((cost * 1000000)::BIGINT // 2)::DECIMAL(18,0) / 1000000)::DECIMAL(18,6), "at" + INTERVAL 30 MINUTES FROM daily_cost WHERE tokens % 3 < 2) AS x),
+r AS (SELECT day, id, CAST(cost AS DECIMAL(18,6)) AS held FROM daily_cost),
+y AS (SELECT z.*, r.held FROM z JOIN r USING (day, id)),
+f AS (SELECT DISTINCT day, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::VARCHAR AS kind, NULL::VARCHAR AS result, 0::DECIMAL(18,6) AS spent, []::BIGINT[] AS open FROM y
+  UNION ALL SELECT y.day, y.n, y.id, y.kind,
+    CASE WHEN step = 0 THEN CASE WHEN f.spent + y.amount <= 4000 THEN 'reserved' ELSE 'refused' END WHEN NOT list_contains(f.open, y.id) THEN 'ignored' WHEN step = 1 THEN 'settled' ELSE 'released' END,
+    (f.spent + CASE WHEN step = 0 THEN CASE WHEN f.spent + y.amount <= 4000 THEN y.amount ELSE 0 END WHEN NOT list_contains(f.open, y.id) THEN 0 WHEN step = 1 THEN y.amount - y.held ELSE -y.held END)::DECIMAL(18,6),
+    CASE WHEN step = 0 THEN CASE WHEN f.spent + y.amount <= 4000 THEN list_append(f.open, y.id) ELSE f.open END ELSE [x FOR x IN f.open IF x <> y.id] END
+  FROM f JOIN y ON y.day = f.day AND y.n = f.n + 1)
+SELECT day, id, kind, result, spent, result = 'reserved' AND spent >= 3200 AS warned FROM f WHERE n > 0""",
+)(lambda t: S.budget_ledger(_budget_moves(t), 4000.0))
+query("str_14_cap", SPENDING.format(cap=4000) + " SELECT day, id, amount::DECIMAL(12,6) AS amount, ok AS accepted, total AS spent, ok AND total >= 3200 AS warned FROM spent")(_budget)
 query("op_26", SPENDING.format(cap=9000) + " SELECT day, min(id) AS id FROM spent WHERE ok AND total >= 7200 GROUP BY day")(
     lambda t: _budget(t, 9000.0).filter("warned").groupBy("day").agg(F.min("id").alias("id"))
 )
@@ -109,9 +161,21 @@ kept AS (SELECT key, id, n, delta >= 0 AS applied, CASE WHEN delta >= 0 THEN del
   UNION ALL SELECT z.key, z.id, z.n, k.total + z.delta >= 0, (k.total + CASE WHEN k.total + z.delta >= 0 THEN z.delta ELSE 0 END)::DECIMAL(18,6) FROM kept k JOIN z ON z.key = k.key AND z.n = k.n + 1)
 SELECT key, id, applied, total FROM kept""",
 )(lambda t: S.guarded_adjust(t.daily_cost.select(c("day").alias("key"), "id", "at", (c("cost") - 40).cast("decimal(12,6)").alias("delta"))))
-query("str_15", "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n, count(*) > 1 AS limited FROM events GROUP BY 1, 2")(
+query("str_15_minutes", "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n, count(*) > 1 AS limited FROM events GROUP BY 1, 2")(
     lambda t: t.events.groupBy("user_id", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("n")).withColumn("limited", c("n") > 1)
 )
+# requests of each type: one in ten minutes and three in an hour at most
+query(
+    "str_15",
+    """
+, z AS (SELECT event_type, event_id AS id, epoch_us(ts) AS us, epoch_us(ts) // 600000000 AS short, epoch_us(ts) // 3600000000 AS long FROM events),
+y AS (SELECT *, row_number() OVER (PARTITION BY event_type, long ORDER BY us, id) AS n FROM z),
+f AS (SELECT DISTINCT event_type, long, 0::BIGINT AS n, NULL::BIGINT AS id, false AS ok, -1::BIGINT AS short, 0 AS a, 0 AS b, 0::BIGINT AS wait_us FROM y
+  UNION ALL SELECT y.event_type, y.long, y.n, y.id, here < 1 AND f.b < 3, y.short, CASE WHEN here < 1 AND f.b < 3 THEN here + 1 ELSE here END, CASE WHEN here < 1 AND f.b < 3 THEN f.b + 1 ELSE f.b END,
+    greatest(CASE WHEN here >= 1 THEN (y.short + 1) * 600000000 - us ELSE 0 END, CASE WHEN f.b >= 3 THEN (y.long + 1) * 3600000000 - us ELSE 0 END)
+  FROM f JOIN y ON y.event_type = f.event_type AND y.long = f.long AND y.n = f.n + 1, LATERAL (SELECT CASE WHEN y.short = f.short THEN f.a ELSE 0 END AS here) AS h)
+SELECT event_type, id, ok AS admitted, (wait_us + 999) // 1000 AS wait_ms FROM f WHERE n > 0""",
+)(lambda t: S.dual_window(t.events.select("event_type", c("event_id").alias("id"), c("ts").alias("at")), "event_type", 600, 1, 3600, 3))
 _ACT = f"CASE WHEN retention_eligible_at <= {RTS} - INTERVAL 30 DAYS AND soft_deleted_at IS NULL THEN 'soft_delete' WHEN retention_eligible_at <= {RTS} - INTERVAL 90 DAYS AND soft_deleted_at <= {RTS} - INTERVAL 60 DAYS AND hard_deleted_at IS NULL THEN 'hard_delete' END"
 query(
     "str_16",

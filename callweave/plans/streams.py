@@ -47,3 +47,18 @@ query(
         )
     )
 )
+
+#: All files at once: the first watermark is the last event's time, so no event is late and every wait that ends is told.
+WHOLE = 1_000_000
+query(
+    "stream_waits",
+    """
+, p AS (SELECT user_id AS call_id, ts AS "at", event_type = 'error' AND value > 100 AS ready FROM events),
+w AS (SELECT call_id, epoch_us(min("at") FILTER (WHERE NOT ready)) + 259200000000 AS due, epoch_us(min("at") FILTER (WHERE ready)) AS found FROM p GROUP BY call_id),
+e AS (SELECT call_id, CASE WHEN found IS NOT NULL AND (due IS NULL OR found < due) THEN 'ready' ELSE 'held' END AS state, CASE WHEN found IS NOT NULL AND (due IS NULL OR found < due) THEN found ELSE due END AS at_us FROM w)
+SELECT call_id, state, at_us FROM e WHERE at_us <= (SELECT max(epoch_us("at")) FROM p)""",
+)(
+    lambda t: X.drain(
+        X.settled_waits(X.events(t.spark, t.sf_dir, WHOLE).select(c("user_id").alias("call_id"), "at", ((c("event_type") == "error") & (c("value") > 100)).alias("ready")), 3 * 24 * 60), "waits", timers=True
+    )
+)

@@ -19,78 +19,58 @@ LIVE = "soft_deleted_at IS NULL AND hard_deleted_at IS NULL"
 # -- upserts ----------------------------------------------------------------------
 
 
-def _states(t: Tables):
-    """Old rows: calls below 8000; new rows: all calls with an even id, as processing."""
-    table = t.call_state.filter("call_id < 8000").select("call_id", "status", "updated_at")
-    rows = t.call_state.filter("call_id % 2 = 0").select("call_id", F.lit("processing").alias("status"), now().alias("updated_at"))
-    return table, rows
-
-
 _PROTECTED = ", ".join(f"'{s}'" for s in V.PROTECTED_STATUSES)
-query(
-    "snk_01",
-    f"SELECT call_id, CASE WHEN call_id % 2 = 0 AND NOT (call_id < 8000 AND status IN ({_PROTECTED})) THEN 'processing' ELSE status END AS status, CASE WHEN call_id % 2 = 0 AND NOT (call_id < 8000 AND status IN ({_PROTECTED})) THEN {TS} ELSE updated_at END AS updated_at FROM call_state WHERE call_id < 8000 OR call_id % 2 = 0",
-)(lambda t: W.upsert(*_states(t), ["call_id"], keep=c("old.status").isin(*V.PROTECTED_STATUSES)))
-query("snk_02", "SELECT call_id, CASE WHEN call_id < 8000 THEN status ELSE 'processing' END AS status FROM call_state WHERE call_id < 8000 OR call_id % 2 = 0")(lambda t: W.insert_absent(*_states(t), ["call_id"]).select("call_id", "status"))
-_OLD, _NEW = "call_id % 3 <> 0", "call_id % 2 = 0"
-query("snk_03", f"SELECT call_id, CASE WHEN {_OLD} AND hard_deleted_at IS NOT NULL THEN key_version WHEN {_NEW} THEN -1 ELSE key_version END AS key_version, CASE WHEN {_OLD} AND (soft_deleted_at IS NOT NULL OR NOT ({_NEW})) THEN soft_deleted_at ELSE {TS} END AS stamped FROM raw_transcripts WHERE {_OLD} OR {_NEW}")(
-    lambda t: W.upsert(
-        t.raw_transcripts.filter(_OLD).select("call_id", "key_version", c("soft_deleted_at").alias("stamped"), "hard_deleted_at"),
-        t.raw_transcripts.filter(_NEW).select("call_id", F.lit(-1).cast("long").alias("key_version"), now().alias("stamped"), F.lit(None).cast("timestamp_ntz").alias("hard_deleted_at")),
-        ["call_id"], keep=c("old.hard_deleted_at").isNotNull(), once=["stamped"],
-    ).select("call_id", "key_version", "stamped")
-)
-query("snk_04", f"SELECT call_id, CASE WHEN {_OLD} AND hard_deleted_at IS NOT NULL THEN 'kept' WHEN {_NEW} THEN 'pending' ELSE 'passed' END AS scan_status FROM raw_transcripts WHERE {_OLD} OR {_NEW}")(
-    lambda t: W.upsert(
-        t.raw_transcripts.filter(_OLD).select("call_id", F.when(c("hard_deleted_at").isNotNull(), "kept").otherwise("passed").alias("scan_status"), "hard_deleted_at"),
-        t.raw_transcripts.filter(_NEW).select("call_id", F.lit("pending").alias("scan_status"), F.lit(None).cast("timestamp_ntz").alias("hard_deleted_at")),
-        ["call_id"], keep=c("old.hard_deleted_at").isNotNull(),
-    ).select("call_id", "scan_status")
-)
-# The same writes over whole tables: all rows are old ones; the change set, by stage or time, grows with them and brings new keys.
+# All rows are old ones; the change set, by stage or time, grows with them and brings new keys.
 
 
-def _whole_states(t: Tables):
+def _states(t: Tables):
     changed, fresh = t.call_state.filter("current_stage IN ('metadata-pre-filter', 'extract', 'redact')"), t.call_state.filter("current_stage = 'classify'")
     ids = changed.select("call_id").unionByName(fresh.select((-c("call_id") - 1).alias("call_id")))
     return t.call_state.select("call_id", "status", "updated_at"), ids.select("call_id", F.lit("processing").alias("status"), now().alias("updated_at"))
 
 
-def _whole_ids(table, changed: str):
+def _ids(table, changed: str):
     """Keys of the rows that change, and new keys for the others."""
     return table.select(F.when(F.expr(changed), c("call_id")).otherwise(-c("call_id") - 1).alias("call_id"))
 
 
 _MOVED = f"current_stage IN ('metadata-pre-filter', 'extract', 'redact') AND status NOT IN ({_PROTECTED})"
 query(
-    "snk_01_whole",
+    "snk_01",
     f"SELECT call_id, CASE WHEN {_MOVED} THEN 'processing' ELSE status END AS status, CASE WHEN {_MOVED} THEN {TS} ELSE updated_at END AS updated_at FROM call_state UNION ALL SELECT -call_id - 1, 'processing', {TS} FROM call_state WHERE current_stage = 'classify'",
-)(lambda t: W.upsert(*_whole_states(t), ["call_id"], keep=c("old.status").isin(*V.PROTECTED_STATUSES)))
-query("snk_02_whole", "SELECT call_id, status FROM call_state UNION ALL SELECT -call_id - 1, 'processing' FROM call_state WHERE current_stage = 'classify'")(lambda t: W.insert_absent(*_whole_states(t), ["call_id"]).select("call_id", "status"))
+)(lambda t: W.upsert(*_states(t), ["call_id"], keep=c("old.status").isin(*V.PROTECTED_STATUSES)))
+query("snk_02", "SELECT call_id, status FROM call_state UNION ALL SELECT -call_id - 1, 'processing' FROM call_state WHERE current_stage = 'classify'")(lambda t: W.insert_absent(*_states(t), ["call_id"]).select("call_id", "status"))
 _LATE = "retention_eligible_at >= DATE '1996-01-01'"
-query("snk_03_whole", f"SELECT call_id, CASE WHEN hard_deleted_at IS NULL AND {_LATE} THEN -1 ELSE key_version END AS key_version, CASE WHEN hard_deleted_at IS NULL AND {_LATE} THEN coalesce(soft_deleted_at, {TS}) ELSE soft_deleted_at END AS stamped FROM raw_transcripts UNION ALL SELECT -call_id - 1, -1, {TS} FROM raw_transcripts WHERE NOT ({_LATE})")(
+query("snk_03", f"SELECT call_id, CASE WHEN hard_deleted_at IS NULL AND {_LATE} THEN -1 ELSE key_version END AS key_version, CASE WHEN hard_deleted_at IS NULL AND {_LATE} THEN coalesce(soft_deleted_at, {TS}) ELSE soft_deleted_at END AS stamped FROM raw_transcripts UNION ALL SELECT -call_id - 1, -1, {TS} FROM raw_transcripts WHERE NOT ({_LATE})")(
     lambda t: W.upsert(
         t.raw_transcripts.select("call_id", "key_version", c("soft_deleted_at").alias("stamped"), "hard_deleted_at"),
-        _whole_ids(t.raw_transcripts, _LATE).select("call_id", F.lit(-1).cast("long").alias("key_version"), now().alias("stamped"), F.lit(None).cast("timestamp_ntz").alias("hard_deleted_at")),
+        _ids(t.raw_transcripts, _LATE).select("call_id", F.lit(-1).cast("long").alias("key_version"), now().alias("stamped"), F.lit(None).cast("timestamp_ntz").alias("hard_deleted_at")),
         ["call_id"], keep=c("old.hard_deleted_at").isNotNull(), once=["stamped"],
     ).select("call_id", "key_version", "stamped")
 )
-query("snk_04_whole", f"SELECT call_id, CASE WHEN hard_deleted_at IS NOT NULL THEN 'kept' WHEN {_LATE} THEN 'pending' ELSE 'passed' END AS scan_status FROM raw_transcripts UNION ALL SELECT -call_id - 1, 'pending' FROM raw_transcripts WHERE NOT ({_LATE})")(
+query("snk_04", f"SELECT call_id, CASE WHEN hard_deleted_at IS NOT NULL THEN 'kept' WHEN {_LATE} THEN 'pending' ELSE 'passed' END AS scan_status FROM raw_transcripts UNION ALL SELECT -call_id - 1, 'pending' FROM raw_transcripts WHERE NOT ({_LATE})")(
     lambda t: W.upsert(
         t.raw_transcripts.select("call_id", F.when(c("hard_deleted_at").isNotNull(), "kept").otherwise("passed").alias("scan_status"), "hard_deleted_at"),
-        _whole_ids(t.raw_transcripts, _LATE).select("call_id", F.lit("pending").alias("scan_status"), F.lit(None).cast("timestamp_ntz").alias("hard_deleted_at")),
+        _ids(t.raw_transcripts, _LATE).select("call_id", F.lit("pending").alias("scan_status"), F.lit(None).cast("timestamp_ntz").alias("hard_deleted_at")),
         ["call_id"], keep=c("old.hard_deleted_at").isNotNull(),
     ).select("call_id", "scan_status")
 )
-query("snk_06_whole", f"SELECT call_id, CASE WHEN scope_signal = 'O' THEN 'v2' ELSE prompt_version END AS prompt_version, created_at FROM technician_notes UNION ALL SELECT -call_id - 1, 'v2', {TS} FROM technician_notes WHERE scope_signal <> 'O'")(
-    lambda t: W.upsert(t.technician_notes.select("call_id", "prompt_version", "created_at"), _whole_ids(t.technician_notes, "scope_signal = 'O'").select("call_id", F.lit("v2").alias("prompt_version"), now().alias("created_at")), ["call_id"], first=["created_at"])
-)
-query("snk_05", "SELECT call_id, arg_max(k, struct_pack(a := created_at, b := id)) AS k FROM processing_log GROUP BY call_id")(
-    lambda t: W.latest_wins(t.processing_log.filter("id % 2 = 0"), t.processing_log.filter("id % 2 = 1"), ["call_id"], ["created_at", "id"]).select("call_id", "k")
-)
-query("snk_06", f"SELECT call_id, CASE WHEN {_NEW} THEN 'v2' ELSE prompt_version END AS prompt_version, CASE WHEN {_OLD} THEN created_at ELSE {TS} END AS created_at FROM technician_notes WHERE {_OLD} OR {_NEW}")(
-    lambda t: W.upsert(t.technician_notes.filter(_OLD).select("call_id", "prompt_version", "created_at"), t.technician_notes.filter(_NEW).select("call_id", F.lit("v2").alias("prompt_version"), now().alias("created_at")), ["call_id"], first=["created_at"])
+query("snk_06", f"SELECT call_id, CASE WHEN scope_signal = 'O' THEN 'v2' ELSE prompt_version END AS prompt_version, created_at FROM technician_notes UNION ALL SELECT -call_id - 1, 'v2', {TS} FROM technician_notes WHERE scope_signal <> 'O'")(
+    lambda t: W.upsert(t.technician_notes.select("call_id", "prompt_version", "created_at"), _ids(t.technician_notes, "scope_signal = 'O'").select("call_id", F.lit("v2").alias("prompt_version"), now().alias("created_at")), ["call_id"], first=["created_at"])
 )
+# every result stands in the table; failed ones are told again a day later, and each call of a review gets its first row
+query(
+    "snk_05",
+    "SELECT call_id, arg_max(k, struct_pack(a := created_at, b := id)) AS k FROM (SELECT call_id, k, created_at, id FROM processing_log UNION ALL SELECT call_id, k + 1000, created_at + INTERVAL 1 DAYS, id + 1000000000 FROM processing_log WHERE outcome = 'failed' "
+    "UNION ALL SELECT -1 - call_id, k, created_at, review_id + 2000000000 FROM review_queue) AS x GROUP BY call_id",
+)(lambda t: W.latest_wins(t.processing_log.select("call_id", "k", "created_at", "id"), _told_again(t), ["call_id"], ["created_at", "id"]).select("call_id", "k"))
+
+
+def _told_again(t: Tables):
+    again = t.processing_log.filter("outcome = 'failed'").select("call_id", (c("k") + 1000).alias("k"), (c("created_at") + F.expr("INTERVAL 1 DAYS")).alias("created_at"), (c("id") + 1000000000).alias("id"))
+    return again.unionByName(t.review_queue.select((-1 - c("call_id")).alias("call_id"), "k", "created_at", (c("review_id") + 2000000000).alias("id")))
+
+
 query("snk_07", "SELECT day, CAST(sum(cost) AS DECIMAL(18,6)) AS cost, sum(tokens)::BIGINT AS tokens FROM daily_cost GROUP BY day")(
     lambda t: W.accumulate(t.daily_cost, ["day"], ["cost", "tokens"]).withColumn("cost", c("cost").cast("decimal(18,6)"))
 )
@@ -131,8 +111,7 @@ query("snk_16", f"SELECT call_id, CAST(call_id AS VARCHAR) || ',' || {_cell('pro
         C.csv_row([c("call_id"), c("problem_statement"), F.when(c("call_id") % 5 == 0, F.concat(F.lit("="), c("lang1"))).otherwise(F.array_join(F.array("lang1", F.concat("lang2", F.lit(', "'), "call_intent", F.lit('"'))), "; "))]).alias("line"),
     )
 )
-query("snk_17", "SELECT '{\"call_id\":' || call_id || ',\"urgency\":\"' || urgency || '\"}' AS line FROM structured_knowledge WHERE call_id < 5000")(lambda t: t.structured_knowledge.filter("call_id < 5000").select(F.to_json(F.struct("call_id", "urgency")).alias("line")))
-query("snk_17_whole", "SELECT '{\"call_id\":' || call_id || ',\"urgency\":\"' || urgency || '\"}' AS line, count(*) OVER () AS total, false AS truncated FROM structured_knowledge")(lambda t: W.json_export(t.structured_knowledge.select("call_id", "urgency"), ["call_id"]))
+query("snk_17", "SELECT '{\"call_id\":' || call_id || ',\"urgency\":\"' || urgency || '\"}' AS line, count(*) OVER () AS total, false AS truncated FROM structured_knowledge")(lambda t: W.json_export(t.structured_knowledge.select("call_id", "urgency"), ["call_id"]))
 query("snk_18", "SELECT action_id, action || '-' || action_id || '.json' AS file FROM operator_actions WHERE action IN ('approve', 'reject')")(
     lambda t: t.operator_actions.filter(c("action").isin("approve", "reject")).select("action_id", F.concat("action", F.lit("-"), c("action_id").cast("string"), F.lit(".json")).alias("file"))
 )
@@ -178,15 +157,25 @@ def _appended(t: Tables, table: str, columns: list[str], source: str, where: str
 for name, spec in APPENDS.items():
     table, columns, source, where, values = spec
     query(name, f"SELECT {', '.join(columns)} FROM {table} UNION ALL SELECT {', '.join(values)} FROM {source} WHERE {where}")(lambda t, spec=spec: _appended(t, *spec))
-#: id -> (table, key columns): insert-once of all rows into the ones with k or id below a bound
+#: id -> (table, key columns, source of new rows, their values): insert-once of what is not there yet. Expressions are read alike by Spark and by SQL.
 ONCE = {
-    "wr_05": ("backfill_run_calls", ["run_id", "call_id"], "call_id < 900"),
-    "wr_23": ("raw_transcripts", ["call_id"], "call_id < 900"),
-    "wr_33": ("examples", ["id", "task"], "id < 300"),
-    "wr_34": ("examples", ["id", "expected"], "id < 300"),
+    "wr_05": ("backfill_run_calls", ["run_id", "call_id"], "lineitem", ["l_suppkey", "l_orderkey"]),
+    "wr_23": ("raw_transcripts", ["call_id"], "processing_log", ["call_id"]),
+    "wr_33": ("examples", ["id", "task"], "documents", ["doc_id", "CASE WHEN length(text) > 800 THEN 1 ELSE 0 END"]),
+    "wr_34": ("examples", ["id", "expected"], "documents", ["doc_id", "CASE WHEN lang = 'en' THEN 1 ELSE 0 END"]),
 }
-for name, (table, keys, old) in ONCE.items():
-    query(name, f"SELECT DISTINCT {', '.join(keys)} FROM {table}")(lambda t, table=table, keys=keys, old=old: (lambda d: W.insert_absent(d.filter(old).select(*keys).distinct(), d.select(*keys), keys))(getattr(t, table)))
+
+
+def _inserted(t: Tables, table: str, keys: list[str], source: str, values: list[str]):
+    old = getattr(t, table).select(*keys)
+    return W.insert_absent(old, getattr(t, source).select(*(F.expr(v).cast(old.schema[k].dataType).alias(k) for k, v in zip(keys, values))), keys)
+
+
+for name, spec in ONCE.items():
+    table, keys, source, values = spec
+    new = f"(SELECT DISTINCT {', '.join(f'{v} AS {k}' for k, v in zip(keys, values))} FROM {source}) AS n"
+    same = " AND ".join(f"o.{k} = n.{k}" for k in keys)
+    query(name, f"SELECT {', '.join(keys)} FROM {table} UNION ALL SELECT {', '.join(keys)} FROM {new} WHERE NOT EXISTS (SELECT 1 FROM {table} AS o WHERE {same})")(lambda t, spec=spec: _inserted(t, *spec))
 
 # -- stamps and guarded transitions ----------------------------------------------------------------------
 

@@ -1,4 +1,4 @@
-"""Streams of call events: dedup within a time to live, windowed rates, per-call state, waits that time out.
+"""Streams of call events: dedup within a time to live, reservations, windowed rates, per-call state, waits that time out.
 
 Each function maps a streaming DataFrame to one; `drain` runs a stream over everything that is there and returns the
 table it has written. State and checkpoints lie in the shared folder.
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import vocab as V
 from ..scratch import fresh_path
@@ -121,9 +122,124 @@ def waits(stream: DataFrame, timeout_minutes: int) -> DataFrame:
     return stream.withWatermark("at", "1 minute").groupBy("call_id").applyInPandasWithState(fold, "call_id long, state string", "started long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all there is (trigger availableNow) into a table of the shared folder and read that."""
+class _Replay(StatefulProcessor):
+    """Who holds a key, whether committed, and until when; a timer forgets a hold that has run out."""
+
+    def __init__(self, key: list[str], minutes: int):
+        self.key, self.ttl = key, minutes * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("held", "holder long, committed boolean, until long")
+
+    def _hold(self, until: int, held: tuple) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.held.update((*held, until))
+        self.handle.registerTimer(until)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        batch["step"] = batch["kind"].map({"reserve": 0, "commit": 1, "release": 2})
+        out = []
+        for row in batch.sort_values(["at", "id", "step"]).itertuples():
+            now = int(row.at.timestamp() * 1000)
+            holder, committed, until = self.held.get() if self.held.exists() else (None, False, 0)
+            acquired = row.kind == "reserve" and (holder is None or until <= now)
+            if acquired:
+                self._hold(now + self.ttl, (row.id, False))
+            elif row.kind == "commit" and holder == row.id:
+                self._hold(now + self.ttl, (row.id, True))
+            elif row.kind == "release" and holder == row.id and not committed:
+                self.held.clear()
+            out.append((*key, row.id, row.kind, acquired))
+        yield pd.DataFrame(out, columns=[*self.key, "id", "kind", "acquired"], dtype=object)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.held.exists() and self.held.get()[2] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.held.clear()
+        yield pd.DataFrame(columns=[*self.key, "id", "kind", "acquired"], dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def replay_guard(stream: DataFrame, keys: list[str], minutes: int, late: str = "1 minute") -> DataFrame:
+    """`states.replay_guard` of a live stream of keys, id, kind, at: reserve, commit, release, with a time to live.
+
+    Rows of a micro-batch are taken in order of time; state is one hold a key, forgotten when it runs out.
+    """
+    kinds = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys)
+    rows = stream.select(*keys, "id", "kind", "at").withWatermark("at", late)
+    return rows.groupBy(*keys).transformWithStateInPandas(_Replay(keys, minutes), f"{kinds}, id long, kind string, acquired boolean", "Append", "EventTime")
+
+
+class _Settled(StatefulProcessor):
+    """The first poll that finds nothing and the first that finds the transcript, whatever order they come in.
+
+    A timer at the end of the longest wait, or at the transcript's time, tells the outcome once the watermark has passed it:
+    no earlier poll can come any more.
+    """
+
+    def __init__(self, most_minutes: int):
+        self.most = most_minutes * 60_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.seen = handle, handle.getValueState("seen", "waited long, ready long, told boolean")
+
+    def _due(self, waited: int | None, ready: int | None) -> tuple[int, str]:
+        """Microseconds and outcome."""
+        end = None if waited is None else waited + self.most
+        return (ready, "ready") if ready is not None and (end is None or ready < end) else (end, "held")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        waited, ready, told = self.seen.get() if self.seen.exists() else (None, None, False)
+        for frame in rows:
+            us = frame["at"].astype("datetime64[us, UTC]" if frame["at"].dt.tz is not None else "datetime64[us]").astype("int64")
+            for found, first in ((False, us[~frame["ready"]].min()), (True, us[frame["ready"]].min())):
+                if not pd.isna(first):
+                    waited, ready = (waited, min(int(first), ready if ready is not None else int(first))) if found else (min(int(first), waited if waited is not None else int(first)), ready)
+        self.seen.update((waited, ready, told))
+        if not told:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(-(-self._due(waited, ready)[0] // 1000))
+        yield pd.DataFrame(columns=["call_id", "state", "at_us"], dtype=object)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        waited, ready, told = self.seen.get()
+        at, state = self._due(waited, ready)
+        self.seen.update((waited, ready, True))
+        yield pd.DataFrame([] if told else [(key[0], state, at)], columns=["call_id", "state", "at_us"], dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def settled_waits(stream: DataFrame, most_minutes: int, late: str = "0 seconds") -> DataFrame:
+    """(call_id, state, at_us): how each wait ends, `ready` or `held`, and when (microseconds); stream: call_id, at, ready.
+
+    Polls may come in any order within the watermark. A wait that has not ended by the last watermark gives no row.
+    """
+    rows = stream.select("call_id", "at", "ready").withWatermark("at", late)
+    return rows.groupBy("call_id").transformWithStateInPandas(_Settled(most_minutes), "call_id long, state string, at_us long", "Append", "EventTime")
+
+
+#: Arbitrary state with timers needs this store.
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drain(stream: DataFrame, label: str, mode: str = "append", timers: bool = False) -> DataFrame:
+    """Run a stream over all there is (trigger availableNow) into a table of the shared folder and read that.
+
+    timers: the stream has state of its own with timers, which lies in another store.
+    """
     spark = stream.sparkSession
     out, marks = fresh_path(spark, label), fresh_path(spark, f"{label}-marks")
-    stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(PROVIDER)
+    if timers:
+        spark.conf.set(PROVIDER, ROCKS)
+    try:
+        stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
     return spark.read.schema(stream.schema).parquet(out)

@@ -9,7 +9,7 @@ from callweave import plans
 from callweave.operators import writes
 
 SF = "/root/testdata/sf0.001"
-OLD = {"snk_01_whole": "call_state", "snk_02_whole": "call_state", "snk_03_whole": "raw_transcripts", "snk_04_whole": "raw_transcripts", "snk_06_whole": "technician_notes", "snk_17_whole": "structured_knowledge"}
+OLD = {"snk_01": "call_state", "snk_02": "call_state", "snk_03": "raw_transcripts", "snk_04": "raw_transcripts", "snk_06": "technician_notes", "snk_17": "structured_knowledge"}
 
 
 @pytest.mark.parametrize("name", OLD)
@@ -23,7 +23,7 @@ def test_no_row_is_left_out(spark, name):
     rows = [tuple(map(str, r)) for r in got.select(*want.columns).collect()]
     assert sorted(rows) == sorted(tuple(map(str, r)) for r in want.fetchall())
     old = getattr(plans.registry.Tables(spark, SF), OLD[name])
-    if name == "snk_17_whole":
+    if name == "snk_17":
         assert len(rows) == old.count()
     else:
         ids = [int(r[want.columns.index("call_id")]) for r in rows]
