@@ -214,3 +214,9 @@ def urgency_rule(urgency: Column, intent: Column, text: Column) -> Column:
 def without_tokens(phrases: Column) -> Column:
     """Phrases that hold no redaction token."""
     return F.filter(phrases, lambda p: ~p.rlike(r"\[[A-Z_]+_[0-9]+\]"))
+
+
+def severity_of(code: Column) -> Column:
+    """The usual severity of a failure code; one that the catalogue lacks raises."""
+    known = F.create_map(*(F.lit(x) for pair in V.FAILURES.items() for x in pair))
+    return F.when(code.isNotNull(), F.coalesce(known[code], F.raise_error(F.concat(F.lit("no such failure code: "), code))))

@@ -83,3 +83,46 @@ AMBIGUOUS_PHRASES = (
 RESIDUAL_CATEGORIES = (
     "vault_value_reintroduced", "digit_run", "spelled_out_digits", "email_like", "address_like", "name_like_after_greeting", "deny_list_term",
 )
+
+
+#: Every failure code with its usual severity; the root-cause category of a code has the code's own name.
+FAILURES = {
+    "CONFIG_MISSING_OR_INVALID": "high",
+    "DATABASE_UNAVAILABLE": "critical",
+    "REDIS_UNAVAILABLE": "critical",
+    "MIGRATION_FAILED": "high",
+    "DIALPAD_AUTH_FAILED": "high",
+    "DIALPAD_RATE_LIMITED": "medium",
+    "DIALPAD_API_CHANGED": "high",
+    "DIALPAD_TRANSCRIPT_MISSING": "low",
+    "WEBHOOK_SIGNATURE_INVALID": "medium",
+    "WEBHOOK_REPLAY_DETECTED": "low",
+    "REDACTION_RECALL_REGRESSION": "critical",
+    "REDACTION_LOW_CONFIDENCE": "medium",
+    "MODEL_AUTH_FAILED": "high",
+    "MODEL_RATE_LIMITED": "medium",
+    "MODEL_MALFORMED_RESPONSE": "medium",
+    "MODEL_COST_CAP_EXCEEDED": "high",
+    "MODEL_COST_WARNING_THRESHOLD_EXCEEDED": "medium",
+    "QUEUE_RETRY_EXHAUSTED": "high",
+    "DEAD_LETTER_CREATED": "high",
+    "RETENTION_PURGE_FAILED": "high",
+    "BACKFILL_CHECKPOINT_FAILED": "medium",
+    "REVIEW_QUEUE_STALLED": "medium",
+    "SERVICETITAN_AUTH_FAILED": "high",
+    "SERVICETITAN_MATCH_WEAK": "low",
+    "SERVICETITAN_WRITE_FAILED": "medium",
+    "REQUEST_BODY_TOO_LARGE": "low",
+    "REQUEST_MALFORMED": "low",
+    "UNSUPPORTED_MEDIA_TYPE": "low",
+    "RATE_LIMIT_EXCEEDED": "low",
+    "AUTH_REQUIRED": "low",
+    "AUTH_FORBIDDEN": "low",
+    "CSRF_TOKEN_INVALID": "low",
+    "WEBHOOK_TIMESTAMP_INVALID": "low",
+    "INTERNAL_ERROR": "high",
+    "VERBATIM_PII_DETECTED": "high",
+    "KEY_ROTATION_FAILED": "critical",
+    "KEY_REVOCATION_FAILED": "critical",
+    "TECHNICIAN_NOTE_RUN_DEGRADED": "medium",
+}

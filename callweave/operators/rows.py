@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import logging
+from collections.abc import Callable, Iterable
 from datetime import date, datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -122,3 +123,29 @@ def facets(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def counts(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias(name))
+
+
+def covered_by(spans: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """spans with `covered`: whether one of the others of the same key contains the whole of start to end (inclusive bounds).
+
+    A sweep line: both sides in one order by start, with the furthest end of the others so far. No pairs are made.
+    """
+    both_ = spans.withColumn("_other", F.lit(False)).unionByName(others.select(*keys, "start", "end").withColumn("_other", F.lit(True)), allowMissingColumns=True)
+    sweep = Window.partitionBy(*keys).orderBy("start", F.desc("_other")).rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("_other"), F.col("end"))).over(sweep)
+    return both_.withColumn("covered", F.coalesce(reach >= F.col("end"), F.lit(False))).filter("NOT _other").drop("_other")
+
+
+def rollup(spark: SparkSession, parts: dict[str, tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
+    """One row with a column for each part: name -> (type, function of a one-row, one-column DataFrame).
+
+    A part whose source can't be read or whose query fails is null; the others stand. Each part is one scalar.
+    """
+    values = {}
+    for name, (kind, make) in parts.items():
+        try:
+            values[name] = F.lit(make().first()[0]).cast(kind)
+        except Exception as e:  # whatever the source says; the roll-up is there to show it
+            logging.getLogger(__name__).warning("%s is unknown: %s", name, str(e).splitlines()[0])
+            values[name] = F.lit(None).cast(kind)
+    return spark.range(1).select(*(v.alias(k) for k, v in values.items()))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import redaction as X
 from ..operators.params import ListQuery, gate, without_content
-from ..operators.rows import search_filter
+from ..operators.rows import covered_by, search_filter
 from ..scratch import fresh_path
 from ..sources import readers
 from .registry import at, query
@@ -33,7 +33,18 @@ def _listing(t):
     return readers.landed_pages(t.spark, _landed(t, lines, "listing"), 946684800.0)
 
 
-query("src_04", "SELECT CAST(call_id AS VARCHAR) AS call_id, epoch(started_at)::DOUBLE AS started_at FROM backfill_run_calls WHERE started_at > TIMESTAMP '2000-01-01 00:00:00'")(lambda t: _listing(t).select("call_id", "started_at"))
+query("src_04_landed", "SELECT CAST(call_id AS VARCHAR) AS call_id, epoch(started_at)::DOUBLE AS started_at FROM backfill_run_calls WHERE started_at > TIMESTAMP '2000-01-01 00:00:00'")(lambda t: _listing(t).select("call_id", "started_at"))
+
+
+def _paged(t):
+    """The backfilled calls as a paged listing, read through its data source; the bound is pushed to it, so earlier pages are not read."""
+    path = fresh_path(t.spark, "paged")
+    calls = t.backfill_run_calls.select("call_id", F.unix_timestamp(c("started_at").cast("timestamp")).cast("double").alias("started_at"), F.lit("hangup").alias("state"))
+    readers.land_listing(calls, path, PAGE)
+    return readers.paged_calls(t.spark, path).filter(c("started_at") > 946684800.0)
+
+
+query("src_04", "SELECT CAST(call_id AS VARCHAR) AS call_id, epoch(started_at)::DOUBLE AS started_at, 'hangup' AS state FROM backfill_run_calls WHERE started_at > TIMESTAMP '2000-01-01 00:00:00'")(_paged)
 
 
 def _base64url(x):
@@ -65,8 +76,19 @@ query("flt_06", "SELECT call_id FROM structured_knowledge WHERE service_category
     lambda t: (lambda q: t.structured_knowledge.filter(q.where()).orderBy("call_id").limit(q.size).select("call_id"))(ListQuery.parse({"service_category": " BUILDING ", "urgency": "", "end": "1995-12-31", "size": "9999"}, _DOMAINS))
 )
 query("flt_14", "SELECT call_id, status, duration FROM call_state")(lambda t: without_content(t.call_state.select("call_id", "status", "duration")))
-query("jn_18")(
+query("jn_18_numbers")(
     lambda t: t.clean_transcripts.select("call_id", X.detect(c("text"), "number").alias("numbers"), X.detect(c("text"), "phone").alias("phones"))
     .select("call_id", F.size(F.filter("numbers", lambda n: ~F.exists("phones", lambda p: (p["start"] <= n["start"]) & (n["end"] <= p["end"])))).alias("uncovered"))
 )
+# order lines as stretches of days: which lie within a stretch of another line of their order
+query(
+    "jn_18",
+    """
+, s AS (SELECT l_orderkey, l_linenumber, epoch(l_shipdate)::BIGINT // 86400 AS start, epoch(l_shipdate)::BIGINT // 86400 + CAST(l_quantity AS BIGINT) AS stop FROM lineitem)
+SELECT l_orderkey, l_linenumber, EXISTS (SELECT 1 FROM s AS o WHERE o.l_orderkey = s.l_orderkey AND o.l_linenumber <> s.l_linenumber AND o.l_linenumber % 2 = 0 AND o.start <= s.start AND s.stop <= o.stop) AS covered FROM s WHERE l_linenumber % 2 = 1""",
+)(
+    lambda t: (lambda s: covered_by(s.filter("l_linenumber % 2 = 1"), s.filter("l_linenumber % 2 = 0"), ["l_orderkey"]).select("l_orderkey", "l_linenumber", "covered"))(
+        t.lineitem.select("l_orderkey", "l_linenumber", F.unix_date(c("l_shipdate").cast("date")).cast("long").alias("start"), "l_quantity").withColumn("end", c("start") + c("l_quantity").cast("long"))
+    )
+)
 query("txt_07", "SELECT call_id FROM structured_knowledge WHERE contains(lower(problem_statement), '0042')")(lambda t: t.structured_knowledge.filter(search_filter(text=gate("0042"), text_cols=["problem_statement"])).select("call_id"))

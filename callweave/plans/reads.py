@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import redaction as X
 from ..operators import rows as R
+from ..sources import readers
 from .registry import at, query
 from .standins import NOW, RETENTION_NOW, Tables
 
@@ -19,18 +21,26 @@ LIVE = "soft_deleted_at IS NULL AND hard_deleted_at IS NULL"
 query("src_01", "SELECT call_id, status, current_stage FROM call_state WHERE duration > 100")(lambda t: t.spark.sql("SELECT call_id, status, current_stage FROM {cs} WHERE duration > :least", args={"least": 100}, cs=t.call_state))
 query("src_02", "SELECT * FROM call_state WHERE call_id = 4242 OR call_id = 707")(lambda t: t.call_state.filter(c("call_id").isin(4242, 707)))
 query("src_03", f"SELECT call_id, row_id FROM raw_transcripts WHERE {LIVE}")(lambda t: R.live(t.raw_transcripts).select("call_id", "row_id"))
-query("src_05", "SELECT call_id, CASE WHEN n = 0 THEN 'not_ready' WHEN n < 3 THEN 'error' ELSE 'ready' END AS state FROM (SELECT call_id, count(*) FILTER (WHERE text <> '') AS n FROM turns GROUP BY call_id) AS x")(
-    lambda t: t.turns.groupBy("call_id").agg(F.count_if(c("text") != "").alias("n")).select("call_id", F.when(c("n") == 0, "not_ready").when(c("n") < 3, "error").otherwise("ready").alias("state"))
+# payloads of conversations: a plain text, one that is not there yet, a flat transcript, and lines of which system turns are moments
+_SAID = "string_agg(coalesce(text, ''), chr(10) ORDER BY turn, role, text)"
+_LINED = "string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) FILTER (WHERE role <> 'system' AND text IS NOT NULL)"
+
+
+def _payloads(t: Tables):
+    line = F.struct(c("text").alias("content"), F.when(c("role") == "system", "moment").otherwise("line").alias("type"), c("role").alias("name"))
+    whole = t.turns.groupBy("call_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", line.alias("line")))).alias("x"))
+    said, kind = F.array_join(F.transform("x.text", lambda s: F.coalesce(s, F.lit(""))), "\n"), c("call_id") % 5
+    return whole.select("call_id", F.when(kind == 0, said).when(kind == 1, F.to_json(F.struct(F.lit("pending").alias("status")))).when(kind == 2, F.to_json(F.struct(said.alias("transcript")))).otherwise(F.to_json(F.struct(F.col("x.line").alias("lines")))).alias("raw"))
+
+
+query("src_05", f"SELECT call_id, CASE call_id % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'not_ready' WHEN 2 THEN CASE WHEN {_SAID} <> '' THEN 'ready' ELSE 'not_ready' END ELSE 'ready' END AS state FROM turns GROUP BY call_id")(
+    lambda t: _payloads(t).select("call_id", readers.transcript_state(c("raw")).alias("state"))
 )
 query("src_06", "SELECT event_id, event_id * 1000 + 7 AS ms FROM events")(lambda t: t.events.select("event_id", C.epoch_ms((c("event_id") * 1000 + 7).cast("string")).alias("ms")))
 query("src_08", "SELECT event_id, json_extract_string(props, '$.k') AS v FROM events")(lambda t: t.events.select("event_id", C.present_scalar(c("props"), ["$.call.id", "$.call_id", "$.k"]).alias("v")))
-query(
-    "src_12",
-    "SELECT call_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM turns WHERE role <> 'system' GROUP BY call_id",
-)(
-    lambda t: t.turns.filter("role <> 'system'").groupBy("call_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line")))).alias("x"))
-    .select("call_id", F.array_join("x.line", "\n").alias("text"))
-)
+query("src_12", f"SELECT call_id, CASE call_id % 5 WHEN 1 THEN '{{\"status\":\"pending\"}}' WHEN 0 THEN {_SAID} WHEN 2 THEN {_SAID} ELSE {_LINED} END AS text FROM turns GROUP BY call_id")(
+    lambda t: _payloads(t).select("call_id", readers.transcript_text(c("raw")).alias("text"))
+)
 
 # -- filters ----------------------------------------------------------------------
 
@@ -211,24 +221,41 @@ def _counter(df: DataFrame, metric: str, label) -> DataFrame:
     return df.groupBy(label.alias("label")).agg(F.count("*").alias("n")).select(F.lit(metric).alias("metric"), "label", "n")
 
 
+# the last part stands for a source that can't be read: it is null, and the others stand
 query(
     "agg_14",
-    "SELECT (SELECT count(*) FROM call_state WHERE status = 'processing') AS processing, (SELECT count(*) FROM review_queue WHERE status = 'open') AS open_reviews, (SELECT max(seen_at) FROM heartbeats) AS last_beat, (SELECT count(*) FROM alert_events WHERE acknowledged_at IS NULL AND severity = 'critical') AS critical",
+    "SELECT (SELECT count(*) FROM call_state WHERE status = 'processing') AS processing, (SELECT count(*) FROM review_queue WHERE status = 'open') AS open_reviews, (SELECT max(seen_at) FROM heartbeats) AS last_beat, "
+    "(SELECT count(*) FROM alert_events WHERE acknowledged_at IS NULL AND severity = 'critical') AS critical, (SELECT count(*) FROM dead_letter WHERE cleared_at IS NULL) AS dead_letters, (SELECT sum(cost) FROM daily_cost WHERE day = DATE '2024-01-15')::DOUBLE AS spent, NULL::BIGINT AS queue_depth",
 )(
-    lambda t: t.call_state.agg(F.count_if(c("status") == "processing").alias("processing")).join(t.review_queue.agg(F.count_if(c("status") == "open").alias("open_reviews")))
-    .join(t.heartbeats.agg(F.max("seen_at").alias("last_beat"))).join(t.alert_events.agg(F.count_if(c("acknowledged_at").isNull() & (c("severity") == "critical")).alias("critical")))
-)
+    lambda t: R.rollup(
+        t.spark,
+        {
+            "processing": ("long", lambda: t.call_state.agg(F.count_if(c("status") == "processing"))),
+            "open_reviews": ("long", lambda: t.review_queue.agg(F.count_if(c("status") == "open"))),
+            "last_beat": ("timestamp_ntz", lambda: t.heartbeats.agg(F.max("seen_at"))),
+            "critical": ("long", lambda: t.alert_events.agg(F.count_if(c("acknowledged_at").isNull() & (c("severity") == "critical")))),
+            "dead_letters": ("long", lambda: t.dead_letter.agg(F.count_if(c("cleared_at").isNull()))),
+            "spent": ("double", lambda: t.daily_cost.filter("day = DATE '2024-01-15'").agg(F.sum("cost"))),
+            "queue_depth": ("long", lambda: t.spark.read.parquet(f"{t.sf_dir}/queue_depth.parquet").agg(F.count("*"))),
+        },
+    )
+)
 query("agg_15", f"SELECT string_agg(service_category || ' (' || n || ')', ', ' ORDER BY n DESC, service_category) AS summary FROM (SELECT service_category, count(*) AS n {_KN} GROUP BY 1 ORDER BY n DESC, service_category LIMIT 3) AS x")(
     lambda t: R.counts(t.structured_knowledge.filter("superseded_by_call_id IS NULL"), ["service_category"]).orderBy(F.desc("n"), "service_category").limit(3)
     .agg(F.sort_array(F.collect_list(F.struct((-c("n")).alias("o"), "service_category", "n"))).alias("x"))
     .select(F.array_join(F.transform("x", lambda r: F.concat(r["service_category"], F.lit(" ("), r["n"].cast("string"), F.lit(")"))), ", ").alias("summary"))
 )
-query("agg_18", "SELECT lang, sum(len(regexp_extract_all(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '[0-9]{7,}')))::BIGINT AS digit_run, sum(len(regexp_extract_all(text, '[A-Za-z0-9_%+-]+\\s*[@＠﹫]\\s*[A-Za-z0-9.-]+')))::BIGINT AS at_signs FROM clean_transcripts GROUP BY lang")(
+query("agg_18_counts", "SELECT lang, sum(len(regexp_extract_all(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '[0-9]{7,}')))::BIGINT AS digit_run, sum(len(regexp_extract_all(text, '[A-Za-z0-9_%+-]+\\s*[@＠﹫]\\s*[A-Za-z0-9.-]+')))::BIGINT AS at_signs FROM clean_transcripts GROUP BY lang")(
     lambda t: t.clean_transcripts.groupBy("lang").agg(
         F.sum(F.size(F.regexp_extract_all(C.normal_token(c("text")), F.lit("[0-9]{7,}"), F.lit(0)))).alias("digit_run"),
         F.sum(F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_%+-]+\s*[@＠﹫]\s*[A-Za-z0-9.-]+"), F.lit(0)))).alias("at_signs"),
     )
 )
+# the residual scan's counts over all texts of a language, merged by category; its look-around patterns have no SQL
+query("agg_18")(
+    lambda t: t.clean_transcripts.select("lang", F.explode(X.residual(c("text"))).alias("category", "n")).groupBy("lang", "category").agg(F.sum("n").alias("n"))
+    .groupBy("lang").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n"))))).alias("counts"))
+)
 query("agg_19", "SELECT stage, count(*) AS attempted, count(*) FILTER (WHERE outcome = 'failed') AS failed, count(*) >= 50 AND count(*) FILTER (WHERE outcome = 'failed') * 5 > count(*) AS alarm FROM processing_log GROUP BY stage")(
     lambda t: t.processing_log.groupBy("stage").agg(F.count("*").alias("attempted"), F.count_if(c("outcome") == "failed").alias("failed")).withColumn("alarm", (c("attempted") >= 50) & (c("failed") * 5 > c("attempted")))
 )

@@ -70,8 +70,10 @@ query("fn_22", "SELECT alert_id, error_code || ':' || CASE WHEN call_id % 2 = 0
 query("fn_23", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) < 50 AS kept FROM events")(
     lambda t: t.events.select("event_id", (F.size(F.map_filter(F.from_json("props", "map<string,int>"), lambda k, v: k.isin("k", "call_id") & (v < 50))) > 0).alias("kept"))
 )
-query("fn_24", "SELECT alert_id, CASE error_code WHEN 'MODEL_TIMEOUT' THEN 'model' WHEN 'QUEUE_BACKLOG' THEN 'queue' ELSE 'review' END AS category FROM alert_events")(
-    lambda t: t.alert_events.join(t.spark.createDataFrame([("MODEL_TIMEOUT", "model"), ("QUEUE_BACKLOG", "queue"), ("REVIEW_QUEUE_STALLED", "review")], "error_code string, category string"), "error_code").select("alert_id", "category")
+# events as failures of every code in turn: category and severity by the catalogue
+_CODES = f"{list(V.FAILURES)}[(event_id % {len(V.FAILURES)}) + 1]"
+query("fn_24", f"SELECT event_id, {_CODES} AS category, {list(V.FAILURES.values())}[(event_id % {len(V.FAILURES)}) + 1] AS severity FROM events")(
+    lambda t: t.events.select("event_id", F.element_at(F.array(*map(F.lit, V.FAILURES)), (c("event_id") % len(V.FAILURES) + 1).cast("int")).alias("category")).withColumn("severity", C.severity_of(c("category")))
 )
 # payloads of five shapes: nested, with arrays, nulls and labelled values
 _PAYLOAD = (

@@ -119,10 +119,51 @@ def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(x,) for x in raw], "raw string")
     assert [r[0] for r in df.select(readers.transcript_text(F.col("raw"))).collect()] == ["A: x\nB: z", "flat", "plain", raw[3]]
     assert [r[0] for r in df.select(readers.transcript_state(F.col("raw"))).collect()] == ["ready", "ready", "error", "not_ready"]
-    spark.dataSource.register(readers.PagedCalls)
-    (tmp_path / "first.json").write_text(json.dumps({"cursor": "second", "items": [{"call_id": 1, "started_at": 5}]}))
-    (tmp_path / "second.json").write_text(json.dumps({"items": [{"call_id": 2, "started_at": 1}]}))
-    assert [r.call_id for r in spark.read.format("paged_calls").option("path", str(tmp_path)).option("started_after", "2").load().collect()] == ["1"]
-    (tmp_path / "second.json").write_text(json.dumps({"cursor": "first", "items": []}))
+
+
+def test_a_bound_on_the_start_skips_pages(spark, tmp_path):
+    path = str(tmp_path / "listing")
+    calls = spark.createDataFrame([(i, float(i % 97), None if i % 3 else "hangup") for i in range(500)], "call_id long, started_at double, state string")
+    readers.land_listing(calls, path, 20)
+    found = readers.paged_calls(spark, path)
+    assert sorted(found.collect()) == sorted((str(r.call_id), r.started_at, r.state) for r in calls.collect())
+    late = found.filter("started_at > 80 AND state = 'hangup'")
+    assert sorted(r.call_id for r in late.collect()) == sorted(str(i) for i in range(500) if i % 97 > 80 and i % 3 == 0)
+    assert late.rdd.getNumPartitions() < found.rdd.getNumPartitions() / 2  # pages before the bound are no partitions
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    assert "started_at" not in "".join(line for line in plan.splitlines() if "Filter" in line) or "paged_calls" in plan
+    assert spark.read.format("paged_calls").option("path", path).option("started_after", "95").load().count() == sum(i % 97 > 95 for i in range(500))
+    readers.land_listing(calls.limit(0), f"{path}0")
+    assert readers.paged_calls(spark, f"{path}0").count() == 0
+
+
+def test_a_cursor_that_does_not_advance(spark, tmp_path):
+    for cursor, after in (("a", "b"), ("b", "a")):
+        (tmp_path / "items" / f"cursor={cursor}").mkdir(parents=True)
+        (tmp_path / "items" / f"cursor={cursor}" / "part-0").write_text(json.dumps({"items": []}))
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "part-0").write_text("\n".join(json.dumps({"cursor": x, "after": y, "latest": 1.0, "first": x == "a"}) for x, y in (("a", "b"), ("b", "a"))))
     with pytest.raises(Exception, match="does not advance"):
-        spark.read.format("paged_calls").option("path", str(tmp_path)).load().collect()
+        readers.paged_calls(spark, str(tmp_path)).collect()
+
+
+def test_cover_by_a_sweep_equals_any(spark):
+    import random
+
+    dice = random.Random(1)
+    spans, others = ([(dice.choice("abc"), i, s := dice.randrange(30), s + dice.randrange(9)) for i in range(80)] for _ in range(2))
+    df, of = (spark.createDataFrame(x, "k string, id int, start int, end int") for x in (spans, others))
+    got = {r.id: r.covered for r in rows.covered_by(df, of, ["k"]).collect()}
+    assert got == {i: any(k == x and s <= start and end <= e for x, _, s, e in others) for k, i, start, end in spans} and set(got.values()) == {True, False}
+
+
+def test_a_part_that_fails_is_null(spark):
+    got = rows.rollup(spark, {"good": ("long", lambda: spark.range(3).groupBy().count()), "bad": ("long", lambda: spark.read.parquet("/nowhere").groupBy().count()), "late": ("string", lambda: spark.range(1).selectExpr("raise_error('no')"))})
+    assert got.collect() == [(3, None, None)]
+
+
+def test_every_code_has_a_severity(spark):
+    codes = spark.createDataFrame([("INTERNAL_ERROR",), ("DATABASE_UNAVAILABLE",), (None,)], "code string")
+    assert [r[0] for r in codes.select(C.severity_of(F.col("code"))).collect()] == ["high", "critical", None]
+    with pytest.raises(Exception, match="no such failure code"):
+        spark.createDataFrame([("NO_SUCH",)], "code string").select(C.severity_of(F.col("code"))).collect()
