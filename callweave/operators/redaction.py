@@ -6,7 +6,6 @@ import functools
 import hashlib
 import hmac
 import json
-import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -91,41 +90,6 @@ def reintroduced(text: Column, values: Iterable[str]) -> Column:
     return run(text)
 
 
-_NAME_WORD = re.compile(r"(?:[^\W_]|')+")
-#: Contexts of names that a name model keeps, at most: those seen most often.
-NAME_CONTEXTS = 10_000
-
-
-def train_names(texts: DataFrame, text_col: str = "text", least: float = 0.5, most: int = NAME_CONTEXTS) -> dict[tuple[str, str, bool], float]:
-    """A token model of person names: how likely a word is one after the two words before it, capitalised or not.
-
-    Trained on weak labels: a capitalised word behind `my name is`, or behind such a word. Words are counted where they
-    stand and combined before the shuffle; only contexts that are names at least half the time come to the driver.
-    """
-    words = F.split(F.trim(F.regexp_replace(text_col, r"[^\p{L}\p{N}']+", " ")), " ")
-    said = lambda w, i, k: F.lower(F.coalesce(F.get(w, i - k), F.lit("")))
-    cap = lambda w, i, k=0: F.coalesce(F.get(w, i - k), F.lit("")).rlike(r"^\p{Lu}")
-    cue = lambda w, i: (said(w, i, 3) == "my") & (said(w, i, 2) == "name") & (said(w, i, 1) == "is")
-    name = lambda w, i: cap(w, i) & (cue(w, i) | (cap(w, i, 1) & cue(w, i - 1)))
-    rows = texts.select(words.alias("w")).select(
-        F.explode(F.transform("w", lambda _, i: F.struct(said(F.col("w"), i, 2).alias("a"), said(F.col("w"), i, 1).alias("b"), cap(F.col("w"), i).alias("cap"), name(F.col("w"), i).alias("name")))).alias("t")
-    )
-    seen = rows.groupBy("t.a", "t.b", "t.cap").agg(F.count("*").alias("n"), F.count_if("t.name").alias("k")).filter("k > 0")
-    rate = seen.withColumn("rate", F.col("k") / (F.col("n") + 1)).filter(F.col("rate") >= least).orderBy(F.desc("n"), "a", "b").limit(most)
-    return {(r.a, r.b, r.cap): r.rate for r in rate.collect()}
-
-
-def name_model(rates: dict[tuple[str, str, bool], float]) -> Callable[[str], list[tuple[str, float, str]]]:
-    """The trained model as a token model: text -> (entity, score, word) of each word."""
-    def model(text: str) -> list[tuple[str, float, str]]:
-        words = _NAME_WORD.findall(text)
-        low = ["", "", *(w.lower() for w in words)]
-        found = (rates.get((low[i], low[i + 1], w[:1].isupper())) for i, w in enumerate(words))
-        return [("O", 1.0, w) if rate is None else ("B-PER", rate, w) for w, rate in zip(words, found)]
-
-    return model
-
-
 def deny_list(text: Column, terms: list[str], anywhere: bool = False) -> Column:
     find = S.denied_anywhere if anywhere else S.denied
     return span_udf(lambda t: find(t, terms))(text)
@@ -316,41 +280,30 @@ def contexts(text: Column, value: str, radius: int = 48, most: int = 5) -> Colum
 
 
 def canonical_json(x: Column) -> Column:
-    """JSON text with sorted keys and no blanks; what does not parse gives null."""
-    def one(t: str | None) -> str | None:
-        try:
-            return None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        except ValueError:
-            return None
+    """JSON text with sorted keys and no blanks; what does not parse, or names a key twice, gives null. A variant keeps its keys sorted."""
+    return F.to_json(F.try_parse_json(x))
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
-
-    return run(x)
-
-
-def json_leaves(x: Column) -> Column:
-    """Sorted distinct `path:type` of every leaf, array places as []."""
-    def walk(node, path: str) -> set[str]:
-        if isinstance(node, dict):
-            return {p for k, v in node.items() for p in walk(v, f"{path}.{k}" if path else k)} or {f"{path}:object"}
-        if isinstance(node, list):
-            return {p for v in node for p in walk(v, f"{path}[]")} or {f"{path}[]:empty"}
-        kind = "null" if node is None else "boolean" if isinstance(node, bool) else "number" if isinstance(node, int | float) else "string"
-        return {f"{path}:{kind}"}
-
-    def one(t: str | None) -> list[str]:
-        try:
-            return sorted(walk(json.loads(t), "")) if t else []
-        except ValueError:
-            return []
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+def json_leaves(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(id, leaf): the distinct `path:type` of every leaf of each row's JSON, array places as []; what does not parse has none.
 
-    return run(x)
+    One level of all rows at a time: objects and arrays are opened by `variant_explode`, anything else is a leaf. There are as
+    many rounds as the deepest payload has levels; each is written, so none is computed twice.
+    """
+    spark = df.sparkSession
+    open_ = df.select(F.col(id_col).alias("id"), F.lit("").alias("path"), F.try_parse_json(json_col).alias("v")).filter("v IS NOT NULL")
+    found = []
+    while True:
+        shape = F.schema_of_variant("v")
+        kind = F.when((shape == "ARRAY<VOID>") & (F.to_json("v") == "[]"), "ARRAY<>").otherwise(shape)  # an array of nulls has that shape, too
+        rows = kept(open_.select("id", "path", "v", kind.alias("kind")).withColumn("nested", F.col("kind").rlike("^(OBJECT|ARRAY)<") & ~F.col("kind").isin("OBJECT<>", "ARRAY<>")), "json-level")
+        empty = F.when(F.col("kind") == "OBJECT<>", F.concat("path", F.lit(":object"))).when(F.col("kind") == "ARRAY<>", F.concat("path", F.lit("[]:empty")))
+        plain = F.when(F.col("kind") == "VOID", "null").when(F.col("kind") == "BOOLEAN", "boolean").when(F.col("kind") == "STRING", "string").otherwise("number")
+        found.append(rows.filter("NOT nested").select("id", F.coalesce(empty, F.concat_ws(":", "path", plain)).alias("leaf")).distinct())
+        nested = rows.filter("nested")
+        if nested.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found).distinct()
+        open_ = spark.sql("SELECT id, CASE WHEN e.key IS NULL THEN path || '[]' WHEN path = '' THEN e.key ELSE path || '.' || e.key END AS path, e.value AS v FROM {rows}, LATERAL variant_explode(v) AS e", rows=nested)
 
 
 #: Keys of a payload, in lower case, whose values are personal.

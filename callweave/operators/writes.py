@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import kept
 from .rows import both, latest
 
 
@@ -82,3 +85,84 @@ def json_export(rows: DataFrame, order: list[str], cap: int | None = None) -> Da
     kept = rows if cap is None else rows.orderBy(*order).limit(cap)
     cut = F.lit(False) if cap is None else F.col("total") > cap
     return kept.select(F.to_json(F.struct(*rows.columns)).alias("line")).crossJoin(total).withColumn("truncated", cut)
+
+
+# -- exported sets ------------------------------------------------------------
+
+#: Where an exported set keeps its versions, and the file that names the one that counts.
+_VERSIONS, _CURRENT = "versions", "CURRENT"
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def current_version(spark: SparkSession, folder: str) -> str | None:
+    """The version of an exported set that counts; None before the first."""
+    store, at = _store(spark, f"{folder}/{_CURRENT}")
+    return spark.read.text(at.toString()).first()[0] if store.exists(at) else None
+
+
+def exported(spark: SparkSession, folder: str, version: str | None = None) -> DataFrame:
+    """(file, body) of an exported set: of the version that counts, or of the given one."""
+    version = version or current_version(spark, folder)
+    return spark.read.schema("body string, file string").parquet(f"{folder}/{_VERSIONS}/{version}/fixtures").select("file", "body")
+
+
+def manifest(spark: SparkSession, folder: str, version: str | None = None) -> DataFrame:
+    """(file, sha256) of an exported set."""
+    version = version or current_version(spark, folder)
+    schema = "file string, sha256 string"
+    return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).json(f"{folder}/{_VERSIONS}/{version}/manifest")
+
+
+def stage_export(rows: DataFrame, folder: str) -> str:
+    """Phase one: write (file, body) and its manifest as a new version, which counts for nothing yet; its name."""
+    version = uuid.uuid4().hex
+    path = f"{folder}/{_VERSIONS}/{version}"
+    rows.select("body", "file").write.parquet(f"{path}/fixtures")
+    written = rows.sparkSession.read.schema("body string, file string").parquet(f"{path}/fixtures")
+    if not written.groupBy("file").count().filter("count > 1").isEmpty():
+        raise ValueError("two bodies of one file")
+    written.select("file", F.sha2(F.coalesce("body", F.lit("")), 256).alias("sha256")).write.json(f"{path}/manifest")
+    return version
+
+
+def commit_export(spark: SparkSession, folder: str, version: str) -> None:
+    """Phase two: one rename makes the staged version the one that counts; then what no longer counts is deleted.
+
+    A run that is lost before the rename leaves the old set as it was; one lost behind it leaves at most stale versions, which
+    the next commit deletes.
+    """
+    staged = f"{folder}/{_CURRENT}-{version}"
+    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(staged)
+    store, at = _store(spark, staged)
+    part = next(f.getPath() for f in store.listStatus(at) if f.getPath().getName().startswith("part-"))
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(part, _store(spark, f"{folder}/{_CURRENT}")[1], options)
+    for f in store.listStatus(_store(spark, folder)[1]):
+        if f.getPath().getName().startswith(f"{_CURRENT}-"):
+            store.delete(f.getPath(), True)
+    for f in store.listStatus(_store(spark, f"{folder}/{_VERSIONS}")[1]):
+        if f.getPath().getName() != version:
+            store.delete(f.getPath(), True)
+
+
+def export_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(file, change): added, removed, changed or kept, from two manifests."""
+    both_ = before.select("file", F.col("sha256").alias("old")).join(after.select("file", F.col("sha256").alias("new")), "file", "full")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed").otherwise("kept")
+    return both_.select("file", change.alias("change"))
+
+
+def export_fixtures(rows: DataFrame, folder: str) -> DataFrame:
+    """Put (file, body) in the place of an exported set; (file, change) against the set before. Stale files are gone with their version."""
+    spark = rows.sparkSession
+    old = manifest(spark, folder)
+    version = stage_export(rows, folder)
+    diff = kept(export_diff(old, manifest(spark, folder, version)), "export-diff")
+    commit_export(spark, folder, version)
+    return diff

@@ -82,7 +82,7 @@ _PAYLOAD = (
 )
 _SHAPES = "CASE event_type WHEN 'click' THEN ['call.k:number', 'tags[]:boolean', 'tags[]:number', 'tags[]:string'] WHEN 'error' THEN ['phone[]:string', 'state:null'] WHEN 'signup' THEN ['data.Contact_Name:string', 'data.email.home:string', 'items[].m:string', 'items[].n:number'] WHEN 'view' THEN ['[]:empty'] ELSE ['k:number'] END"
 _payload = lambda t: t.events.withColumn("payload", F.expr(_PAYLOAD))
-query("src_09", f"SELECT leaf, count(*) AS n FROM (SELECT unnest({_SHAPES}) AS leaf FROM events) AS x GROUP BY leaf")(lambda t: _payload(t).select(F.explode(X.json_leaves(c("payload"))).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")))
+query("src_09", f"SELECT leaf, count(*) AS n FROM (SELECT unnest({_SHAPES}) AS leaf FROM events) AS x GROUP BY leaf")(lambda t: X.json_leaves(_payload(t), "event_id", "payload").groupBy("leaf").agg(F.count("*").alias("n")))
 query("fn_25", "SELECT event_id, CASE event_type WHEN 'error' THEN '+1 555 ' || user_id || CASE WHEN user_id = 0 THEN '' ELSE ',+1 555 0' END ELSE '' END AS phones, CASE event_type WHEN 'signup' THEN 'Ann ' || user_id ELSE '' END AS names, CASE event_type WHEN 'signup' THEN 'a@b.org' ELSE '' END AS emails FROM events")(
     lambda t: _payload(t).select("event_id", X.labelled_values(c("payload")).alias("p")).select("event_id", *(F.array_join(f"p.{k}", ",").alias(k) for k in ("phones", "names", "emails")))
 )

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import patterns as P
 from ..functions import vocab as V
 from ..operators import redaction as X
+from ..operators import tagger as G
 from .registry import query
+from .standins import Tables
 
 c = F.col
 #: Client terms of the queries: words that occur in the documents.
@@ -74,9 +77,6 @@ SELECT w.call_id, count(g.n)::INT AS runs, coalesce(sum(g.n), 0)::INT AS digits
     )(
         lambda t: _said_too(t).select("call_id", X.spelled_runs(c("text")).alias("r")).select("call_id", F.size("r").alias("runs"), F.aggregate("r", F.lit(0), lambda a, x: a + x).alias("digits"))
     )
-# The same detectors over whole texts of documents, with offsets; SQL cannot say them.
-for key, name in (("pii_03", "street_address"), ("pii_08", "spelled_digits"), ("op_28", "spelled_digits"), ("pii_09", "greeted_name"), ("op_29", "greeted_name"), ("pii_13", "address_digits")):
-    query(f"{key}_texts")(_found(name))
 query("pii_13")(lambda t: _said_too(t).select("call_id", X.detect(c("text"), "address_digits").alias("spans")).select("call_id", F.inline("spans")))
 _DIGITS = "SELECT doc_id AS call_id, len(regexp_extract_all(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '[0-9]{7,}'))::INT AS n FROM documents"
 for key in ("pii_07", "op_27"):
@@ -104,18 +104,46 @@ def stub_model(text: str) -> list[tuple[str, float, str]]:
     return [("B-PER" if i and w[:1].isupper() else "O", 0.9, w) for i, w in enumerate(text.split())]
 
 
+#: Names and introductions of the labelled sentences; a document's speaker has one of the later names, a customer one of the first eight.
+GIVEN_NAMES = ["Ada", "Boris", "Clara", "Dmitri", "Elena", "Farid", "Greta", "Hugo", "Ines", "Jonas", "Katya", "Lars", "Mina", "Nils", "Olga", "Pavel"]
+INTRODUCED = [(". My name is ", ". "), (". This is ", " speaking. "), (". I am ", " and I call about it. "), (". You speak with ", ", hello. "), (". Please ask for ", " there. ")]
+
+
+def _named(rows, first: int, n: int):
+    """rows (id, before, after) with `name`, of given names first to first + n and nations, and an introduction round it: id, text, start, end."""
+    pick = lambda xs, x: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(x, F.lit(len(xs))) + 1).cast("int"))
+    mixed = F.xxhash64("id")
+    name = F.concat(pick(GIVEN_NAMES[first : first + n], mixed), F.lit(" "), F.initcap(F.regexp_replace("n_name", "[^A-Za-z]+", "")))
+    head, tail = (pick([x[k] for x in INTRODUCED], F.shiftright(mixed, 8)) for k in (0, 1))
+    start = F.char_length("before") + F.char_length(head)
+    return rows.select("id", F.concat("before", head, name, tail, "after").alias("text"), start.alias("start"), (start + F.char_length(name)).alias("end"))
+
+
+def _introduced(t):
+    """Every document in which its speaker says a name half way: call_id, text, start, end."""
+    nations = t.nation.select("n_nationkey", "n_name")  # 25 rows
+    text, n = F.coalesce("text", F.lit("")), t.nation.count()
+    half = F.floor(F.char_length(text) / 2).cast("int")
+    rows = t.clean_transcripts.filter("call_id IS NOT NULL").select(c("call_id").alias("id"), F.substring(text, F.lit(1), half).alias("before"), F.substring(text, half + 1, F.char_length(text)).alias("after"), F.pmod(F.xxhash64("call_id", F.lit(1)), F.lit(n)).alias("n_nationkey"))
+    return _named(rows.join(nations, "n_nationkey"), 8, 8).withColumnRenamed("id", "call_id")
 
 
 def _names(t):
-    """Names by a token model that is trained on the texts themselves."""
-    texts = _said_too(t)
-    model = X.name_model(X.train_names(texts))
+    """Names by a tagger that is fitted on passages in which customers say one and on plain lines of documents, over every document with its speaker's introduction, and over the customers' sentences."""
+    nation = t.nation.select("n_nationkey", "n_name")
+    # a customer says it half way into a passage of the benchmark
+    passages = t.benchmark.filter("text IS NOT NULL").select((F.row_number().over(Window.orderBy("item_id", "text")) - 1).cast("long").alias("nth"), c("text").alias("passage"))  # a few hundred rows
+    half = F.floor(F.char_length("passage") / 2).cast("int")
+    asked = t.customer.withColumn("nth", F.pmod(c("c_custkey"), F.lit(passages.count()))).join(passages, "nth").join(nation, c("c_nationkey") == c("n_nationkey"))
+    said = _named(asked.select((-1 - c("c_custkey")).alias("id"), F.substring("passage", F.lit(1), half).alias("before"), F.substring("passage", half + 1, F.char_length("passage")).alias("after"), "n_name"), 0, 8)
+    labelled = said.select("id", "text", F.array(F.struct("start", "end")).alias("names"))
+    plain = t.clean_transcripts.filter("call_id IS NOT NULL").select(c("call_id").alias("id"), F.substring_index("text", "\n", 5).alias("text"), F.array().cast("array<struct<start:int,end:int>>").alias("names"))
+    model = G.train(labelled.unionByName(plain)).model()
+    texts = _introduced(t).select("call_id", "text").unionByName(said.select(c("id").alias("call_id"), "text"))
     return texts.select("call_id", X.span_udf(lambda text: X.S.ner(text, model)[0])(c("text")).alias("s")).select("call_id", F.inline("s")).withColumn("confidence", F.round("confidence", 6))
 
 
 query("pii_17")(_names)
-# the same plumbing over the stand-in model, whose every span plain code can foretell
-query("pii_17_stub")(lambda t: t.clean_transcripts.select("call_id", X.span_udf(lambda text: X.S.ner(text, stub_model)[0])(c("text")).alias("s")).select("call_id", F.inline("s")))
 _WS = r"[^ \t\n\x0B\f\r]+"
 query(
     "pii_18",

@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..functions import vocab as V
 from ..operators import rows as R
 from ..operators import writes as W
+from ..scratch import fresh_path
 from .registry import at, hmac_sql, query
 from .standins import NOW, Tables
 
@@ -112,9 +113,27 @@ query("snk_16", f"SELECT call_id, CAST(call_id AS VARCHAR) || ',' || {_cell('pro
     )
 )
 query("snk_17", "SELECT '{\"call_id\":' || call_id || ',\"urgency\":\"' || urgency || '\"}' AS line, count(*) OVER () AS total, false AS truncated FROM structured_knowledge")(lambda t: W.json_export(t.structured_knowledge.select("call_id", "urgency"), ["call_id"]))
-query("snk_18", "SELECT action_id, action || '-' || action_id || '.json' AS file FROM operator_actions WHERE action IN ('approve', 'reject')")(
+query("snk_18_names", "SELECT action_id, action || '-' || action_id || '.json' AS file FROM operator_actions WHERE action IN ('approve', 'reject')")(
     lambda t: t.operator_actions.filter(c("action").isin("approve", "reject")).select("action_id", F.concat("action", F.lit("-"), c("action_id").cast("string"), F.lit(".json")).alias("file"))
 )
+# accepted actions are exported, and once more when spam counts and rejected ones of a late place do not, approved ones of it with other contents
+_AGAIN = "action IN ('approve', 'mark_spam') OR (action = 'reject' AND k < 50)"
+
+
+def _exported_twice(t: Tables):
+    folder = fresh_path(t.spark, "fixtures")
+    body = lambda late: F.to_json(F.struct("call_id", "action", F.when(late, c("k")).alias("k")))
+    file = F.concat("action", F.lit("-"), c("action_id").cast("string"), F.lit(".json")).alias("file")
+    W.export_fixtures(t.operator_actions.filter("action IN ('approve', 'reject')").select(file, body(F.lit(False)).alias("body")), folder)
+    diff = W.export_fixtures(t.operator_actions.filter(_AGAIN).select(file, body((c("action") == "approve") & (c("k") >= 50)).alias("body")), folder)
+    return diff.join(W.exported(t.spark, folder), "file", "left").select("file", "change", c("body").isNotNull().alias("there"))
+
+
+query(
+    "snk_18",
+    f"SELECT action || '-' || action_id || '.json' AS file, CASE WHEN action = 'mark_spam' THEN 'added' WHEN NOT ({_AGAIN}) THEN 'removed' WHEN action = 'approve' AND k >= 50 THEN 'changed' ELSE 'kept' END AS change, ({_AGAIN}) AS there "
+    "FROM operator_actions WHERE action IN ('approve', 'reject', 'mark_spam')",
+)(_exported_twice)
 
 
 def _audit(t: Tables):

@@ -159,19 +159,6 @@ def test_vaulted_values_that_reappear():
     assert S.reappears("Ann", "[ANN_1] anne") is False
 
 
-def test_a_trained_name_model_finds_names_it_was_not_shown(spark):
-    from callweave.operators import redaction as X
-
-    firsts, lasts = ["Ada", "Bo", "Cleo", "Dag", "Eve", "Finn"], ["Byron", "Stone", "Vance", "Wu"]
-    said = [f"Hello there, my name is {a} {b} and it is late" for a in firsts[:4] for b in lasts] + ["what is the name of it", "This is Monday", "My house is old", None, ""]
-    rates = X.train_names(spark.createDataFrame([(x,) for x in said], "text string"))
-    assert rates[("name", "is", True)] > 0.8 and ("is", "it", False) not in rates
-    model = X.name_model(rates)
-    found = {a: [text[s.start : s.end] for s in S.ner(text, model)[0]] for a in firsts if (text := f"so my name is {a} Stone, bye")}
-    assert all(v and v[0].startswith(a) for a, v in found.items())  # two of the first names are new
-    assert S.ner("this is Monday and it is the end", model)[0] == []
-
-
 # -- long texts ---------------------------------------------------------------
 
 
