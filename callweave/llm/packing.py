@@ -48,7 +48,7 @@ POOLED = 1024
 BROADCAST = 1 << 20
 END_ID = 1
 #: Words a task remembers; only speed depends on it.
-CACHE = 300_000
+CACHE = 100_000
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 

@@ -57,7 +57,7 @@ class Limits:
     #: Bytes whose anchors are found at once, about; some twenty numbers a byte are in memory meanwhile.
     run: int = 1 << 19
     #: Longest run of bytes whose anchors are found at once; a longer text is taken in pieces that overlap by a window.
-    piece: int = 1 << 20
+    piece: int = (1 << 19) - 64
 
 
 LIMITS = Limits()
