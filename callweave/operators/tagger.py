@@ -24,7 +24,7 @@ from ..scratch import kept
 TAGS = ("O", "B", "I")
 BUCKETS = 1 << 16
 #: Rows that a model is fitted on, at most: those with the smallest hash of their id.
-EXAMPLES = 20_000
+EXAMPLES = 6_000
 WORD = re.compile(r"(?:[^\W_]|['’])+")
 _NEVER = -1e9
 

@@ -109,6 +109,10 @@ GIVEN_NAMES = ["Ada", "Boris", "Clara", "Dmitri", "Elena", "Farid", "Greta", "Hu
 INTRODUCED = [(". My name is ", ". "), (". This is ", " speaking. "), (". I am ", " and I call about it. "), (". You speak with ", ", hello. "), (". Please ask for ", " there. ")]
 
 
+#: Letters of a document, from a place that its id tells, that are an example of a text without names.
+PLAIN = 400
+
+
 def _named(rows, first: int, n: int):
     """rows (id, before, after) with `name`, of given names first to first + n and nations, and an introduction round it: id, text, start, end."""
     pick = lambda xs, x: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(x, F.lit(len(xs))) + 1).cast("int"))
@@ -129,7 +133,7 @@ def _introduced(t):
 
 
 def _names(t):
-    """Names by a tagger that is fitted on passages in which customers say one and on plain lines of documents, over every document with its speaker's introduction, and over the customers' sentences."""
+    """Names by a tagger that is fitted on passages in which customers say one and on plain stretches of documents, over every document with its speaker's introduction, and over the customers' sentences."""
     nation = t.nation.select("n_nationkey", "n_name")
     # a customer says it half way into a passage of the benchmark
     passages = t.benchmark.filter("text IS NOT NULL").select((F.row_number().over(Window.orderBy("item_id", "text")) - 1).cast("long").alias("nth"), c("text").alias("passage"))  # a few hundred rows
@@ -137,7 +141,7 @@ def _names(t):
     asked = t.customer.withColumn("nth", F.pmod(c("c_custkey"), F.lit(passages.count()))).join(passages, "nth").join(nation, c("c_nationkey") == c("n_nationkey"))
     said = _named(asked.select((-1 - c("c_custkey")).alias("id"), F.substring("passage", F.lit(1), half).alias("before"), F.substring("passage", half + 1, F.char_length("passage")).alias("after"), "n_name"), 0, 8)
     labelled = said.select("id", "text", F.array(F.struct("start", "end")).alias("names"))
-    plain = t.clean_transcripts.filter("call_id IS NOT NULL").select(c("call_id").alias("id"), F.substring_index("text", "\n", 5).alias("text"), F.array().cast("array<struct<start:int,end:int>>").alias("names"))
+    plain = t.clean_transcripts.filter("call_id IS NOT NULL").select(c("call_id").alias("id"), F.substring("text", F.pmod(F.xxhash64("call_id", F.lit(2)), F.greatest(F.char_length("text") - PLAIN, F.lit(1))).cast("int") + 1, F.lit(PLAIN)).alias("text"), F.array().cast("array<struct<start:int,end:int>>").alias("names"))
     model = G.train(labelled.unionByName(plain)).model()
     texts = _introduced(t).select("call_id", "text").unionByName(said.select(c("id").alias("call_id"), "text"))
     return texts.select("call_id", X.span_udf(lambda text: X.S.ner(text, model)[0])(c("text")).alias("s")).select("call_id", F.inline("s")).withColumn("confidence", F.round("confidence", 6))
