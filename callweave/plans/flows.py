@@ -104,7 +104,7 @@ query("str_10", f"SELECT review_id, CASE WHEN EXISTS (SELECT 1 FROM processing_l
 query("str_11", "SELECT oa.action_id, CASE WHEN cs.call_id IS NULL THEN 'failed' WHEN cs.status = 'held' THEN 'sent' ELSE 'superseded' END AS result FROM operator_actions oa LEFT JOIN call_state cs ON cs.call_id = oa.call_id * 100 + oa.k")(
     lambda t: t.operator_actions.select("action_id", (c("call_id") * 100 + c("k")).alias("call_id")).join(t.call_state.select("call_id", "status"), "call_id", "left").select("action_id", F.when(c("status").isNull(), "failed").when(c("status") == "held", "sent").otherwise("superseded").alias("result"))
 )
-query("str_12", f"SELECT alert_id FROM alert_events WHERE delivery_state IN ('pending', 'failed') AND attempts < 5 AND created_at + INTERVAL 30 MINUTES <= {TS}")(
+query("str_12_delay", f"SELECT alert_id FROM alert_events WHERE delivery_state IN ('pending', 'failed') AND attempts < 5 AND created_at + INTERVAL 30 MINUTES <= {TS}")(
     lambda t: t.alert_events.filter(c("delivery_state").isin("pending", "failed") & (c("attempts") < 5) & (c("created_at") + F.expr("INTERVAL 30 MINUTES") <= at())).select("alert_id")
 )
 for name in ("str_13", "op_56"):
@@ -245,14 +245,14 @@ for name in ("agg_17",):
 
 # -- records and gates ----------------------------------------------------------------------
 
-query("op_01", "SELECT run_id, '{\"run_id\":' || run_id || ',\"status\":\"' || status || '\"}' AS checkpoint FROM backfill_runs")(lambda t: t.backfill_runs.select("run_id", F.to_json(F.struct("run_id", "status")).alias("checkpoint")))
-query("op_02", "SELECT run_id, status AS decoded FROM backfill_runs")(lambda t: t.backfill_runs.select("run_id", F.from_json(F.to_json(F.struct("run_id", "status")), "run_id long, status string")["status"].alias("decoded")))
+query("op_01_fields", "SELECT run_id, '{\"run_id\":' || run_id || ',\"status\":\"' || status || '\"}' AS checkpoint FROM backfill_runs")(lambda t: t.backfill_runs.select("run_id", F.to_json(F.struct("run_id", "status")).alias("checkpoint")))
+query("op_02_fields", "SELECT run_id, status AS decoded FROM backfill_runs")(lambda t: t.backfill_runs.select("run_id", F.from_json(F.to_json(F.struct("run_id", "status")), "run_id long, status string")["status"].alias("decoded")))
 query("op_03", "SELECT count(*) AS missing FROM backfill_run_calls WHERE started_at IS NULL")(lambda t: t.backfill_run_calls.agg(F.count_if(c("started_at").isNull()).alias("missing")))
 query("op_04", f"SELECT run_id, min(started_at) - INTERVAL 4 HOURS AS since FROM backfill_run_calls GROUP BY run_id")(lambda t: t.backfill_run_calls.groupBy("run_id").agg((F.min("started_at") - F.expr("INTERVAL 4 HOURS")).alias("since")))
 query("op_05", "SELECT call_id, status IN ('completed', 'skipped', 'review_closed') OR EXISTS (SELECT 1 FROM dead_letter d WHERE d.call_id = cs.call_id) AS terminal FROM call_state cs")(
     lambda t: t.call_state.join(t.dead_letter.select("call_id").distinct().withColumn("dead", F.lit(True)), "call_id", "left").select("call_id", (c("status").isin("completed", "skipped", "review_closed") | F.coalesce("dead", F.lit(False))).alias("terminal"))
 )
-for name in ("op_06",):
+for name in ("op_06_types",):
     query(name, "SELECT user_id AS call_id, count(DISTINCT event_type) = 5 AS all_gates FROM events GROUP BY user_id")(lambda t: t.events.groupBy(c("user_id").alias("call_id")).agg((F.size(F.array_except(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), F.collect_set("event_type"))) == 0).alias("all_gates")))
 query("op_08", "SELECT event_id, '{\"v\":' || user_id || '}' AS json FROM events")(lambda t: t.events.select("event_id", F.to_json(F.struct(c("user_id").alias("v"))).alias("json")))
 query("op_09", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")(lambda t: t.events.select("event_id", F.from_json("props", "k int", {"mode": "PERMISSIVE"})["k"].alias("k")))
@@ -294,14 +294,14 @@ for name in ("op_34",):
     )
 query("op_35", f"SELECT review_id, raw_purged_at IS NULL AND created_at + INTERVAL 7 DAYS > {TS} AS open FROM review_queue")(lambda t: t.review_queue.select("review_id", (c("raw_purged_at").isNull() & (c("created_at") + F.expr("INTERVAL 7 DAYS") > at())).alias("open")))
 query("op_39", "SELECT review_id, upper(held_reason[1:1]) || replace(held_reason, '_', ' ')[2:] || '.' AS explanation FROM review_queue")(lambda t: t.review_queue.select("review_id", F.concat(C.humanized(c("held_reason")), F.lit(".")).alias("explanation")))
-query("op_43", f"SELECT status, count(*) AS n FROM (SELECT status FROM call_state ORDER BY updated_at DESC, call_id LIMIT 200) AS x GROUP BY status")(lambda t: R.counts(t.call_state.orderBy(F.desc("updated_at"), "call_id").limit(200), ["status"]))
+query("op_43_states", f"SELECT status, count(*) AS n FROM (SELECT status FROM call_state ORDER BY updated_at DESC, call_id LIMIT 200) AS x GROUP BY status")(lambda t: R.counts(t.call_state.orderBy(F.desc("updated_at"), "call_id").limit(200), ["status"]))
 query("op_46", "SELECT doc_id, length(text) <= 800 AS short_enough FROM documents")(lambda t: t.documents.select("doc_id", (F.length("text") <= 800).alias("short_enough")))
 for name in ("op_48",):
     query(name, SPENDING.format(cap=4000) + " SELECT id, CASE WHEN ok THEN 'predicted' ELSE 'cost_capped' END AS status FROM spent")(lambda t: _budget(t).select("id", F.when(~c("accepted"), "cost_capped").otherwise("predicted").alias("status")))
-query("op_52", "SELECT bool_and(n > 0) AS succeeded FROM (SELECT count(*) AS n FROM call_state UNION ALL SELECT count(*) FROM alert_events UNION ALL SELECT count(*) FROM review_queue) AS x")(
+query("op_52_counts", "SELECT bool_and(n > 0) AS succeeded FROM (SELECT count(*) AS n FROM call_state UNION ALL SELECT count(*) FROM alert_events UNION ALL SELECT count(*) FROM review_queue) AS x")(
     lambda t: t.call_state.agg(F.count("*").alias("n")).union(t.alert_events.agg(F.count("*"))).union(t.review_queue.agg(F.count("*"))).agg(F.every(c("n") > 0).alias("succeeded"))
 )
-query("op_53", "SELECT alert_id, CASE WHEN delivery_state = 'delivered' THEN 'skipped' WHEN attempts > 4 THEN 'failed' ELSE 'delivered' END AS result FROM alert_events")(
+query("op_53_case", "SELECT alert_id, CASE WHEN delivery_state = 'delivered' THEN 'skipped' WHEN attempts > 4 THEN 'failed' ELSE 'delivered' END AS result FROM alert_events")(
     lambda t: t.alert_events.select("alert_id", F.when(c("delivery_state") == "delivered", "skipped").when(c("attempts") > 4, "failed").otherwise("delivered").alias("result"))
 )
 query("op_57", "SELECT 'destroyed_in_use' AS violation, count(*) AS n FROM key_versions k WHERE status = 'destroyed' AND EXISTS (SELECT 1 FROM token_vault v WHERE v.key_version = k.version AND v.soft_deleted_at IS NULL) UNION ALL SELECT 'no_active', count(*) FROM (SELECT kek FROM key_versions GROUP BY kek HAVING count(*) FILTER (WHERE status = 'active') = 0) AS x")(

@@ -60,6 +60,14 @@ SOURCES: dict[str, str] = {
     "backfill_run_calls": "SELECT o_custkey AS run_id, o_orderkey AS call_id, o_orderdate AS started_at FROM orders",
     "examples": "SELECT doc_id AS id, quality AS expected, toxic AS task FROM labels",
     "turns": "SELECT conv_id AS call_id, turn, role, text FROM conversations",
+    "extraction_candidates": "SELECT o_orderkey AS call_id, concat('[\"', o_orderpriority, '\"]') AS phrases, CASE o_orderstatus WHEN 'F' THEN 'passed' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status, "
+    "CASE WHEN o_orderstatus = 'P' THEN o_orderdate END AS failed_at, CASE WHEN o_orderstatus = 'P' THEN 'residual_pii' END AS kind, CASE WHEN o_orderstatus = 'P' THEN concat(chr(123), '\"phone\":1', chr(125)) END AS counts, "
+    "CASE WHEN o_orderpriority = '5-LOW' THEN o_orderdate + INTERVAL 40 DAYS END AS soft_deleted_at, CASE WHEN o_orderpriority = '5-LOW' AND o_custkey % 2 = 0 THEN o_orderdate + INTERVAL 90 DAYS END AS hard_deleted_at FROM orders",
+    "pii_scans": "SELECT call_id, CASE WHEN phones > 0 THEN 'residual_pii' WHEN dropped > 0 THEN 'tokened_phrase' WHEN mismatched > 0 THEN 'verbatim_mismatch' END AS kind, "
+    "CASE WHEN phones > 0 THEN concat(chr(123), '\"phone\":', CAST(phones AS STRING), chr(125)) WHEN dropped > 0 THEN concat(chr(123), '\"dropped_count\":', CAST(dropped AS STRING), chr(125)) "
+    "WHEN mismatched > 0 THEN concat(chr(123), '\"mismatch_count\":', CAST(mismatched AS STRING), ',\"phrase_count\":', CAST(n AS STRING), chr(125)) END AS counts FROM ("
+    "SELECT l_orderkey AS call_id, count(*) AS n, count(CASE WHEN l_quantity >= 49 THEN 1 END) AS phones, count(CASE WHEN l_quantity <= 2 THEN 1 END) AS dropped, count(CASE WHEN l_partkey % 9 = 0 THEN 1 END) AS mismatched "
+    "FROM lineitem GROUP BY l_orderkey) AS x",
     "clean_transcripts": "SELECT doc_id AS call_id, text, lang, source FROM documents",
 }
 

@@ -218,8 +218,8 @@ MOVES = {
     "wr_03": ("alert_events", "alert_id", "delivery_state", "delivery_state <> 'delivered'", "delivered"),
     "wr_04": ("alert_events", "alert_id", "delivery_state", "delivery_state <> 'delivered' AND attempts > 3", "failed"),
     "wr_08": ("backfill_runs", "run_id", "status", "progress > 5000", "checkpointed"),
-    "wr_13": ("review_queue", "review_id", "status", "status = 'open' AND k % 3 = 0", "failed"),
-    "wr_14": ("review_queue", "review_id", "status", "status = 'open'", "passed"),
+    "wr_13_reviews": ("review_queue", "review_id", "status", "status = 'open' AND k % 3 = 0", "failed"),
+    "wr_14_reviews": ("review_queue", "review_id", "status", "status = 'open'", "passed"),
     "wr_19": ("review_queue", "review_id", "status", "status IN ('open', 'in_review') AND call_id % 4 = 0", "unresolvable"),
     "wr_20": ("review_queue", "review_id", "status", "status IN ('open', 'in_review') AND review_id % 4 = 0", "unresolvable"),
     "wr_21": ("review_queue", "review_id", "status", "status = 'in_review'", "resolved"),
