@@ -162,3 +162,39 @@ def scan_passed(candidates: DataFrame, scans: DataFrame) -> DataFrame:
     clean = R.lacking(scans.filter("kind IS NULL"), dirty, ["call_id"])
     live = F.col("soft_deleted_at").isNull() & F.col("hard_deleted_at").isNull()
     return W.update_from(candidates, clean, ["call_id"], live & (F.col("status") == "pending"), status=F.lit("passed"))
+
+
+# -- texts of alerts ----------------------------------------------------------
+
+#: Columns of a catalogue of failures beside code and severity: sentences, whether data is safe, what becomes of calls, where to read on.
+SENTENCES = ("what_broke", "likely_cause", "impact", "remedy_now", "remedy_later")
+
+
+def alert_texts(alerts: DataFrame, catalog: DataFrame, environment: str, scopes: Iterable[str]) -> DataFrame:
+    """(alert_id, text, reason): an alert as lines of plain language, or why it can't be written.
+
+    alerts: alert_id, code, severity, created_at and a column for each scope. Of the scopes only the names of those present
+    are told, in the given order, never values. An alert of a code that the catalogue lacks, or with another severity than the
+    catalogue's, has a reason instead of a text. A null later remedy is the immediate one. The catalogue is joined as
+    any table is: Spark sends it where it is small.
+    """
+    known = catalog.select("code", F.col("severity").alias("usual"), *SENTENCES, "data_safe", "calls", "runbook")
+    rows = alerts.join(known, "code", "left")
+    reason = F.when(F.col("usual").isNull(), "unknown code").when(~F.col("severity").eqNullSafe(F.col("usual")), "other severity")
+    present = F.filter(F.array(*(F.when(F.col(s).isNotNull(), s) for s in scopes)), lambda s: s.isNotNull())
+    time = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    line = lambda head, x: F.concat(F.lit(f"{head}: "), x)
+    text = F.concat_ws(
+        "\n",
+        F.concat(F.lit("["), "severity", F.lit("] "), "code", F.lit(f" in {environment} at "), time),
+        line("What broke", F.col("what_broke")),
+        line("Likely root cause", F.col("likely_cause")),
+        line("Impact", F.col("impact")),
+        line("Immediate remediation", F.col("remedy_now")),
+        line("Longer-term fix", F.coalesce("remedy_later", F.lit("Same as the immediate step."))),
+        line("Customer data safe", F.when(F.col("data_safe"), "yes").otherwise("no")),
+        line("Calls", F.col("calls")),
+        line("Affected", F.when(F.size(present) > 0, F.array_join(present, ", ")).otherwise("none")),
+        line("Runbook", F.col("runbook")),
+    )
+    return rows.select("alert_id", F.when(reason.isNull(), text).alias("text"), reason.alias("reason"))

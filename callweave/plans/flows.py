@@ -275,7 +275,7 @@ for name in ("op_16",):
     query(name, "SELECT alert_id, error_code, severity, CASE WHEN severity IN ('critical', 'high') THEN 'page' ELSE 'log' END AS channel FROM alert_events")(
         lambda t: t.alert_events.select("alert_id", "error_code", "severity", F.when(c("severity").isin("critical", "high"), "page").otherwise("log").alias("channel"))
     )
-for name in ("op_17",):
+for name in ("op_17_short",):
     query(name, "SELECT alert_id, '[' || severity || '] ' || error_code || chr(10) || 'key: ' || dedup_key AS text FROM alert_events")(
         lambda t: t.alert_events.select("alert_id", F.concat_ws("\n", F.concat(F.lit("["), "severity", F.lit("] "), "error_code"), F.concat(F.lit("key: "), "dedup_key")).alias("text"))
     )

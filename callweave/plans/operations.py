@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import vocab as V
 from ..operators import operations as O
 from ..operators import states as S
 from .registry import at, query
@@ -145,3 +146,36 @@ query(
     "wr_14",
     f"SELECT call_id, phrases, CASE WHEN {_CLEAR} AND status = 'pending' AND EXISTS (SELECT 1 FROM pii_scans s WHERE s.call_id = ec.call_id AND s.kind IS NULL) THEN 'passed' ELSE status END AS status, failed_at, kind, counts FROM extraction_candidates ec",
 )(lambda t: O.scan_passed(t.extraction_candidates, t.pii_scans).select(*_KEPT))
+
+# -- texts of alerts: codes in turn, some unknown, some of another severity than the catalogue's -----------------
+
+_CODES = list(V.FAILURES)
+_SCOPES = ("call_id", "stage", "component")
+_SAID = {k: k.replace("_", " ").lower() for k in _CODES}
+#: The catalogue's rows; its sentences are made from the codes.
+_CATALOG = [(k, s, f"{_SAID[k]} was seen.", f"{_SAID[k]} at the source.", "Calls wait.", "Look at the source.", None if s == "low" else "Mend the source.", s != "critical", "held" if s == "critical" else "retried", f"runbook/{k.lower()}") for k, s in V.FAILURES.items()]
+_CATALOG_COLUMNS = ("code", "severity", *O.SENTENCES, "data_safe", "calls", "runbook")
+_ALERTS = """SELECT alert_id, CASE WHEN attempts = 6 THEN error_code ELSE code END AS code, CASE WHEN attempts = 5 THEN severity ELSE usual END AS severity, created_at, call_id, CASE WHEN attempts % 2 = 0 THEN component END AS stage, CASE WHEN attempts <> 1 THEN component END AS component
+ FROM alert_events JOIN catalog ON catalog.place = alert_id % {n}"""
+
+
+def _alert_texts(t: Tables):
+    spark = t.spark
+    catalog = spark.createDataFrame(_CATALOG, "code string, severity string, " + ", ".join(f"{s} string" for s in O.SENTENCES) + ", data_safe boolean, calls string, runbook string")
+    places = spark.createDataFrame([(i, k, V.FAILURES[k]) for i, k in enumerate(_CODES)], "place long, code string, usual string")
+    body = _ALERTS.format(n=len(_CODES)).replace("FROM alert_events", "FROM {a}").replace("JOIN catalog ON catalog.", "JOIN {p} p ON p.")
+    return O.alert_texts(spark.sql(body, a=t.alert_events, p=places), catalog, "production", _SCOPES)
+
+
+def _sql_value(x):
+    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'"
+
+
+query(
+    "op_17",
+    f""", catalog AS (SELECT place, code, usual, {", ".join(_CATALOG_COLUMNS[2:])} FROM (VALUES {", ".join(f"({i}, {', '.join(map(_sql_value, row))})" for i, row in enumerate(_CATALOG))}) AS v(place, code, usual, {", ".join(_CATALOG_COLUMNS[2:])})),
+al AS ({_ALERTS.format(n=len(_CODES))}), w AS (SELECT al.*, c.* EXCLUDE (code), CASE WHEN c.code IS NULL THEN 'unknown code' WHEN al.severity <> c.usual THEN 'other severity' END AS reason FROM al LEFT JOIN catalog c ON c.code = al.code)
+SELECT alert_id, reason, CASE WHEN reason IS NULL THEN '[' || severity || '] ' || code || ' in production at ' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' || chr(10) || 'What broke: ' || what_broke || chr(10) || 'Likely root cause: ' || likely_cause
+  || chr(10) || 'Impact: ' || impact || chr(10) || 'Immediate remediation: ' || remedy_now || chr(10) || 'Longer-term fix: ' || coalesce(remedy_later, 'Same as the immediate step.') || chr(10) || 'Customer data safe: ' || CASE WHEN data_safe THEN 'yes' ELSE 'no' END
+  || chr(10) || 'Calls: ' || calls || chr(10) || 'Affected: ' || coalesce(nullif(concat_ws(', ', {", ".join(f"CASE WHEN {s} IS NOT NULL THEN '{s}' END" for s in _SCOPES)}), ''), 'none') || chr(10) || 'Runbook: ' || runbook END AS text FROM w""",
+)(_alert_texts)

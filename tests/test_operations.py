@@ -125,3 +125,14 @@ def test_a_failed_scan_is_a_latch(spark):
     clean = spark.createDataFrame([(i, None, None) for i in (1, 2, 3, 4)], "call_id long, kind string, counts string")
     assert {r.call_id: r.status for r in O.scan_passed(failed, clean).collect()} == {1: "failed", 2: "failed", 3: "pending", 4: "passed"}
     assert {r.call_id: r.status for r in O.scan_passed(candidates, scans).collect()} == {1: "pending", 2: "passed", 3: "pending", 4: "passed"}
+
+
+def test_alert_texts(spark):
+    catalog = spark.createDataFrame([("A", "high", "It broke.", "A cause.", "None.", "Mend it.", None, True, "held", "book/a")], "code string, severity string, what_broke string, likely_cause string, impact string, remedy_now string, remedy_later string, data_safe boolean, calls string, runbook string")
+    alerts = spark.createDataFrame([(1, "A", "high", T0, 77, None), (2, "A", "low", T0, 77, None), (3, "B", "high", T0, 77, None), (4, None, None, T0, 1, "x"), (5, "A", "high", T0, None, None)], "alert_id long, code string, severity string, created_at timestamp_ntz, call_id long, stage string")
+    got = {r.alert_id: r for r in O.alert_texts(alerts, catalog, "test", ["stage", "call_id"]).collect()}
+    lines = got[1].text.split("\n")
+    assert lines[0] == "[high] A in test at 2024-01-01T00:00:00.000Z" and len(lines) == 10
+    assert "Longer-term fix: Same as the immediate step." in lines and "Affected: call_id" in lines and "77" not in got[1].text
+    assert "Affected: none" in got[5].text.split("\n")
+    assert [(got[i].text, got[i].reason) for i in (2, 3, 4)] == [(None, "other severity"), (None, "unknown code"), (None, "unknown code")]

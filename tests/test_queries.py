@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from callweave import plans
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["flt_01", "flt_04", "jn_05", "jn_14", "jn_17", "agg_07", "agg_09", "win_04", "top_02", "set_04", "fn_16", "snk_01", "snk_03", "snk_09", "snk_16", "wr_15", "str_09", "str_16", "str_18", "src_07", "pii_07", "txt_04", "op_53", "str_12", "op_01", "op_02", "op_06", "op_43", "op_52", "wr_13", "wr_14"]
+SAMPLE = ["flt_01", "flt_04", "jn_05", "jn_14", "jn_17", "agg_07", "agg_09", "win_04", "top_02", "set_04", "fn_16", "snk_01", "snk_03", "snk_09", "snk_16", "wr_15", "str_09", "str_16", "str_18", "src_07", "pii_07", "txt_04", "op_53", "str_12", "op_01", "op_02", "op_06", "op_43", "op_52", "wr_13", "wr_14", "op_17"]
 
 
 def cell(x):
