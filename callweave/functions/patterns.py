@@ -79,7 +79,15 @@ EMAIL_LIKE = (
 )
 #: The first of EMAIL_LIKE in parts: blanks and letters before the sign (read backwards), and what follows it.
 LIKE_BEFORE, LIKE_AFTER = compiled(r"\s*([a-z0-9_%+-]*)", True), compiled(r"\s*[a-z0-9.-]+", True)
-CONNECTED = compiled(rf"\s{_CONNECTOR}\s")
+#: What each cross street has: a connecting word before a capitalised word, a number or a kind of street.
+CONNECTED = compiled(rf"\s{_CONNECTOR}\s+(?:[A-Z\d]|{_SUFFIX_CASED}\b)")
+#: What each match of others has, in less time: EMAIL_LIKE's second in lower case, STREET_ADDRESS, a name after a greeting (behind a word of it).
+LIKE_HINT = compiled(r"at\s+[a-z0-9]+\s*(?:\.|dot)\s*(?:com|net|org|edu|gov|io)")
+STREET_HINT = compiled(r"\d\s+[A-Za-z\d]")
+GREETINGS = tuple((word, compiled(rf"{said}\s+[A-Z]")) for word, said in (("name", r"my\s+name\s+is"), ("ask", r"ask\s+for"), ("speaking", r"speaking\s+with"), ("this", r"this\s+is"), ("it", "it'?s")))
+#: One of these is in lower case in each CONTEXTUAL_ID; the digits of the shortest of GOVERNMENT_IDS and of a CARD.
+ID_WORDS, ID_LEAST, CARD_LEAST = ("ssn", "social", "driver", "license", "passport"), 9, 13
+ADDRESS_WORDS = ("street", "avenue", "boulevard", "address", "apartment", "apt", "suite", "zip")
 ADDRESS_WORD = compiled(r"\b(street|avenue|boulevard|address|apartment|apt|suite|zip\s*code|zip)\b", True)
 TOKEN = re.compile(r"\[[A-Z_]+_\d+\]", re.ASCII)
 DIGIT_WORDS = ("zero", "oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")

@@ -130,7 +130,7 @@ query(
     f"SELECT call_id, {', '.join(f'CASE WHEN NOT regexp_matches({_SQUEEZED(x)}, {_LONG}) THEN {x} END AS {x}' for x in _TEXTS)}, "
     f"array_to_string(list_filter({_CONCERNS}, lambda x: NOT regexp_matches({_SQUEEZED('x')}, {_LONG})), '; ') AS concerns, service_category, urgency FROM structured_knowledge",
 )(
-    lambda t: t.structured_knowledge.withColumn("concerns", F.array("lang1", F.concat(F.lit("call "), (c("call_id") + 1000000).cast("string")), F.concat(F.lit("since "), "call_intent")))
+    lambda t: t.dealt("structured_knowledge").withColumn("concerns", F.array("lang1", F.concat(F.lit("call "), (c("call_id") + 1000000).cast("string")), F.concat(F.lit("since "), "call_intent")))
     .transform(lambda d: X.sanitized_rows(d, list(_TEXTS), ["concerns"], DENY)).select("call_id", *_TEXTS, F.array_join("concerns", "; ").alias("concerns"), "service_category", "urgency")
 )
 

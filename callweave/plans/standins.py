@@ -8,6 +8,7 @@ ANSI SQL read alike, so that a query and its SQL start from the same rows. `Tabl
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -93,13 +94,20 @@ class Tables:
         table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return spread(table) if name in TEXTS else table
 
-    def __getattr__(self, name: str) -> DataFrame:
+    def dealt(self, name: str) -> DataFrame:
+        """A table or stand-in whose rows cost work: what it reads is over all cores, where it lies in few partitions."""
+        return self._made(name, lambda t: spread(self.given(t)))
+
+    def _made(self, name: str, read: Callable[[str], DataFrame]) -> DataFrame:
         if name in TABLES:
-            return self.given(name)
+            return read(name)
         if name in SOURCES:
             body = SOURCES[name]
             used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", body)]
             for t in used:
                 body = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", body)
-            return self.spark.sql(body, **{t: self.given(t) for t in used})
+            return self.spark.sql(body, **{t: read(t) for t in used})
         raise AttributeError(name)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._made(name, self.given)
