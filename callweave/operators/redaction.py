@@ -40,6 +40,15 @@ def span_udf(find: Callable[[str], list[S.Span]]) -> Callable[[Column], Column]:
     return run.asNondeterministic()
 
 
+def names(text: Column, models: Callable[[list[str]], list[list[tuple[str, float, str]]]]) -> Column:
+    """Spans of a token model that reads many texts at once."""
+    @F.pandas_udf(SPANS)
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([_rows(found) for found in S.ner_of_many((t or "" for t in texts), models)], dtype=object)
+
+    return run.asNondeterministic()(text)
+
+
 #: Detectors by name: anything that maps a text to spans can be added.
 DETECTORS: dict[str, Callable[[str], list[S.Span]]] = {
     "phone": S.phones, "email": S.emails, "street_address": S.street_addresses, "cross_street": S.cross_streets, "credit_card": S.cards,
@@ -180,7 +189,7 @@ def verbatim(phrases: Column, text: Column) -> Column:
     def run(wanted: pd.Series, texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([S.verbatim_gate(p if p is not None else [], t or "") for p, t in zip(wanted, texts)], columns=["phrases", "exact", "snapped", "dropped"])
 
-    return run(phrases, text)
+    return run.asNondeterministic()(phrases, text)  # so that a filter of its result does not run it once more
 
 
 def nearest(phrase: Column, text: Column) -> Column:
@@ -190,7 +199,7 @@ def nearest(phrase: Column, text: Column) -> Column:
         found = [S.snap(p or "", t or "", P.SNAP_LEAST) for p, t in zip(wanted, texts)]
         return pd.DataFrame([f if f is not None and f[1] >= P.SNAP_LEAST else (None, None) for f in found], columns=["span", "likeness"])
 
-    return run(phrase, text)
+    return run.asNondeterministic()(phrase, text)
 
 
 #: Letters of phrases that one automaton holds, and rows of probes that are sent to all tasks, at most.

@@ -12,6 +12,7 @@ from ..functions import patterns as P
 from ..functions import vocab as V
 from ..operators import redaction as X
 from ..operators import tagger as G
+from ..spread import spread
 from .registry import query
 from .standins import Tables
 
@@ -142,9 +143,9 @@ def _names(t):
     said = _named(asked.select((-1 - c("c_custkey")).alias("id"), F.substring("passage", F.lit(1), half).alias("before"), F.substring("passage", half + 1, F.char_length("passage")).alias("after"), "n_name"), 0, 8)
     labelled = said.select("id", "text", F.array(F.struct("start", "end")).alias("names"))
     plain = t.clean_transcripts.filter("call_id IS NOT NULL").select(c("call_id").alias("id"), F.substring("text", F.pmod(F.xxhash64("call_id", F.lit(2)), F.greatest(F.char_length("text") - PLAIN, F.lit(1))).cast("int") + 1, F.lit(PLAIN)).alias("text"), F.array().cast("array<struct<start:int,end:int>>").alias("names"))
-    model = G.train(labelled.unionByName(plain)).model()
-    texts = _introduced(t).select("call_id", "text").unionByName(said.select(c("id").alias("call_id"), "text"))
-    return texts.select("call_id", X.span_udf(lambda text: X.S.ner(text, model)[0])(c("text")).alias("s")).select("call_id", F.inline("s")).withColumn("confidence", F.round("confidence", 6))
+    models = G.train(labelled.unionByName(plain)).many()
+    texts = _introduced(t).select("call_id", "text").unionByName(spread(said.select(c("id").alias("call_id"), "text"), t.customer))
+    return texts.select("call_id", X.names(c("text"), models).alias("s")).select("call_id", F.inline("s")).withColumn("confidence", F.round("confidence", 6))
 
 
 query("pii_17")(_names)

@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+
 from callweave import plans
 from callweave.functions import patterns as P
 from callweave.functions import spans as S
+from callweave.operators import tagger as G
 
 SF = "/root/testdata/sf0.001"
 BITS = [
@@ -31,3 +34,22 @@ def test_hints_hide_no_match():
 
 def test_a_sanitised_export_uses_all_cores(spark):
     assert plans.queries()["op_22"](spark, SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_names_of_many_texts_are_those_of_each():
+    dice = np.random.default_rng(4)
+    words = ["Ada", "said", "that", "Byron", "LEE", "it", "İ", "x9", "é", "don't", "calls", "\ud800", "a_b", "12"]
+    texts = [" ".join(dice.choice(words, n)) for n in [*dice.integers(0, 400, 40)]] + ["", " ", "a " * 900, "w" * 70 + " said Ada"]
+    read = [w for w in map(G.WORD.findall, texts) if G._short(w)]
+    assert len(read) > 5 and np.array_equal(np.concatenate([G.features(w) for w in read if w]), np.stack([c % G.BUCKETS for c in G.buckets(read)], axis=1))
+    one = G.Tagger(dice.normal(size=(G.BUCKETS, 3)), dice.normal(size=(4, 3)))
+    one.weights[:, 0] += 1
+    rounded = lambda found: [s._replace(confidence=round(s.confidence, 6)) for s in found]
+    each = [rounded(S.ner(t, one.model())[0]) for t in texts]
+    assert [rounded(found) for found in S.ner_of_many(texts, one.many(), together=5000)] == each and any(each)
+
+
+def test_names_of_customers_use_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(plans.texts.G, "train", lambda *_: G.Tagger())
+    got = plans.texts._names(plans.texts.Tables(spark, SF))
+    assert got.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism, got.rdd.getNumPartitions()
