@@ -53,3 +53,16 @@ def test_names_of_customers_use_all_cores(spark, monkeypatch):
     monkeypatch.setattr(plans.texts.G, "train", lambda *_: G.Tagger())
     got = plans.texts._names(plans.texts.Tables(spark, SF))
     assert got.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism, got.rdd.getNumPartitions()
+
+
+def test_workers_get_few_texts_at_once(spark):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    try:
+        for given in ("10000", "0", "7"):
+            spark.conf.set(key, given)
+            plans.queries()["pii_07"](spark, SF)
+            seen.append(int(spark.conf.get(key)))
+    finally:
+        spark.conf.set(key, before)
+    assert seen == [500, 500, 7]
