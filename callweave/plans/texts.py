@@ -88,7 +88,8 @@ query("pii_10", f"SELECT call_id, coalesce(({_LIKE}), 0)::INT AS n FROM (SELECT
     .select("call_id", F.size(X.detect(c("text"), "email_like")).alias("n"))
 )
 _TERM = "regexp_replace(lower(text), '[^a-z0-9]', '', 'g')"
-query("pii_11", f"SELECT doc_id AS call_id, ((length({_TERM}) - length(replace({_TERM}, 'generalpubliclicense', ''))) // 20 + (length({_TERM}) - length(replace({_TERM}, 'thonou', ''))) // 6)::INT AS n FROM documents")(
+_TERMS = f"((length({_TERM}) - length(replace({_TERM}, 'generalpubliclicense', ''))) // 20 + (length({_TERM}) - length(replace({_TERM}, 'thonou', ''))) // 6)"
+query("pii_11", f"SELECT doc_id AS call_id, {_TERMS}::INT AS n FROM documents")(
     lambda t: t.clean_transcripts.select("call_id", F.size(X.deny_list(c("text"), DENY, anywhere=True)).alias("n"))
 )
 query("pii_12", f"SELECT doc_id AS call_id, ((length({_TERM}) - length(replace({_TERM}, 'generalpublic', ''))) // 13)::INT AS n FROM documents WHERE text IS NOT NULL")(
@@ -175,7 +176,7 @@ query("pii_25")(lambda t: t.clean_transcripts.select("call_id", X.redacted(c("te
 _NUMBERS = "len(regexp_extract_all(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '[0-9]{7,}'))"
 query(
     "pii_26",
-    f"SELECT call_id, length(text) < {P.SHORT_TEXT} AS short, {_NUMBERS} >= {P.DENSITY_SPANS} AND {_NUMBERS} / greatest(1, length(text)) * 1000 > {P.DENSITY_PER_1000} AS dense, contains({_TERM}, 'generalpubliclicense') OR contains({_TERM}, 'thonou') AS denied "
+    f"SELECT call_id, length(text) < {P.SHORT_TEXT} AS short, {_NUMBERS} + {_TERMS} >= {P.DENSITY_SPANS} AND ({_NUMBERS} + {_TERMS}) / greatest(1, length(text)) * 1000 > {P.DENSITY_PER_1000} AS dense, contains({_TERM}, 'generalpubliclicense') OR contains({_TERM}, 'thonou') AS denied "
     f"FROM (SELECT call_id, text FROM {_SAID_SQL} AS y UNION ALL SELECT 1000000000 + c_custkey, concat_ws(' . x . ', '1234567', '2345678', '3456789', '4567890', CAST(5000000 + c_custkey AS STRING)) FROM customer) AS x WHERE text IS NOT NULL",
 )(
     # the signals that the span list itself raises, with long numbers and client terms as spans

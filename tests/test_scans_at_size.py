@@ -1,8 +1,11 @@
 """Scans over large tables: rows over all cores, hints that hide no match, work that is done once."""
 
 import random
+from pathlib import Path
 
+import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from callweave import plans
 from callweave.functions import patterns as P
@@ -66,3 +69,20 @@ def test_workers_get_few_texts_at_once(spark):
     finally:
         spark.conf.set(key, before)
     assert seen == [500, 500, 7]
+
+
+def test_client_terms_count_as_spans_of_a_dense_text(spark, tmp_path):
+    said = {1: "1234567 . x . thonou . x . thonou . x . thonou . x . thonou . x . general public license", 2: "thonou " * 4, 3: "thonou " * 5, 4: "1234567 " + "x " * 400}
+    for name in ("customer", "documents"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0 if name == "documents" else 5).createOrReplaceTempView(f"few_{name}")
+    rows = spark.createDataFrame(list(said.items()), "doc_id long, text string")
+    have = spark.table("few_documents")
+    rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast(have.schema[c].dataType).alias(c) for c in have.columns)).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.table("few_customer").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for t in Path(SF).glob("*.parquet"):
+        mine = tmp_path / t.name
+        con.sql(f"CREATE VIEW {t.stem} AS SELECT * FROM '{mine}/*.parquet'" if mine.exists() else f"CREATE VIEW {t.stem} AS SELECT * FROM '{t}'")
+    want = con.execute(f"SELECT call_id, short, dense, denied FROM ({plans.oracle_sql()['pii_26']}) AS q").fetchall()
+    got = [tuple(r) for r in plans.queries()["pii_26"](spark, str(tmp_path)).select("call_id", "short", "dense", "denied").collect()]
+    assert sorted(got) == sorted(want) and {i for i, _, dense, _ in got if dense and i > 0 and i < 10} == {1, 3}
