@@ -86,3 +86,8 @@ def test_client_terms_count_as_spans_of_a_dense_text(spark, tmp_path):
     want = con.execute(f"SELECT call_id, short, dense, denied FROM ({plans.oracle_sql()['pii_26']}) AS q").fetchall()
     got = [tuple(r) for r in plans.queries()["pii_26"](spark, str(tmp_path)).select("call_id", "short", "dense", "denied").collect()]
     assert sorted(got) == sorted(want) and {i for i, _, dense, _ in got if dense and i > 0 and i < 10} == {1, 3}
+
+
+def test_a_filter_of_the_nearest_stretch_does_not_find_it_twice(spark):
+    plan = plans.queries()["txt_02"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [run(phrase") == 1
