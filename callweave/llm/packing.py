@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from .bpe import byte_letters
 from .common import stored
+from .hashing import column_bytes, slices
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 32 * 2048
@@ -47,8 +48,8 @@ POOLED = 1024
 #: Rows of the table of sequence counts (partitions times tiers) that are sent to all tasks, at most.
 BROADCAST = 1 << 20
 END_ID = 1
-#: Words a task remembers; only speed depends on it.
-CACHE = 100_000
+#: Words that the library has encoded and a task remembers, and bytes of text that are encoded together, so that each of their words is merged once; only speed depends on them.
+CACHE, TOGETHER = 100_000, 1 << 23
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
@@ -56,8 +57,9 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 class WordTokenizer:
     """Ids of texts under a vocabulary that drops white space and never joins over it (word_bpe kind).
 
-    Such a tokenizer encodes each blank-separated word by itself, so a word is encoded once and remembered. Plain
-    Latin words, with or without marks after them, are merged here, all at once; any other word goes to the library.
+    Such a tokenizer encodes each blank-separated word by itself, so each word of the texts given is encoded once. Plain
+    Latin words, with or without marks after them, are merged here, all at once; any other word goes to the library,
+    once for as long as it is remembered.
     """
 
     #: Letters that lower-casing and composing leave one letter each (no dotted capital I), then plain marks.
@@ -81,14 +83,21 @@ class WordTokenizer:
         self.merges = MergeTable([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.inner = np.array([vocab[c] for c in letters], np.int32)
         self.final = np.array([vocab[c + spec["end_of_word_suffix"]] for c in letters], np.int32)
+        if max(self.inner.max(), self.final.max()) >= _LETTERS:
+            raise ValueError(f"{path} does not begin with its letters")
         self.cache: dict[str, bytes] = {}
 
-    def _merge(self, words: list[bytes]) -> list[np.ndarray]:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes)
+    def _merge(self, words: pa.Array) -> pa.Array:
+        """Ids of words, none of them empty, as bytes."""
+        if not len(words):
+            return pa.array([], pa.binary())
+        _, at, data = words.buffers()
+        bounds = np.frombuffer(at, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data, ends = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds[1:] - bounds[0]
         ids = self.inner[data]
         ids[ends - 1] = self.final[data[ends - 1]]
-        return self.merges.apply(ids, sizes)
+        merged, ends = self.merges.apply(ids, np.diff(bounds))
+        return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(np.r_[0, ends * 4].astype(np.int32)), pa.py_buffer(merged)])
 
     def _known(self, words: pa.Array) -> pa.Array:
         """Ids of distinct words, as bytes. Words that differ in case or marks alone share the work on their letters."""
@@ -96,19 +105,17 @@ class WordTokenizer:
         plain = parts.is_valid()
         found = parts.filter(plain)
         body, marks = pc.utf8_lower(found.field("body")).dictionary_encode(), found.field("marks").dictionary_encode()
+        heads = self._merge(body.dictionary).take(body.indices)
+        ends = marks.dictionary
+        some = pc.not_equal(ends, "")
+        tails = pc.replace_with_mask(pa.array([b""] * len(ends), pa.binary()), some, self._merge(ends.filter(some))).take(marks.indices)
         other = words.filter(pc.invert(plain)).to_pylist()
-        letters, ends = body.dictionary.to_pylist(), marks.dictionary.to_pylist()
-        new = [w for w in letters if w not in self.cache] + [w for w in ends if w and w not in self.cache]
         strange = [w for w in other if w not in self.cache]
-        if len(self.cache) + len(new) + len(strange) > CACHE:
-            self.cache, new, strange = {}, [*letters, *(w for w in ends if w)], other
-        if new:
-            self.cache.update(zip(new, self._merge([w.encode() for w in new])))
+        if len(self.cache) + len(strange) > CACHE:
+            self.cache, strange = {}, other
         for e, w in zip(self.library.encode_batch_fast(strange, add_special_tokens=False), strange):
             self.cache[w] = np.array(e.ids, "<u4").tobytes()
         known = self.cache
-        heads = pa.array([known[w] for w in letters], pa.binary()).take(body.indices)
-        tails = pa.array([known[w] if w else b"" for w in ends], pa.binary()).take(marks.indices)
         whole = pc.binary_join_element_wise(heads, tails, pa.scalar(b"", pa.binary()))
         both = pa.concat_arrays([whole, pa.array([known[w] for w in other], pa.binary())])
         mask = plain.to_numpy(zero_copy_only=False)
@@ -130,6 +137,10 @@ class WordTokenizer:
         return [np.concatenate([ids[s:e], last]) for s, e in zip(ends.tolist(), ends[1:].tolist())]
 
 
+#: Ids of letters, inside and at the end of a word, are the first ones of such a vocabulary.
+_LETTERS = 512
+
+
 class MergeTable:
     """BPE merges by sweeps: each applies, in every word, the word's lowest active rank to all its places."""
 
@@ -138,13 +149,16 @@ class MergeTable:
         order = np.argsort(codes)
         self.codes, self.ranks, self.made = codes[order], order.astype(np.int32), np.array([c for *_, c in merges], np.int32)
         self.none = len(merges)
+        letters = np.arange(_LETTERS, dtype=np.int32)
+        self.of_letters = self.rank(*(x.ravel() for x in np.meshgrid(letters, letters, indexing="ij"))).astype(np.int32)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         codes = left.astype(np.int64) << 17 | right
         at = np.minimum(np.searchsorted(self.codes, codes), self.none - 1)
         return np.where(self.codes[at] == codes, self.ranks[at], self.none)
 
-    def apply(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    def apply(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is left of the ids of words of these sizes, and where each word ends there. Ids of letters are below _LETTERS."""
         n, word = len(ids), np.repeat(np.arange(len(sizes)), sizes)
         ends = np.cumsum(sizes)
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
@@ -153,7 +167,7 @@ class MergeTable:
         ids = np.append(ids, 0)
         rank = np.full(n + 1, self.none, np.int32)
         inner = np.flatnonzero(after < n)
-        rank[inner] = self.rank(ids[inner], ids[inner + 1])
+        rank[inner] = self.of_letters[ids[inner] * _LETTERS + ids[inner + 1]]
         gone = np.zeros(n, bool)
         active = inner[rank[inner] < self.none]
         while len(active):
@@ -180,9 +194,7 @@ class MergeTable:
             active = np.sort(active[rank[active] < self.none])
             active = active[np.diff(active, prepend=-1) > 0]
         left = ~gone
-        flat = ids[:n][left].astype("<u4").tobytes()
-        bounds = (np.cumsum(np.add.reduceat(left, ends - sizes)) * 4).tolist()
-        return [flat[s:e] for s, e in zip([0, *bounds], bounds)]
+        return ids[:n][left].astype("<u4"), np.cumsum(np.add.reduceat(left, ends - sizes, dtype=np.int64))
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -335,6 +347,22 @@ class _Rows:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], together: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The rows in order, so many in a batch that their texts have about `together` bytes, however Spark has dealt them."""
+    held, size = [], 0
+    for b in batches:
+        for s, e in slices(b.column(1), together):
+            part = b.slice(s, e - s)
+            n = len(column_bytes(part.column(1))[0])
+            if held and size + n > together:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, pooled: int = POOLED) -> DataFrame:
     """One row per piece: doc, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group (and ids).
 
@@ -345,14 +373,12 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, packer, rows = word_tokenizer(path), Packer(), _Rows(TaskContext.get().partitionId(), with_ids)
         doc_type = None
-        for b in batches:
+        for b in _gathered(batches):
             doc_type = b.column(0).type
-            ids, texts = b.column(0).to_pylist(), b.column(1)
-            for k in range(0, len(ids), 1000):
-                for doc, tokens in zip(ids[k : k + 1000], tokenizer.encode(texts.slice(k, 1000))):
-                    packer.add(Piece(doc, 0, tokens, len(tokens)))
-                if packer.out:
-                    yield rows.of(packer, doc_type)
+            for doc, tokens in zip(b.column(0).to_pylist(), tokenizer.encode(b.column(1))):
+                packer.add(Piece(doc, 0, tokens, len(tokens)))
+            if packer.out:
+                yield rows.of(packer, doc_type)
         packer.finish(cut=False)
         if packer.out or packer.rest:
             yield rows.of(packer, doc_type)

@@ -511,3 +511,18 @@ def test_pages_are_read_in_linear_time():
     assert {k: langid.read(k)[1] for k in said} == said
     assert langid.visible("a<b>c</b><SCRIPT>x<p></script >d<!-- e > -->f<g") == "a c  d f<g"
     assert langid.visible("<script>never closed <b>here") == " never closed  here"
+
+
+def test_words_of_many_batches_are_merged_once():
+    words = ["".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(0, 26**4, 997)]
+    table = pa.table({"doc_id": range(400), "text": [f"{words[n % 50]} {words[n % 7]}, {words[(n * 3) % 50].upper()}" for n in range(400)]})
+    tokenizer, merged = packing.WordTokenizer(WORDS), []
+    apply = tokenizer.merges.apply
+    tokenizer.merges.apply = lambda ids, sizes: (merged.append(len(sizes)), apply(ids, sizes))[1]
+    got = [ids for b in packing._gathered(iter(table.to_batches(10))) for ids in tokenizer.encode(b.column(1))]
+    assert sum(merged) == 50 + 1  # and the comma
+    plain = [tokenizer.library.encode(t, add_special_tokens=False).ids for t in table["text"].to_pylist()]
+    assert [ids.tolist() for ids in got] == [[*ids, packing.END_ID] for ids in plain]
+    parts = [len(b) for b in packing._gathered(iter(table.to_batches(10)), 300)]
+    assert sum(parts) == 400 and 1 < max(parts) < 400
+    assert [len(b) for b in packing._gathered(iter(pa.table({"doc_id": [1, 2], "text": ["a" * 900, None]}).to_batches()), 300)] == [1, 1]
