@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .hashing import column_bytes, mixed, slices, words_hash
 
 WORDS = 5
@@ -153,7 +153,7 @@ def frequent(docs: DataFrame, text_col: str = "text", limits: Limits = LIMITS) -
             many = n >= 2
             yield pa.RecordBatch.from_arrays([pa.array(every[cuts[many]].view(np.int64)), pa.array(n[many], pa.int64())], names=["shingle", "n"])
 
-    rows = docs.select(text_col).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = docs.select(text_col).mapInArrow(tidy(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = rows.filter(F.col("n") >= limits.often).orderBy(F.desc("n"), "shingle").limit(limits.frequent).toPandas()
     return top["shingle"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
 
@@ -204,7 +204,7 @@ def sketch(docs: DataFrame, hot: np.ndarray, id_col: str = "doc_id", text_col: s
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(stage, f"id {kind}, n long, c1 long, c2 long, prefix array<long>, bits binary")
+    return docs.select(id_col, text_col).mapInArrow(tidy(stage), f"id {kind}, n long, c1 long, c2 long, prefix array<long>, bits binary")
 
 
 TILES = "tile long, a long, na long, la long, b long, nb long"
@@ -278,7 +278,7 @@ def tiled(postings: DataFrame, limits: Limits = LIMITS) -> DataFrame:
                 out, held = (distinct(held), held[:, :0]) if b is None or held.shape[1] > held_ // 2 else (held[:, :0], held)
                 yield sent(out, large)
 
-    return postings.select("key", "n", "id", "label").repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(stage, TILES)
+    return postings.select("key", "n", "id", "label").repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(tidy(stage), TILES)
 
 
 def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -313,7 +313,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, made:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array(found, arrow)], names=["id", name])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids.hint("shuffle_hash"), "id", "left_semi")
-    return rows.mapInArrow(stage, f"id long, {name} {kind}").filter(F.col(name).isNotNull())
+    return rows.mapInArrow(tidy(stage), f"id long, {name} {kind}").filter(F.col(name).isNotNull())
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -325,7 +325,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b").select("a", "sa", "b", "sb").mapInArrow(_exact, "a long, b long")
+    return pairs.select("a", "b").join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b").select("a", "sa", "b", "sb").mapInArrow(tidy(_exact), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -427,7 +427,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     def near(found: DataFrame) -> DataFrame:
         """Pairs of tiles that pass the bound."""
         pairs = found.filter("tile IS NULL").select("a", "na", "b", "nb").distinct()
-        bound = pairs.join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b").select("a", "na", "sa", "b", "nb", "sb").mapInArrow(_bounded, "a long, b long")
+        bound = pairs.join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b").select("a", "na", "sa", "b", "nb", "sb").mapInArrow(tidy(_bounded), "a long, b long")
         return stored(bound.distinct(), "pairs")
 
     ids = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import byte_letters
-from .common import stored
+from .common import stored, tidy
 from .hashing import column_bytes, slices
 
 TIERS = (256, 512, 1024, 2048)
@@ -395,14 +395,14 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         if packer.out:
             yield rows.of(packer, doc_type)
 
-    first = stored(docs.select(id_col, text_col).mapInArrow(stage, schema), "pieces")
+    first = stored(docs.select(id_col, text_col).mapInArrow(tidy(stage), schema), "pieces")
     rests = first.filter(F.col("rest").isNotNull())
     parts = rests.agg(F.max("part")).first()[0]
     pieces = first.filter(F.col("rest").isNull())
     if parts is not None:
         block = F.floor(F.col("part") / pooled)
         dealt = rests.repartition(parts // pooled + 1, block).sortWithinPartitions("part", "serial").select("doc", "start", "doc_tokens", "rest")
-        pieces = pieces.unionByName(stored(dealt.mapInArrow(later, schema), "rest-pieces"))
+        pieces = pieces.unionByName(stored(dealt.mapInArrow(tidy(later), schema), "rest-pieces"))
     counts = stored(pieces.filter("offset = 0").groupBy("tier", "part").agg(F.count("*").alias("n")), "sequence-counts")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     places = counts.select("tier", "part", before.alias("before")).hint("broadcast" if counts.count() <= BROADCAST else "shuffle_hash")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, tag_of, unused, without
+from .common import stored, tag_of, tidy, unused, without
 from .hashing import Fingerprints, column_bytes, grams_hash, mixed, prefix_sums, slices, spans_hash
 
 LENGTH = 50
@@ -156,7 +156,7 @@ def common_grams(docs: DataFrame, text_col: str = "text", limits: Limits = LIMIT
             grams = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.concatenate(weights) if weights else [], pa.int64())], names=["gram", "n"])
 
-    rows = docs.select(text_col).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = docs.select(text_col).mapInArrow(tidy(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     top = rows.orderBy(F.desc("n"), "gram").limit(limits.common).toPandas()
     return np.sort(top["gram"].to_numpy(np.int64).copy().view(np.uint64))
 
@@ -206,7 +206,7 @@ def _contexts(docs: DataFrame, common: np.ndarray, buckets: int, id_col: str, te
                     yield from _sent([np.concatenate(x) for x in zip(*held)], buckets)
                     held, size = [], 0
 
-    return docs.select(F.col(id_col).cast("long"), text_col, tag_of(F.col(text_col))).mapInArrow(stage, "bucket int, blob binary, settled binary")
+    return docs.select(F.col(id_col).cast("long"), text_col, tag_of(F.col(text_col))).mapInArrow(tidy(stage), "bucket int, blob binary, settled binary")
 
 
 def _settled(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -378,7 +378,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lim
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["gram", "doc", "tag", "start", "context"])
 
-    fetched = tagged.join(places.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(fetch, "gram long, doc long, tag long, start long, context binary")
+    fetched = tagged.join(places.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(tidy(fetch), "gram long, doc long, tag long, start long, context binary")
     texts = fetched.withColumn("bucket", F.pmod("gram", F.lit(buckets))).groupBy("bucket").applyInArrow(_by_text, "doc long, tag long, cut long")
     cuts = hashed.filter("gram IS NULL").select("doc", "tag", "cut").unionByName(stored(texts, "by-text"))
     return stored(cuts.groupBy("doc", "tag").agg(F.collect_list("cut").alias("cuts")), "cuts")
@@ -427,4 +427,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=[*kept, *made])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, T.LongType()) for c in made[:3]), *(T.StructField(c, T.StringType()) for c in made[3:])])
-    return rows.mapInArrow(stage, schema)
+    return rows.mapInArrow(tidy(stage), schema)

@@ -526,3 +526,18 @@ def test_words_of_many_batches_are_merged_once():
     parts = [len(b) for b in packing._gathered(iter(table.to_batches(10)), 300)]
     assert sum(parts) == 400 and 1 < max(parts) < 400
     assert [len(b) for b in packing._gathered(iter(pa.table({"doc_id": [1, 2], "text": ["a" * 900, None]}).to_batches()), 300)] == [1, 1]
+
+
+def test_a_stage_gives_its_memory_back():
+    held = lambda: int(re.search(r"Anonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+    pins = []
+
+    def stage(batches):
+        for b in batches:
+            many = [bytes(1000) for _ in range(150_000)]
+            pins.append(many[-1])  # so that the C library can't free from the end
+            yield b
+
+    batch, before = pa.record_batch([pa.array([1])], names=["x"]), held()
+    assert list(common.tidy(stage)(iter([batch]))) == [batch]
+    assert held() - before < 75 and len(pins) == 1
