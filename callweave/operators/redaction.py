@@ -6,6 +6,7 @@ import functools
 import hashlib
 import hmac
 import json
+from collections import Counter
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -237,6 +238,35 @@ def exact_pairs(phrases: DataFrame, texts: DataFrame, most: int = AUTOMATON) ->
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+#: Words of phrases that a task looks for by itself, at most; of more, all words of the texts go on.
+WORDS = 1 << 17
+
+
+def _few(words: DataFrame, most: int) -> frozenset[str] | None:
+    """The words, if they are so few that every task can have them."""
+    found = words.limit(min(most, WORDS) + 1).collect()
+    return frozenset(r.word for r in found) if len(found) <= min(most, WORDS) else None
+
+
+def _word_counts(texts: DataFrame, only: frozenset[str] | None) -> DataFrame:
+    """(word, n): how often each batch of texts has each of its words, or of those in `only`."""
+    def count(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for f in frames:
+            n = Counter(w for t in f["text"] for w in S.spoken_words(t or "") if only is None or w in only)
+            yield pd.DataFrame({"word": list(n), "n": list(n.values())})
+
+    return texts.select("text").mapInPandas(count, "word string, n long")
+
+
+def _word_places(text: Column, only: frozenset[str] | None) -> Column:
+    """The text's words, or those in `only`, and where each stands among all of them."""
+    @F.pandas_udf("array<struct<pos:int,word:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"pos": i, "word": w} for i, w in enumerate(S.spoken_words(t or "")) if only is None or w in only])
+
+    return run.asNondeterministic()(text)
+
+
 def quote_pairs(phrases: DataFrame, texts: DataFrame, shared: int = 4, automaton: int = AUTOMATON, broadcast: int = PROBES) -> DataFrame:
     """(item_id, call_id): every pair in which the gate keeps the phrase, and few others. No pair is missed.
 
@@ -248,19 +278,18 @@ def quote_pairs(phrases: DataFrame, texts: DataFrame, shared: int = 4, automaton
     """
     from ..functions import columns as C
 
-    # two letters outside ASCII have an ASCII lower case, which exact quotes see and snapped ones do not
-    other = lambda x: C.normal_verbatim(F.translate(x, "\u0130\u212a", "  "))
     split = lambda x: F.split(x, " ")
-    words = lambda x: F.when(x.rlike("[\u0130\u212a]"), F.concat(split(C.normal_verbatim(x)), split(other(x)))).otherwise(split(C.normal_verbatim(x)))
     flat, text, m = F.col("flat"), F.col("text"), F.col("m")
     wanted = phrases.select("item_id", C.normal_verbatim(F.col("phrase")).alias("flat")).withColumn("m", F.when(flat == "", 0).otherwise(F.size(split(flat))))
     least = F.ceil(m * P.SNAP_LEAST - 1e-9).cast("int")
     inner = wanted.filter(m > 2).select("item_id", "m", least.alias("least"), F.posexplode(split(flat)).alias("pos", "word")).filter((F.col("pos") > 0) & (F.col("pos") < m - 1))
-    often = texts.select(F.explode(words(text)).alias("word")).join(inner.select("word").distinct(), "word").groupBy("word").count()
+    known = inner.select("word").distinct()
+    often = _word_counts(texts, _few(known, broadcast)).join(known, "word").groupBy("word").agg(F.sum("n").alias("count"))
     rarest = Window.partitionBy("item_id").orderBy(F.col("count").asc_nulls_first(), "word", "pos")
     ranked = inner.join(often, "word", "left").withColumn("rank", F.row_number().over(rarest)).withColumn("n", F.least(F.lit(shared), F.col("least") - 2))
     probes = kept(ranked.filter(F.col("rank") <= m - F.col("least") + F.col("n")).select("item_id", "m", "n", "word").distinct(), "quote-probes")
-    hits = texts.select("call_id", F.posexplode(words(text)).alias("pos", "word")).join(probes.hint("broadcast" if probes.count() <= broadcast else "shuffle_hash"), "word").drop("word")
+    said = _word_places(text, _few(probes.select("word").distinct(), broadcast))
+    hits = texts.select("call_id", F.inline(said)).join(probes.hint("broadcast" if probes.count() <= broadcast else "shuffle_hash"), "word").drop("word")
     onward = Window.partitionBy("item_id", "call_id").orderBy("pos")
     nth = F.coalesce(*(F.when(F.col("n") == i, F.lead("pos", i - 1).over(onward)) for i in range(1, shared + 1)))
     long = hits.withColumn("nth", nth).filter(F.col("nth") - F.col("pos") <= m).select("item_id", "call_id")

@@ -105,3 +105,13 @@ def test_snap_skips_only_what_cannot_reach(spark):
         assert free == (None if best is None else next((w, x) for x, w in each if x == best))
         if best is not None and best >= 0.7:
             assert bound == free
+
+
+def test_words_of_texts_are_counted_by_batch(spark):
+    texts = spark.createDataFrame([(i, "the the cat's k " * 50) for i in range(40)], "call_id long, text string").coalesce(1)
+    rows, n = X._word_counts(texts, frozenset(["the", "cats", "k"])).collect(), {}
+    for r in rows:
+        n[r.word] = n.get(r.word, 0) + r.n
+    assert n == {"the": 4000, "cats": 2000, "k": 2000} and len(rows) <= 3 * 40
+    words = texts.selectExpr("CAST(call_id AS STRING) AS word")
+    assert X._few(words, 39) is None and len(X._few(words, 40)) == 40
