@@ -10,6 +10,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -250,12 +251,12 @@ def _few(words: DataFrame, most: int) -> frozenset[str] | None:
 
 def _word_counts(texts: DataFrame, only: frozenset[str] | None) -> DataFrame:
     """(word, n): how often each batch of texts has each of its words, or of those in `only`."""
-    def count(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for f in frames:
-            n = Counter(w for t in f["text"] for w in S.spoken_words(t or "") if only is None or w in only)
-            yield pd.DataFrame({"word": list(n), "n": list(n.values())})
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            n = Counter(w for t in b.column(0).to_pylist() for w in S.spoken_words(t or "") if only is None or w in only)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
-    return texts.select("text").mapInPandas(count, "word string, n long")
+    return texts.select("text").mapInArrow(count, "word string, n long")
 
 
 def _word_places(text: Column, only: frozenset[str] | None) -> Column:
