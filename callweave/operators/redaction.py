@@ -7,7 +7,7 @@ import hashlib
 import hmac
 import json
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -29,6 +29,12 @@ def _rows(spans: Iterable[S.Span]) -> list[dict]:
     return [s._asdict() for s in spans]
 
 
+def _judged(texts: Iterable[str | None], deny: list[str]) -> Iterator[tuple[str, bool]]:
+    """Each text, an empty one for null, and whether a detector or scan could find something in it."""
+    known = [t or "" for t in texts]
+    return zip(known, S.suspects(pa.array(known, pa.large_string()), deny))
+
+
 def span_udf(find: Callable[[str], list[S.Span]]) -> Callable[[Column], Column]:
     """A span function as a column function; null text gives no spans.
 
@@ -123,12 +129,12 @@ def redacted(text: Column, deny: list[str] | None = None) -> Column:
     @F.pandas_udf(REDACTION)
     def run(texts: pd.Series) -> pd.DataFrame:
         out = []
-        for t in texts:
-            r = S.redact(t or "", terms)
+        for t, suspect in _judged(texts, terms):
+            r = S.redact(t, terms) if suspect else S.untouched(t)
             out.append({
                 "text": r.tokenized.text, "vault": [{"token": k, "value": v} for k, v in r.tokenized.vault],
                 "findings": [{"kind": k, "token": t_, "value": v} for k, t_, v in r.tokenized.findings], "spans": _rows(r.spans),
-                "disagreement": r.disagreement, "residual": r.residual, "signals": S.signals(t or "", r.spans, r.disagreement, bool(r.residual)),
+                "disagreement": r.disagreement, "residual": r.residual, "signals": S.signals(t, r.spans, r.disagreement, bool(r.residual)),
             })
         return pd.DataFrame(out, columns=["text", "vault", "findings", "spans", "disagreement", "residual", "signals"])
 
@@ -141,7 +147,7 @@ def residual(text: Column, deny: list[str] | None = None) -> Column:
 
     @F.pandas_udf("map<string,int>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: S.residual(t or "", (), terms))
+        return pd.Series([S.residual(t, (), terms) if suspect else {} for t, suspect in _judged(texts, terms)], dtype=object)
 
     return run(text)
 

@@ -1,10 +1,12 @@
 """Scans over large tables: rows over all cores, hints that hide no match, work that is done once."""
 
 import random
+from collections import Counter
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from callweave import plans
@@ -91,3 +93,44 @@ def test_client_terms_count_as_spans_of_a_dense_text(spark, tmp_path):
 def test_a_filter_of_the_nearest_stretch_does_not_find_it_twice(spark):
     plan = plans.queries()["txt_02"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [run(phrase") == 1
+
+
+def test_texts_that_are_no_suspects_hold_nothing():
+    dice = random.Random(11)
+    bits, seen = [*BITS, "General", "Public", "license", "aB", "triple", "cat", "(dot)", "[ dot ]", "com", "org", "host"], Counter()
+    deny = ["general public license", "AB", "İx-ray", " "]
+    texts = ["".join(dice.choice(bits) + dice.choice(["", " ", " ", "-"]) for _ in range(dice.randrange(1, 7))) for _ in range(6000)]
+    for terms in ([], deny):
+        for text, suspect in zip(texts, S.suspects(pa.array(texts), terms)):
+            seen[suspect] += 1
+            if not suspect:
+                assert S.redact(text, terms) == S.untouched(text) and not S.residual(text, (), terms) and not S.address_like(text), text
+    assert min(seen.values()) > 500 and S.suspects(pa.array(["", None], pa.string()), deny) == [False, False]
+
+
+def test_digit_patterns_are_tried_in_digit_runs_alone():
+    dice = random.Random(12)
+    bits = ["+1", "(", ")", "555", "4111", "12", "7", "İ", "K", "é", "·", "-", " ", "x", ",", ".", "0000", "1 2"]
+    for _ in range(4000):
+        text = "".join(dice.choice(bits) for _ in range(dice.randrange(4, 24)))
+        for find, patterns in ((S.phones, P.PHONES), (S.government_ids, P.GOVERNMENT_IDS)):
+            assert {s[:2] for s in find(text)} == {s[:2] for s in S.uncontained(s for p in patterns for s in S._hits(text, p, ""))}
+        assert [s[:2] for s in S._in_runs(text, P.CARD, "")] == [s[:2] for s in S._hits(text, P.CARD, "")]
+
+
+def test_a_clean_text_is_asked_once(monkeypatch):
+    asked = []
+
+    class Asked:
+        def search(self, text):
+            asked.append(text)
+
+    monkeypatch.setattr(P, "LIKE_HINT", Asked())
+    assert not S.redact("a text without anything in it, long enough to be no short one", ["thonou"]).spans and len(asked) == 1
+
+
+def test_a_report_deals_out_no_texts(spark):
+    plan = plans.queries()["op_42"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [at for at, line in enumerate(plan.splitlines()) if "Join" in line]
+    scans = [at for at, line in enumerate(plan.splitlines()) if "EvalPython" in line]
+    assert len(scans) == 2 and scans[0] < joins[0] < scans[1], plan
