@@ -136,16 +136,20 @@ query(
 
 
 def _report(t: Tables):
-    """A report a call: state, newest open hold, redacted text and record, free text withheld as a whole if the scan finds anything."""
+    """A report a call: state, newest open hold, redacted text and record, free text withheld as a whole if the scan finds anything.
+
+    Texts are scanned where they lie and only their verdicts go on: no text is dealt out by call.
+    """
     held = R.latest(t.review_queue.filter(c("status").isin("open", "in_review")), ["call_id"], ["created_at", "review_id"]).select("call_id", c("held_reason").alias("hold_reason"))
-    texts = t.clean_transcripts.select("call_id", c("text").alias("redacted_text"))
+    texts = t.clean_transcripts.select("call_id", "text", F.array_sort(F.map_keys(X.residual(c("text"), DENY))).alias("in_text"))
+    texts = texts.select("call_id", "in_text", F.md5(F.when(F.size("in_text") == 0, c("text"))).alias("text_md5"))
     known = t.structured_knowledge.select("call_id", "service_category", "urgency", "problem_statement", "lang1")
     rows = t.call_state.select("call_id", "status", "current_stage", "drop_reason").join(held, "call_id", "left").join(texts, "call_id", "left").join(known, "call_id", "left")
     free = F.concat_ws("\n", F.coalesce("problem_statement", F.lit("")), F.coalesce("lang1", F.lit("")))
-    found = rows.withColumn("in_text", F.array_sort(F.map_keys(X.residual(c("redacted_text"), DENY)))).withColumn("in_record", F.array_sort(F.map_keys(X.residual(free, DENY))))
+    found = rows.withColumn("in_text", F.coalesce("in_text", F.array().cast("array<string>"))).withColumn("in_record", F.array_sort(F.map_keys(X.residual(free, DENY))))
     shown = lambda col, hits: F.when(F.size(hits) == 0, F.col(col)).alias(col)
     return found.select(
-        "call_id", "status", "current_stage", "drop_reason", "hold_reason", F.md5(F.when(F.size("in_text") == 0, c("redacted_text"))).alias("text_md5"), "service_category", "urgency",
+        "call_id", "status", "current_stage", "drop_reason", "hold_reason", "text_md5", "service_category", "urgency",
         shown("problem_statement", "in_record"), shown("lang1", "in_record"), F.array_join(F.array_sort(F.array_union("in_text", "in_record")), ",").alias("guard"),
     )
 
