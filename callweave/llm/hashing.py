@@ -28,9 +28,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """Each value well scattered over 64 bits."""
     x = x + np.uint64((0x9E3779B97F4A7C15 * (2 * salt + 1)) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -40,7 +42,9 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     """
     forth, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTER[data] * forth[:-1], dtype=np.uint64, out=out[1:])
+    terms = _LETTER.take(data)
+    terms *= forth[:-1]
+    np.cumsum(terms, out=out[1:])
     return out
 
 
@@ -84,7 +88,7 @@ class Fingerprints:
         self.sums = []
         for k, letters in enumerate(_RESIDUES):
             out = np.zeros(len(data) + 1, np.uint64)
-            terms = letters[data]
+            terms = letters.take(data)
             terms *= _residues(len(data) + 1, k)[0][: len(data)]
             high = terms >> _BITS
             terms &= _PRIME
@@ -95,8 +99,11 @@ class Fingerprints:
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         found = np.zeros(len(starts), np.uint64)
         for k, sums in enumerate(self.sums):
-            part = _folded(_folded(sums[ends] - sums[starts])) % _PRIME
-            found = found << _BITS | part * _residues(len(sums), k)[1][starts] % _PRIME
+            part = _folded(_folded(sums[ends] - sums[starts]))  # below 2^31 + 8
+            part *= _residues(len(sums), k)[1][starts]
+            part = _folded(_folded(part))
+            part -= _PRIME * (part >= _PRIME)
+            found = found << _BITS | part
         return found
 
 

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -127,6 +128,40 @@ def test_anchors_in_pieces_cover_the_same_windows():
     assert windows[0] == windows[1] and len(windows[0]) == 4951
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=300), st.integers(1, 4), st.integers(0, 99))
+def test_suffix_order_of_wanted_places_alone(raw, letters, seed):
+    text = np.frombuffer(bytes(b % letters + 97 for b in raw) + bytes(64), np.uint8)
+    wanted = np.random.default_rng(seed).random(len(text)) < 0.3
+    padded, found = text.tobytes() + bytes(60), suffixes.suffix_order(text, wanted=wanted)
+    keys = [padded[i : i + 50] for i in found]
+    assert keys == sorted(keys) and sorted(found.tolist()) == np.flatnonzero(wanted).tolist()
+
+
+def test_settled_intervals_of_a_document_are_sent_and_stored_as_one():
+    """A copied text of a hundred contexts makes one interval; before, it was sent and stored as a hundred."""
+    rnd = random.Random(8)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(3000)).encode()
+    data, offsets = np.frombuffer(text + text, np.uint8), np.array([0, 3000, 6000])
+    a = suffixes.Anchors(data, offsets, np.zeros(0, np.uint64))
+    assert len(a.start) > 200
+    docs, tags = np.array([4, 9]), np.array([40, 90])
+    rows = list(suffixes._sent(a.gram, a.context, a.row, a.start - offsets[a.row], a.run, docs, tags, 7))
+    held = pa.Table.from_batches(rows)
+    sent = [suffixes._by_hash(held.filter(pc.equal(held["bucket"], k)), 3) for k in range(7)]
+    homes = pa.concat_tables(sent)
+    found = pa.concat_tables([suffixes._by_home(homes.filter(pc.equal(homes["home"], k))) for k in set(homes["home"].to_pylist())])
+    assert found.to_pylist() == [{"doc": 9, "tag": 90, "cuts": [3000], "grams": [], "places": []}]
+
+
+def test_pieces_that_batches_send_stay_few_at_size():
+    """10 GB of texts at 600 partitions: before, 2,400 buckets got a piece for every 4 MB, six million in all."""
+    total = 10 << 30
+    buckets, homes = suffixes.dealt(total, 600)
+    assert buckets * (total // suffixes.LIMITS.sent) < 1_000_000 and buckets * homes < 1_000_000
+    assert suffixes.dealt(1 << 20, 12) == (48, 12) and suffixes.dealt(64 << 30, 600) == (4096, 4096)
+
+
 # -- quality ------------------------------------------------------------------
 
 
